@@ -24,6 +24,21 @@ def _volatile(value: Column) -> Column:
     return value.rlike(r"^[0-9a-fA-F]{7,}$") | stamp
 
 
+def _let(value: Column, body) -> Column:
+    """`body` over a bound value, so a nested use does not copy its expression."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _unwrap(line: Column) -> Column:
+    """Drops one leading `env` or `sh -c`; '' for a shell that runs anything but a -c string."""
+    return (
+        F.when(line.rlike("^env(?: |$)"), F.regexp_replace(line, ENV_PREFIX, ""))
+        .when(line.rlike(SHELL_PREFIX), F.regexp_replace(line, SHELL_PREFIX, ""))
+        .when(line.rlike(SHELL_FIRST), F.lit(""))
+        .otherwise(line)
+    )
+
+
 def _words(command: Column) -> Column:
     return F.filter(F.split(command, r"\s+"), lambda t: t != "")
 
@@ -31,6 +46,10 @@ def _words(command: Column) -> Column:
 def pairing_command(command: Column) -> Column:
     """The command without per-run assignments (shas, ids, timestamps) and without an `env` left bare by that."""
     kept = F.filter(_words(command), lambda t: ~_volatile(_assigned(t)))
+    return _let(kept, _drop_bare_env)
+
+
+def _drop_bare_env(kept: Column) -> Column:
     second = F.get(kept, F.lit(1))
     bare = (F.get(kept, F.lit(0)) == "env") & second.isNotNull() & ~F.startswith(second, F.lit("-")) & ~second.rlike(ASSIGNMENT)
     return F.array_join(F.when(F.coalesce(bare, F.lit(False)), F.slice(kept, F.lit(2), F.size(kept))).otherwise(kept), " ")
@@ -41,17 +60,17 @@ def command_family(command: Column) -> Column:
     text = F.coalesce(command, F.lit(""))
     line = F.array_join(F.transform(_words(text), lambda t: F.regexp_replace(t, "^['\"]+|['\"]+$", "")), " ")
     for _ in range(WRAPPER_DEPTH):
-        line = (
-            F.when(line.rlike("^env(?: |$)"), F.regexp_replace(line, ENV_PREFIX, ""))
-            .when(line.rlike(SHELL_FIRST), F.when(line.rlike(SHELL_PREFIX), F.regexp_replace(line, SHELL_PREFIX, "")).otherwise(F.lit("")))
-            .otherwise(line)
-        )
+        line = _let(line, _unwrap)
+    return _let(line, lambda x: F.when(text.rlike(SHELL_SYNTAX), F.lit("")).otherwise(_family(x)))
+
+
+def _family(line: Column) -> Column:
     words = F.filter(
         F.split(line, " "),
         lambda t: (t != "") & ~t.rlike(r"^[A-Za-z_]\w*=") & ~F.startswith(t, F.lit("-")) & ~t.rlike(r"[/.]"),
     )
     wrapped = line.rlike("^env(?: |$)") | line.rlike(SHELL_FIRST)
-    return F.when(text.rlike(SHELL_SYNTAX) | wrapped, F.lit("")).otherwise(F.array_join(F.slice(words, 1, FAMILY_TOKENS), " "))
+    return F.when(wrapped, F.lit("")).otherwise(F.array_join(F.slice(words, 1, FAMILY_TOKENS), " "))
 
 
 def stable_assignments(command: Column) -> Column:
@@ -85,7 +104,7 @@ def argv_fingerprint(argv: Column, root: Column, tmp: Column, cwd: Column) -> Co
     tmp = F.regexp_replace(tmp, "/+$", "")
 
     def norm(x: Column) -> Column:
-        return _replace_prefix(_replace_prefix(x, root, "<repo>"), tmp, "<tmp>")
+        return _let(_replace_prefix(x, root, "<repo>"), lambda y: _replace_prefix(y, tmp, "<tmp>"))
 
     body = F.to_json(F.struct(norm(cwd).alias("cwd"), F.transform(argv, norm).alias("argv")))
     usable = (F.size(argv) > 0) & ~F.exists(argv, lambda a: a.isNull())

@@ -49,18 +49,14 @@ def order_stats(
         "top": F.max("bmax").over(whole),
         "cum": F.coalesce(F.sum("bc").over(before), F.lit(0)),
     })
-    n = F.col("n")
-    wanted = [F.struct(F.lit(s).alias("s"), nearest_rank(p, n).alias("r")) for s, p in percentiles.items()]
+    ranks = [f"struct('{s}' AS s, greatest(1L, CAST(ceil({float(p)}D * n) AS BIGINT)) AS r)" for s, p in percentiles.items()]
     if median:
-        wanted += [
-            F.struct(F.lit("med_lo").alias("s"), F.floor((n + 1) / 2).cast("long").alias("r")),
-            F.struct(F.lit("med_hi").alias("s"), (F.floor(n / 2) + 1).cast("long").alias("r")),
-        ]
-    if not wanted:
-        wanted = [F.struct(F.lit("first").alias("s"), F.lit(1).cast("long").alias("r"))]
+        ranks += ["struct('med_lo' AS s, (n + 1) div 2 AS r)", "struct('med_hi' AS s, n div 2 + 1 AS r)"]
+    if not ranks:
+        ranks = ["struct('first' AS s, 1L AS r)"]
     targets = (
-        buckets.withColumn("w_", F.explode(F.array(*wanted)))
-        .filter((F.col("w_.r") > F.col("cum")) & (F.col("w_.r") <= F.col("cum") + F.col("bc")))
+        buckets.withColumn("w_", F.expr(f"explode(array({', '.join(ranks)}))"))
+        .filter("w_.r > cum AND w_.r <= cum + bc")
         .select(*[F.col(k).alias(f"t_{k}") for k in keys], F.col("m").alias("t_m"), F.col("b").alias("t_b"),
                 F.col("w_.s").alias("s"), (F.col("w_.r") - F.col("cum")).alias("r"), "n", "top")
     )
@@ -76,17 +72,16 @@ def order_stats(
     )
     outs = []
     for m in names:
-        here = F.col("m") == m
 
-        def stat(s: str) -> Column:
-            return F.max(F.when(here & (F.col("s") == s), F.col("x")))
+        def stat(s: str) -> str:
+            return f"max(CASE WHEN m = '{m}' AND s = '{s}' THEN x END)"
 
-        outs.append(F.coalesce(F.max(F.when(here, F.col("n"))), F.lit(0)).cast("long").alias(f"{m}_n"))
-        outs.append(F.max(F.when(here, F.col("top"))).alias(f"{m}_max"))
-        outs += [stat(s).alias(f"{m}_{s}") for s in percentiles]
+        outs.append(f"coalesce(max(CASE WHEN m = '{m}' THEN n END), 0L) AS {m}_n")
+        outs.append(f"max(CASE WHEN m = '{m}' THEN top END) AS {m}_max")
+        outs += [f"{stat(s)} AS {m}_{s}" for s in percentiles]
         if median:
-            outs.append(((stat("med_lo") + stat("med_hi")) / 2).alias(f"{m}_median"))
-    return picked.groupBy(*keys).agg(*outs)
+            outs.append(f"({stat('med_lo')} + {stat('med_hi')}) / 2 AS {m}_median")
+    return picked.groupBy(*keys).agg(*[F.expr(o) for o in outs])
 
 
 def in_window(t: Column, since_ms: float, until_ms: float) -> Column:

@@ -32,7 +32,7 @@ SELECT ord, (repo LIKE '%\\_proj\\_foo\\_.git' ESCAPE '\\' OR repo LIKE '%\\_mer
   coalesce(nullif(granted, 0), nullif(res_cpu, 0), nullif(weight, 0), 1) AS cores,
   kind, why, round(wall_s, 6) AS wall_s, work_class,
   CASE WHEN wall_s < 120 THEN 'short' WHEN wall_s <= 600 THEN 'medium' WHEN wall_s IS NOT NULL THEN 'long' END AS bucket,
-  round((predicted_run_ms + 30000) / (run_ms + 30000), 6) AS ratio
+  CASE WHEN placed_runner IS NOT NULL THEN round((predicted_run_ms + 30000) / (run_ms + 30000), 6) END AS ratio
 FROM kinds"""))
 def scalar_run_fields(spark, sf):
     h = history(spark, sf).withColumn("c", runs.classify())

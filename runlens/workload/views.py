@@ -7,7 +7,6 @@ differ. Modulus arithmetic gives columns their values; no view leaves rows out.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 class Spark:
@@ -136,7 +135,7 @@ SELECT event_id AS ord, {d.ms('ts')} AS t_ms,
   CASE WHEN event_type = 'view' AND event_id % 4 = 0 THEN 'master-' ELSE 'run-' END || CAST(user_id % 20 AS STRING) AS run_id,
   'o' || CAST((event_id * 3) % 15000 AS STRING) AS lane_id,
   user_id AS pr,
-  {d.arr('user_id', '(user_id + 7) % 1000', '(event_id * 5) % 1000')} AS prs
+  {d.arr('user_id - user_id % 3', '(user_id + 7) % 1000 - (user_id + 7) % 1000 % 3', '(event_id * 5) % 1000 - (event_id * 5) % 1000 % 3')} AS prs
 FROM {{events}}"""
 
 
@@ -315,32 +314,18 @@ def flat(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The run-history table in its canonical nested schema."""
     h = flat(spark, sf_dir, "history")
-    phases = F.struct(*[F.col(s).alias(c) for c, s in [
-        ("uploadMs", "upload_ms"), ("queuedMs", "queued_ms"), ("snapshotMs", "snapshot_ms"), ("depsMs", "deps_ms"),
-        ("setupMs", "setup_ms"), ("commandMs", "command_ms"), ("artifactsMs", "artifacts_ms"),
-        ("artifactReturnMs", "artifact_return_ms")]])
-    return h.select(
-        "ord", "id", "repo", "lane", F.col("config_lane").alias("configLane"), "class", "weight",
-        F.when(F.col("res_cpu").isNotNull(), F.struct(
-            F.col("res_cpu").alias("cpuCores"), F.col("res_min_cpu").alias("minCpuCores"),
-            F.col("res_memory").alias("memoryBytes"))).alias("resources"),
-        "command", F.col("cmd_fp").alias("cmdFingerprint"), "executor", "runner", F.col("exit_code").alias("exit"),
-        "signal", "cancelled", "reason", F.lit(None).cast("string").alias("error"),
-        F.concat("repo", F.lit(":"), "lane").alias("key"),
-        F.col("started_at").alias("startedAt"), F.col("ended_at").alias("endedAt"), F.col("run_ms").alias("runMs"),
-        F.col("waited_ms").alias("waitedMs"), F.col("granted").alias("grantedCpuCores"),
-        F.when(F.col("obs_mean").isNotNull(), F.struct(
-            F.col("obs_peak").alias("peak"), F.col("obs_mean").alias("mean"),
-            F.col("obs_samples").cast("int").alias("samples"))).alias("observedCpu"),
-        F.col("rss_peak").alias("observedRssPeakBytes"), F.col("cpu_seconds").alias("cpuSeconds"),
-        F.col("deps_cache").alias("depsCache"), F.when(F.col("has_phases"), phases).alias("remotePhasesMs"),
-        F.when(F.col("placed_runner").isNotNull(), F.struct(
-            F.col("placed_runner").alias("runner"), F.col("predicted_wait_ms").alias("predictedWaitMs"),
-            F.col("predicted_run_ms").alias("predictedRunMs"))).alias("placement"),
-        F.col("redispatched_from").alias("redispatchedFrom"), F.col("redispatch_reason").alias("redispatchReason"),
-        F.col("local_reason").alias("localReason"), F.col("content_key").alias("contentKey"),
-        F.col("content_key_verified").alias("contentKeyVerified"), F.col("cached_from").alias("cachedFrom"),
-        F.col("refused_from").alias("refusedFrom"), F.col("remote_kind").alias("remoteKind"),
-        F.col("remote_phase").alias("remotePhase"), F.lit(None).cast("string").alias("remoteSignal"),
-        F.lit(None).cast("string").alias("event"), F.col("cust"),
-    )
+    return h.selectExpr(
+        "ord", "id", "repo", "lane", "config_lane AS configLane", "class", "weight",
+        "CASE WHEN res_cpu IS NOT NULL THEN struct(res_cpu AS cpuCores, res_min_cpu AS minCpuCores, res_memory AS memoryBytes) END AS resources",
+        "command", "cmd_fp AS cmdFingerprint", "executor", "runner", "exit_code AS exit", "signal", "cancelled", "reason",
+        "CAST(NULL AS STRING) AS error", "concat(repo, ':', lane) AS key", "started_at AS startedAt", "ended_at AS endedAt",
+        "run_ms AS runMs", "waited_ms AS waitedMs", "granted AS grantedCpuCores",
+        "CASE WHEN obs_mean IS NOT NULL THEN struct(obs_peak AS peak, obs_mean AS mean, CAST(obs_samples AS INT) AS samples) END AS observedCpu",
+        "rss_peak AS observedRssPeakBytes", "cpu_seconds AS cpuSeconds", "deps_cache AS depsCache",
+        "CASE WHEN has_phases THEN struct(upload_ms AS uploadMs, queued_ms AS queuedMs, snapshot_ms AS snapshotMs, deps_ms AS depsMs,"
+        " setup_ms AS setupMs, command_ms AS commandMs, artifacts_ms AS artifactsMs, artifact_return_ms AS artifactReturnMs) END AS remotePhasesMs",
+        "CASE WHEN placed_runner IS NOT NULL THEN struct(placed_runner AS runner, predicted_wait_ms AS predictedWaitMs,"
+        " predicted_run_ms AS predictedRunMs) END AS placement",
+        "redispatched_from AS redispatchedFrom", "redispatch_reason AS redispatchReason", "local_reason AS localReason",
+        "content_key AS contentKey", "content_key_verified AS contentKeyVerified", "cached_from AS cachedFrom", "refused_from AS refusedFrom",
+        "remote_kind AS remoteKind", "remote_phase AS remotePhase", "CAST(NULL AS STRING) AS remoteSignal", "CAST(NULL AS STRING) AS event", "cust")
