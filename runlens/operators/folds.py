@@ -4,7 +4,8 @@ An EWMA that clips each observation against its current state has no associative
 state through a non-decreasing piecewise-linear function, and such functions compose. A key's observations are cut into
 time slices. Pass 1 composes each slice's function from its own rows (it soon becomes a constant, because every step
 contracts), pass 2 walks the few slice functions of a key to get the state entering each slice, pass 3 replays the
-slices from those known states. No key is ever folded in one task, however hot.
+slices from those known states. Keys of ordinary size are folded in one piece; only keys over `hot_rows` are cut, and
+their number is at most the row count over `hot_rows`.
 """
 
 from __future__ import annotations
@@ -38,6 +39,10 @@ class LogStep:
     def step(cls, y, v):
         return y + ALPHA * np.clip(v - y, cls.low, cls.high)
 
+    @classmethod
+    def scalar(cls, y: float, v: float) -> float:
+        return y + ALPHA * min(max(v - y, cls.low), cls.high)
+
     @staticmethod
     def first(v: float, censored: bool) -> float:
         return v
@@ -54,6 +59,10 @@ class FactorStep:
     def step(y, v):
         return y + ALPHA * (np.clip(v, y * RATIO_MIN, y * RATIO_MAX) - y)
 
+    @staticmethod
+    def scalar(y: float, v: float) -> float:
+        return y + ALPHA * (min(max(v, y * RATIO_MIN), y * RATIO_MAX) - y)
+
     @staticmethod
     def first(v: float, censored: bool) -> float:
         return max(1.0, v) if censored else v
@@ -90,31 +99,27 @@ class StateMap:
                 self.xs, self.ys = self.xs[keep], self.ys[keep]
 
 
-def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    """Runs of equal (k, slice) within sorted batches; a group may come in several pieces."""
-    for pdf in batches:
-        if not len(pdf):
-            continue
-        change = (pdf["k"].ne(pdf["k"].shift()) | pdf["slice"].ne(pdf["slice"].shift())).to_numpy()
-        starts = list(np.flatnonzero(change)) + [len(pdf)]
-        for a, b in zip(starts, starts[1:]):
-            part = pdf.iloc[a:b]
-            yield (part["k"].iat[0], part["slice"].iat[0]), part
+def _rows(pdf: pd.DataFrame, *cols: str):
+    return zip(*[pdf[c].tolist() for c in cols])
 
 
 def _slice_maps(kind):
-    def run(batches):
+    cols = ["k", "slice", "xs", "ys", "from_empty"]
+
+    def run(batches: Iterator[pd.DataFrame]):
         current, state, empty = None, None, None
-        for key, part in _groups(batches):
-            if key != current:
-                if current is not None:
-                    yield pd.DataFrame([{"k": current[0], "slice": current[1], "xs": state.xs, "ys": state.ys, "from_empty": empty}])
-                current, state, empty = key, StateMap(part["lo"].iat[0], part["hi"].iat[0]), None
-            for v, c in zip(part["v"].to_numpy(), part["censored"].to_numpy()):
+        for pdf in batches:
+            out = []
+            for k, s, v, c, lo, hi in _rows(pdf, "k", "slice", "v", "censored", "lo", "hi"):
+                if (k, s) != current:
+                    if current is not None:
+                        out.append((*current, state.xs, state.ys, empty))
+                    current, state, empty = (k, s), StateMap(lo, hi), None
                 state.apply(kind, v, c)
-                empty = kind.first(v, c) if empty is None else max(empty, v) if c else float(kind.step(empty, v))
+                empty = kind.first(v, c) if empty is None else max(empty, v) if c else kind.scalar(empty, v)
+            yield pd.DataFrame(out, columns=cols)
         if current is not None:
-            yield pd.DataFrame([{"k": current[0], "slice": current[1], "xs": state.xs, "ys": state.ys, "from_empty": empty}])
+            yield pd.DataFrame([(*current, state.xs, state.ys, empty)], columns=cols)
 
     return run
 
@@ -133,54 +138,62 @@ def _entries(batches):
 
 
 def _replay(kind):
-    def run(batches):
-        current = None
-        for key, part in _groups(batches):
-            if key != current:
-                if current is not None:
-                    yield pd.DataFrame([row])
-                entry = part["entry"].iat[0]
-                state = None if pd.isna(entry) else float(entry)
-                row = {"k": key[0], "slice": key[1], "n": 0, "censored_n": 0, "state": 0.0, "keep": 1.0, "add": 0.0}
-                current = key
-            for v, c in zip(part["v"].tolist(), part["censored"].tolist()):
-                row["n"] += 1
-                row["censored_n"] += int(c)
+    cols = ["k", "slice", "n", "censored_n", "state", "keep", "add"]
+
+    def run(batches: Iterator[pd.DataFrame]):
+        current, state, n, cn, keep, add = None, None, 0, 0, 1.0, 0.0
+        for pdf in batches:
+            out = []
+            for k, s, v, c, entry in _rows(pdf, "k", "slice", "v", "censored", "entry"):
+                if (k, s) != current:
+                    if current is not None:
+                        out.append((*current, n, cn, state, keep, add))
+                    current, n, cn, keep, add = (k, s), 0, 0, 1.0, 0.0
+                    state = None if math.isnan(entry) else entry
+                n += 1
+                cn += c
                 if state is None:
                     state = kind.first(v, c)
                 elif c:
                     state = max(state, v)
                 else:
-                    nxt = float(kind.step(state, v))
+                    nxt = kind.scalar(state, v)
                     delta = (nxt - state) / ALPHA
-                    row["keep"] *= 1 - ALPHA
-                    row["add"] = (1 - ALPHA) * (row["add"] + ALPHA * delta * delta)
+                    keep *= 1 - ALPHA
+                    add = (1 - ALPHA) * (add + ALPHA * delta * delta)
                     state = nxt
-                row["state"] = state
+            yield pd.DataFrame(out, columns=cols)
         if current is not None:
-            yield pd.DataFrame([row])
+            yield pd.DataFrame([(*current, n, cn, state, keep, add)], columns=cols)
 
     return run
 
 
 def sliced_fold(
-    obs: DataFrame, keys: list[str], value: Column, censored: Column, time: Column, ord_col: str, kind, slice_ms: float = 30 * 86_400_000.0,
+    obs: DataFrame, keys: list[str], value: Column, censored: Column, time: Column, ord_col: str, kind,
+    slice_ms: float = 86_400_000.0, hot_rows: int = 2_000_000,
 ) -> DataFrame:
     """Folded state per key: `n`, `censored_n`, `state`, `variance` (of LogStep deltas)."""
     packed = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
-    rows = obs.select(packed.alias("k"), F.floor(time / slice_ms).cast("long").alias("slice"), time.cast("double").alias("t"),
-                      F.col(ord_col).alias("o"), value.cast("double").alias("v"), censored.alias("censored")).filter(F.col("v").isNotNull())
-    bounds = rows.agg(F.least(F.min("v"), F.lit(1.0) if kind is FactorStep else F.min("v")).alias("lo"),
-                      F.greatest(F.max("v"), F.lit(1.0) if kind is FactorStep else F.max("v")).alias("hi"))
+    rows = obs.select(packed.alias("k"), time.cast("double").alias("t"), F.col(ord_col).alias("o"), value.cast("double").alias("v"),
+                      censored.alias("censored")).filter(F.col("v").isNotNull())
+    # at most (rows / hot_rows) keys, so the broadcast is bounded
+    hot = rows.groupBy("k").agg(F.count("*").alias("c")).filter(F.col("c") > hot_rows).select("k")
+    order = ["k", "slice", "t", "o"]
+    out = "k string, slice long, n long, censored_n long, state double, keep double, add double"
+    cold = rows.join(F.broadcast(hot), "k", "left_anti").withColumns({"slice": F.lit(0).cast("long"), "entry": F.lit(float("nan"))})
+    cold = cold.repartition("k").sortWithinPartitions(*order).mapInPandas(_replay(kind), out)
+
+    cut = rows.join(F.broadcast(hot), "k", "left_semi").withColumn("slice", F.floor(F.col("t") / slice_ms).cast("long"))
+    one = F.lit(1.0 if kind is FactorStep else None).cast("double")
+    bounds = cut.agg(F.least(F.min("v"), one).alias("lo"), F.greatest(F.max("v"), one).alias("hi"))
     # `bounds` is a one-row aggregate
-    bounded = rows.crossJoin(F.broadcast(bounds)).select("k", "slice", "t", "o", "v", "censored", "lo", "hi")
-    maps = bounded.repartition("k", "slice").sortWithinPartitions("k", "slice", "t", "o").mapInPandas(
+    maps = cut.crossJoin(F.broadcast(bounds)).repartition("k", "slice").sortWithinPartitions(*order).mapInPandas(
         _slice_maps(kind), "k string, slice long, xs array<double>, ys array<double>, from_empty double")
     entries = maps.repartition("k").sortWithinPartitions("k", "slice").mapInPandas(_entries, "k string, slice long, entry double")
-    replay = (
-        rows.join(entries, ["k", "slice"]).repartition("k", "slice").sortWithinPartitions("k", "slice", "t", "o")
-        .mapInPandas(_replay(kind), "k string, slice long, n long, censored_n long, state double, keep double, add double")
-    )
+    entries = entries.select("k", "slice", F.coalesce("entry", F.lit(float("nan"))).alias("entry"))
+    again = cut.join(entries, ["k", "slice"]).repartition("k", "slice").sortWithinPartitions(*order)
+    replay = cold.unionByName(again.mapInPandas(_replay(kind), out))
     # the variance of a key is a short chain over its slices: v <- keep * v + add
     chain = F.aggregate(
         F.array_sort(F.collect_list(F.struct("slice", "keep", "add"))), F.lit(INITIAL_VARIANCE),
