@@ -75,7 +75,7 @@ def prediction_ratio(predicted: Column, actual: Column) -> Column:
 def running_residual(elapsed_s: Column, factor: Column, p50: Column, p90: Column, max_ms: Column) -> Column:
     """struct(overrun, residualRef, residualWallS) of a running job."""
     ref = elapsed_s / factor
-    cap = F.greatest((max_ms / 1000 - elapsed_s) / factor, F.lit(0.0))
+    cap = F.when(max_ms.isNotNull(), F.greatest((max_ms / 1000 - elapsed_s) / factor, F.lit(0.0)))
     late = ref > p90
     left = F.when(late, F.least(ref * 0.5, F.coalesce(cap, F.lit(float("inf"))))).otherwise(F.greatest(p50 - ref, F.lit(0.0)))
     return F.struct(late.alias("overrun"), left.alias("residualRef"), (left * factor).alias("residualWallS"))

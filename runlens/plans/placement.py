@@ -259,7 +259,7 @@ def runner_fit(claims: DataFrame, probes: DataFrame) -> DataFrame:
         F.coalesce(F.col("weight") > F.col("cap_weight"), no) | F.coalesce(need > F.col("cap_cpu"), no)
         | F.coalesce(F.col("memory") + F.col("memory_reserve") > F.col("cap_memory"), no) | F.coalesce(F.col("memory") > F.col("memory_admissible"), no))
     discounted = F.when(F.col("headroom_cpu").isNotNull() & F.col("unenforced") & F.col("headroom_undiscounted").isNotNull(), F.col("headroom_undiscounted")).otherwise(F.col("headroom_cpu"))
-    free = F.coalesce(discounted, F.greatest(F.lit(0.0), F.col("cap_cpu") - F.col("reserved_cpu")))
+    free = F.coalesce(discounted, F.when((F.col("cap_cpu") - F.col("reserved_cpu")).isNotNull(), F.greatest(F.lit(0.0), F.col("cap_cpu") - F.col("reserved_cpu"))))
     why = (F.when(F.coalesce(need > free, no), "cpu").when(F.coalesce(F.col("memory") > F.col("headroom_memory"), no), "memory"))
     slots = F.when((F.col("cap_cpu") > 0) & (F.col("cpu") > 0), F.greatest(F.lit(1).cast("long"), F.floor(F.col("cap_cpu") / F.col("cpu")))).otherwise(F.lit(1).cast("long"))
     return j.select(*claims.columns, "runner", never.alias("never_fits"), why.isNull().alias("room"), why.alias("no_room_reason"), free.alias("cpu_free"), slots.alias("slots"))

@@ -117,11 +117,11 @@ def run_estimates_common_tier(spark, sf):
 @query("finish_ranking", "AGG25 JON18", oracle(["history", "parents"], ESTIMATE_SQL + f""",
 cd AS (SELECT e.job, e.runner, CASE WHEN e.job % 7 <> 0 OR e.runner <> 'r3' THEN e.ms END AS ms, r.config_order, (e.job + r.config_order) % 4 AS queued, (e.job + r.config_order) % 3 <> 1 AS room, ((e.job * 3 + r.config_order) % 8)::DOUBLE AS cpu_free,
   (8 + 4 * r.config_order)::DOUBLE AS capacity_cpu, (1 + e.job % 6)::DOUBLE AS need_cpu, coalesce(r.speed_factor, 1) AS sp, CASE WHEN r.config_order = 2 THEN {NOW} + 2000000 END AS closes_at FROM est e JOIN rn r ON r.runner = e.runner),
-c2 AS (SELECT *, room AND queued = 0 AS idle, bool_and(ms IS NOT NULL) OVER (PARTITION BY job) AS scored, greatest(1, floor(capacity_cpu / need_cpu)) AS slots, (queued + 1) * need_cpu / sp AS rough FROM cd),
-c3 AS (SELECT *, CASE WHEN idle THEN 0 ELSE (queued + 0.5::DOUBLE) * ms / slots END AS wait FROM c2),
-c4 AS (SELECT *, CASE WHEN scored THEN wait + ms + 60000 END AS finish, coalesce(scored AND {NOW} + wait + ms > closes_at, false) AS dropped FROM c3),
-c5 AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY dropped, finish NULLS LAST, CASE WHEN scored THEN 0 WHEN idle THEN 0 ELSE queued + 1 END, CASE WHEN scored THEN 0 ELSE rough END, idle DESC, cpu_free DESC, config_order) AS rk FROM c4)
-SELECT job, runner, scored, dropped, idle, CASE WHEN scored THEN round(wait, 4) END AS wait_ms, round(finish, 4) AS finish_ms, CASE WHEN NOT dropped THEN rk END AS rank FROM c5"""))
+fr2 AS (SELECT *, room AND queued = 0 AS idle, bool_and(ms IS NOT NULL) OVER (PARTITION BY job) AS scored, greatest(1, floor(capacity_cpu / need_cpu)) AS slots, (queued + 1) * need_cpu / sp AS rough FROM cd),
+fr3 AS (SELECT *, CASE WHEN idle THEN 0 ELSE (queued + 0.5::DOUBLE) * ms / slots END AS wait FROM fr2),
+fr4 AS (SELECT *, CASE WHEN scored THEN wait + ms + 60000 END AS finish, coalesce(scored AND {NOW} + wait + ms > closes_at, false) AS dropped FROM fr3),
+fr5 AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY dropped, finish NULLS LAST, CASE WHEN scored THEN 0 WHEN idle THEN 0 ELSE queued + 1 END, CASE WHEN scored THEN 0 ELSE rough END, idle DESC, cpu_free DESC, config_order) AS rk FROM fr4)
+SELECT job, runner, scored, dropped, idle, CASE WHEN scored THEN round(wait, 4) END AS wait_ms, round(finish, 4) AS finish_ms, CASE WHEN NOT dropped THEN rk END AS rank FROM fr5"""))
 def finish_ranking(spark, sf):
     est = placement.run_estimates(_jobs(spark, sf), _runners(spark, sf), history(spark, sf))
     c = est.join(F.broadcast(_runners(spark, sf)), "runner").selectExpr(
@@ -160,9 +160,10 @@ y AS (SELECT *, d * 86400000 + f * 60000 AS s, d * 86400000 + t * 60000 AS e FRO
 z AS (SELECT t_ms, runner, max(e) AS closes_at FROM y WHERE s <= t_ms AND t_ms < e GROUP BY 1, 2)
 SELECT i.t_ms, r.runner, z.closes_at, z.closes_at IS NOT NULL AS available FROM ins i CROSS JOIN (SELECT DISTINCT runner FROM sch) r LEFT JOIN z ON z.t_ms = i.t_ms AND z.runner = r.runner"""))
 def runner_availability(spark, sf):
-    sched = spark.range(1).selectExpr(
-        "inline(array(struct('r0' AS runner, 'UTC' AS timezone, array('mon','tue','wed','thu','fri') AS days, 540L AS from_min, 1080L AS to_min), struct('r1','UTC',array('sat','sun'),0L,1439L),"
-        "struct('r2','UTC',array('mon','wed','sun'),1320L,360L), struct('r2','UTC',array('mon'),1380L,600L), struct('r3','UTC',array('tue'),30L,31L)))")
+    sched = spark.sql(
+        "SELECT * FROM VALUES ('r0', 'UTC', array('mon','tue','wed','thu','fri'), 540L, 1080L), ('r1', 'UTC', array('sat','sun'), 0L, 1439L),"
+        " ('r2', 'UTC', array('mon','wed','sun'), 1320L, 360L), ('r2', 'UTC', array('mon'), 1380L, 600L), ('r3', 'UTC', array('tue'), 30L, 31L)"
+        " AS v(runner, timezone, days, from_min, to_min)")
     return placement.availability(flat(spark, sf, "tickets").select(F.col("created_ms").alias("t_ms")), sched)
 
 
