@@ -77,22 +77,31 @@ def running(
     return joined.select(*out)
 
 
-def islands(
-    df: DataFrame, keys: list[str], time_col: str, ord_col: str, qualifies: Column, max_gap_ms: float,
-    slice_ms: float = DAY_MS,
-) -> DataFrame:
-    """Unbroken streaks of qualifying rows: adds `island` (NULL outside one).
+def islands(df: DataFrame, keys: list[str], slice_col: str, order: list[str], time: Column, qualifies: Column, max_gap_ms: float) -> DataFrame:
+    """Unbroken streaks of qualifying rows: adds `island` (NULL outside one) and `island_since` (its first time).
 
     A streak goes on only when the previous row of the key also qualifies and the gap is in (0, max_gap_ms].
-    Rows are taken in `ord_col` order, which must follow `time_col` by slice.
     """
-    marked = df.withColumns({"q_": qualifies, "s_": slice_of(F.col(time_col), slice_ms)})
-    lagged = running(
-        marked, keys, "s_", [time_col, ord_col],
-        lags={"p_": F.struct(F.col("q_").alias("q"), F.col(time_col).cast("double").alias("t"))},
-    )
-    gap = F.col(time_col) - F.col("p_.t")
+    q = F.coalesce(qualifies, F.lit(False))
+    marked = df.withColumn("q_", q)
+    lagged = running(marked, keys, slice_col, order, lags={"p_": F.struct(F.col("q_").alias("q"), time.cast("double").alias("t"))})
+    gap = time - F.col("p_.t")
     goes_on = F.coalesce(F.col("p_.q") & (gap > 0) & (gap <= F.lit(float(max_gap_ms))), F.lit(False))
-    starts = (F.col("q_") & ~goes_on).cast("long")
-    numbered = running(lagged.withColumn("st_", starts), keys, "s_", [time_col, ord_col], sums={"n_": F.col("st_")})
-    return numbered.withColumn("island", F.when("q_", F.col("n_"))).drop("q_", "s_", "p_", "st_", "n_")
+    starts = F.col("q_") & ~goes_on
+    out = running(lagged.withColumn("st_", starts), keys, slice_col, order,
+                  sums={"n_": F.col("st_").cast("long")}, lasts={"since_": F.when(F.col("st_"), time)})
+    return out.withColumns({"island": F.when(F.col("q_"), F.col("n_")), "island_since": F.when(F.col("q_"), F.col("since_"))}).drop(
+        "q_", "p_", "st_", "n_", "since_")
+
+
+def trailing(df: DataFrame, keys: list[str], t_col: str, width_ms: int, aggs: dict[str, Column]) -> DataFrame:
+    """Aggregates over the trailing [t - width, t] of each row, safe for hot keys.
+
+    Each row is also copied into the next time slice (slices are at least the width), so a slice holds all its windows need.
+    """
+    size = max(width_ms, DAY_MS)
+    home = slice_of(F.col(t_col), size)
+    spread = df.withColumn("home_", home).withColumn("slice_", F.explode(F.array(F.col("home_"), F.col("home_") + 1)))
+    w = Window.partitionBy(*keys, "slice_").orderBy(t_col).rangeBetween(-width_ms, 0)
+    out = spread.withColumns({name: agg.over(w) for name, agg in aggs.items()})
+    return out.filter(F.col("slice_") == F.col("home_")).drop("home_", "slice_")

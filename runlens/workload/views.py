@@ -151,7 +151,7 @@ FROM {{customer}}"""
 
 def _heartbeats(d) -> str:
     return f"""
-SELECT user_id AS lease_id, event_id AS ord, {d.ms('ts')} AS t_ms,
+SELECT user_id AS lease_id, event_id AS ord, {d.ms('ts')} - CASE WHEN event_id % 37 = 0 THEN 200000000 ELSE 0 END AS t_ms,
   CASE WHEN event_id % 13 <> 0 THEN value / CAST(100 AS DOUBLE) END AS cores,
   CASE WHEN event_id % 11 <> 0 THEN CAST((event_id % 64) * 1000000 AS DOUBLE) END AS mem_bytes,
   CASE WHEN event_id % 9 <> 0 THEN value / CAST(400 AS DOUBLE) END AS interval_cores,
@@ -176,26 +176,28 @@ FROM {{events}}"""
 
 
 def _counters(d) -> str:
-    # cumulative per-core counters: two cores, mostly moving forward, sometimes standing still or going back
+    # cumulative per-core counters: two cores, mostly moving forward, sometimes standing still, going back or losing a core
+    step = d.div("event_id", "40")
     return f"""
 SELECT user_id % 5 AS host, event_id AS ord, {d.ms('ts')} AS t_ms,
   CASE WHEN event_id % 29 = 0 THEN 1 ELSE 2 END AS n_cores,
-  CAST({d.div('event_id', '4')} * 1000 AS DOUBLE) AS total0,
-  CAST({d.div('event_id', '4')} * 400 + (event_id % 4) * 0 AS DOUBLE) AS idle0,
-  CAST(CASE WHEN event_id % 31 = 0 THEN 0 ELSE {d.div('event_id', '2')} * 1000 END AS DOUBLE) AS total1,
-  CAST(CASE WHEN event_id % 31 = 0 THEN 0 ELSE {d.div('event_id', '2')} * 700 END AS DOUBLE) AS idle1
+  CAST({step} * 1000 AS DOUBLE) AS total0, CAST({step} * 400 AS DOUBLE) AS idle0,
+  CAST(CASE WHEN event_id % 31 = 0 THEN 0 ELSE {step} * 1000 END AS DOUBLE) AS total1,
+  CAST(CASE WHEN event_id % 31 = 0 THEN 0 ELSE {step} * 700 END AS DOUBLE) AS idle1
 FROM {{events}}"""
 
 
 def _procs(d) -> str:
-    # one process tree per (host, snapshot); ids are local to the host
+    # one process tree per host, read at two snapshots; ids are local to the host
+    q = d.div("p_partkey", "2")
+    pid = f"({d.div(q, '3')} + 1)"
     return f"""
-SELECT CAST(p_size % 3 AS BIGINT) AS host, CAST(1704067200000 + (p_partkey % 2) * 60000 AS BIGINT) AS snapshot_ms,
-  {d.div('p_partkey', '2')} + 1 AS pid, {d.div('p_partkey', '6')} AS ppid, {d.div('p_partkey', '2')} % 40 + 1 AS pgid,
-  p_size % 20 AS nice, 't' || CAST({d.div('p_partkey', '20')} AS STRING) AS token,
-  p_retailprice / CAST(100 AS DOUBLE) + CAST((p_partkey % 2) * (p_partkey % 30) AS DOUBLE) AS cpu_sec,
-  CAST((p_partkey % 100) * 1048576 AS DOUBLE) AS rss_bytes,
-  CASE WHEN p_partkey % 50 < 3 THEN 'bash' WHEN p_partkey % 50 = 7 THEN '/usr/bin/sshd -D' ELSE '/opt/bin/' || p_brand || ' serve' END AS command
+SELECT {q} % 3 AS host, CAST(1704067200000 + (p_partkey % 2) * 60000 AS BIGINT) AS snapshot_ms,
+  {pid} AS pid, {d.div(pid, '3')} AS ppid, {pid} % 40 + 1 AS pgid, {pid} % 20 AS nice,
+  't' || CAST(CASE WHEN p_partkey % 46 = 5 THEN 1 ELSE 0 END AS STRING) AS token,
+  CAST({q} % 50 * 10 + (p_partkey % 2) * ({q} % 31 - 3) AS DOUBLE) AS cpu_sec,
+  CAST((p_partkey % 100) * 1024 AS DOUBLE) AS rss_kib, CAST(p_partkey % 37 AS DOUBLE) AS pcpu,
+  CASE WHEN {pid} % 25 = 3 THEN '-bash' WHEN {pid} % 25 = 7 THEN '/usr/sbin/sshd -D' ELSE '/opt/bin/' || replace(p_brand, '#', '') || ' serve' END AS command
 FROM {{part}}"""
 
 
