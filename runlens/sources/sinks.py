@@ -17,7 +17,8 @@ def write_report(report: DataFrame, path: str) -> None:
 
 def append_history(rows: DataFrame, path: str) -> None:
     """Adds run rows to the stored history, partitioned by the day they settled."""
-    rows.withColumn("dt", settled_day()).write.mode("append").partitionBy("dt").parquet(path)
+    # rebalancing by day writes few files per day and splits a day that is too big for one task
+    rows.withColumn("dt", settled_day()).hint("rebalance", "dt").write.mode("append").partitionBy("dt").parquet(path)
 
 
 def derived_table(

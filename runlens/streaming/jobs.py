@@ -19,7 +19,7 @@ def ingest_history(spark: SparkSession, source: str, target: str, checkpoint: st
     """Appends the deduplicated stream to the stored history; a repeated batch rewrites its own files."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.withColumns({"dt": settled_day(), "epoch": F.lit(epoch)}).write.mode("overwrite").option(
+        batch.withColumns({"dt": settled_day(), "epoch": F.lit(epoch)}).hint("rebalance", "dt").write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic").partitionBy("epoch", "dt").parquet(target)
 
     return history_stream(spark, source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

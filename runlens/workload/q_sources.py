@@ -12,14 +12,17 @@ from runlens.workload.views import flat, history, oracle
 
 
 def _lines(spark, sf):
-    """History as JSON lines, with torn, blank, null and diagnostic lines among them."""
-    h = history(spark, sf)
-    text = F.to_json(F.struct(*[c for c in h.columns if c not in ("ord", "event", "cust")]))
+    """History written as JSON lines and read back; `queuedAt` carries the row number. Torn, blank, null and diagnostic
+    lines stand among them."""
+    h = history(spark, sf).withColumn("queuedAt", F.col("ord").cast("double"))
+    json_path, path = work_path(spark, "json"), work_path(spark, "lines")
+    h.select("ord", F.to_json(F.struct(*[c for c in h.columns if c not in ("ord", "event", "cust")])).alias("json")).write.parquet(json_path)
     k = F.col("ord")
     line = (F.when(k % 67 == 1, F.expr("substring(json, 1, 40)")).when(k % 71 == 2, F.lit("   ")).when(k % 73 == 3, F.lit("null"))
             .when(k % 79 == 4, F.concat(F.lit('{"event":null,'), F.expr("substring(json, 2)"))).when(k % 83 == 5, F.concat(F.lit('{"event":"e",'), F.expr("substring(json, 2)")))
             .otherwise(F.col("json")))
-    return h.withColumn("json", text).select("ord", line.alias("line"))
+    spark.read.parquet(json_path).select(line.alias("value")).write.text(path)
+    return src.read_lines(spark, path)
 
 
 BAD = "ord % 67 = 1 OR ord % 71 = 2 OR ord % 73 = 3"
@@ -27,12 +30,12 @@ BAD = "ord % 67 = 1 OR ord % 71 = 2 OR ord % 73 = 3"
 
 @query("read_history", "SRC01", oracle(["history"], f"SELECT ord, id, lane, started_at, run_ms, upload_ms, res_cpu FROM history WHERE NOT ({BAD} OR ord % 79 = 4 OR ord % 83 = 5)"))
 def read_history(spark, sf):
-    return src.parse_history(_lines(spark, sf)).selectExpr("ord", "id", "lane", "startedAt AS started_at", "runMs AS run_ms", "remotePhasesMs.uploadMs AS upload_ms", "resources.cpuCores AS res_cpu")
+    return src.parse_history(_lines(spark, sf)).drop("ord").selectExpr("CAST(queuedAt AS BIGINT) AS ord", "id", "lane", "startedAt AS started_at", "runMs AS run_ms", "remotePhasesMs.uploadMs AS upload_ms", "resources.cpuCores AS res_cpu")
 
 
 @query("read_rows", "SRC02", oracle(["history"], f"SELECT ord, id, CASE WHEN ord % 83 = 5 AND ord % 79 <> 4 THEN 'e' END AS event FROM history WHERE NOT ({BAD})"))
 def read_rows(spark, sf):
-    return src.parse_rows(_lines(spark, sf)).select("ord", "id", "event")
+    return src.parse_rows(_lines(spark, sf)).selectExpr("CAST(queuedAt AS BIGINT) AS ord", "id", "event")
 
 
 @query("read_recent_history", "SRC03 SNK03", oracle(["history"], "SELECT ord, repo, started_at FROM history WHERE repo = '_home_proj_foo_.git' AND (started_at IS NULL OR started_at >= 900000000000) AND (ended_at IS NULL AND started_at IS NULL OR coalesce(ended_at, started_at) >= 900000000000 - 86400000 - 86400000)"))

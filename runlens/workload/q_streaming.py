@@ -77,6 +77,6 @@ def stream_decision_rates(spark, sf):
 def stream_history_ingest(spark, sf):
     h = history(spark, sf).withColumn("id", F.coalesce("id", F.concat(F.lit("x"), F.col("ord").cast("string"))))
     src, dst = work_path(spark, "lines"), work_path(spark, "stored")
-    h.select(F.to_json(F.struct(*[c for c in h.columns if c not in ("ord", "event", "cust")])).alias("value")).write.text(src)
+    h.coalesce(4).select(F.to_json(F.struct(*[c for c in h.columns if c not in ("ord", "event", "cust")])).alias("value")).write.text(src)
     jobs.ingest_history(spark, src, dst, work_path(spark, "ingest-checkpoint")).awaitTermination()
     return spark.read.parquet(dst).groupBy("repo").agg(F.count("*").alias("n"))
