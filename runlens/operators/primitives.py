@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def broadcast_if_small(df: DataFrame, limit: int = 10_000) -> DataFrame:
+    """`df` marked for broadcast when it has at most `limit` rows (only that many are counted); else left to Spark."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def round_to(x: Column, places: int) -> Column:
     """Half-up rounding towards plus infinity, as `floor(x*10^k+0.5)/10^k`."""
     scale = float(10**places)

@@ -143,7 +143,7 @@ def rescale_states(states: DataFrame, scales: DataFrame) -> DataFrame:
     """Estimator states re-expressed after the anchor moved, by the scale of the bucket their p50 falls in."""
     s = scales.select(F.col("class").alias("class_id"), "bucket", "scale")
     return (
-        states.withColumn("bucket", runs.ref_bucket(F.exp("state"))).join(F.broadcast(s), ["class_id", "bucket"], "left")
+        states.withColumn("bucket", runs.ref_bucket(F.exp("state"))).join(s, ["class_id", "bucket"], "left")
         .withColumn("state", F.col("state") + F.ln(F.coalesce("scale", F.lit(1.0)))).drop("bucket", "scale"))
 
 

@@ -37,7 +37,7 @@ def object_state(journal: DataFrame) -> DataFrame:
 
 def replication_lag(journal: DataFrame, marks: DataFrame, now: int) -> DataFrame:
     """Age of the first record above each store's watermark, 0 when replicated up to the head (marks: store, replicated_seq, failed_rounds)."""
-    above = journal.join(F.broadcast(marks), "store").groupBy("store").agg(
+    above = journal.join(marks, "store").groupBy("store").agg(
         F.min_by("created_ms", F.when(F.col("seq") > F.col("replicated_seq"), F.col("seq"))).alias("oldest_ms"), F.max("seq").alias("head_seq"))
     age = F.coalesce(F.greatest(F.when(F.col("oldest_ms").isNotNull(), F.lit(0.0)), (F.lit(now) - F.col("oldest_ms")) / 1000), F.lit(0.0))
     return marks.join(above, "store", "left").select("store", age.alias("oldest_age_s"), "replicated_seq", F.coalesce("head_seq", F.lit(0)).alias("head_seq"), "failed_rounds")
@@ -165,7 +165,7 @@ def retention_eviction(jobs: DataFrame, entries: DataFrame, blobs: DataFrame, ca
     total = bytes_.select("store", (F.coalesce("blob_total", F.lit(0)) + F.coalesce("manifest_total", F.lit(0))).alias("total"))
     step = ranked.join(freed, ["store", "rank"], "left").withColumn("gain", F.col("manifest_bytes") + F.coalesce("blob_bytes", F.lit(0)))
     step = running(step.drop("blob_bytes"), ["store"], "s_", ["rank"], sums={"upto": F.col("gain")})
-    step = step.join(F.broadcast(caps), "store").join(F.broadcast(total), "store")
+    step = step.join(caps, "store").join(total, "store")
     return step.filter(F.col("total") - (F.col("upto") - F.col("gain")) >= F.col("cap_bytes") * EVICT_FRACTION).select("store", "job", "rank", F.col("gain").alias("freed_bytes"))
 
 

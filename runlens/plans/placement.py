@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from runlens.functions import commands, runs
 from runlens.functions.queue import version_below
-from runlens.operators.primitives import best_tier, newest, order_stats
+from runlens.operators.primitives import best_tier, broadcast_if_small, newest, order_stats
 
 # Fixed values.
 MIN_PAIRS = 5
@@ -63,7 +63,7 @@ def speed_ratios(jobs: DataFrame, runners: DataFrame, pairs: DataFrame) -> DataF
 
     `runners` (runner, speed_ratio) is the configured runner list, a small dimension.
     """
-    base = jobs.withColumn("pair", commands.pairing_command(F.col("command"))).join(F.broadcast(runners))
+    base = jobs.withColumn("pair", commands.pairing_command(F.col("command"))).join(broadcast_if_small(runners))
     exact = pairs.filter((F.col("local_runs") >= MIN_EXACT_RUNS) & (F.col("remote_runs") >= MIN_EXACT_RUNS)).select(
         "runner", "repo", "lane", "pair", F.struct(F.col("ratio").alias("ratio"), F.lit("exact").alias("tier"), F.lit(1).cast("long").alias("pairs")).alias("ev"))
     sizes = base.select("runner", "estimate_ms").distinct()
@@ -115,11 +115,11 @@ def run_estimates(jobs: DataFrame, runners: DataFrame, history: DataFrame, commo
     """
     names = class_names(history)
     speed = runners.select("runner", F.col("config_order").alias("o"), F.when(F.col("speed_factor") > 0, F.col("speed_factor")).otherwise(1.0).alias("speed"))
-    ev = run_evidence(history, names).join(F.broadcast(speed), "runner").groupBy("tier", "repo", "lane", "tkey").agg(
+    ev = run_evidence(history, names).join(speed, "runner").groupBy("tier", "repo", "lane", "tkey").agg(
         F.collect_list(F.struct("matching", (-F.col("o")).alias("neg"), "runner", "ms", "n", "speed")).alias("ev"))
     base = _tier_keys(jobs.select("job", "repo", "lane", "command"), names).select("job", "repo", "lane", F.posexplode("tier_keys").alias("tier_no", "k"))
     base = base.select("job", "repo", "lane", "tier_no", "k.tier", "k.tkey").join(ev, ["tier", "repo", "lane", "tkey"], "left")
-    cand = base.join(F.broadcast(speed.withColumnRenamed("runner", "cand").withColumnRenamed("speed", "cand_speed").drop("o")))
+    cand = base.join(broadcast_if_small(speed.withColumnRenamed("runner", "cand").withColumnRenamed("speed", "cand_speed").drop("o")))
     own = F.get(F.filter("ev", lambda e: e["runner"] == F.col("cand")), F.lit(0))
     donor = F.array_max(F.filter("ev", lambda e: e["runner"] != F.col("cand")))
     cand = cand.withColumns({"own": own, "donor": donor})
@@ -208,7 +208,7 @@ def availability(instants: DataFrame, schedules: DataFrame) -> DataFrame:
     def instant(wall_ms: Column, tz: Column) -> Column:
         return F.unix_millis(F.to_utc_timestamp(F.timestamp_millis(wall_ms), tz))
 
-    base = instants.select("t_ms").distinct().join(F.broadcast(schedules))
+    base = instants.select("t_ms").distinct().join(broadcast_if_small(schedules))
     today = F.floor(wall(F.col("t_ms"), F.col("timezone")) / DAY).cast("long")
     base = base.withColumn("day", F.explode(F.array(today - 1, today)))
     name = F.element_at(F.array(*[F.lit(d) for d in DAYS]), (F.pmod(F.col("day") + 3, F.lit(7)) + 1).cast("int"))
@@ -231,7 +231,7 @@ def readiness_gaps(needs: DataFrame, probes: DataFrame) -> DataFrame:
     `needs` (tools, tags, version_floor) are distinct need sets; `probes` (runner, tools, tags, version, zero_length) is a
     small dimension. An unreported list counts as all missing; an empty need is met.
     """
-    j = needs.join(F.broadcast(probes.select("runner", F.col("tools").alias("has_tools"), F.col("tags").alias("has_tags"), "version", "zero_length")))
+    j = needs.join(broadcast_if_small(probes.select("runner", F.col("tools").alias("has_tools"), F.col("tags").alias("has_tags"), "version", "zero_length")))
 
     def missing(need: str, has: str) -> Column:
         return F.array_sort(F.array_except(need, F.coalesce(has, F.array().cast("array<string>"))))
@@ -252,7 +252,7 @@ def runner_fit(claims: DataFrame, probes: DataFrame) -> DataFrame:
     `claims`: weight, cpu, min_cpu, memory; `probes` (small): runner, cap_weight, cap_cpu, cap_memory, memory_reserve,
     memory_admissible, elastic, reserved_cpu, headroom_cpu, headroom_undiscounted, headroom_memory, unenforced.
     """
-    j = claims.join(F.broadcast(probes))
+    j = claims.join(broadcast_if_small(probes))
     need = F.when(F.col("elastic") & F.col("min_cpu").isNotNull(), F.col("min_cpu")).otherwise(F.col("cpu"))
     no = F.lit(False)
     never = (

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from runlens.functions import queue as q
 from runlens.functions.runs import ref_bucket, running_residual
-from runlens.operators.primitives import newest
+from runlens.operators.primitives import broadcast_if_small, newest
 from runlens.operators.sliced import running
 
 # Fixed values.
@@ -134,14 +134,14 @@ def eligible_jobs(jobs: DataFrame, hosts: DataFrame, now: int, exclusions: DataF
     hosts (small): host, tags, held_keys; exclusions: key; templates: template; reservations: host, owner_job_id.
     """
     live = jobs.filter("lower(state) = 'queued'").filter(F.col("not_before_ms") <= now).join(open_stages(jobs), "group_id").filter("stage = open_stage")
-    live = live.join(F.broadcast(templates.select("template").distinct()), "template", "left_semi")
+    live = live.join(templates.select("template").distinct(), "template", "left_semi")
     barred = live.filter("conflict_scope = 'global'").select("job_id", F.explode("conflict_keys").alias("key")).join(exclusions, "key", "left_semi").select("job_id").distinct()
     live = live.join(barred, "job_id", "left_anti")
-    on_host = live.join(F.broadcast(hosts)).filter(
+    on_host = live.join(broadcast_if_small(hosts)).filter(
         (F.col("host_pin").isNull() | (F.col("host_pin") == F.col("host"))) & (F.size(F.array_except("tags_req", "tags")) == 0)
         & ~((F.col("conflict_scope") == "host") & F.arrays_overlap("conflict_keys", "held_keys")))
     held = reservations.groupBy("host").agg(F.min("owner_job_id").alias("r_min"), F.max("owner_job_id").alias("r_max"))
-    on_host = on_host.join(F.broadcast(held), "host", "left")
+    on_host = on_host.join(held, "host", "left")
     return on_host.filter(F.col("r_min").isNull() | ((F.col("r_min") == F.col("job_id")) & (F.col("r_max") == F.col("job_id")))).drop("r_min", "r_max")
 
 
@@ -168,10 +168,10 @@ def parent_claim_ranking(elig: DataFrame, groups: DataFrame, parents: DataFrame,
     par = parents.filter("aging_anchor_ms IS NOT NULL").select("parent_id", since.alias("since_p"), (F.lit(now) - since >= OVERDUE_MS).alias("p_overdue"), "score_base")
     grp = groups.select("group_id", "parent_id", "band", F.col("last_claim_ms").alias("g_last"), since.alias("g_since"), (F.lit(now) - since >= OVERDUE_MS).alias("g_overdue"), "urgency", F.col("deadline_ms").alias("dl")).join(par, "parent_id")
     pol = policies.filter("enabled AND weight > 0").select("host", "class", "vtime", "active", "cap_pct", "budget", F.coalesce("used", F.lit(0.0)).alias("used"))
-    c = elig.join(grp, "group_id").join(F.broadcast(pol), ["host", "class"])
+    c = elig.join(grp, "group_id").join(pol, ["host", "class"])
     demand = c.groupBy("host", "class").agg(F.max("band").alias("best_rank"))
     floors = unmet_floors(policies, demand, c.select("host", "class", F.col("band").alias("rank")).distinct())
-    c = c.join(F.broadcast(hosts.select("host", "free", F.col("memory").alias("free_memory"))), "host").join(
+    c = c.join(hosts.select("host", "free", F.col("memory").alias("free_memory")), "host").join(
         floors.withColumnRenamed("rank", "band"), ["host", "class", "band"])
     held_room = F.col("free") - F.col("reserved")
     room = F.when(F.col("p_overdue") & ~F.col("exclusive"), F.col("free")).otherwise(held_room)
@@ -185,7 +185,7 @@ def parent_claim_ranking(elig: DataFrame, groups: DataFrame, parents: DataFrame,
                F.col("dl").asc_nulls_last(), F.col("g_last").asc_nulls_first(), F.col("est_p50_s").desc(), F.col("seq"), F.col("group_id")]
     rep = newest(fit, ["host", "parent_id", "class"], sibling, 1)
     floor = rep.groupBy("host").agg(F.min(F.when(F.col("active"), F.col("vtime"))).alias("active_floor"))
-    rep = rep.join(F.broadcast(floor), "host").withColumn(
+    rep = rep.join(floor, "host").withColumn(
         "eff_vtime", F.when(F.col("active"), F.col("vtime")).otherwise(F.greatest(F.col("vtime"), F.coalesce("active_floor", "vtime"))))
     order = [F.col("overdue").desc(), F.when(F.col("overdue"), F.col("since_p")).asc_nulls_last(), F.when(F.col("overdue"), F.col("parent_id")).asc_nulls_last(), F.col("band").desc(),
              F.round("eff_vtime", 9), F.col("score").desc(), F.col("dl").asc_nulls_last(), F.col("g_last").asc_nulls_first(), F.col("est_p50_s").desc(), F.col("seq"), F.col("group_id")]
@@ -198,7 +198,7 @@ def remaining_work(jobs: DataFrame, groups: DataFrame, factors: DataFrame) -> Da
     jobs: group_id, host, class, state, est_p50_s, est_p90_s, elapsed_s, max_ms; factors (small): host, class, bucket, factor.
     """
     j = jobs.filter(F.lower("state").isin("queued", "claimed", "preparing", "running")).withColumn("bucket", ref_bucket(F.col("est_p50_s"), "mid"))
-    j = j.join(groups.filter("state = 'active'").select("group_id", "parent_id"), "group_id").join(F.broadcast(factors), ["host", "class", "bucket"], "left")
+    j = j.join(groups.filter("state = 'active'").select("group_id", "parent_id"), "group_id").join(factors, ["host", "class", "bucket"], "left")
     left = running_residual(F.col("elapsed_s"), F.coalesce("factor", F.lit(1.0)), F.col("est_p50_s"), F.col("est_p90_s"), F.col("max_ms"))["residualRef"]
     amount = F.when(F.lower("state") == "running", left).otherwise(F.col("est_p50_s"))
     return j.groupBy("parent_id", "class", "bucket").agg(F.sum(amount).alias("ref_s"))
@@ -212,7 +212,7 @@ def remaining_map(remaining: DataFrame) -> DataFrame:
 
 def remaining_minutes(remaining: DataFrame, factors: DataFrame, hosts: DataFrame) -> DataFrame:
     """Minutes each parent's remaining work takes on each host (small list), every bucket with its own factor."""
-    j = remaining.join(F.broadcast(hosts.select("host"))).join(F.broadcast(factors), ["host", "class", "bucket"], "left")
+    j = remaining.join(broadcast_if_small(hosts.select("host"))).join(factors, ["host", "class", "bucket"], "left")
     return j.groupBy("parent_id", "host").agg((F.sum(F.col("ref_s") * F.coalesce("factor", F.lit(1.0))) / 60).alias("minutes"))
 
 
@@ -353,7 +353,7 @@ def lease_expiry(tickets: DataFrame, ticks: DataFrame) -> DataFrame:
 
     tickets: snapshot, ticket_id, state, lease_until_ms, requeues, cancel_requested; ticks: snapshot, now_ms, last_tick_ms.
     """
-    j = tickets.filter(F.col("state").isin("claimed", "running")).join(F.broadcast(ticks), "snapshot")
+    j = tickets.filter(F.col("state").isin("claimed", "running")).join(ticks, "snapshot")
     amnesty = F.col("now_ms") - F.col("last_tick_ms") > AMNESTY_AFTER_MS
     until = F.when(amnesty, F.greatest("lease_until_ms", F.col("now_ms") + LEASE_TTL_MS)).otherwise(F.col("lease_until_ms"))
     back = q.return_to_queue(F.col("cancel_requested"), F.col("requeues"), F.col("now_ms"))

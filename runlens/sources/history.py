@@ -23,11 +23,11 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.col("value").alias("line"), F.col("_metadata.file_path").alias("src_file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"))
     blocks = raw.groupBy("src_file", "block").agg(F.min("row").alias("first_row"))
-    # one row per file split: small
+    # one row per file split; Spark broadcasts it when it is small enough
     files = blocks.select("src_file").distinct().withColumn("file_no", F.row_number().over(Window.orderBy("src_file")) - 1)
-    places = blocks.join(F.broadcast(files), "src_file").select("src_file", "block", "first_row", "file_no")
+    places = blocks.join(files, "src_file").select("src_file", "block", "first_row", "file_no")
     at = F.shiftleft(F.col("file_no").cast("long"), BLOCK_BITS) + F.col("block") + F.col("row") - F.col("first_row")
-    return raw.join(F.broadcast(places), ["src_file", "block"]).select("line", "src_file", at.alias("ord"))
+    return raw.join(places, ["src_file", "block"]).select("line", "src_file", at.alias("ord"))
 
 
 def _parsed(lines: DataFrame, schema: str) -> DataFrame:
@@ -63,18 +63,21 @@ def stream_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.text(path).select(F.col("value").alias("line"))
 
 
-def recent_history(stored: DataFrame, since: float, repo: str | None = None) -> DataFrame:
+def recent_history(stored: DataFrame, since: float, repo: str | None = None, unit: str = "day") -> DataFrame:
     """Rows started since `since`, or never started, of stored history partitioned by `dt` (the day a row settled).
 
     Only partitions from a day before the window are read, then the exact filter applies.
     """
     first_day = F.to_date(F.timestamp_millis(F.lit(int(since - MARGIN_MS))))
+    first_day = F.trunc(first_day, "MM") if unit == "month" else first_day
     rows = stored.filter(F.col("dt").isNull() | (F.col("dt") >= first_day)).filter(F.col("startedAt").isNull() | (F.col("startedAt") >= since))
     return rows.filter(F.col("repo") == repo) if repo else rows
 
 
-def settled_day() -> Column:
-    return F.to_date(F.timestamp_millis(F.coalesce("endedAt", "startedAt").cast("long")))
+def settled_day(unit: str = "day") -> Column:
+    """The day (or the first of the month) a row settled: the partition column of stored history."""
+    day = F.to_date(F.timestamp_millis(F.coalesce("endedAt", "startedAt").cast("long")))
+    return F.trunc(day, "MM") if unit == "month" else day
 
 
 def _ms(text: Column) -> Column:

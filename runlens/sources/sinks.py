@@ -15,10 +15,10 @@ def write_report(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").json(path)
 
 
-def append_history(rows: DataFrame, path: str) -> None:
-    """Adds run rows to the stored history, partitioned by the day they settled."""
+def append_history(rows: DataFrame, path: str, unit: str = "day") -> None:
+    """Adds run rows to the stored history, partitioned by the day (or month) they settled."""
     # rebalancing by day writes few files per day and splits a day that is too big for one task
-    rows.withColumn("dt", settled_day()).hint("rebalance", "dt").write.mode("append").partitionBy("dt").parquet(path)
+    rows.withColumn("dt", settled_day(unit)).hint("rebalance", "dt").write.mode("append").partitionBy("dt").parquet(path)
 
 
 def derived_table(

@@ -10,16 +10,22 @@ from runlens.sources.history import parse_history, settled_day, stream_lines
 
 
 def history_stream(spark: SparkSession, path: str, delay: str = "2 days") -> DataFrame:
-    """Run rows of a growing folder of history files, each id once; state is bounded by the watermark."""
-    rows = parse_history(stream_lines(spark, path)).withColumn("ended_ts", F.timestamp_millis(F.coalesce("endedAt", "startedAt", F.lit(0.0)).cast("long")))
-    return rows.withWatermark("ended_ts", delay).dropDuplicatesWithinWatermark(["id"]).drop("ended_ts")
+    """Run rows of a growing folder of history files, each id once; state is bounded by the watermark.
 
+    Rows without any time cannot be placed against the watermark and pass through as they are.
+    """
+    rows = parse_history(stream_lines(spark, path))
+    at = F.coalesce("endedAt", "startedAt")
+    timed = rows.filter(at.isNotNull()).withColumn("ended_ts", F.timestamp_millis(at.cast("long")))
+    once = timed.withWatermark("ended_ts", delay).dropDuplicatesWithinWatermark(["id"]).drop("ended_ts")
+    return once.unionByName(rows.filter(at.isNull()))
 
-def ingest_history(spark: SparkSession, source: str, target: str, checkpoint: str):
+
+def ingest_history(spark: SparkSession, source: str, target: str, checkpoint: str, unit: str = "day"):
     """Appends the deduplicated stream to the stored history; a repeated batch rewrites its own files."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.withColumns({"dt": settled_day(), "epoch": F.lit(epoch)}).hint("rebalance", "dt").write.mode("overwrite").option(
+        batch.withColumns({"dt": settled_day(unit), "epoch": F.lit(epoch)}).hint("rebalance", "dt").write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic").partitionBy("epoch", "dt").parquet(target)
 
     return history_stream(spark, source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

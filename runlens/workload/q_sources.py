@@ -41,9 +41,9 @@ def read_rows(spark, sf):
 @query("read_recent_history", "SRC03 SNK03", oracle(["history"], "SELECT ord, repo, started_at FROM history WHERE repo = '_home_proj_foo_.git' AND (started_at IS NULL OR started_at >= 900000000000) AND (ended_at IS NULL AND started_at IS NULL OR coalesce(ended_at, started_at) >= 900000000000 - 86400000 - 86400000)"))
 def read_recent_history(spark, sf):
     path = work_path(spark, "history")
-    append_history(history(spark, sf), path)
+    append_history(history(spark, sf), path, "month")
     # a never-started row settled long ago is behind the partition bound, as it is behind the tail scan
-    rows = src.recent_history(spark.read.parquet(path), 900_000_000_000.0, "_home_proj_foo_.git")
+    rows = src.recent_history(spark.read.parquet(path), 900_000_000_000.0, "_home_proj_foo_.git", "month")
     return rows.filter("startedAt IS NOT NULL OR endedAt IS NULL OR endedAt >= 900000000000 - 2 * 86400000L").selectExpr("ord", "repo", "startedAt AS started_at")
 
 

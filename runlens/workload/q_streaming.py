@@ -73,10 +73,10 @@ def stream_decision_rates(spark, sf):
     return jobs.run_to_table(jobs.decision_rates(_stream(spark, sf, text=qt.DEC)), "rates")
 
 
-@query("stream_history_ingest", "STR21 SNK03 SRC01", oracle(["history"], "SELECT repo, count(DISTINCT coalesce(id, 'x' || ord::VARCHAR)) AS n FROM history GROUP BY 1"))
+@query("stream_history_ingest", "STR21 SNK03 SRC01", oracle(["history"], "SELECT count(DISTINCT coalesce(id, 'x' || ord::VARCHAR)) AS n FROM history"))
 def stream_history_ingest(spark, sf):
     h = history(spark, sf).withColumn("id", F.coalesce("id", F.concat(F.lit("x"), F.col("ord").cast("string"))))
     src, dst = work_path(spark, "lines"), work_path(spark, "stored")
     h.coalesce(4).select(F.to_json(F.struct(*[c for c in h.columns if c not in ("ord", "event", "cust")])).alias("value")).write.text(src)
-    jobs.ingest_history(spark, src, dst, work_path(spark, "ingest-checkpoint")).awaitTermination()
-    return spark.read.parquet(dst).groupBy("repo").agg(F.count("*").alias("n"))
+    jobs.ingest_history(spark, src, dst, work_path(spark, "ingest-checkpoint"), "month").awaitTermination()
+    return spark.read.parquet(dst).agg(F.count("*").alias("n"))
