@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runlens.session import cut_lineage
+
 # Fixed values of the estimator.
 ALPHA = 0.1
 RATIO_MIN = 0.2
@@ -177,23 +179,26 @@ def sliced_fold(
     packed = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
     rows = obs.select(packed.alias("k"), time.cast("double").alias("t"), F.col(ord_col).alias("o"), value.cast("double").alias("v"),
                       censored.alias("censored")).filter(F.col("v").isNotNull())
-    # at most (rows / hot_rows) keys, so the broadcast is bounded
-    hot = rows.groupBy("k").agg(F.count("*").alias("c")).filter(F.col("c") > hot_rows).select("k")
+    # at most (rows / hot_rows) keys, so the broadcast is bounded; written once, as the branches below all read it
+    hot = cut_lineage(rows.groupBy("k").agg(F.count("*").alias("c")).filter(F.col("c") > hot_rows).select("k"), "hot-keys")
+    any_hot = not hot.isEmpty()
     order = ["k", "slice", "t", "o"]
     out = "k string, slice long, n long, censored_n long, state double, keep double, add double"
-    cold = rows.join(F.broadcast(hot), "k", "left_anti").withColumns({"slice": F.lit(0).cast("long"), "entry": F.lit(float("nan"))})
+    cold = (rows.join(F.broadcast(hot), "k", "left_anti") if any_hot else rows).withColumns({"slice": F.lit(0).cast("long"), "entry": F.lit(float("nan"))})
     cold = cold.repartition("k").sortWithinPartitions(*order).mapInPandas(_replay(kind), out)
 
-    cut = rows.join(F.broadcast(hot), "k", "left_semi").withColumn("slice", F.floor(F.col("t") / slice_ms).cast("long"))
-    one = F.lit(1.0 if kind is FactorStep else None).cast("double")
-    bounds = cut.agg(F.least(F.min("v"), one).alias("lo"), F.greatest(F.max("v"), one).alias("hi"))
-    # `bounds` is a one-row aggregate
-    maps = cut.crossJoin(F.broadcast(bounds)).repartition("k", "slice").sortWithinPartitions(*order).mapInPandas(
-        _slice_maps(kind), "k string, slice long, xs array<double>, ys array<double>, from_empty double")
-    entries = maps.repartition("k").sortWithinPartitions("k", "slice").mapInPandas(_entries, "k string, slice long, entry double")
-    entries = entries.select("k", "slice", F.coalesce("entry", F.lit(float("nan"))).alias("entry"))
-    again = cut.join(entries, ["k", "slice"]).repartition("k", "slice").sortWithinPartitions(*order)
-    replay = cold.unionByName(again.mapInPandas(_replay(kind), out))
+    replay = cold
+    if any_hot:
+        cut = rows.join(F.broadcast(hot), "k", "left_semi").withColumn("slice", F.floor(F.col("t") / slice_ms).cast("long"))
+        one = F.lit(1.0 if kind is FactorStep else None).cast("double")
+        bounds = cut.agg(F.least(F.min("v"), one).alias("lo"), F.greatest(F.max("v"), one).alias("hi"))
+        # `bounds` is a one-row aggregate
+        maps = cut.crossJoin(F.broadcast(bounds)).repartition("k", "slice").sortWithinPartitions(*order).mapInPandas(
+            _slice_maps(kind), "k string, slice long, xs array<double>, ys array<double>, from_empty double")
+        entries = maps.repartition("k").sortWithinPartitions("k", "slice").mapInPandas(_entries, "k string, slice long, entry double")
+        entries = entries.select("k", "slice", F.coalesce("entry", F.lit(float("nan"))).alias("entry"))
+        again = cut.join(entries, ["k", "slice"]).repartition("k", "slice").sortWithinPartitions(*order)
+        replay = replay.unionByName(again.mapInPandas(_replay(kind), out))
     # the variance of a key is a short chain over its slices: v <- keep * v + add
     chain = F.aggregate(
         F.array_sort(F.collect_list(F.struct("slice", "keep", "add"))), F.lit(INITIAL_VARIANCE),

@@ -73,13 +73,12 @@ def order_stats(
         freq.join(targets, cond)
         .withColumn("run", F.sum("c").over(inside))
         .filter(F.col("run") >= F.col("r"))
-        .groupBy(*keys, "m", "s").agg(F.min("v").alias("x"), F.max("n").alias("n"), F.max("top").alias("top"))
     )
     outs = []
     for m in names:
 
         def stat(s: str) -> str:
-            return f"max(CASE WHEN m = '{m}' AND s = '{s}' THEN x END)"
+            return f"min(CASE WHEN m = '{m}' AND s = '{s}' THEN v END)"
 
         outs.append(f"coalesce(max(CASE WHEN m = '{m}' THEN n END), 0L) AS {m}_n")
         outs.append(f"max(CASE WHEN m = '{m}' THEN top END) AS {m}_max")
