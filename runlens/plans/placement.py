@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from runlens.functions import commands, runs
 from runlens.functions.queue import version_below
 from runlens.operators.primitives import best_tier, broadcast_if_small, newest, order_stats
+from runlens.session import cut_lineage
 
 # Fixed values.
 MIN_PAIRS = 5
@@ -63,6 +64,8 @@ def speed_ratios(jobs: DataFrame, runners: DataFrame, pairs: DataFrame) -> DataF
 
     `runners` (runner, speed_ratio) is the configured runner list, a small dimension.
     """
+    # five reads of the pairs below: compute them once
+    pairs = cut_lineage(pairs, "speed-pairs")
     base = jobs.withColumn("pair", commands.pairing_command(F.col("command"))).join(broadcast_if_small(runners))
     exact = pairs.filter((F.col("local_runs") >= MIN_EXACT_RUNS) & (F.col("remote_runs") >= MIN_EXACT_RUNS)).select(
         "runner", "repo", "lane", "pair", F.struct(F.col("ratio").alias("ratio"), F.lit("exact").alias("tier"), F.lit(1).cast("long").alias("pairs")).alias("ev"))

@@ -12,6 +12,7 @@ from runlens.functions import queue as q
 from runlens.functions.runs import ref_bucket, running_residual
 from runlens.operators.primitives import broadcast_if_small, newest
 from runlens.operators.sliced import running
+from runlens.session import cut_lineage
 
 # Fixed values.
 TERMINAL = ["finished", "cancelled", "withdrawn", "lost"]
@@ -169,8 +170,10 @@ def parent_claim_ranking(elig: DataFrame, groups: DataFrame, parents: DataFrame,
     grp = groups.select("group_id", "parent_id", "band", F.col("last_claim_ms").alias("g_last"), since.alias("g_since"), (F.lit(now) - since >= OVERDUE_MS).alias("g_overdue"), "urgency", F.col("deadline_ms").alias("dl")).join(par, "parent_id")
     pol = policies.filter("enabled AND weight > 0").select("host", "class", "vtime", "active", "cap_pct", "budget", F.coalesce("used", F.lit(0.0)).alias("used"))
     c = elig.join(grp, "group_id").join(pol, ["host", "class"])
-    demand = c.groupBy("host", "class").agg(F.max("band").alias("best_rank"))
-    floors = unmet_floors(policies, demand, c.select("host", "class", F.col("band").alias("rank")).distinct())
+    # the few (host, class, band) rows are computed once; both the demand and the floors read them
+    bands = cut_lineage(c.select("host", "class", F.col("band").alias("rank")).distinct(), "bands")
+    demand = bands.groupBy("host", "class").agg(F.max("rank").alias("best_rank"))
+    floors = unmet_floors(policies, demand, bands)
     c = c.join(hosts.select("host", "free", F.col("memory").alias("free_memory")), "host").join(
         floors.withColumnRenamed("rank", "band"), ["host", "class", "band"])
     held_room = F.col("free") - F.col("reserved")

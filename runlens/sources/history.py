@@ -91,11 +91,12 @@ def read_journal(spark: SparkSession, path: str | list[str]) -> DataFrame:
         "ord", "t_ms", "event", "pr", "prs", F.col("runId").alias("run_id"), F.col("laneId").alias("lane_id"))
 
 
-def read_prs(spark: SparkSession, by_repo: dict[str, list[str]]) -> DataFrame:
-    """PR lists of several repos; labels are plain strings or objects with a name."""
+def read_prs(spark: SparkSession, by_repo: dict[str, list[str]], multi_line: bool = True) -> DataFrame:
+    """PR lists of several repos, as JSON arrays or (without `multi_line`, splittable) JSON lines; labels are plain strings or
+    objects with a name."""
     frames = []
     for repo, paths in by_repo.items():
-        raw = spark.read.schema(PR_LIST).option("multiLine", True).json(paths)
+        raw = spark.read.schema(PR_LIST).option("multiLine", multi_line).json(paths)
         # an object label arrives as its JSON text
         name = F.transform("labels", lambda x: F.coalesce(F.get_json_object(x, "$.name"), x))
         frames.append(raw.select(F.lit(repo).alias("repo"), "number", _ms(F.col("mergedAt")).alias("merged_ms"), _ms(F.col("closedAt")).alias("closed_ms"), name.alias("labels")))

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from runlens.session import work_path
 from runlens.sources import history as src
-from runlens.sources.sinks import append_history
-from runlens.workload.registry import query
+from runlens.plans import estimates, reports
+from runlens.sources.sinks import append_history, derived_table, write_report
+from runlens.workload import q_reports
+from runlens.workload.registry import ORACLES, query
 from runlens.workload.views import flat, history, oracle
 
 
@@ -76,3 +78,45 @@ def read_process_table(spark, sf):
     p = flat(spark, sf, "procs")
     line = F.concat_ws("  ", F.lit(""), "pid", F.when(F.col("pid") % 30 == 4, "x").otherwise(F.col("ppid").cast("string")), "pgid", "pcpu", F.when(F.col("pid") % 41 != 5, F.col("rss_kib").cast("string")))
     return src.parse_process_table(p.select("host", "snapshot_ms", line.alias("line")))
+
+
+@query("report_as_json", "SNK01", ORACLES["losses_per_runner"])
+def report_as_json(spark, sf):
+    report = reports.losses_report(history(spark, sf), q_reports.REPOS, q_reports.SINCE, q_reports.UNTIL)
+    path = work_path(spark, "report")
+    write_report(report, path)
+    return spark.read.schema(report.schema).json(path)
+
+
+@query("derived_express_table", "SNK02 AGG18", ORACLES["express_table"])
+def derived_express_table(spark, sf):
+    path = work_path(spark, "express")
+
+    def build():
+        return estimates.express_table(history(spark, sf))
+
+    derived_table(spark, path, "min3", 1_000, 300_000, build)
+    return derived_table(spark, path, "min3", 200_000, 300_000, build)
+
+
+@query("read_prs", "SRC05", oracle(["prs"], "SELECT repo, number, merged_ms, closed_ms, array_to_string(labels, ',') AS labels FROM prs"))
+def read_prs(spark, sf):
+    p = flat(spark, sf, "prs")
+    iso = lambda c: F.when(F.col(c).isNotNull(), F.concat(F.date_format(F.timestamp_millis(c), "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z")))
+    plain = p.select("repo", "number", iso("merged_ms").alias("mergedAt"), iso("closed_ms").alias("closedAt"), "labels")
+    by_repo = {}
+    for repo in ("foo", "bar"):
+        path = work_path(spark, f"prs-{repo}")
+        rows = plain.filter(F.col("repo") == repo)
+        named = rows.withColumn("labels", F.transform("labels", lambda x: F.struct(x.alias("name")))) if repo == "bar" else rows
+        named.drop("repo").write.json(path)
+        by_repo[repo] = [path]
+    return src.read_prs(spark, by_repo, multi_line=False).select("repo", "number", "merged_ms", "closed_ms", F.array_join("labels", ",").alias("labels"))
+
+
+@query("read_queue_snapshot", "SRC08 AGG29", oracle(["tickets"], "SELECT snapshot AS snapshot_ts, state, count(*) AS n FROM tickets GROUP BY 1, 2"))
+def read_queue_snapshot(spark, sf):
+    root = work_path(spark, "queue")
+    flat(spark, sf, "tickets").withColumnRenamed("snapshot", "snapshot_ts").write.partitionBy("snapshot_ts").parquet(f"{root}/tickets")
+    tables = src.read_queue_snapshot(spark, root, ["tickets"])
+    return tables["tickets"].groupBy(F.col("snapshot_ts").cast("long").alias("snapshot_ts"), "state").agg(F.count("*").alias("n"))
