@@ -1,7 +1,7 @@
 """Keyed state machines over event streams.
 
-Each is a small step function over plain values; Spark keeps the state per key, orders nothing across batches and
-hands every micro-batch's rows of a key to the step in arrival order.
+Each is a small step function over plain values; Spark keeps the state per key. A micro-batch's rows of a key are put in
+arrival order and walked once, so the trigger's size (files or offsets per trigger) bounds what a task holds.
 """
 
 from __future__ import annotations
