@@ -63,8 +63,8 @@ class WordEncoder(TextEncoder):
     """
 
     #: Pieces remembered at most (about 40 bytes each); beyond that the memory starts afresh.
-    KEPT = 1 << 21
-    CHUNK = 8 << 20
+    KEPT = 1 << 20
+    CHUNK = 4 << 20
 
     def __init__(self, path: str):
         super().__init__(path)
