@@ -32,6 +32,8 @@ MAX_FEATURES = 1 << 18
 MIN_COUNT = 5
 MIN_Z = 4.0
 PRIOR = 500.0
+#: Prior count of a rare word in either kind; keeps the variance of words unseen in one kind finite.
+LEAST_PRIOR = 0.5
 #: Share of toxic words within a toxic passage; fixes the score of other words.
 PASSAGE_RATE = 0.1
 PREFIXES = (5, 6, 7, 8)
@@ -151,6 +153,19 @@ def _presence_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
 
+def _context_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each feature with each pair of neighbouring words once a chunk."""
+    for _, data, offs in common.chunks(batches):
+        feats, _, _, doc = features(data, offs)
+        same = np.append(doc[1:] == doc[:-1], False)
+        after = np.where(same, np.append(feats[1:, 0], np.uint64(0)), np.uint64(0))
+        before = np.concatenate([np.zeros(1, np.uint64), np.where(same[:-1], feats[:-1, 0], np.uint64(0))]) if len(feats) else after
+        context = np.repeat(common.mix(before + after * np.uint64(3)), feats.shape[1])
+        h = feats.ravel()
+        pairs = np.unique(np.stack([h, context], 1)[h != 0], axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k]).view(np.int64)) for k in (0, 1)], names=["h", "context"])
+
+
 def _count_known_task(hashes):
     """Counts of the known features (texts that have them) and of all."""
 
@@ -212,16 +227,20 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, tasks: i
         half = lambda k: F.pmod(F.xxhash64("text"), F.lit(2)) == k
         context = docs.sparkSession.sparkContext
         toxic = texts.where(half(0) & (F.col("toxic") == 1)).select("text")
-        seen = toxic.mapInArrow(_presence_task, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT).orderBy(F.desc("n"), "h").limit(MAX_FEATURES).toPandas()
+        present = toxic.mapInArrow(_presence_task, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT)
+        # copies of a passage repeat its words with the same neighbours: no word counts more often than it has neighbourhoods
+        contexts = toxic.mapInArrow(_context_task, "h long, context long").distinct().groupBy("h").agg(F.count("*").alias("contexts"))
+        seen = present.join(contexts, "h").orderBy(F.desc("n"), "h").limit(MAX_FEATURES).toPandas()
         m = Model()
         if len(seen):
             order = np.argsort(seen["h"].to_numpy().view(np.uint64), kind="stable")
-            hashes = seen["h"].to_numpy().view(np.uint64)[order]
+            hashes, contexts = seen["h"].to_numpy().view(np.uint64)[order], seen["contexts"].to_numpy()[order]
             shared = context.broadcast(hashes)
             sums = lambda df: [(np.frombuffer(r["counts"], np.int64), r["every"]) for r in df.select("text").mapInArrow(_count_known_task(shared), "counts binary, every long").collect()]
             yt, nt = (sum(x) for x in zip(*sums(texts.where(half(0) & (F.col("toxic") == 1))), strict=True))
             yn, nn = (sum(x) for x in zip(*sums(texts.where(half(0) & (F.col("toxic") == 0))), strict=True))
-            alpha = PRIOR * (yt + yn) / max(nt + nn, 1)
+            yt = np.minimum(yt, contexts)
+            alpha = np.maximum(PRIOR * (yt + yn) / max(nt + nn, 1), LEAST_PRIOR)
             odds = lambda y, n: np.log(y + alpha) - np.log(np.maximum(n + PRIOR - y - alpha, 1.0))
             delta = odds(yt, nt) - odds(yn, nn)
             z = delta / np.sqrt(1 / np.maximum(yt + alpha, 1e-9) + 1 / np.maximum(yn + alpha, 1e-9))
