@@ -44,6 +44,11 @@ RANGE_ROWS = 1 << 21
 #: A signature with so many documents in one chunk is joined there first.
 LOCAL_GROUP = 8
 
+#: Bytes of a signature that travel beside the number of its range; with it they tell signatures apart.
+LOW_BYTES = 5
+#: Shingles (8 bytes each) of sets that meet in one place to be verified; larger neighbourhoods are split.
+PLACE_TOKENS = 1 << 21
+
 INDEX, PROBE, STANDS, MEMBER = 1, 2, 4, 16
 _C1, _C2, _C3 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
@@ -214,7 +219,7 @@ def _signature_task(largest: int, percent: int, bits: int):
                 at = at[np.argsort(sig[at])]
                 where = (sig[at] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(at), np.int64)
                 cut = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])).tolist() + [len(at)]
-                blocks += [(int(where[x]), int(r), sig[at[x:y]], own[at[x:y]], 7) for x, y in zip(cut, cut[1:], strict=False)]
+                blocks += [(int(where[x]), int(r), sig[at[x:y]], own[at[x:y]], LOW_BYTES) for x, y in zip(cut, cut[1:], strict=False)]
             if blocks:
                 yield _blocks(blocks)
 
@@ -226,49 +231,54 @@ def _blocks(blocks: list) -> pa.RecordBatch:
 
 
 def _candidate_task(bits: int):
-    """Blocks of a partition -> star edges (kind 0: a smallest id, b) and members of groups of three or more (kind 1: signature, id, role)."""
-    low = np.uint64((1 << 56) - 1)
+    """Blocks of a partition -> star edges (kind 0: smallest id a, b, shared signatures) and members of larger groups (kind 1: signature, id, role)."""
 
-    def edges(sig: np.ndarray, own: np.ndarray) -> np.ndarray:
+    def edges(sig: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
         new = np.concatenate([[True], sig[1:] != sig[:-1]])
         rep = np.minimum.reduceat(own, np.flatnonzero(new))[np.cumsum(new) - 1]
-        pairs = np.stack([rep, own], 1)[rep != own]
-        return np.unique(pairs, axis=0) if len(pairs) else pairs
+        a, b = rep[rep != own], own[rep != own]
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+        return batch(0, a[first], b[first], np.diff(np.concatenate([first, [len(a)]])))
+
+    def batch(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(n.astype(np.int32))], names=["kind", "a", "b", "n"])
 
-    def batch(kind: int, a: np.ndarray, b: np.ndarray, role: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(role.astype(np.int32))], names=["kind", "a", "b", "role"])
+    def named(where: int, sig: np.ndarray) -> np.ndarray:
+        return (sig & np.uint64((1 << 40) - 1) | np.uint64(where << 40)).view(np.int64)
 
-    def group(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def group(where: int, parts: list[tuple]) -> Iterator[pa.RecordBatch]:
         sig, own, role = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(sig, kind="stable")
         sig, own, role = sig[order], own[order], role[order]
         new = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         size = np.diff(np.concatenate([new, [len(sig)]]))
         roles = np.bitwise_or.reduceat(role, new)
-        live = (((size > 1) & (roles & INDEX > 0) & (roles & PROBE > 0)) | (roles & STANDS > 0))
+        live = ((size > 1) & (roles & INDEX > 0) & (roles & PROBE > 0)) | (roles & STANDS > 0)
         at = np.repeat(live, size)
         sig, own, role = sig[at], own[at], role[at]
         if not len(sig):
             return
-        found = edges(sig, own)
-        yield batch(0, found[:, 0], found[:, 1], np.zeros(len(found)))
+        yield edges(sig, own)
         keep = np.repeat(((size > 2) | (roles & STANDS > 0))[live], size[live])
-        yield batch(1, sig[keep].view(np.int64), own[keep], role[keep] & (INDEX | PROBE))
+        yield batch(1, named(where, sig[keep]), own[keep], role[keep] & (INDEX | PROBE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         for rows in batches:
             for where, role, sigs, ids in zip(*(rows.column(c).to_pylist() for c in ("range", "role", "sigs", "ids")), strict=True):
                 own = _unplanes(ids, 8).view(np.int64)
-                if role & MEMBER:
-                    sig = _unplanes(sigs, 8) & low
-                    found = edges(sig, own)
-                    yield batch(0, found[:, 0], found[:, 1], np.zeros(len(found)))
-                    yield batch(1, sig.view(np.int64), own, np.full(len(sig), role & (INDEX | PROBE)))
+                if role & MEMBER:  # whole signatures, in order, wherever this block was sent
+                    sig = _unplanes(sigs, 8)
+                    yield edges(sig, own)
+                    low = sig & np.uint64((1 << 40) - 1)
+                    top = (sig >> np.uint64(64 - bits)) << np.uint64(40) if bits else np.uint64(0)
+                    yield batch(1, (low | top).view(np.int64), own, np.full(len(sig), role & (INDEX | PROBE)))
                 else:
-                    held.setdefault(where, []).append((_unplanes(sigs, 7), own, np.full(len(own), role)))
+                    held.setdefault(where, []).append((_unplanes(sigs, LOW_BYTES), own, np.full(len(own), role)))
         for where in list(held):
-            yield from group(held.pop(where))
+            yield from group(where, held.pop(where))
 
     return run
 
@@ -277,29 +287,45 @@ def _set_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, data, offs in common.chunks(batches):
         sh, n = shingle_sets(data, offs)
         cut = np.concatenate([[0], np.cumsum(n)])
-        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), common.binary([sh[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)])], names=["id", "tokens"])
+        yield pa.RecordBatch.from_arrays([rows.column("place"), rows.column("doc_id"), pa.nulls(rows.num_rows, pa.int64()), common.binary([sh[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)])], names=["place", "a", "b", "tokens"])
 
 
 def _verify_task(percent: int):
+    def similar(a: np.ndarray, b: np.ndarray) -> bool:
+        if len(a) > len(b):
+            a, b = b, a
+        if not len(a) or 100 * len(a) < percent * len(b):
+            return False
+        both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+        return 100 * both >= percent * (len(a) + len(b) - both)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[tuple[int, int], list[np.ndarray]] = {}  # a list, as rows may repeat an id
+        pairs: list[tuple[int, int, int]] = []
         for rows in batches:
-            ok = []
-            for x, y in zip(rows.column("tokens_a"), rows.column("tokens_b"), strict=True):
-                a, b = (np.frombuffer(t.as_buffer(), np.uint64) for t in (x, y))
-                if len(a) > len(b):
-                    a, b = b, a
-                common_n = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(a) and 100 * len(a) >= percent * len(b) else 0
-                ok.append(100 * common_n >= percent * (len(a) + len(b) - common_n) and common_n > 0)
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([rows.column("a").filter(keep), rows.column("b").filter(keep)], names=["a", "b"])
+            for place, a, b, tokens in zip(*(rows.column(c).to_pylist() for c in ("place", "a", "b", "tokens")), strict=True):
+                if b is None:
+                    sets.setdefault((place, a), []).append(np.frombuffer(tokens, np.uint64))
+                else:
+                    pairs.append((place, a, b))
+        links = [(a, b) for place, a, b in pairs if any(similar(x, y) for x in sets[place, a] for y in sets[place, b])]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    with_b = pairs.join(sets.withColumnRenamed("id", "b").withColumnRenamed("tokens", "tokens_b"), "b")
-    with_a = with_b.join(sets.withColumnRenamed("id", "a").withColumnRenamed("tokens", "tokens_a"), "a")
-    return with_a.select("a", "b", "tokens_a", "tokens_b").mapInArrow(_verify_task(percent), "a long, b long")
+def _verified(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are similar. The sets of a neighbourhood meet in one place; one of many tokens is split over several."""
+    width = lambda c: sizes.select(F.col("class_id").alias(c), F.col("n_shingles").alias(f"n_{c}"))
+    sized = cut_lineage(pairs.join(width("b"), "b"), "sized-pairs")
+    tokens = sized.agg(F.sum("n_b")).first()[0] or 0
+    parts = max(1, -(-2 * tokens // PLACE_TOKENS))
+    splits = sized.groupBy("a").agg(F.ceil(F.sum("n_b") / PLACE_TOKENS).alias("splits"))
+    placed = sized.join(splits, "a").select(F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("splits"))), F.lit(8 * parts)).alias("place"), "a", "b")
+    placed = cut_lineage(placed, "placed-pairs")
+    ids = placed.select("place", F.col("a").alias("doc_id")).union(placed.select("place", "b")).distinct()
+    sets = texts.join(cut_lineage(ids, "wanted-sets"), "doc_id").select("place", "doc_id", "text").mapInArrow(_set_task, "place long, a long, b long, tokens binary")
+    return placed.select("place", "a", "b", F.lit(None).cast("binary").alias("tokens")).unionByName(sets).repartition(parts, "place").mapInArrow(_verify_task(percent), "a long, b long")
 
 
 def similar_components(docs: DataFrame, percent: int = PERCENT, range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -315,28 +341,33 @@ def similar_components(docs: DataFrame, percent: int = PERCENT, range_rows: int
     ranges = max(1, -(-int(tokens * 0.6) // range_rows))
     bits = min(24, (8 * ranges - 1).bit_length())
     blocks = texts.where("doc_id is not null").mapInArrow(_signature_task(largest, percent, bits), "range int, role int, sigs binary, ids binary")
-    found = cut_lineage(blocks.repartition(ranges, "range").mapInArrow(_candidate_task(bits), "kind int, a long, b long, role int"), "candidates")
+    found = cut_lineage(blocks.repartition(ranges, "range").mapInArrow(_candidate_task(bits), "kind int, a long, b long, n int"), "candidates")
 
     to = lambda name: of.select(F.col("doc_id").alias(name), F.col("class_id").alias(f"class_{name}"))
-    stars = found.where("kind = 0").select("a", "b").distinct().join(to("a"), "a").join(to("b"), "b").select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).where("a <> b").distinct()
-    stars = cut_lineage(stars, "star-pairs")
-    members = found.where("kind = 1").select(F.col("a").alias("sig"), "b", "role").distinct().join(to("b"), "b").groupBy("sig", F.col("class_b").alias("id")).agg(F.bit_or("role").alias("role"))
+    edges = found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n")).join(to("a"), "a").join(to("b"), "b").select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b"), "n").where("a <> b")
+    edges = cut_lineage(edges.groupBy("a", "b").agg(F.sum("n").alias("n")), "star-edges")
+    members = found.where("kind = 1").select(F.col("a").alias("sig"), "b", F.col("n").alias("role")).distinct().join(to("b"), "b").groupBy("sig", F.col("class_b").alias("id")).agg(F.bit_or("role").alias("role"))
     members = cut_lineage(members, "group-members")
 
-    wanted = cut_lineage(stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).union(members.select("id")).distinct(), "set-ids")
-    sets = cut_lineage(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_set_task, "id long, tokens binary"), "sets")
-    links = cut_lineage(_verified(stars, sets, percent), "star-links")
+    # first each set meets the set with which it shares most signatures
+    stars = cut_lineage(edges.groupBy("b").agg(F.max(F.struct("n", -F.col("a"))).alias("m")).select((-F.col("m")["col2"]).alias("a"), "b"), "star-pairs")
+    links = cut_lineage(_verified(stars, texts, classes, percent), "star-links")
     first = components(links)
 
     labelled = members.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
     labelled = cut_lineage(labelled, "labelled-members")
     open_groups = labelled.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.bit_or("role").alias("roles")).where(f"lo <> hi and roles = {INDEX | PROBE}").select("sig")
-    rest = labelled.join(open_groups, "sig").join(classes.select(F.col("class_id").alias("id"), "n_shingles", "p0", "p1", "p2", "p3"), "id")
-    side = lambda x, bit: rest.where(f"role & {bit} > 0").select("sig", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "n_shingles", "p0", "p1", "p2", "p3")])
+    facts = classes.select(F.col("class_id").alias("id"), "n_shingles", "p0", "p1", "p2", "p3").join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    about = lambda x: facts.select(*[F.col(c).alias(f"{c}_{x}") for c in facts.columns])
     differ = sum((F.bit_count(F.col(f"p{k}_x").bitwiseXOR(F.col(f"p{k}_y"))) for k in range(4)), F.lit(0))
     near = (F.col("component_x") != F.col("component_y")) & (100 * F.least("n_shingles_x", "n_shingles_y") >= percent * F.greatest("n_shingles_x", "n_shingles_y")) & ((100 + percent) * differ <= (100 - percent) * (F.col("n_shingles_x") + F.col("n_shingles_y")))
-    pairs = side("x", INDEX).join(side("y", PROBE), "sig").where(near).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = cut_lineage(_verified(cut_lineage(pairs, "open-pairs"), sets, percent), "open-links")
+    ordered = lambda df: df.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
+    rest = labelled.join(open_groups, "sig").drop("component").join(facts, "id")
+    side = lambda x, bit: rest.where(f"role & {bit} > 0").select("sig", *[F.col(c).alias(f"{c}_{x}") for c in facts.columns])
+    inside = ordered(side("x", INDEX).join(side("y", PROBE), "sig").where(near))
+    beside = ordered(edges.select(F.col("a").alias("id_x"), F.col("b").alias("id_y")).join(about("x"), "id_x").join(about("y"), "id_y").where(near))
+    pairs = cut_lineage(inside.unionByName(beside).distinct().join(stars, ["a", "b"], "left_anti"), "open-pairs")
+    more = cut_lineage(_verified(pairs, texts, classes, percent), "open-links")
     final = components(links.unionByName(more)) if not more.isEmpty() else first
     return rows.select("doc_id", "n_shingles").join(of, "doc_id", "left").join(final.withColumnRenamed("id", "class_id"), "class_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "class_id", "doc_id").alias("component_id"))
 
