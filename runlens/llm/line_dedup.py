@@ -3,55 +3,58 @@
 A line is the set of its lower-cased blank-separated words. A line is removed when an earlier line (by doc_id, then line
 number) of the corpus has a Jaccard similarity of `PERCENT` to it; equal sets have 1.
 
-Words are ordered by rarity: a word's key has the logarithm of its hash slot's corpus count in the high bits and the word's hash
-below, so the smallest keys of a line are its rarest words and all lines agree on the order. Two similar lines share
-a word of their prefixes (the first n - ceil(t n) + 1 words). Prefix words become rows (word, set), combined before the shuffle, so a
-line repeated everywhere is one row for each task; words of one set only go. Candidates then pass the length and positional filters
-and are verified on their words. First each set meets the earliest set of its prefix words; only sets that found no earlier match
-there meet the other sets of their words, so the variants of a common line don't meet each other.
+Words are ordered by rarity: first the words outside the corpus' `FREQUENT` most frequent ones, in a fixed order, then those, the
+rarer first. All lines agree on the order. Two similar lines share a word of their prefixes (the first n - ceil(t n) + 1 words).
+Equal sets become one row before prefixes are spread over words, so a line repeated everywhere costs one row for each task; words
+of one set only go. Candidates then pass the length and positional filters and are verified on their words. First each set meets
+the earliest set of its prefix words; only sets that found no earlier match there meet the other sets of their words, so the
+variants of a common line don't meet each other.
 
-Sets and words are known by 64 and 56 bits of hash; a false match has odds below one in 10^10 for a pair of lines.
+Sets and prefix words are known by 64 bits of hash; a false match has odds below one in 10^10 for a pair of lines.
 
 Defined cases: lines without words (blank, empty or null texts) are never removed and match nothing; ties don't exist within a
-document, and rows that repeat a doc_id are told apart by nothing, so both keep the first occurrence; a null doc_id comes before
-all others; an empty table gives an empty result; further columns are ignored; long texts and lines are read whole.
+document; rows that repeat a doc_id count as one document, so of their equal lines all with the first line number stay; a null
+doc_id comes before all others; an empty table gives an empty result; further columns are ignored; long texts and lines are read whole.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.session import cut_lineage
 
 PERCENT = 80
-SLOTS = 1 << 16
+FREQUENT = 256
+#: Counters of the frequent-item sketch; its counts are exact while a task has fewer words.
+TRACKED = 1 << 16
+BLANKS = "[ \\t\\r\\x0b\\x0c]+"
+
 
+def _words(line: str) -> Column:
+    return F.array_distinct(F.array_remove(F.split(line, BLANKS), ""))
 
-def _blanks(text: Column) -> Column:
-    return F.translate(F.lower(F.coalesce(text, F.lit(""))), "\t\r\x0b\x0c", "    ")
 
+def frequent_words(docs: DataFrame, size: int = FREQUENT) -> list[str]:
+    """The most frequent words of all documents, the rarer first: at most `size`, whatever the corpus."""
+    words = docs.select(F.explode(F.split(F.lower("text"), "[ \\t\\r\\x0b\\x0c\\n]+")).alias("w")).where("w <> ''")
+    top = words.agg(F.expr(f"approx_top_k(w, {size}, {TRACKED})").alias("top")).first()["top"]
+    return [r["item"] for r in sorted(top, key=lambda r: (r["count"], r["item"]))]
 
-def slot_ranks(docs: DataFrame) -> list[int]:
-    """For each hash slot four times the binary logarithm of the number of words in it: SLOTS numbers, whatever the corpus."""
-    words = docs.select(F.explode(F.split(F.translate(_blanks(F.col("text")), "\n", " "), " ")).alias("w")).where("w <> ''")
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(SLOTS - 1).cast("int").alias("slot")).count()
-    out = [0] * SLOTS
-    for r in counts.collect():
-        out[r["slot"]] = min(127, int(4 * math.log2(r["count"] + 1)))
-    return out
 
+def _ordered(words: Column | str, frequent: list[str]) -> Column:
+    hot = F.array(*[F.lit(w) for w in frequent]) if frequent else F.array().cast("array<string>")
+    return F.concat(F.sort_array(F.array_except(words, hot)), F.array_intersect(hot, words))
 
-def keyed_lines(docs: DataFrame, ranks: list[int], keep: list[str]) -> DataFrame:
-    """Lines with words: doc_id, line_no, `keep`, tokens (ascending keys), n, set_id."""
-    table = F.split(F.lit(",".join(str(r << 56) for r in ranks)), ",").cast("array<bigint>")
-    lines = docs.select("doc_id", F.posexplode(F.split(_blanks(F.col("text")), "\n")).alias("line_no", "line"))
-    hashes = F.transform(F.filter(F.split("line", " "), lambda w: w != ""), lambda w: F.xxhash64(w))
-    keys = F.transform(F.array_distinct(hashes), lambda h: F.element_at(table, (h.bitwiseAND(SLOTS - 1) + 1).cast("int")) + F.shiftrightunsigned(h, 8))
-    tokens = lines.select("doc_id", "line_no", *keep, F.sort_array(keys).alias("tokens")).where(F.size("tokens") > 0)
-    return tokens.select("doc_id", "line_no", *keep, "tokens", F.size("tokens").alias("n"), F.xxhash64("tokens").alias("set_id"))
+
+def keyed_lines(docs: DataFrame, frequent: list[str], percent: int = PERCENT) -> DataFrame:
+    """Lines with words: doc_id, line_no, set_id, n (words of the set), prefix (hashes of its rarest words)."""
+    lines = docs.select("doc_id", F.posexplode(F.split(F.lower("text"), "\n")).alias("line_no", "line"))
+    words = lines.select("doc_id", "line_no", _words("line").alias("words")).where(F.size("words") > 0)
+    order = words.select("doc_id", "line_no", _ordered("words", frequent).alias("words"))
+    size = F.size("words")
+    prefix = size - F.floor((percent * size + 99) / 100).cast("int") + 1
+    return order.select("doc_id", "line_no", F.xxhash64("words").alias("set_id"), size.alias("n"), F.transform(F.slice("words", F.lit(1), prefix), lambda w: F.xxhash64(w)).alias("prefix"))
 
 
 def _near(percent: int) -> Column:
@@ -61,48 +64,45 @@ def _near(percent: int) -> Column:
     return lengths & ((100 + percent) * rest >= percent * (F.col("n_x") + F.col("n_y")))
 
 
-def similar_sets(docs: DataFrame, ranks: list[int], first: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(set_id): sets for which the corpus has an earlier similar set. `first`: set_id, at (first occurrence)."""
-    prefix = F.col("n") - F.floor((percent * F.col("n") + 99) / 100).cast("int") + 1
-    rows = keyed_lines(docs, ranks, []).select("doc_id", "set_id", "n", F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("pos", "word"))
-    rows = rows.groupBy("word", "set_id", "n", "pos").agg(F.min("doc_id").alias("doc")).repartition("word")
-    heads = rows.groupBy("word").agg(F.count("*").alias("sets"), F.min("doc").alias("head")).where("sets > 1")
-    shared = cut_lineage(rows.join(heads.select("word", "head"), "word").select("word", "set_id", "n", "pos", "doc", "head"), "shared-prefix-words")
-    ordered = shared.join(first, "set_id")
-
-    side = lambda df, x: df.select("word", *[F.col(c).alias(f"{c}_{x}") for c in ("set_id", "n", "pos", "at")])
-    center = ordered.where("doc <=> head").groupBy("word").agg(F.min(F.struct("at", "set_id", "n", "pos")).alias("c")).select("word", "c.*")
-    stars = side(center, "x").join(side(ordered, "y"), "word").where((F.col("at_x") < F.col("at_y")) & _near(percent)).select("set_id_x", "set_id_y").distinct()
-    stars = cut_lineage(stars, "star-lines")
-
-    texts = keyed_lines(docs, ranks, ["line"]).select("set_id", "line", "doc_id", "line_no")
-    wanted = shared.select("set_id").distinct()
-    lines = texts.join(first.join(wanted, "set_id", "left_semi"), "set_id").where(F.struct("doc_id", "line_no") == F.col("at")).dropDuplicates(["set_id"])
-    table = F.split(F.lit(",".join(str(r << 56) for r in ranks)), ",").cast("array<bigint>")
-    hashes = F.array_distinct(F.transform(F.filter(F.split("line", " "), lambda w: w != ""), lambda w: F.xxhash64(w)))
-    sets = cut_lineage(lines.select("set_id", F.transform(hashes, lambda h: F.element_at(table, (h.bitwiseAND(SLOTS - 1) + 1).cast("int")) + F.shiftrightunsigned(h, 8)).alias("tokens")), "line-sets")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("set_id").alias("set_id_y"), F.col("tokens").alias("y")), "set_id_y").join(sets.select(F.col("set_id").alias("set_id_x"), F.col("tokens").alias("x")), "set_id_x")
-        common = F.size(F.array_intersect("x", "y"))
-        return both.where((100 + percent) * common >= percent * (F.size("x") + F.size("y"))).select(F.col("set_id_y").alias("set_id"))
-
-    found = cut_lineage(verified(stars).distinct(), "star-matches")
-    rest = ordered.join(found, "set_id", "left_anti")
-    pairs = side(ordered, "x").join(side(rest, "y"), "word").where((F.col("at_x") < F.col("at_y")) & _near(percent)).select("set_id_x", "set_id_y").distinct().join(stars, ["set_id_x", "set_id_y"], "left_anti")
-    return found.unionByName(verified(cut_lineage(pairs, "open-lines")).distinct())
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, frequent: list[str], percent: int) -> DataFrame:
+    """(set_id): the later sets of those pairs (set_id_x, set_id_y) that are similar, by their words."""
+    wanted = pairs.select(F.col("set_id_x").alias("set_id")).union(pairs.select("set_id_y")).distinct()
+    places = cut_lineage(wanted.join(sets.select("set_id", "at"), "set_id").select("set_id", F.col("at.doc_id").alias("_doc"), F.col("at.line_no").alias("_line")), "wanted-lines")
+    texts = docs.join(places, F.col("doc_id").eqNullSafe(F.col("_doc")))
+    lines = texts.select("set_id", F.get(F.split(F.lower("text"), "\n"), F.col("_line")).alias("line")).select("set_id", _words("line").alias("words"))
+    # rows may repeat a doc_id: only the set's own line counts
+    own = lines.select("set_id", _ordered("words", frequent).alias("words")).where(F.xxhash64("words") == F.col("set_id"))
+    words = cut_lineage(own.dropDuplicates(["set_id"]), "line-words")
+    both = pairs.join(words.select(F.col("set_id").alias("set_id_y"), F.col("words").alias("y")), "set_id_y").join(words.select(F.col("set_id").alias("set_id_x"), F.col("words").alias("x")), "set_id_x")
+    common = F.size(F.array_intersect("x", "y"))
+    return cut_lineage(both.where((100 + percent) * common >= percent * (F.size("x") + F.size("y"))).select(F.col("set_id_y").alias("set_id")).distinct(), "line-matches")
+
+
+def similar_sets(docs: DataFrame, sets: DataFrame, frequent: list[str], percent: int = PERCENT) -> DataFrame:
+    """(set_id): sets for which the corpus has an earlier similar set. `sets`: set_id, n, prefix, at (first occurrence)."""
+    rows = sets.select("set_id", "n", "at", F.posexplode("prefix").alias("pos", "word")).repartition("word")
+    heads = rows.groupBy("word").agg(F.count("*").alias("sets"), F.min(F.struct("at", "set_id", "n", "pos")).alias("head")).where("sets > 1")
+    shared = cut_lineage(rows.join(heads.select("word", "head"), "word"), "shared-prefix-words")
+    side = lambda x: shared.select("word", *[F.col(c).alias(f"{c}_{x}") for c in ("set_id", "n", "pos", "at")])
+
+    head = {f"{c}_x": F.col(f"head.{c}") for c in ("set_id", "n", "pos", "at")}
+    stars = shared.withColumnsRenamed({c: f"{c}_y" for c in ("set_id", "n", "pos", "at")}).withColumns(head)
+    stars = cut_lineage(stars.where((F.col("at_x") < F.col("at_y")) & _near(percent)).select("set_id_x", "set_id_y").distinct(), "star-lines")
+    found = _verified(stars, sets, docs, frequent, percent)
+    rest = side("y").join(found.withColumnRenamed("set_id", "set_id_y"), "set_id_y", "left_anti")
+    pairs = side("x").join(rest, "word").where((F.col("at_x") < F.col("at_y")) & _near(percent)).select("set_id_x", "set_id_y").distinct().join(stars, ["set_id_x", "set_id_y"], "left_anti")
+    return found.unionByName(_verified(cut_lineage(pairs, "open-lines"), sets, docs, frequent, percent))
 
 
 def line_verdicts(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per line with words: doc_id, line_no, removed."""
-    ranks = slot_ranks(docs)
-    lines = cut_lineage(keyed_lines(docs, ranks, []).select("doc_id", "line_no", "set_id"), "line-sets")
-    # two steps, so that the second has one row for each document and set
-    first = lines.groupBy("set_id", "doc_id").agg(F.min("line_no").alias("line_no")).groupBy("set_id").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
-    first = cut_lineage(first, "first-lines")
-    gone = cut_lineage(similar_sets(docs, ranks, first, percent), "similar-sets").withColumn("gone", F.lit(True))
-    marks = first.join(gone, "set_id", "left").select("set_id", "at", F.coalesce("gone", F.lit(False)).alias("gone"))
-    return lines.join(marks, "set_id").select("doc_id", "line_no", (F.col("gone") | ~F.struct("doc_id", "line_no").eqNullSafe(F.col("at"))).alias("removed"))
+    frequent = frequent_words(docs)
+    lines = cut_lineage(keyed_lines(docs, frequent, percent), "keyed-lines")
+    sets = lines.groupBy("set_id").agg(F.min(F.struct("doc_id", "line_no", "n", "prefix")).alias("m"))
+    sets = cut_lineage(sets.select("set_id", "m.n", "m.prefix", F.struct("m.doc_id", "m.line_no").alias("at")), "line-sets")
+    gone = similar_sets(docs, sets, frequent, percent).withColumn("gone", F.lit(True))
+    marks = sets.select("set_id", "at").join(gone, "set_id", "left").select("set_id", "at", F.coalesce("gone", F.lit(False)).alias("gone"))
+    return lines.select("doc_id", "line_no", "set_id").join(marks, "set_id").select("doc_id", "line_no", (F.col("gone") | ~F.struct("doc_id", "line_no").eqNullSafe(F.col("at"))).alias("removed"))
 
 
 def document_report(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
