@@ -89,7 +89,8 @@ class WordEncoder(TextEncoder):
         odd |= (data >= 0x80) & (data < 0xC0) & ~pair
         starts, ends, _ = common.words(data, np.zeros(1, np.int64), ~common.BLANK)
         if odd.any() and len(starts):
-            strange = np.flatnonzero(np.logical_or.reduceat(odd, starts))
+            before = np.concatenate([[0], np.cumsum(odd)])
+            strange = np.flatnonzero(before[ends] > before[starts])
             for a, b in zip(starts[strange].tolist(), ends[strange].tolist(), strict=True):
                 kind[a:b] = 4
         low = np.where(kind == 4, data, common.lower(data))
