@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runlens.llm import decontaminate, exact_dedup, lang_id, licenses, line_dedup, ngram_join, packing, pii, toxicity
+from runlens.llm import decontaminate, exact_dedup, lang_id, licenses, line_dedup, ngram_join, packing, pii, secret_scan, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +80,8 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.document_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@query()
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -41,7 +41,7 @@ def brute_components(rows):
     return {d: (len(sets[d]), find(d)) for d in ids}
 
 
-def corpus(seed, n=160):
+def corpus(seed, n=120):
     """Families of edited copies of many sizes, with shared passages, repeated lines and odd texts."""
     r = random.Random(seed)
     passage = " ".join(r.choices(WORDS, k=30))
@@ -60,7 +60,7 @@ def corpus(seed, n=160):
     return rows + [(10_001, None), (10_002, ""), (10_003, " \n"), (10_004, "w1"), (10_005, "W1 ")]
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_join_equals_brute_force(make, seed):
     rows = corpus(seed)
     random.Random(seed).shuffle(rows)
