@@ -98,7 +98,10 @@ def manifest_hash(entries: Column) -> Column:
         e["path"].alias("path"), e["type"].alias("type"), F.when(e["type"] == "file", F.coalesce(e["exec"], F.lit(False))).alias("exec"),
         F.when(e["type"] == "file", e["size"]).alias("size"), F.when(e["type"] == "file", e["sha256"]).alias("sha256"),
         F.when(e["type"] == "symlink", e["target"]).alias("target")))
-    return F.sha2(F.to_json(canonical), 256)
+    text = F.to_json(canonical)
+    for digit in "ABCDEF":  # Spark writes control characters with upper-case hex digits, the declared hashes have lower case
+        text = F.regexp_replace(text, rf"(?<!\\)((?:\\\\)*\\u00[01]){digit}", f"$1{digit.lower()}")
+    return F.sha2(text, 256)
 
 
 def audit_manifests(manifests: DataFrame) -> DataFrame:
@@ -116,8 +119,18 @@ def audit_manifests(manifests: DataFrame) -> DataFrame:
 
 def manifest_diff(expected: DataFrame, present: DataFrame) -> DataFrame:
     """All differences between expected and present entries per job (path, type, exec, size, sha, target); `first` marks the
-    first in path order, the one a sequential check would stop at."""
+    first in path order, the one a sequential check would stop at.
+
+    Entries count in canonical form: a file has exec (false where absent), size and hash, a symlink only its target.
+    """
     cols = ["type", "exec", "size_bytes", "sha", "target"]
+
+    def canonical(df: DataFrame) -> DataFrame:
+        file, link = F.col("type") == "file", F.col("type") == "symlink"
+        return df.withColumns({"exec": F.when(file, F.coalesce("exec", F.lit(False))), "size_bytes": F.when(file, F.col("size_bytes")),
+                               "sha": F.when(file, F.col("sha")), "target": F.when(link, F.col("target"))})
+
+    expected, present = canonical(expected), canonical(present)
     e = expected.select("job", "path", F.lit(True).alias("in_e"), *[F.col(c).alias(f"e_{c}") for c in cols])
     p = present.select("job", "path", F.lit(True).alias("in_p"), *[F.col(c).alias(f"p_{c}") for c in cols])
     j = e.join(p, ["job", "path"], "full")

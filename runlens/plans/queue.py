@@ -138,9 +138,13 @@ def eligible_jobs(jobs: DataFrame, hosts: DataFrame, now: int, exclusions: DataF
     live = live.join(templates.select("template").distinct(), "template", "left_semi")
     barred = live.filter("conflict_scope = 'global'").select("job_id", F.explode("conflict_keys").alias("key")).join(exclusions, "key", "left_semi").select("job_id").distinct()
     live = live.join(barred, "job_id", "left_anti")
-    on_host = live.join(broadcast_if_small(hosts)).filter(
-        (F.col("host_pin").isNull() | (F.col("host_pin") == F.col("host"))) & (F.size(F.array_except("tags_req", "tags")) == 0)
-        & ~((F.col("conflict_scope") == "host") & F.arrays_overlap("conflict_keys", "held_keys")))
+    # hosts meet the distinct demands, not the jobs; jobs follow by an equi-join, pinned ones on their host too
+    demand = ["tags_req", "conflict_scope", "conflict_keys"]
+    live = live.withColumn("demand_", F.to_json(F.struct(*demand)))
+    fit = live.select("demand_", *demand).dropDuplicates(["demand_"]).join(broadcast_if_small(hosts)).filter(
+        (F.size(F.array_except("tags_req", "tags")) == 0) & ~((F.col("conflict_scope") == "host") & F.arrays_overlap("conflict_keys", "held_keys"))).drop(*demand)
+    pinned = live.filter("host_pin IS NOT NULL").join(fit.withColumn("host_pin", F.col("host")), ["demand_", "host_pin"])
+    on_host = live.filter("host_pin IS NULL").join(fit, "demand_").unionByName(pinned).drop("demand_")
     held = reservations.groupBy("host").agg(F.min("owner_job_id").alias("r_min"), F.max("owner_job_id").alias("r_max"))
     on_host = on_host.join(held, "host", "left")
     return on_host.filter(F.col("r_min").isNull() | ((F.col("r_min") == F.col("job_id")) & (F.col("r_max") == F.col("job_id")))).drop("r_min", "r_max")

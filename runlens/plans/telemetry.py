@@ -201,15 +201,15 @@ def load_gate(samples: DataFrame, close: float, open_: float, open_samples: int,
     return gate(samples, "host", x > close, x >= open_, x < open_, open_samples, thresholds).drop("reason")
 
 
-def cpu_gate(samples: DataFrame, close: float, open_: float, open_samples: int) -> DataFrame:
+def cpu_gate(samples: DataFrame, close: float | Column, open_: float | Column, open_samples: int, thresholds: Column | None = None) -> DataFrame:
     x = F.col("busy_percent")
-    return gate(samples.filter(x.isNotNull()), "host", x >= close, x >= open_, x < open_, open_samples).drop("reason")
+    return gate(samples.filter(x.isNotNull()), "host", x >= close, x >= open_, x < open_, open_samples, thresholds).drop("reason")
 
 
-def device_gate(samples: DataFrame, violation: Column, informative: Column, open_samples: int) -> DataFrame:
+def device_gate(samples: DataFrame, violation: Column, informative: Column, open_samples: int, thresholds: Column | None = None) -> DataFrame:
     """`violation` is the reason or NULL; a sample that is not informative leaves the state alone."""
     bad = violation.isNotNull()
-    return gate(samples, "host", bad, bad, ~bad & informative, open_samples, reason=violation)
+    return gate(samples, "host", bad, bad, ~bad & informative, open_samples, thresholds, reason=violation)
 
 
 # ---- reachability -------------------------------------------------------------------------------------------------
@@ -345,9 +345,10 @@ def starvation_episodes(polls: DataFrame, sample_ms: float = 5_000) -> DataFrame
 
 # ---- process trees ------------------------------------------------------------------------------------------------
 
-def _climb(procs: DataFrame, stops_here: Column, parent_blocks: Column) -> DataFrame:
-    """`root` of every process by pointer doubling: each round doubles the steps, so six cover 64 levels, and a cycle ends too.
+def _climb(procs: DataFrame, stops_here: Column, parent_blocks: Column, rounds: int | None = None) -> DataFrame:
+    """`root` of every process by pointer doubling: each round doubles the steps, so n rounds cover 2^n levels.
 
+    Without `rounds` there are as many as the largest process table has levels at most; what still moves then is a cycle.
     `stops_here` and `parent_blocks` are over the process `p` and its parent `q`.
     """
     keys = ["host", "snapshot_ms"]
@@ -355,7 +356,9 @@ def _climb(procs: DataFrame, stops_here: Column, parent_blocks: Column) -> DataF
     cond = (F.col("p.host") == F.col("q.host")) & (F.col("p.snapshot_ms") == F.col("q.snapshot_ms")) & (F.col("p.ppid") == F.col("q.pid"))
     free = F.coalesce(F.col("q.pid").isNotNull() & ~stops_here & ~parent_blocks & (F.col("q.pid") != F.col("p.pid")), F.lit(False))
     step = p.join(q, cond, "left").select("p.host", "p.snapshot_ms", "p.pid", F.when(free, F.col("q.pid")).otherwise(F.col("p.pid")).alias("root"))
-    for _ in range(MAX_DEPTH_ROUNDS):
+    if rounds is None:
+        rounds = (procs.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1).bit_length()
+    for _ in range(rounds):
         step = cut_lineage(step, "climb")
         nxt = step.select(*keys, F.col("pid").alias("root"), F.col("root").alias("beyond"))
         wide = step.join(nxt, [*keys, "root"])
@@ -400,7 +403,7 @@ def top_external(deltas: DataFrame, members: DataFrame, leases: DataFrame) -> Da
         .withColumn("excluded", F.coalesce("member", F.lit(False)) | F.coalesce("is_sup", F.lit(False)))
         .withColumn("blocks", F.col("excluded") | F.col("kernel") | (F.col("pid") <= 1) | _command_name(F.col("command")).isin(BOUNDARY))
         .select("host", "snapshot_ms", "pid", "ppid", "delta_sec", "window_ms", "excluded", "kernel", "blocks"))
-    roots = _climb(d, F.lit(False), F.col("q.blocks"))
+    roots = _climb(d, F.lit(False), F.col("q.blocks"), MAX_DEPTH_ROUNDS)
     busy = d.filter((F.col("delta_sec") > 0) & ~F.col("excluded") & ~F.col("kernel")).select("host", "snapshot_ms", "pid", "delta_sec", "window_ms")
     g = busy.join(roots, ["host", "snapshot_ms", "pid"]).groupBy("host", "snapshot_ms", F.col("root").alias("pid")).agg(
         (F.sum("delta_sec") / (F.max("window_ms") / 1000)).alias("cores")).filter(F.col("cores") >= MIN_REPORT_CORES)

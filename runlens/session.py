@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import importlib.util
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,11 +28,29 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends the package to the Python workers once a session, unless their search path holds it already."""
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if here in os.environ.get("PYTHONPATH", "").split(os.pathsep) or importlib.util.find_spec("runlens") is None or spark.conf.get("runlens.shipped", None):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="runlens-"), "runlens.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(os.path.join(here, "runlens")):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, here))
+    spark.sparkContext.addPyFile(path)  # the driver hands it to every executor
+    spark.conf.set("runlens.shipped", "true")
+
+
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local temporary one only where none is set (tests)."""
+    """The shared folder the cluster names; a local temporary one only for a local master where none is set (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     root = spark.conf.get("runlens.checkpoint.dir", None)
     if not root:
         root = tempfile.mkdtemp(prefix="runlens-")

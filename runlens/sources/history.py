@@ -58,19 +58,23 @@ def read_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return parse_rows(read_lines(spark, path))
 
 
-def stream_lines(spark: SparkSession, path: str) -> DataFrame:
-    """The streaming twin of read_lines, without `ord`."""
-    return spark.readStream.text(path).select(F.col("value").alias("line"))
+def stream_lines(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """The streaming twin of read_lines, without `ord`; `max_files` bounds a micro-batch."""
+    reader = spark.readStream.option("maxFilesPerTrigger", max_files) if max_files else spark.readStream
+    return reader.text(path).select(F.col("value").alias("line"))
 
 
 def recent_history(stored: DataFrame, since: float, repo: str | None = None, unit: str = "day") -> DataFrame:
     """Rows started since `since`, or never started, of stored history partitioned by `dt` (the day a row settled).
 
-    Only partitions from a day before the window are read, then the exact filter applies.
+    Rows that settled more than a day before the window are behind it, whatever the partition unit; rows without any time
+    are not. Only partitions from a day before the window are read.
     """
     first_day = F.to_date(F.timestamp_millis(F.lit(int(since - MARGIN_MS))))
     first_day = F.trunc(first_day, "MM") if unit == "month" else first_day
-    rows = stored.filter(F.col("dt").isNull() | (F.col("dt") >= first_day)).filter(F.col("startedAt").isNull() | (F.col("startedAt") >= since))
+    settled = F.coalesce("endedAt", "startedAt")
+    rows = stored.filter(F.col("dt").isNull() | (F.col("dt") >= first_day)).filter(settled.isNull() | (settled >= since - MARGIN_MS))
+    rows = rows.filter(F.col("startedAt").isNull() | (F.col("startedAt") >= since))
     return rows.filter(F.col("repo") == repo) if repo else rows
 
 

@@ -18,7 +18,8 @@ def write_report(report: DataFrame, path: str) -> None:
 def append_history(rows: DataFrame, path: str, unit: str = "day") -> None:
     """Adds run rows to the stored history, partitioned by the day (or month) they settled."""
     # rebalancing by day writes few files per day and splits a day that is too big for one task
-    rows.withColumn("dt", settled_day(unit)).hint("rebalance", "dt").write.mode("append").partitionBy("dt").parquet(path)
+    # the same layout as the streaming ingest, whose batches count from 0
+    rows.withColumns({"dt": settled_day(unit), "epoch": F.lit(-1)}).hint("rebalance", "dt").write.mode("append").partitionBy("epoch", "dt").parquet(path)
 
 
 def derived_table(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,26 +10,37 @@ from runlens.session import work_path
 from runlens.sources.history import parse_history, settled_day, stream_lines
 
 
-def history_stream(spark: SparkSession, path: str, delay: str = "2 days") -> DataFrame:
-    """Run rows of a growing folder of history files, each id once; state is bounded by the watermark.
+def history_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """Run rows of a growing folder of history files; `max_files` bounds a micro-batch."""
+    return parse_history(stream_lines(spark, path, max_files))
 
-    Rows without any time cannot be placed against the watermark and pass through as they are.
-    """
-    rows = parse_history(stream_lines(spark, path))
-    at = F.coalesce("endedAt", "startedAt")
-    timed = rows.filter(at.isNotNull()).withColumn("ended_ts", F.timestamp_millis(at.cast("long")))
-    once = timed.withWatermark("ended_ts", delay).dropDuplicatesWithinWatermark(["id"]).drop("ended_ts")
-    return once.unionByName(rows.filter(at.isNull()))
 
+def ingest_history(spark: SparkSession, source: str, target: str, checkpoint: str, unit: str = "day", max_files: int | None = None):
+    """Appends the stream to the stored history: an id is stored once for its day, however late; rows without an id all pass.
+
+    A batch looks only at the stored days that it touches. A repeated batch rewrites its own files.
+    """
 
-def ingest_history(spark: SparkSession, source: str, target: str, checkpoint: str, unit: str = "day"):
-    """Appends the deduplicated stream to the stored history; a repeated batch rewrites its own files."""
+    def stored(epoch: int) -> DataFrame | None:
+        try:
+            return spark.read.parquet(target).filter(F.col("epoch") != epoch).select("id", "dt")
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            return None
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.withColumns({"dt": settled_day(unit), "epoch": F.lit(epoch)}).hint("rebalance", "dt").write.mode("overwrite").option(
+        rows = batch.withColumns({"dt": settled_day(unit), "epoch": F.lit(epoch)})
+        named = F.coalesce("id", F.lit("")) != ""
+        once = rows.filter(named).dropDuplicates(["id", "dt"])
+        before = stored(epoch)
+        if before is not None:
+            old = before.filter(named).withColumnsRenamed({"id": "old_id", "dt": "old_dt"})
+            once = once.join(old, (F.col("id") == F.col("old_id")) & F.col("dt").eqNullSafe(F.col("old_dt")), "left_anti")
+        once.unionByName(rows.filter(~named)).hint("rebalance", "dt").write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic").partitionBy("epoch", "dt").parquet(target)
 
-    return history_stream(spark, source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return history_stream(spark, source, max_files).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def decision_rates(decisions: DataFrame, window: str = "1 hour", slide: str | None = None, delay: str = "10 minutes") -> DataFrame:

@@ -6,6 +6,7 @@ arrival order and walked once, so the trigger's size (files or offsets per trigg
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -82,24 +83,32 @@ def overrun_alerts(readings: DataFrame, max_gap_ms: int, min_ms: int) -> DataFra
                     "lease_id long, since_ms long, alert_ms long, peak double", (-1, -1, 0.0, False), step)
 
 
-def hysteresis(samples: DataFrame, key: str, value: str, close: float, open_: float, open_samples: int, at_close: bool = False) -> DataFrame:
-    """Gate state after each sample (key, ord, value); `at_close` closes on the threshold itself. A missing sample is skipped."""
+def hysteresis(
+    samples: DataFrame, key: str, value: str, close: float, open_: float, open_samples: int, at_close: bool = False, thresholds: str | None = None,
+) -> DataFrame:
+    """Gate state after each sample (key, ord, value); `at_close` closes on the threshold itself. A missing sample is skipped.
+
+    A change in the column `thresholds` restarts the countdown and leaves the state.
+    """
 
     def step(s, r):
-        closed, under = s
+        closed, under, before = s
         x = r[value]
         if not _num(x):
             return s, None
+        named = str(r[thresholds]) if thresholds else ""
+        if named != before:
+            under = 0
         if x > close or (at_close and x == close):
             closed, under = True, 0
         elif closed:
             under = under + 1 if x < open_ else 0
             if under >= open_samples:
                 closed, under = False, 0
-        return (closed, under), (int(r["ord"]), closed)
+        return (closed, under, named), (int(r["ord"]), closed)
 
     kind = samples.schema[key].dataType.simpleString()
-    return stateful(samples, key, "ord", "closed boolean, under long", f"{key} {kind}, ord long, closed boolean", (False, 0), step)
+    return stateful(samples, key, "ord", "closed boolean, under long, thresholds string", f"{key} {kind}, ord long, closed boolean", (False, 0, ""), step)
 
 
 def reachability(pings: DataFrame) -> DataFrame:
@@ -163,3 +172,70 @@ def wait_since(polls: DataFrame) -> DataFrame:
         return (r["reason"], c, since), (int(r["ord"]), r["reason"], since)
 
     return stateful(polls, "ticket", "ord", "reason string, cause string, since long", "ticket long, ord long, reason string, since_ms long", ("", "", -1), step)
+
+
+def silence_flags(
+    readings: DataFrame, *, max_gap_ms: float, below_fraction: float, hung_cores: float, hung_after_ms: float, idle_after_ms: float,
+) -> DataFrame:
+    """Silent, idle and hung flags after each reading (lease_id, ord, t_ms, cores, interval_cores, wrote_output, charged_cores, started_ms)."""
+
+    def step(s, r):
+        idle, hung, last, output = s
+        t, x = int(r["t_ms"]), r["interval_cores"]
+        known = _num(r["cores"]) and _num(x) and x >= 0
+        whole = 0 < t - last <= max_gap_ms
+
+        def streak(since: int, low: bool) -> int:
+            return (since if since >= 0 and whole else t) if low else -1
+
+        idle = streak(idle, known and _num(r["charged_cores"]) and x < below_fraction * r["charged_cores"])
+        hung = streak(hung, known and x < hung_cores)
+        output = t if r["wrote_output"] is True or r["wrote_output"] == 1 else output
+        silent = max(0, t - (output if output >= 0 else int(r["started_ms"])))
+        idle_ms, hung_ms = t - idle if idle >= 0 else 0, t - hung if hung >= 0 else 0
+        return (idle, hung, t, output), (int(r["ord"]), silent, idle_ms, idle_ms >= idle_after_ms, silent >= hung_after_ms, silent >= hung_after_ms and hung_ms >= hung_after_ms)
+
+    kind = readings.schema["lease_id"].dataType.simpleString()
+    return stateful(readings, "lease_id", "ord", "idle long, hung long, last long, output long",
+                    f"lease_id {kind}, ord long, silent_ms long, idle_ms long, idle boolean, silent boolean, hung boolean", (-1, -1, -1, -1), step)
+
+
+def busy_core_counters(samples: DataFrame, reuse_window_ms: float) -> DataFrame:
+    """Busy cores after each counter reading (host, ord, t_ms, totals array, idles array), by the rules of the batch form."""
+
+    def step(s, r):
+        held, cur = json.loads(s[0]), {"t": int(r["t_ms"]), "total": [float(x) for x in r["totals"]], "idle": [float(x) for x in r["idles"]]}
+        prev, busy, valid, unchanged = held.get("prev"), None, False, False
+        if prev and len(prev["total"]) == len(cur["total"]) and 0 <= cur["t"] - prev["t"] <= tel.MAX_SAMPLE_GAP_MS:
+            moved = [(a - c, b - d) for a, b, c, d in zip(cur["total"], cur["idle"], prev["total"], prev["idle"], strict=True) if a - c > 0]
+            valid = bool(moved)
+            busy = sum((dt - di) / dt for dt, di in moved) if valid else None
+            unchanged = not valid and cur["total"] == prev["total"] and cur["idle"] == prev["idle"]
+        if not unchanged:
+            held["last"] = {"busy": busy, "t": cur["t"]}
+        last = held.get("last")
+        reused = bool(unchanged and last and last["busy"] is not None and 0 <= cur["t"] - last["t"] < reuse_window_ms)
+        held["prev"] = cur
+        return (json.dumps(held),), (int(r["ord"]), last["busy"] if reused else busy, not valid and not reused, reused)
+
+    kind = samples.schema["host"].dataType.simpleString()
+    return stateful(samples, "host", "ord", "held string", f"host {kind}, ord long, busy_cores double, stale boolean, reused boolean", ("{}",), step)
+
+
+def device_hysteresis(samples: DataFrame, open_samples: int, thresholds: str | None = None) -> DataFrame:
+    """Device gate after each sample (host, ord, violation, informative): the reason closes it, informative samples without one open it."""
+
+    def step(s, r):
+        closed, good, before, why = s
+        named = str(r[thresholds]) if thresholds else ""
+        good = 0 if named != before else good
+        if isinstance(r["violation"], str):
+            closed, good, why = True, 0, r["violation"]
+        elif bool(r["informative"]):
+            good += 1
+            if good >= open_samples:
+                closed = False
+        return (closed, good, named, why), (int(r["ord"]), closed, why if closed else None)
+
+    kind = samples.schema["host"].dataType.simpleString()
+    return stateful(samples, "host", "ord", "closed boolean, good long, thresholds string, why string", f"host {kind}, ord long, closed boolean, reason string", (False, 0, "", ""), step)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from runlens.session import work_path
@@ -40,25 +42,24 @@ def read_rows(spark, sf):
     return src.parse_rows(_lines(spark, sf)).selectExpr("CAST(queuedAt AS BIGINT) AS ord", "id", "event")
 
 
-@query("read_recent_history", "SRC03 SNK03", oracle(["history"], "SELECT ord, repo, started_at FROM history WHERE repo = '_home_proj_foo_.git' AND (started_at IS NULL OR started_at >= 900000000000) AND (ended_at IS NULL AND started_at IS NULL OR coalesce(ended_at, started_at) >= 900000000000 - 86400000 - 86400000)"))
+@query("read_recent_history", "SRC03 SNK03", oracle(["history"], "SELECT ord, repo, started_at FROM history WHERE repo = '_home_proj_foo_.git' AND (started_at IS NULL OR started_at >= 900000000000) AND coalesce(ended_at, started_at, 900000000000) >= 900000000000 - 86400000"))
 def read_recent_history(spark, sf):
     path = work_path(spark, "history")
     append_history(history(spark, sf), path, "month")
-    # a never-started row settled long ago is behind the partition bound, as it is behind the tail scan
     rows = src.recent_history(spark.read.parquet(path), 900_000_000_000.0, "_home_proj_foo_.git", "month")
-    return rows.filter("startedAt IS NOT NULL OR endedAt IS NULL OR endedAt >= 900000000000 - 2 * 86400000L").selectExpr("ord", "repo", "startedAt AS started_at")
+    return rows.selectExpr("ord", "repo", "startedAt AS started_at")
 
 
-@query("read_journal", "SRC04", oracle(["journal"], "SELECT ord, t_ms, event, pr, run_id FROM journal WHERE ord % 50 <> 7 AND ord % 61 <> 8"))
+@query("read_journal", "SRC04", oracle(["journal"], "SELECT t_ms, event, pr, run_id, array_to_string(prs, ',') AS prs, count(*) AS n FROM journal WHERE ord % 50 <> 7 AND ord % 61 <> 8 AND ord % 53 <> 9 GROUP BY ALL"))
 def read_journal(spark, sf):
     j = flat(spark, sf, "journal")
     at = F.when(F.col("ord") % 50 == 7, "not a time").otherwise(F.concat(F.date_format(F.timestamp_millis("t_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z")))
     event = F.when(F.col("ord") % 61 != 8, F.col("event"))
-    lines = j.select("ord", F.to_json(F.struct(at.alias("at"), event.alias("event"), "pr", "prs", F.col("run_id").alias("runId"), F.col("lane_id").alias("laneId"))).alias("line"))
-    from runlens.schema import JOURNAL
-
-    rows = src.parse_rows(lines, JOURNAL).withColumn("t_ms", src._ms(F.col("at"))).filter("event IS NOT NULL AND t_ms >= 0")
-    return rows.selectExpr("ord", "t_ms", "event", "pr", "runId AS run_id")
+    whole = F.to_json(F.struct(at.alias("at"), event.alias("event"), "pr", "prs", F.col("run_id").alias("runId"), F.col("lane_id").alias("laneId")))
+    path = work_path(spark, "journal")
+    j.select(F.when(F.col("ord") % 53 == 9, F.substring(whole, 1, 25)).otherwise(whole).alias("value")).write.text(path)
+    rows = src.read_journal(spark, path).groupBy("t_ms", "event", "pr", "run_id", F.array_join("prs", ",").alias("prs"))
+    return rows.agg(F.count("*").alias("n"))
 
 
 @query("read_decision_log", "SRC09", """SELECT event_id AS ord, 1704067200000 + event_id * 7000 AS t_ms, 'c' || (user_id % 30)::VARCHAR AS candidate, event_id % 5 < 2 AS current_admit, CASE WHEN event_id % 5 < 2 THEN 'ok' ELSE 'load' END AS current_reason,
@@ -73,6 +74,18 @@ def read_decision_log(spark, sf):
     return src.parse_decisions(e.select(F.col("event_id").alias("ord"), line.alias("line"))).drop("fields")
 
 
+@query("read_store_journal", "SRC06", oracle(["store_journal"], "SELECT 's' || store::VARCHAR AS store, seq, path, sha, size_bytes, created_ms FROM store_journal WHERE seq % 29 <> 3 AND store < 2"))
+def read_store_journal(spark, sf):
+    j = flat(spark, sf, "store_journal").withColumn("kind", F.lit("blob"))
+    whole = F.to_json(F.struct("seq", "kind", "path", F.col("sha").alias("sha256"), F.col("size_bytes").alias("size"), F.col("created_ms").alias("createdAt")))
+    paths = {}
+    for store in (0, 1):
+        path = paths[f"s{store}"] = work_path(spark, f"store-journal-{store}")
+        # torn lines end early, and blank ones stand between
+        j.filter(F.col("store") == store).select(F.when(F.col("seq") % 29 == 3, F.substring(whole, 1, 30)).otherwise(F.concat(whole, F.when(F.col("seq") % 31 == 4, "\n").otherwise(""))).alias("value")).write.text(path)
+    return src.read_store_journal(spark, paths).drop("kind")
+
+
 @query("read_process_table", "SRC10", oracle(["procs"], "SELECT host, snapshot_ms, pid, ppid, pgid, pcpu, rss_kib FROM procs WHERE pid % 30 <> 4 AND pid % 41 <> 5"))
 def read_process_table(spark, sf):
     p = flat(spark, sf, "procs")
@@ -114,9 +127,18 @@ def read_prs(spark, sf):
     return src.read_prs(spark, by_repo, multi_line=False).select("repo", "number", "merged_ms", "closed_ms", F.array_join("labels", ",").alias("labels"))
 
 
-@query("read_queue_snapshot", "SRC08 AGG29", oracle(["tickets"], "SELECT snapshot AS snapshot_ts, state, count(*) AS n FROM tickets GROUP BY 1, 2"))
+SNAPSHOT = ["tickets", "agents", "jobs", "groups", "parents"]
+
+
+@query("read_queue_snapshot", "SRC08 AGG29", oracle(SNAPSHOT, "SELECT 'tickets' AS name, snapshot AS snapshot_ts, state, count(*) AS n FROM tickets GROUP BY 1, 2, 3"
+       + "".join(f" UNION ALL SELECT '{t}', 7, NULL, count(*) FROM {t}" for t in SNAPSHOT[1:])))
 def read_queue_snapshot(spark, sf):
     root = work_path(spark, "queue")
-    flat(spark, sf, "tickets").withColumnRenamed("snapshot", "snapshot_ts").write.partitionBy("snapshot_ts").parquet(f"{root}/tickets")
-    tables = src.read_queue_snapshot(spark, root, ["tickets"])
-    return tables["tickets"].groupBy(F.col("snapshot_ts").cast("long").alias("snapshot_ts"), "state").agg(F.count("*").alias("n"))
+    for t in SNAPSHOT:
+        rows = flat(spark, sf, t)
+        (rows.withColumnRenamed("snapshot", "snapshot_ts") if t == "tickets" else rows.withColumn("snapshot_ts", F.lit(7))).write.partitionBy("snapshot_ts").parquet(f"{root}/{t}")
+    out = []
+    for t, rows in src.read_queue_snapshot(spark, root, SNAPSHOT).items():
+        state = F.col("state") if t == "tickets" else F.lit(None).cast("string")
+        out.append(rows.groupBy(F.lit(t).alias("name"), F.col("snapshot_ts").cast("long").alias("snapshot_ts"), state.alias("state")).agg(F.count("*").alias("n")))
+    return reduce(lambda a, b: a.unionByName(b), out)

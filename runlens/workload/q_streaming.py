@@ -34,14 +34,38 @@ def stream_overrun_alerts(spark, sf):
     return jobs.run_to_table(state.overrun_alerts(r, qt.GAP, qt.MIN_MS), "overrun").select("lease_id", "since_ms", "alert_ms")
 
 
-@query("stream_load_gate", "STR06", oracle(["samples"], qt._gate_sql("host", "samples", "load > 12", "load >= 6", "load < 6", 3) + "\nSELECT host, ord, closed FROM gt"))
+@query("stream_load_gate", "STR06", ORACLES["load_gate"])
 def stream_load_gate(spark, sf):
-    return jobs.run_to_table(state.hysteresis(_stream(spark, sf, "samples"), "host", "load", 12, 6, 3), "load-gate")
+    s = _stream(spark, sf, "samples").withColumn("thresholds", F.expr("ord div 900 % 2"))
+    return jobs.run_to_table(state.hysteresis(s, "host", "load", 12, 6, 3, thresholds="thresholds"), "load-gate")
 
 
 @query("stream_cpu_gate", "STR07", ORACLES["cpu_gate"])
 def stream_cpu_gate(spark, sf):
-    return jobs.run_to_table(state.hysteresis(_stream(spark, sf, "samples"), "host", "busy_percent", 60, 30, 2, at_close=True), "cpu-gate")
+    s = _stream(spark, sf, "samples").withColumn("thresholds", F.expr("ord div 700 % 2"))
+    return jobs.run_to_table(state.hysteresis(s, "host", "busy_percent", 60, 30, 2, at_close=True, thresholds="thresholds"), "cpu-gate")
+
+
+@query("stream_device_gate", "STR08", ORACLES["device_gate"])
+def stream_device_gate(spark, sf):
+    why = F.when(F.col("temp_c") > 60, "thermal").when(F.col("load") > 20, "on-battery")
+    s = _stream(spark, sf, "samples").withColumns({"violation": why, "informative": F.col("temp_c").isNotNull(), "thresholds": F.expr("ord div 800 % 2")})
+    return jobs.run_to_table(state.device_hysteresis(s, 3, "thresholds"), "device-gate")
+
+
+@query("stream_lease_silence", "STR03 STR04", ORACLES["lease_silence"])
+def stream_lease_silence(spark, sf):
+    r = _stream(spark, sf, "heartbeats").join(flat(spark, sf, "leases").select("lease_id", "charged_cores", "started_ms"), "lease_id")
+    flags = state.silence_flags(r, max_gap_ms=qt.GAP, below_fraction=0.6, hung_cores=0.4, hung_after_ms=qt.DAY, idle_after_ms=qt.DAY)
+    return jobs.run_to_table(flags, "silence")
+
+
+@query("stream_busy_cores", "WIN04 WIN05", ORACLES["host_busy_cores"])
+def stream_busy_cores(spark, sf):
+    two = "n_cores = 2"
+    c = _stream(spark, sf, "counters").selectExpr(
+        "host", "ord", "t_ms - t_ms % 600000 + ord * 400 % 50000 AS t_ms", f"if({two}, array(double(total0), double(total1)), array(double(total0))) AS totals", f"if({two}, array(double(idle0), double(idle1)), array(double(idle0))) AS idles")
+    return jobs.run_to_table(state.busy_core_counters(c, 45_000), "busy-cores").withColumn("busy_cores", F.round("busy_cores", 6))
 
 
 @query("stream_unreachable_clock", "STR09", ORACLES["unreachable_clock"])
@@ -73,10 +97,13 @@ def stream_decision_rates(spark, sf):
     return jobs.run_to_table(jobs.decision_rates(_stream(spark, sf, text=qt.DEC)), "rates")
 
 
-@query("stream_history_ingest", "STR21 SNK03 SRC01", oracle(["history"], "SELECT count(DISTINCT coalesce(id, 'x' || ord::VARCHAR)) AS n FROM history"))
+@query("stream_history_ingest", "STR21 SNK03 SRC01", oracle(["history"], """
+SELECT id, count(*) FILTER (coalesce(id, '') = '') AS unnamed, count(DISTINCT strftime(date_trunc('month', make_timestamp((floor(coalesce(ended_at, started_at)) * 1000)::BIGINT)), '%Y-%m') ) FILTER (coalesce(id, '') <> '') AS months FROM history GROUP BY 1"""))
 def stream_history_ingest(spark, sf):
-    h = history(spark, sf).withColumn("id", F.coalesce("id", F.concat(F.lit("x"), F.col("ord").cast("string"))))
+    """Raw rows in several micro-batches, some without an id: how often each id is stored, and for how many months."""
+    h = history(spark, sf)
     src, dst = work_path(spark, "lines"), work_path(spark, "stored")
-    h.coalesce(4).select(F.to_json(F.struct(*[c for c in h.columns if c not in ("ord", "event", "cust")])).alias("value")).write.text(src)
-    jobs.ingest_history(spark, src, dst, work_path(spark, "ingest-checkpoint"), "month").awaitTermination()
-    return spark.read.parquet(dst).agg(F.count("*").alias("n"))
+    h.select(F.to_json(F.struct(*[c for c in h.columns if c not in ("ord", "event", "cust")])).alias("value")).write.option("maxRecordsPerFile", 4000).text(src)
+    jobs.ingest_history(spark, src, dst, work_path(spark, "ingest-checkpoint"), "month", max_files=2).awaitTermination()
+    named = F.coalesce("id", F.lit("")) != ""
+    return spark.read.parquet(dst).groupBy("id").agg(F.count_if(~named).alias("unnamed"), F.count_if(named).alias("months"))

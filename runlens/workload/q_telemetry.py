@@ -123,16 +123,18 @@ def load_gate(spark, sf):
     return tel.load_gate(flat(spark, sf, "samples"), 12, 6, 3, F.expr("CAST(ord div 900 % 2 AS STRING)")).select("host", "ord", "closed")
 
 
-@query("cpu_gate", "STR07", oracle(["samples"], _gate_sql("host", "(SELECT * FROM samples WHERE busy_percent IS NOT NULL)", "busy_percent >= 60", "busy_percent >= 30", "busy_percent < 30", 2) + "\nSELECT host, ord, closed FROM gt"))
+@query("cpu_gate", "STR07", oracle(["samples"], _gate_sql("host", "(SELECT *, (ord // 700 % 2)::VARCHAR AS th FROM samples WHERE busy_percent IS NOT NULL)", "busy_percent >= 60", "busy_percent >= 30", "busy_percent < 30", 2,
+       changed="coalesce(th <> lag(th) OVER (PARTITION BY host ORDER BY ord), false)") + "\nSELECT host, ord, closed FROM gt"))
 def cpu_gate(spark, sf):
-    return tel.cpu_gate(flat(spark, sf, "samples"), 60, 30, 2).select("host", "ord", "closed")
+    return tel.cpu_gate(flat(spark, sf, "samples"), 60, 30, 2, F.expr("CAST(ord div 700 % 2 AS STRING)")).select("host", "ord", "closed")
 
 
-@query("device_gate", "STR08", oracle(["samples"], _gate_sql("host", "samples", "temp_c > 60 OR load > 20", "temp_c > 60 OR load > 20", "temp_c IS NOT NULL", 3, why="CASE WHEN temp_c > 60 THEN 'thermal' ELSE 'on-battery' END")
+@query("device_gate", "STR08", oracle(["samples"], _gate_sql("host", "(SELECT *, (ord // 800 % 2)::VARCHAR AS th FROM samples)", "temp_c > 60 OR load > 20", "temp_c > 60 OR load > 20", "temp_c IS NOT NULL", 3,
+       changed="coalesce(th <> lag(th) OVER (PARTITION BY host ORDER BY ord), false)", why="CASE WHEN temp_c > 60 THEN 'thermal' ELSE 'on-battery' END")
        + "\nSELECT host, ord, closed, CASE WHEN closed THEN why END AS reason FROM gt"))
 def device_gate(spark, sf):
     why = F.when(F.col("temp_c") > 60, "thermal").when(F.col("load") > 20, "on-battery")
-    return tel.device_gate(flat(spark, sf, "samples"), why, F.col("temp_c").isNotNull(), 3).select("host", "ord", "closed", "reason")
+    return tel.device_gate(flat(spark, sf, "samples"), why, F.col("temp_c").isNotNull(), 3, F.expr("CAST(ord div 800 % 2 AS STRING)")).select("host", "ord", "closed", "reason")
 
 
 PING_SQL = """
@@ -296,11 +298,11 @@ def preemptible_cores(spark, sf):
 
 def _hosts(spark, sf):
     h = flat(spark, sf, "samples").join(spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("ord"), "event_type", "value", "user_id"), "ord")
-    return h.filter("event_type = 'view'").selectExpr("host", "t_ms + 20000 AS snapshot_ms", "value / 10 AS busy_cores", "CAST(24 + user_id % 5 * 8 AS DOUBLE) AS cores")
+    return h.selectExpr("host", "t_ms + 20000 AS snapshot_ms", "value / 10 AS busy_cores", "CAST(24 + user_id % 5 * 8 AS DOUBLE) AS cores")
 
 
 HOST_SQL = """
-hs AS (SELECT e.user_id % 5 AS host, s.t_ms + 20000 AS snapshot_ms, e.value / 10 AS busy_cores, CAST(24 + e.user_id % 5 * 8 AS DOUBLE) AS cores FROM samples s JOIN events e ON e.event_id = s.ord WHERE event_type = 'view'),
+hs AS (SELECT e.user_id % 5 AS host, s.t_ms + 20000 AS snapshot_ms, e.value / 10 AS busy_cores, CAST(24 + e.user_id % 5 * 8 AS DOUBLE) AS cores FROM samples s JOIN events e ON e.event_id = s.ord),
 rd AS (SELECT user_id % 5 AS host, user_id AS lease_id, epoch_us(ts) // 1000 AS t_ms, value / 20 AS cores FROM events),
 pr AS (SELECT host, snapshot_ms, busy_cores / 4 AS preemptible_cores FROM hs),
 ob AS (SELECT h.host, h.snapshot_ms, r.lease_id, arg_max(r.cores, r.t_ms) AS c FROM hs h JOIN rd r ON r.host = h.host AND r.t_ms <= h.snapshot_ms AND h.snapshot_ms - r.t_ms <= 30000 WHERE r.cores >= 0 GROUP BY 1, 2, 3),

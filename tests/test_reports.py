@@ -14,8 +14,9 @@ def T(text):
     return datetime.fromisoformat(text.replace("Z", "+00:00")).astimezone(timezone.utc).timestamp() * 1000
 
 
-SINCE, UNTIL = T("2026-10-09T00:00:00Z"), T("2026-10-12T00:00:00Z")
-FOO, BAR = "_home_x_proj_foo_.git", "_home_x_proj_bar_.git"
+#: One week from Monday; the rows below are made up for these tests and the expectations worked out by hand.
+SINCE, UNTIL = T("2025-03-03T00:00:00Z"), T("2025-03-10T00:00:00Z")
+FOO, BAR = "_srv_ci_proj_foo_.git", "_srv_ci_proj_bar_.git"
 
 
 def _history(spark, rows):
@@ -34,62 +35,69 @@ def _history(spark, rows):
 
 @pytest.fixture(scope="module")
 def cost(spark):
+    at = lambda day, clock: T(f"2025-03-{day:02d}T{clock}:00Z")
+    retry = dict(repo=FOO, lane="prepush", startedAt=at(5, "10:00"), endedAt=at(5, "10:09"), runMs=180_000.0, grantedCpuCores=1.0, exit=0, executor="remote", runner="kiwi")
     rows = [
-        dict(id="g1", repo=FOO, lane="prepush", startedAt=T("2026-10-09T01:00:00Z"), endedAt=T("2026-10-09T01:10:00Z"), waitedMs=120000.0, grantedCpuCores=2.0, exit=0, executor="local", cpuSeconds=100.0),
-        dict(id="b1", repo=FOO, lane="train", startedAt=T("2026-10-09T02:00:00Z"), endedAt=T("2026-10-09T02:15:00Z"), runMs=600000.0, waitedMs=60000.0, grantedCpuCores=4.0, resources=dict(cpuCores=9.0), exit=1, executor="remote", runner="w"),
-        dict(id="m1", repo=FOO, lane="train", startedAt=T("2026-10-09T03:00:00Z"), endedAt=T("2026-10-09T03:20:00Z"), resources=dict(cpuCores=3.0), exit=0, executor="remote", runner="s"),
-        dict(id="a1", repo=FOO, lane="adhoc", startedAt=T("2026-10-10T03:00:00Z"), endedAt=T("2026-10-10T03:05:00Z"), weight=2.0, exit=0),
-        dict(id="g1", repo=FOO, lane="prepush", startedAt=T("2026-10-09T05:00:00Z"), endedAt=T("2026-10-09T06:00:00Z"), exit=0),
-        dict(id="old", repo=FOO, lane="prepush", startedAt=T("2026-10-08T23:00:00Z"), endedAt=T("2026-10-08T23:10:00Z"), exit=0),
-        dict(id="other", repo=BAR, lane="prepush", startedAt=T("2026-10-09T01:00:00Z"), endedAt=T("2026-10-09T01:10:00Z"), exit=0),
+        dict(id="q1", repo=FOO, lane="prepush", startedAt=at(4, "08:00"), endedAt=at(4, "08:07"), waitedMs=30_000.0, grantedCpuCores=4.0, exit=0, executor="local", cpuSeconds=50.0),
+        retry, retry,  # without an id both rows count
+        dict(id="t1", repo=FOO, lane="train", startedAt=at(6, "12:00"), endedAt=at(6, "12:20"), resources=dict(cpuCores=2.0), exit=2, executor="remote", runner="kiwi"),
+        dict(id="t2", repo=FOO, lane="train", startedAt=at(6, "13:00"), endedAt=at(6, "13:10"), weight=3.0, exit=0, executor="local"),
+        dict(id="z1", repo=FOO, lane="lint", startedAt=at(8, "09:00"), endedAt=at(8, "09:04"), exit=0),
+        dict(id="z2", repo=FOO, lane="lint", startedAt=SINCE, endedAt=SINCE + 1, runMs=60_000.0, exit=0),  # the window holds its start
+        dict(id="q1", repo=FOO, lane="prepush", startedAt=at(7, "08:00"), endedAt=at(7, "09:00"), exit=1),  # a later row of a known id
+        dict(id="late", repo=FOO, lane="prepush", startedAt=UNTIL, endedAt=UNTIL + 60_000.0, exit=0),  # but not its end
+        dict(id="b9", repo=BAR, lane="prepush", startedAt=at(4, "08:00"), endedAt=at(4, "08:30"), exit=0),
     ]
-    ev = [("2026-10-09T01:00:00Z", "enqueue", 3, None, None, None), ("2026-10-09T01:05:00Z", "enqueue", 5, None, None, None), ("2026-10-09T01:30:00Z", "eject", 5, None, "r0", None),
-          ("2026-10-09T05:00:00Z", "enqueue", 5, None, None, None), ("2026-10-09T05:00:00Z", "enqueue", 4, None, None, None), ("2026-10-09T05:30:00Z", "enqueue", 6, None, None, None),
-          ("2026-10-09T02:00:01Z", "lane-start", None, None, "r1", "b1"), ("2026-10-09T03:00:01Z", "lane-start", None, None, "master-ab", "m1"),
-          ("2026-10-09T02:30:00Z", "batch-built", None, [3], "r1", None), ("2026-10-09T02:40:00Z", "landed", None, None, "r1", None),
-          ("2026-10-09T06:00:00Z", "batch-built", None, [4, 5], "r2", None), ("2026-10-09T07:00:00Z", "landed", None, None, "r2", None), ("2026-10-12T01:00:00Z", "landed", None, None, "r2", None)]
-    journal = spark.createDataFrame([("foo", i, int(T(at)), e, pr, prs, run, lane) for i, (at, e, pr, prs, run, lane) in enumerate(ev)],
+    events = [
+        (4, "06:00", "enqueue", 11, None, None, None), (4, "06:10", "enqueue", 12, None, None, None), (4, "06:10", "enqueue", 12, None, None, None),
+        (4, "06:30", "remove", 12, None, None, None), (4, "08:00", "enqueue", 12, None, None, None), (4, "09:00", "batch-built", None, [11, 12], "n1", None),
+        (6, "12:00", "lane-start", None, None, "n1", "t1"), (6, "13:00", "lane-start", None, None, "master-77", "t2"), (4, "09:30", "landed", None, None, "n1", None),
+        (8, "10:00", "enqueue", 13, None, None, None), (8, "10:45", "batch-built", None, [13, 14], "n2", None), (8, "11:00", "landed", None, None, "n2", None),
+        (9, "12:00", "landed", None, None, "n2", None),  # landing twice: the first counts
+        (9, "15:00", "enqueue", 15, None, None, None), (2, "20:00", "enqueue", 16, None, None, None), (10, "02:00", "landed", None, None, "n1", None),
+    ]
+    journal = spark.createDataFrame([("foo", i, int(at(d, c)), e, pr, prs, run, lane) for i, (d, c, e, pr, prs, run, lane) in enumerate(events)],
                                     "repo string, ord long, t_ms long, event string, pr long, prs array<long>, run_id string, lane_id string")
-    day = lambda s: None if s is None else int(T(s))
-    prs = spark.createDataFrame([("foo", n, day(m), day(c), labels) for n, m, c, labels in [
-        (1, "2026-10-09T09:00:00Z", "2026-10-09T09:00:00Z", []), (2, "2026-10-10T09:00:00Z", "2026-10-10T09:00:00Z", []), (3, None, "2026-10-09T02:41:00Z", ["train-landed"]),
-        (7, None, "2026-10-09T09:00:00Z", ["wontfix"]), (8, "2026-10-08T09:00:00Z", "2026-10-08T09:00:00Z", [])]], "repo string, number long, merged_ms long, closed_ms long, labels array<string>")
+    ms = lambda x: None if x is None else int(at(*x))
+    prs = spark.createDataFrame([("foo", n, ms(m), ms(c), labels) for n, m, c, labels in [
+        (11, None, (4, "09:31"), ["train-landed"]), (13, (8, "11:01"), (8, "11:01"), ["x"]), (20, (7, "16:00"), (7, "16:00"), []), (21, None, (5, "10:00"), []), (22, (1, "10:00"), (1, "10:00"), [])]],
+        "repo string, number long, merged_ms long, closed_ms long, labels array<string>")
     return reports.cost_report(_history(spark, rows), journal, prs, ["foo"], SINCE, UNTIL)
 
 
 def test_cost_spend(cost):
     spend = {r["cls"]: r for r in cost.spend.collect()}
-    assert spend["train-batch"]["wall_min"] == 10 and spend["train-batch"]["reserved_core_min"] == 40
-    assert spend["master-verify"]["reserved_core_min"] == 60 and spend["ad-hoc"]["reserved_core_min"] == 10
-    assert spend["gate"]["runs"] == 1 and spend["gate"]["cpu_seconds"] == 100 and spend["train-batch"]["cpu_runs"] == 0
-    assert spend["TOTAL"]["runs"] == 4 and spend["TOTAL"]["wait_min"] == 3
-    per = {r["cls"]: r for r in cost.per_pr.collect()}
-    assert per["TOTAL"]["reserved_core_min"] == (20 + 40 + 60 + 10) / 5
+    assert {c: (r["runs"], r["wall_min"], r["reserved_core_min"]) for c, r in spend.items()} == {
+        "gate": (3, 13, 34), "train-batch": (1, 20, 40), "master-verify": (1, 10, 30), "ad-hoc": (2, 5, 5), "TOTAL": (7, 48, 109)}
+    assert (spend["gate"]["cpu_seconds"], spend["gate"]["cpu_runs"], spend["gate"]["wait_min"]) == (50, 1, 0.5)
+    assert spend["train-batch"]["failed"] == 1 and spend["TOTAL"]["failed"] == 1
+    assert {r["cls"]: r["reserved_core_min"] for r in cost.per_pr.collect()}["TOTAL"] == pytest.approx(109 / 5)
 
 
 def test_cost_prs_and_latency(cost):
     c = cost.counts.first()
-    assert (c["github_merged"], c["github_train_landed"], c["journal_landed"], c["union"], c["only_journal"], c["only_github"]) == (2, 1, 3, 5, 2, 2)
-    assert c["landed_weekend"] == 1
-    lat = cost.latency.first()
-    assert (lat["n"], lat["p50"], lat["p90"], lat["max"], lat["prs_without_enqueue"]) == (3, 120, 355, 355, 2)
-    assert [r["pr"] for r in cost.unfinished.collect()] == [6]
-    assert sorted(r["executor"] for r in cost.executors.collect()) == ["local", "remote:s", "remote:w"]
+    assert (c["github_merged"], c["github_train_landed"], c["journal_landed"], c["union"], c["only_journal"], c["only_github"]) == (2, 1, 4, 5, 2, 1)
+    assert (c["landed_weekday"], c["landed_weekend"]) == (3, 2)
+    lat = cost.latency.first()  # waits of 210, 90 and 60 minutes
+    assert (lat["n"], lat["p50"], lat["p90"], lat["max"], lat["prs_without_enqueue"]) == (3, 90, 210, 210, 2)
+    assert sorted((r["pr"], r["age_min"], r["before_window"]) for r in cost.unfinished.collect()) == [(15, 540, False), (16, 10_320, True)]
+    assert {r["executor"]: r["runs"] for r in cost.executors.collect()} == {"local": 4, "remote:kiwi": 3}
 
 
 def test_phases(spark):
-    base = dict(repo=FOO, executor="remote", startedAt=T("2026-10-09T05:00:00Z"))
+    base = dict(repo=FOO, executor="remote", startedAt=T("2025-03-05T05:00:00Z"))
     rows = [
-        base | dict(id="a", runner="w", depsCache="miss", remotePhasesMs=dict(snapshotMs=1000.0, depsMs=3000.0, setupMs=1000.0, commandMs=5000.0, artifactsMs=0.0)),
-        base | dict(id="b", runner="w", depsCache="hit", remotePhasesMs=dict(snapshotMs=1000.0, depsMs=1000.0, setupMs=0.0, commandMs=8000.0)),
-        base | dict(id="c", runner="s", remotePhasesMs=dict(snapshotMs=500.0, setupMs=1500.0, commandMs=8000.0)),
-        base | dict(id="d", runner="s"), base | dict(id="e", executor="local", remotePhasesMs=dict(commandMs=1.0))]
+        base | dict(id="a", runner="kiwi", depsCache="hit", remotePhasesMs=dict(snapshotMs=200.0, depsMs=600.0, setupMs=200.0, commandMs=3000.0)),
+        base | dict(id="b", runner="kiwi", depsCache="hit", remotePhasesMs=dict(snapshotMs=100.0, setupMs=300.0, commandMs=1500.0, artifactsMs=100.0)),
+        base | dict(id="a", runner="kiwi", depsCache="miss", remotePhasesMs=dict(depsMs=9999.0)), base | dict(id="c", remotePhasesMs=dict(snapshotMs=50.0)),
+        base | dict(id="d", runner="kiwi"), base | dict(id="e", executor="local", remotePhasesMs=dict(commandMs=7.0))]
     h = _history(spark, rows)
     got = {(r["runner"], r["phase"]): r for r in reports.phases_report(h, ["foo"], SINCE, UNTIL).collect()}
-    assert (got["w", "depsMs"]["n"], got["w", "depsMs"]["p50"], got["w", "depsMs"]["p90"]) == (2, 1000, 3000)
-    assert got["s", "depsMs"]["n"] == 0 and got["s", "depsMs"]["p50"] is None and got["s", "uploadMs"]["runs"] == 1
+    assert [got["kiwi", "snapshotMs"][k] for k in ("runs", "n", "p50", "p90", "max")] == [2, 2, 100, 200, 200]
+    assert (got["kiwi", "depsMs"]["n"], got["kiwi", "depsMs"]["p50"]) == (1, 600) and got["unknown", "commandMs"]["p50"] is None
     share = {r["runner"]: r for r in reports.phase_overhead(h, ["foo"], SINCE, UNTIL).collect()}
-    assert share["w"]["overhead_share"] == 0.35 and share["w"]["depsCache"] == {"miss": 1, "hit": 1} and share["s"]["overhead_share"] == 0.2
+    assert share["kiwi"]["overhead_share"] == pytest.approx(1400 / 6000) and share["kiwi"]["depsCache"] == {"hit": 2}
+    assert share["unknown"]["overhead_share"] is None
 
 
 def test_reader_skips_torn_blank_null_and_diagnostic_lines(spark, tmp_path):
