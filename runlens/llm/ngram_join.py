@@ -9,7 +9,7 @@ full segments with many tokens first, then deletions, empty segments last.
 
 Signatures travel as compact blocks by hash range. Candidates are checked in two steps, both exact: first every member of
 a signature's group against the group's smallest id; then, only in groups that still span several components, every pair that
-is not yet in one component and passes the size bound and a parity-bitmap bound. So large groups of near copies are settled
+is not yet in one component and passes the size bound and a bound of the difference from parity sketches. So large groups of near copies are settled
 by their star, and no group is expanded into all its pairs. Equal sets are one class from the start.
 
 Sets are held as 64-bit hashes of their shingles; a false equality has odds below one in 10^10 for a pair of texts.
@@ -40,7 +40,7 @@ SMALL = 64
 #: Segments over what the pigeonhole needs, so that empty and small ones can be left out.
 SPARE = 1.15
 #: Signatures that a block range should hold about.
-RANGE_ROWS = 1 << 21
+RANGE_ROWS = 1 << 20
 #: A signature with so many documents in one chunk is joined there first.
 LOCAL_GROUP = 8
 
@@ -158,7 +158,7 @@ def signatures(s: Schemes, sh: np.ndarray, counts: np.ndarray, lower: bool) -> t
 
 
 def _summary_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document the set's size, two digests of it and 256 parity bits."""
+    """Per document the set's size, two digests of it, 256 parity bits, and a parity sketch of one or two bits a shingle."""
     for rows, data, offs in common.chunks(batches):
         sh, n = shingle_sets(data, offs)
         x = common.mix(sh ^ _C2)
@@ -169,7 +169,43 @@ def _summary_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             run = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(np.where(word == k, bit, np.uint64(0)))]) if len(x) else np.zeros(1, np.uint64)
             end = np.cumsum(n)
             cols.append(run[end] ^ run[end - n])
-        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(c.view(np.int64)) for c in cols)], names=["doc_id", "n_shingles", "k1", "k2", "p0", "p1", "p2", "p3"])
+        cut = np.concatenate([[0], np.cumsum(n)])
+        sketches = common.binary([parity_sketch(x[a:b]) for a, b in zip(cut, cut[1:], strict=False)])
+        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(c.view(np.int64)) for c in cols), sketches], names=["doc_id", "n_shingles", "k1", "k2", "p0", "p1", "p2", "p3", "sketch"])
+
+
+def parity_sketch(x: np.ndarray) -> bytes:
+    """For each slot of the hashes' low bits the parity of their number; a power of two of slots, at least one a hash."""
+    slots = max(64, 1 << max(0, len(x) - 1).bit_length())
+    odd = np.bincount((x & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def least_difference(a: np.ndarray, b: np.ndarray) -> int:
+    """A lower bound of the symmetric difference of two sets from their sketches (bytes as arrays); the longer one is folded."""
+    if len(a) > len(b):
+        a, b = b, a
+    return int(np.bitwise_count(np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0) ^ a).sum())
+
+
+def _plausible_task(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            ok = []
+            for n, x, y in zip(rows.column("n").to_pylist(), rows.column("sketch_a"), rows.column("sketch_b"), strict=True):
+                differ = least_difference(*(np.frombuffer(t.as_buffer(), np.uint8) for t in (x, y)))
+                ok.append((100 + percent) * differ <= (100 - percent) * n)
+            keep = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([rows.column("a").filter(keep), rows.column("b").filter(keep)], names=["a", "b"])
+
+    return run
+
+
+def _plausible(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their sizes and sketches leave possible."""
+    side = lambda x: rows.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    return both.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "sketch_a", "sketch_b").mapInArrow(_plausible_task(percent), "a long, b long").distinct()
 
 
 def _planes(x: np.ndarray, n: int) -> bytes:
@@ -194,7 +230,7 @@ def _signature_task(largest: int, percent: int, bits: int):
             parts = [signatures(s, sh, n, lower) for lower in (False, True)]
             sig, number, role = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.argsort(sig, kind="stable")
-            sig, role = sig[order], role[order].astype(np.int64)
+            sig, role = sig[order], role[order].astype(np.int8)
             own = ids[number[order]].astype(np.int64)
             new = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
             size = np.diff(np.concatenate([new, [len(sig)]]))
@@ -276,7 +312,7 @@ def _candidate_task(bits: int):
                     top = (sig >> np.uint64(64 - bits)) << np.uint64(40) if bits else np.uint64(0)
                     yield batch(1, (low | top).view(np.int64), own, np.full(len(sig), role & (INDEX | PROBE)))
                 else:
-                    held.setdefault(where, []).append((_unplanes(sigs, LOW_BYTES), own, np.full(len(own), role)))
+                    held.setdefault(where, []).append((_unplanes(sigs, LOW_BYTES), own, np.full(len(own), role, np.int8)))
         for where in list(held):
             yield from group(where, held.pop(where))
 
@@ -331,7 +367,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, percent: int
 def similar_components(docs: DataFrame, percent: int = PERCENT, range_rows: int = RANGE_ROWS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable over links of Jaccard >= percent / 100)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = cut_lineage(texts.mapInArrow(_summary_task, "doc_id long, n_shingles long, k1 long, k2 long, p0 long, p1 long, p2 long, p3 long"), "shingle-sets")
+    rows = cut_lineage(texts.mapInArrow(_summary_task, "doc_id long, n_shingles long, k1 long, k2 long, p0 long, p1 long, p2 long, p3 long, sketch binary"), "shingle-sets")
     totals = rows.agg(F.max("n_shingles"), F.sum("n_shingles")).first()
     largest, tokens = totals[0] or 0, totals[1] or 0
     classes = cut_lineage(rows.where("n_shingles > 0").groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("class_id"), F.first("p0").alias("p0"), F.first("p1").alias("p1"), F.first("p2").alias("p2"), F.first("p3").alias("p3")), "set-classes")
@@ -350,8 +386,10 @@ def similar_components(docs: DataFrame, percent: int = PERCENT, range_rows: int
     members = cut_lineage(members, "group-members")
 
     # first each set meets the set with which it shares most signatures
-    stars = cut_lineage(edges.groupBy("b").agg(F.max(F.struct("n", -F.col("a"))).alias("m")).select((-F.col("m")["col2"]).alias("a"), "b"), "star-pairs")
-    links = cut_lineage(_verified(stars, texts, classes, percent), "star-links")
+    size = lambda x: classes.select(F.col("class_id").alias(x), F.col("n_shingles").alias(f"n_{x}"))
+    sized = edges.join(size("a"), "a").join(size("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    stars = cut_lineage(sized.groupBy("b").agg(F.max(F.struct("n", -F.col("a"))).alias("m")).select((-F.col("m")["col2"]).alias("a"), "b"), "star-pairs")
+    links = cut_lineage(_verified(cut_lineage(_plausible(stars, rows, percent), "plausible-stars"), texts, classes, percent), "star-links")
     first = components(links)
 
     labelled = members.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -367,7 +405,7 @@ def similar_components(docs: DataFrame, percent: int = PERCENT, range_rows: int
     inside = ordered(side("x", INDEX).join(side("y", PROBE), "sig").where(near))
     beside = ordered(edges.select(F.col("a").alias("id_x"), F.col("b").alias("id_y")).join(about("x"), "id_x").join(about("y"), "id_y").where(near))
     pairs = cut_lineage(inside.unionByName(beside).distinct().join(stars, ["a", "b"], "left_anti"), "open-pairs")
-    more = cut_lineage(_verified(pairs, texts, classes, percent), "open-links")
+    more = cut_lineage(_verified(cut_lineage(_plausible(pairs, rows, percent), "plausible-pairs"), texts, classes, percent), "open-links")
     final = components(links.unionByName(more)) if not more.isEmpty() else first
     return rows.select("doc_id", "n_shingles").join(of, "doc_id", "left").join(final.withColumnRenamed("id", "class_id"), "class_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "class_id", "doc_id").alias("component_id"))
 
