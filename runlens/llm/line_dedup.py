@@ -1,16 +1,20 @@
-"""Line dedup by an exact set-similarity join, in DataFrame functions only.
+"""Line dedup by an exact set-similarity join.
 
 A line is the set of its lower-cased blank-separated words. A line is removed when an earlier line (by doc_id, then line
 number) of the corpus has a Jaccard similarity of `PERCENT` to it; equal sets have 1.
 
-Words are ordered by rarity: first the words outside the corpus' `FREQUENT` most frequent ones, in a fixed order, then those, the
-rarer first. All lines agree on the order. Two similar lines share a word of their prefixes (the first n - ceil(t n) + 1 words).
-Equal sets become one row before prefixes are spread over words, so a line repeated everywhere costs one row for each task; words
-of one set only go. Candidates then pass the length and positional filters and are verified on their words. First each set meets
-the earliest set of its prefix words; only sets that found no earlier match there meet the other sets of their words, so the
-variants of a common line don't meet each other.
+Words are ordered by rarity: a word's key has the rank of its hash slot by corpus count in the high bits and the word's hash below, so
+the smallest keys of a line are its rarest words and all lines agree on the order. Two similar lines share a word of their
+prefixes (the first n - ceil(t n) + 1 words). Equal sets become one row before prefixes are spread over words, so a line repeated
+everywhere costs one row for each task; words of one set only go. Candidates then pass the length and positional filters and
+a bound from 256 parity bits, and are verified on their words. First each set meets the earliest set of its prefix words;
+only sets that found no earlier match there meet the other sets of their words, so the variants of a common line don't meet
+each other.
 
-Sets and prefix words are known by 64 bits of hash; a false match has odds below one in 10^10 for a pair of lines.
+Lines are cut and keyed in numpy batches; the join, its filters and the verification are DataFrame operations. A form in
+DataFrame functions alone gave the same results but not within the limits (figures in the README).
+
+Sets are known by 64 and words by 64 bits of hash; a false match has odds below one in 10^10 for a pair of lines.
 
 Defined cases: lines without words (blank, empty or null texts) are never removed and match nothing; ties don't exist within a
 document; rows that repeat a doc_id count as one document, so of their equal lines all with the first line number stay; a null
@@ -19,42 +23,119 @@ doc_id comes before all others; an empty table gives an empty result; further co
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runlens.llm import common
 from runlens.session import cut_lineage
 
 PERCENT = 80
-FREQUENT = 256
-#: Counters of the frequent-item sketch; its counts are exact while a task has fewer words.
-TRACKED = 1 << 16
-BLANKS = "[ \\t\\r\\x0b\\x0c]+"
-
-
-def _words(line: str) -> Column:
-    return F.array_distinct(F.array_remove(F.split(line, BLANKS), ""))
-
-
-def frequent_words(docs: DataFrame, size: int = FREQUENT) -> list[str]:
-    """The most frequent words of all documents, the rarer first: at most `size`, whatever the corpus."""
-    words = docs.select(F.explode(F.split(F.lower("text"), "[ \\t\\r\\x0b\\x0c\\n]+")).alias("w")).where("w <> ''")
-    top = words.agg(F.expr(f"approx_top_k(w, {size}, {TRACKED})").alias("top")).first()["top"]
-    return [r["item"] for r in sorted(top, key=lambda r: (r["count"], r["item"]))]
-
-
-def _ordered(words: Column | str, frequent: list[str]) -> Column:
-    hot = F.array(*[F.lit(w) for w in frequent]) if frequent else F.array().cast("array<string>")
-    return F.concat(F.sort_array(F.array_except(words, hot)), F.array_intersect(hot, words))
-
-
-def keyed_lines(docs: DataFrame, frequent: list[str], percent: int = PERCENT) -> DataFrame:
-    """Lines with words: doc_id, line_no, set_id, n (words of the set), prefix (hashes of its rarest words)."""
-    lines = docs.select("doc_id", F.posexplode(F.split(F.lower("text"), "\n")).alias("line_no", "line"))
-    words = lines.select("doc_id", "line_no", _words("line").alias("words")).where(F.size("words") > 0)
-    order = words.select("doc_id", "line_no", _ordered("words", frequent).alias("words"))
-    size = F.size("words")
-    prefix = size - F.floor((percent * size + 99) / 100).cast("int") + 1
-    return order.select("doc_id", "line_no", F.xxhash64("words").alias("set_id"), size.alias("n"), F.transform(F.slice("words", F.lit(1), prefix), lambda w: F.xxhash64(w)).alias("prefix"))
+SLOTS = 1 << 16
+SLOT_BLOCK = 1 << 10
+_P = np.uint64(0xD6E8FEB86659FD93)
+
+
+def _lowered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        at = b.schema.get_field_index("text")
+        yield b.set_column(at, "text", pc.utf8_lower(b.column(at)))
+
+
+def _slot_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(SLOTS, np.int64)
+    for _, data, offs in common.chunks(_lowered(batches)):
+        starts, ends, _ = common.words(data, offs, ~common.BLANK)
+        counts += np.bincount((common.Hashes(data).of(starts, ends) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+    blocks = counts.reshape(-1, SLOT_BLOCK)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks), dtype=np.int32)), common.binary([b.tobytes() for b in blocks])], names=["block", "counts"])
+
+
+def _add_task(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x.as_py(), np.int64) for x in table.column("counts"))
+    return pa.table({"block": table.column("block").slice(0, 1).combine_chunks(), "counts": common.binary([total.tobytes()])})
+
+
+def slot_ranks(docs: DataFrame) -> np.ndarray:
+    """Rank of each hash slot by the number of words in it over all documents: SLOTS numbers, whatever the corpus."""
+    rows = docs.select("text").mapInArrow(_slot_task, "block int, counts binary").groupBy("block").applyInArrow(_add_task, "block int, counts binary").collect()
+    counts = np.zeros(SLOTS, np.int64)
+    for r in rows:
+        counts[r["block"] * SLOT_BLOCK : (r["block"] + 1) * SLOT_BLOCK] = np.frombuffer(r["counts"], np.int64)
+    ranks = np.zeros(SLOTS, np.uint64)
+    ranks[np.argsort(counts, kind="stable")] = np.arange(SLOTS, dtype=np.uint64)
+    return ranks
+
+
+def line_sets(data: np.ndarray, offs: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, line number, word count, keys): the distinct word keys of each line with words, ascending within the line."""
+    starts, ends, doc = common.words(data, offs, ~common.BLANK)
+    h = common.Hashes(data).of(starts, ends)
+    key = ranks[(h & np.uint64(SLOTS - 1)).astype(np.int64)] << np.uint64(48) | h >> np.uint64(16)
+    breaks = np.concatenate([[0], np.cumsum(data == 0x0A)])
+    line = breaks[starts] - breaks[offs[doc]]
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])]) if len(doc) else np.zeros(0, bool)
+    of = np.cumsum(new) - 1
+    order = np.lexsort((key, of))
+    key, of = key[order], of[order]
+    keep = np.concatenate([[True], (key[1:] != key[:-1]) | (of[1:] != of[:-1])]) if len(key) else new
+    return doc[new], line[new], np.bincount(of[keep], minlength=int(new.sum())), key[keep]
+
+
+def _set_ids(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(common.mix(keys ^ _P), dtype=np.uint64)])
+    end = np.cumsum(n)
+    return common.mix(total[end] - total[end - n] + n.astype(np.uint64)).view(np.int64)
+
+
+def _line_task(ranks, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offs in common.chunks(_lowered(batches)):
+            doc, line, n, keys = line_sets(data, offs, ranks.value)
+            end = np.cumsum(n)
+            first = end - n
+            x = common.mix(keys + _P)
+            bit, word = np.uint64(1) << (x & np.uint64(63)), (x >> np.uint64(6)) & np.uint64(3)
+            parity = []
+            for k in range(4):
+                run_ = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(np.where(word == k, bit, np.uint64(0)))]) if len(x) else np.zeros(1, np.uint64)
+                parity.append(pa.array((run_[end] ^ run_[first]).view(np.int64)))
+            size = n - (percent * n + 99) // 100 + 1
+            at = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]) if len(n) else first, size) + np.arange(int(size.sum()))
+            prefix = common.lists(pa.array(keys[at].view(np.int64)), size)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(doc)), pa.array(line.astype(np.int32)), pa.array(_set_ids(keys, n)), pa.array(n.astype(np.int32)), prefix, *parity], names=["doc_id", "line_no", "set_id", "n", "prefix", "p0", "p1", "p2", "p3"])
+
+    return run
+
+
+def keyed_lines(docs: DataFrame, ranks, percent: int = PERCENT) -> DataFrame:
+    """Lines with words: doc_id, line_no, set_id, n (words of the set), prefix (keys of its rarest words), 256 parity bits."""
+    return docs.select("doc_id", "text").mapInArrow(_line_task(ranks, percent), "doc_id long, line_no int, set_id long, n int, prefix array<long>, p0 long, p1 long, p2 long, p3 long")
+
+
+def _wanted_task(ranks):
+    """The words of the wanted lines of each text; a line of another text with the same id doesn't have the set's id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offs in common.chunks(_lowered(batches)):
+            doc, line, n, keys = line_sets(data, offs, ranks.value)
+            ids, end = _set_ids(keys, n), np.cumsum(n)
+            place = {(d, x): i for i, (d, x) in enumerate(zip(doc.tolist(), line.tolist(), strict=True))}
+            found, parts = [], []
+            for d, wanted in enumerate(rows.column("wanted").to_pylist()):
+                for w in wanted:
+                    i = place.get((d, w["line_no"]))
+                    if i is not None and ids[i] == w["set_id"]:
+                        found.append(w["set_id"])
+                        parts.append(keys[end[i] - n[i] : end[i]].view(np.int64))
+            flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), common.lists(pa.array(flat), np.array([len(p) for p in parts], np.int64))], names=["set_id", "words"])
+
+    return run
 
 
 def _near(percent: int) -> Column:
@@ -64,22 +145,25 @@ def _near(percent: int) -> Column:
     return lengths & ((100 + percent) * rest >= percent * (F.col("n_x") + F.col("n_y")))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, frequent: list[str], percent: int) -> DataFrame:
-    """(set_id): the later sets of those pairs (set_id_x, set_id_y) that are similar, by their words."""
-    wanted = pairs.select(F.col("set_id_x").alias("set_id")).union(pairs.select("set_id_y")).distinct()
-    places = cut_lineage(wanted.join(sets.select("set_id", "at"), "set_id").select("set_id", F.col("at.doc_id").alias("_doc"), F.col("at.line_no").alias("_line")), "wanted-lines")
-    texts = docs.join(places, F.col("doc_id").eqNullSafe(F.col("_doc")))
-    lines = texts.select("set_id", F.get(F.split(F.lower("text"), "\n"), F.col("_line")).alias("line")).select("set_id", _words("line").alias("words"))
-    # rows may repeat a doc_id: only the set's own line counts
-    own = lines.select("set_id", _ordered("words", frequent).alias("words")).where(F.xxhash64("words") == F.col("set_id"))
-    words = cut_lineage(own.dropDuplicates(["set_id"]), "line-words")
-    both = pairs.join(words.select(F.col("set_id").alias("set_id_y"), F.col("words").alias("y")), "set_id_y").join(words.select(F.col("set_id").alias("set_id_x"), F.col("words").alias("x")), "set_id_x")
-    common = F.size(F.array_intersect("x", "y"))
-    return cut_lineage(both.where((100 + percent) * common >= percent * (F.size("x") + F.size("y"))).select(F.col("set_id_y").alias("set_id")).distinct(), "line-matches")
-
-
-def similar_sets(docs: DataFrame, sets: DataFrame, frequent: list[str], percent: int = PERCENT) -> DataFrame:
-    """(set_id): sets for which the corpus has an earlier similar set. `sets`: set_id, n, prefix, at (first occurrence)."""
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, ranks, percent: int) -> DataFrame:
+    """(set_id): the later sets of those pairs (set_id_x, set_id_y) that are similar: parity bits first, then the words."""
+    bits = ["n", "p0", "p1", "p2", "p3"]
+    side = lambda x: sets.select(*[F.col(c).alias(f"{c}_{x}") for c in ["set_id", *bits]])
+    differ = sum((F.bit_count(F.col(f"p{k}_x").bitwiseXOR(F.col(f"p{k}_y"))) for k in range(4)), F.lit(0))
+    possible = pairs.join(side("x"), "set_id_x").join(side("y"), "set_id_y").where((100 + percent) * differ <= (100 - percent) * (F.col("n_x") + F.col("n_y")))
+    possible = cut_lineage(possible.select("set_id_x", "set_id_y"), "possible-lines")
+    wanted = possible.select(F.col("set_id_x").alias("set_id")).union(possible.select("set_id_y")).distinct().join(sets.select("set_id", "at"), "set_id")
+    # one row for each document, with its own lines
+    places = cut_lineage(wanted.groupBy(F.col("at.doc_id").alias("_doc")).agg(F.collect_list(F.struct(F.col("at.line_no").alias("line_no"), "set_id")).alias("wanted")), "wanted-lines")
+    texts = docs.select("doc_id", "text").join(places, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("text", "wanted")
+    words = cut_lineage(texts.mapInArrow(_wanted_task(ranks), "set_id long, words array<long>").dropDuplicates(["set_id"]), "line-words")
+    both = possible.join(words.select(F.col("set_id").alias("set_id_y"), F.col("words").alias("y")), "set_id_y").join(words.select(F.col("set_id").alias("set_id_x"), F.col("words").alias("x")), "set_id_x")
+    common_words = F.size(F.array_intersect("x", "y"))
+    return cut_lineage(both.where((100 + percent) * common_words >= percent * (F.size("x") + F.size("y"))).select(F.col("set_id_y").alias("set_id")).distinct(), "line-matches")
+
+
+def similar_sets(docs: DataFrame, sets: DataFrame, ranks, percent: int = PERCENT) -> DataFrame:
+    """(set_id): sets for which the corpus has an earlier similar set. `sets`: set_id, n, prefix, at (first occurrence), parity bits."""
     rows = sets.select("set_id", "n", "at", F.posexplode("prefix").alias("pos", "word")).repartition("word")
     heads = rows.groupBy("word").agg(F.count("*").alias("sets"), F.min(F.struct("at", "set_id", "n", "pos")).alias("head")).where("sets > 1")
     shared = cut_lineage(rows.join(heads.select("word", "head"), "word"), "shared-prefix-words")
@@ -88,19 +172,20 @@ def similar_sets(docs: DataFrame, sets: DataFrame, frequent: list[str], percent:
     head = {f"{c}_x": F.col(f"head.{c}") for c in ("set_id", "n", "pos", "at")}
     stars = shared.withColumnsRenamed({c: f"{c}_y" for c in ("set_id", "n", "pos", "at")}).withColumns(head)
     stars = cut_lineage(stars.where((F.col("at_x") < F.col("at_y")) & _near(percent)).select("set_id_x", "set_id_y").distinct(), "star-lines")
-    found = _verified(stars, sets, docs, frequent, percent)
+    found = _verified(stars, sets, docs, ranks, percent)
     rest = side("y").join(found.withColumnRenamed("set_id", "set_id_y"), "set_id_y", "left_anti")
     pairs = side("x").join(rest, "word").where((F.col("at_x") < F.col("at_y")) & _near(percent)).select("set_id_x", "set_id_y").distinct().join(stars, ["set_id_x", "set_id_y"], "left_anti")
-    return found.unionByName(_verified(cut_lineage(pairs, "open-lines"), sets, docs, frequent, percent))
+    return found.unionByName(_verified(cut_lineage(pairs, "open-lines"), sets, docs, ranks, percent))
 
 
 def line_verdicts(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per line with words: doc_id, line_no, removed."""
-    frequent = frequent_words(docs)
-    lines = cut_lineage(keyed_lines(docs, frequent, percent), "keyed-lines")
-    sets = lines.groupBy("set_id").agg(F.min(F.struct("doc_id", "line_no", "n", "prefix")).alias("m"))
-    sets = cut_lineage(sets.select("set_id", "m.n", "m.prefix", F.struct("m.doc_id", "m.line_no").alias("at")), "line-sets")
-    gone = similar_sets(docs, sets, frequent, percent).withColumn("gone", F.lit(True))
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    ranks = docs.sparkSession.sparkContext.broadcast(slot_ranks(docs))  # SLOTS numbers
+    lines = cut_lineage(keyed_lines(docs, ranks, percent), "keyed-lines")
+    sets = lines.groupBy("set_id").agg(F.min(F.struct("doc_id", "line_no", "n", "prefix", "p0", "p1", "p2", "p3")).alias("m"))
+    sets = cut_lineage(sets.select("set_id", "m.n", "m.prefix", "m.p0", "m.p1", "m.p2", "m.p3", F.struct("m.doc_id", "m.line_no").alias("at")), "line-sets")
+    gone = similar_sets(docs, sets, ranks, percent).withColumn("gone", F.lit(True))
     marks = sets.select("set_id", "at").join(gone, "set_id", "left").select("set_id", "at", F.coalesce("gone", F.lit(False)).alias("gone"))
     return lines.select("doc_id", "line_no", "set_id").join(marks, "set_id").select("doc_id", "line_no", (F.col("gone") | ~F.struct("doc_id", "line_no").eqNullSafe(F.col("at"))).alias("removed"))
 

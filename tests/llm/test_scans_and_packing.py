@@ -159,11 +159,6 @@ def test_line_dedup_hot_variants_and_columns(make):
     assert line_dedup.document_report(make([])).count() == 0
 
 
-def test_line_dedup_plan_is_native(make):
-    plan = line_dedup.keyed_lines(make([(1, "a b")]), ["a"])._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan
-
-
 def test_secret_scan_held_out(make):
     r = random.Random(5)
     rand = lambda n: "".join(r.choices("0123456789abcdef", k=n))
