@@ -33,7 +33,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 PHONE_TAIL = re.compile(r"[\x20().0-9-]+")
 SEPARATORS = str.maketrans("", "", " -")
 WORD = re.compile(r"\S+")
-TRIGGER = re.compile(r"\S*[0-9@]\S*")
+TRIGGER = re.compile("[0-9@]")
 EDGE = "\"'`.,;:!?#*$%&|<>[]{}…«»„“”"
 #: Windows of at most so many words, padding included, are decoded at once.
 BATCH_WORDS = 20_000
@@ -208,11 +208,13 @@ def text_windows(text: str) -> list[list[tuple[int, int]]]:
     """Word bounds of the windows: words with a digit or an at sign and two words on either side; near ones are one window."""
     out: list[list[tuple[int, int]]] = []
     done = 0  # end of the last word taken
-    for m in TRIGGER.finditer(text):
-        if m.start() < done:
-            continue
+    m = TRIGGER.search(text)
+    while m:
+        first = m.start()
+        while first > done and not text[first - 1].isspace():
+            first -= 1
         left: list[tuple[int, int]] = []
-        at = m.start()
+        at = first
         while len(left) < 2:  # two words before it that no window holds yet
             while at > done and text[at - 1].isspace():
                 at -= 1
@@ -226,13 +228,14 @@ def text_windows(text: str) -> list[list[tuple[int, int]]]:
         window = out[-1] if joined else []
         if not joined:
             out.append(window)
-        window += [*reversed(left), m.span()]
-        right, at, since = 0, m.end(), m.end()
-        while right < 2 and (w := WORD.search(text, at)):
+        done = WORD.match(text, first).end()
+        window += [*reversed(left), (first, done)]
+        right = 0
+        while right < 2 and (w := WORD.search(text, done)):
             window.append(w.span())
-            at = since = w.end()
-            right = 0 if any(c == "@" or "0" <= c <= "9" for c in w[0]) else right + 1
-        done = since
+            done = w.end()
+            right = 0 if TRIGGER.search(w[0]) else right + 1
+        m = TRIGGER.search(text, done)
     return out
 
 
