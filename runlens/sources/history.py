@@ -26,7 +26,9 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     # one row per file split; Spark broadcasts it when it is small enough
     files = blocks.select("src_file").distinct().withColumn("file_no", F.row_number().over(Window.orderBy("src_file")) - 1)
     places = blocks.join(files, "src_file").select("src_file", "block", "first_row", "file_no")
-    at = F.shiftleft(F.col("file_no").cast("long"), BLOCK_BITS) + F.col("block") + F.col("row") - F.col("first_row")
+    # 44 bits hold the offsets of a file of 16 TB and leave room for half a million files; beyond, fail rather than mix the order
+    fits = (F.col("file_no") < 1 << (63 - BLOCK_BITS)) & (F.col("block") + F.col("row") - F.col("first_row") < 1 << BLOCK_BITS)
+    at = F.when(~fits, F.raise_error(F.lit("too many or too large files for one read"))).otherwise(F.shiftleft(F.col("file_no").cast("long"), BLOCK_BITS) + F.col("block") + F.col("row") - F.col("first_row"))
     return raw.join(places, ["src_file", "block"]).select("line", "src_file", at.alias("ord"))
 
 

@@ -131,6 +131,13 @@ def finish_ranking(spark, sf):
     return placement.finish_ranking(c, float(NOW)).withColumns({"wait_ms": F.round("wait_ms", 4), "finish_ms": F.round("finish_ms", 4)})
 
 
+@query("closes_before_finish", "JON18", oracle(["tickets"], """
+SELECT ticket_id AS t_ms, 'r' || (ticket_id % 4)::VARCHAR AS runner, coalesce(ticket_id + ticket_id % 70 * 60000 + ticket_id % 90 * 50000 > CASE WHEN ticket_id % 3 <> 0 THEN ticket_id + ticket_id % 50 * 100000 END, false) AS closes_first FROM tickets"""))
+def closes_before_finish(spark, sf):
+    t = flat(spark, sf, "tickets").selectExpr("ticket_id AS t_ms", "concat('r', ticket_id % 4) AS runner", "ticket_id % 70 * 60000 AS wait_ms", "ticket_id % 90 * 50000 AS run_ms", "CASE WHEN ticket_id % 3 <> 0 THEN ticket_id + ticket_id % 50 * 100000 END AS closes_at")
+    return placement.closes_before_finish(t.drop("closes_at"), t.select("t_ms", "runner", "closes_at")).select("t_ms", "runner", "closes_first")
+
+
 QUEUE_SQL = """
 tq AS (SELECT ticket_id AS ticket, host, created_ms, (60000 + (ticket_id % 50) * 20000)::DOUBLE AS estimate_ms, priority, ticket_id % 9 = 0 AS admits_now, ticket_id % 10 = 1 AS blocked, ticket_id % 8 = 3 AS held,
   CASE WHEN ticket_id % 6 <> 0 THEN 1 + (ticket_id % 5)::DOUBLE / 4 END AS ratio, CASE WHEN ticket_id % 4 = 0 THEN (ticket_id % 997)::DOUBLE * 1000000 END AS remote_finish, (1 + ticket_id % 3)::DOUBLE AS slots FROM tickets WHERE state = 'queued'),

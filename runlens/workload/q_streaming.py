@@ -92,7 +92,9 @@ def stream_starvation(spark, sf):
     return out.groupBy("host", "since_ms").agg(F.max("last_ms").alias("last_ms"), F.count("*").alias("denials"))
 
 
-@query("stream_decision_rates", "AGG39 STR14")
+@query("stream_decision_rates", "AGG39 STR14", f"""WITH d AS ({qt.DEC.replace('{events}', 'events')})
+SELECT * FROM (SELECT host, t_ms // 3600000 * 3600000 AS hour_ms, CASE WHEN admit THEN 'admit' ELSE 'deny' END AS verdict, reason, count(*) AS n FROM d GROUP BY 1, 2, 3, 4) w
+WHERE hour_ms + 3600000 <= (SELECT max(t_ms) - 600000 FROM d)""")
 def stream_decision_rates(spark, sf):
     return jobs.run_to_table(jobs.decision_rates(_stream(spark, sf, text=qt.DEC)), "rates")
 
