@@ -165,5 +165,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_coverage: float = M
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """Documents that no benchmark item contaminates, with all their columns."""
-    gone = contamination(docs, benchmark, min_coverage).where("contaminated").select("doc_id").distinct()
+    gone = cut_lineage(contamination(docs, benchmark, min_coverage).where("contaminated").select("doc_id").distinct(), "rejected")  # of a size that Spark knows
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

@@ -112,7 +112,8 @@ def exact_groups(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
 def keep_one(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The documents that stay, with all their columns; of rows that repeat an id with its text, one stays."""
     groups = cut_lineage(exact_groups(docs, block_rows).select("doc_id", "kept", "text_sha256"), "exact-groups")
-    stays = docs.join(groups.where("not kept").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    gone = cut_lineage(groups.where("not kept").select("doc_id"), "rejected")  # of a size that Spark knows
+    stays = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     twice = groups.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if twice.isEmpty():
         return stays

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.llm import common
+from runlens.session import cut_lineage
 
 PER_LANG = 4000
 SWITCH_PENALTY = 12.0
@@ -208,5 +209,6 @@ def detect(docs: DataFrame, per_lang: int = PER_LANG, spans: bool = False) -> Da
 
 def keep_known(docs: DataFrame, per_lang: int = PER_LANG, min_score: float = MIN_SCORE) -> DataFrame:
     """Documents whose language is known and holds at least `min_score` of their letters; all columns stay."""
-    gone = detect(docs, per_lang).where((F.col("lang_pred") == "und") | (F.col("score") < min_score)).select("doc_id")
+    # written, so that Spark knows its size: few ids are broadcast and the texts stay where they are
+    gone = cut_lineage(detect(docs, per_lang).where((F.col("lang_pred") == "und") | (F.col("score") < min_score)).select("doc_id"), "rejected")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

@@ -412,5 +412,5 @@ def similar_components(docs: DataFrame, percent: int = PERCENT, range_rows: int
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One document of each group of similar ones (the smallest doc_id), and all that are alone; all columns stay."""
-    gone = similar_components(docs, percent).where("doc_id <> component_id").select("doc_id")
+    gone = cut_lineage(similar_components(docs, percent).where("doc_id <> component_id").select("doc_id"), "rejected")  # of a size that Spark knows
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
