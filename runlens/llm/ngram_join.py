@@ -394,7 +394,10 @@ def similar_components(docs: DataFrame, percent: int = PERCENT, range_rows: int
 
     labelled = members.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
     labelled = cut_lineage(labelled, "labelled-members")
-    open_groups = labelled.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.bit_or("role").alias("roles")).where(f"lo <> hi and roles = {INDEX | PROBE}").select("sig")
+    # groups of the same members in the same roles (told by two digests) give the same pairs: one of them stands for all
+    digest = lambda k: F.bit_xor(F.xxhash64("id", "role", F.lit(k)))
+    groups = labelled.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.bit_or("role").alias("roles"), F.count("*").alias("members"), digest(1).alias("d1"), digest(2).alias("d2"))
+    open_groups = groups.where(f"lo <> hi and roles = {INDEX | PROBE}").groupBy("members", "d1", "d2").agg(F.min("sig").alias("sig")).select("sig")
     facts = classes.select(F.col("class_id").alias("id"), "n_shingles", "p0", "p1", "p2", "p3").join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
     about = lambda x: facts.select(*[F.col(c).alias(f"{c}_{x}") for c in facts.columns])
     differ = sum((F.bit_count(F.col(f"p{k}_x").bitwiseXOR(F.col(f"p{k}_y"))) for k in range(4)), F.lit(0))
