@@ -7,7 +7,7 @@ difference each, segments compared within one deletion for two. Every set indexe
 neighbourhoods for the scheme's `doubles`; as a probe (in its own band and the one below) it picks the cheapest allocation:
 full segments with many tokens first, then deletions, empty segments last.
 
-Signatures travel as compact blocks by hash range. Candidates are checked in two steps, both exact: first every member of
+Signatures that many texts of one chunk share are joined there, and one member stands for them in the shuffle. Candidates are checked in two steps, both exact: first every member of
 a signature's group against the group's smallest id; then, only in groups that still span several components, every pair that
 is not yet in one component and passes the size bound and a bound of the difference from parity sketches. So large groups of near copies are settled
 by their star, and no group is expanded into all its pairs. Equal sets are one class from the start.
@@ -39,17 +39,16 @@ PERCENT = 80
 SMALL = 64
 #: Segments over what the pigeonhole needs, so that empty and small ones can be left out.
 SPARE = 1.15
-#: Signatures that a block range should hold about.
+#: Signatures that a partition should hold about.
 RANGE_ROWS = 1 << 20
 #: A signature with so many documents in one chunk is joined there first.
 LOCAL_GROUP = 8
 
-#: Bytes of a signature that travel beside the number of its range; with it they tell signatures apart.
-LOW_BYTES = 5
 #: Shingles (8 bytes each) of sets that meet in one place to be verified; larger neighbourhoods are split.
 PLACE_TOKENS = 1 << 21
 
-INDEX, PROBE, STANDS, MEMBER = 1, 2, 4, 16
+INDEX, PROBE, STANDS = 1, 2, 4
+ROLES = np.uint64(7)
 _C1, _C2, _C3 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -208,115 +207,73 @@ def _plausible(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "sketch_a", "sketch_b").mapInArrow(_plausible_task(percent), "a long, b long").distinct()
 
 
-def _planes(x: np.ndarray, n: int) -> bytes:
-    """The low n bytes of 64-bit numbers, byte by byte, so that constant bytes compress away."""
-    return x.view(np.uint8).reshape(-1, 8)[:, :n].T.tobytes()
+def _signature_task(largest: int, percent: int):
+    """Rows (signature with the role in its low bits, id, rep): `rep` is set for members that meet here and go on beside."""
 
-
-def _unplanes(b: bytes, n: int) -> np.ndarray:
-    raw = np.frombuffer(b, np.uint8).reshape(n, -1)
-    out = np.zeros((raw.shape[1], 8), np.uint8)
-    out[:, :n] = raw.T
-    return out.view(np.uint64).ravel()
-
-
-def _signature_task(largest: int, percent: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Schemes(largest, percent)
-        turn = 0
         for rows, data, offs in common.chunks(batches):
             ids = rows.column("doc_id").to_numpy(zero_copy_only=False)
             sh, n = shingle_sets(data, offs)
             parts = [signatures(s, sh, n, lower) for lower in (False, True)]
             sig, number, role = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.argsort(sig, kind="stable")
-            sig, role = sig[order], role[order].astype(np.int8)
-            own = ids[number[order]].astype(np.int64)
+            sig, role, own = sig[order] & ~ROLES, role[order].astype(np.uint64), ids[number[order]].astype(np.int64)
             new = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
             size = np.diff(np.concatenate([new, [len(sig)]]))
-            # signatures that many texts of the chunk share: the members go on beside, one stands for them
-            crowd = np.repeat(size >= LOCAL_GROUP, size)
-            out = []
-            if crowd.any():
-                big = np.flatnonzero(size >= LOCAL_GROUP)
-                out.append((sig[new[big]], np.minimum.reduceat(own, new)[big], np.bitwise_or.reduceat(role, new)[big] | STANDS))
-                for r in (INDEX, PROBE, INDEX | PROBE):
-                    at = np.flatnonzero(crowd & (role == r))
-                    if len(at):
-                        turn += 1
-                        where = int(common.mix(np.array([own[at[0]] + turn], np.uint64))[0] >> np.uint64(64 - bits)) if bits else 0
-                        yield _blocks([(where, r | MEMBER, sig[at], own[at], 8)])
-            rest = ~crowd
-            out.append((sig[rest], own[rest], role[rest]))
-            sig, own, role = (np.concatenate(x) for x in zip(*out, strict=True))
-            blocks = []
-            for r in np.unique(role):
-                at = np.flatnonzero(role == r)
-                at = at[np.argsort(sig[at])]
-                where = (sig[at] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(at), np.int64)
-                cut = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])).tolist() + [len(at)]
-                blocks += [(int(where[x]), int(r), sig[at[x:y]], own[at[x:y]], LOW_BYTES) for x, y in zip(cut, cut[1:], strict=False)]
-            if blocks:
-                yield _blocks(blocks)
+            # signatures that many texts of the chunk share: the members go on beside, the smallest stands for them
+            big = size >= LOCAL_GROUP
+            crowd = np.repeat(big, size)
+            least = np.minimum.reduceat(own, new) if len(new) else own
+            roles = np.bitwise_or.reduceat(role, new) if len(new) else role
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate([sig | role, sig[new[big]] | roles[big] | np.uint64(STANDS)]).view(np.int64)), pa.array(np.concatenate([own, least[big]])),
+                pa.array(np.concatenate([np.repeat(least, size), least[big]]), mask=np.concatenate([~crowd, np.ones(int(big.sum()), bool)]))], names=["sig", "id", "rep"])
 
     return run
 
 
-def _blocks(blocks: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([b[0] for b in blocks], pa.int32()), pa.array([b[1] for b in blocks], pa.int32()), common.binary([_planes(b[2], b[4]) for b in blocks]), common.binary([_planes(b[3].view(np.uint64), 8) for b in blocks])], names=["range", "role", "sigs", "ids"])
-
+def _candidate_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Signature rows of a partition -> star edges (kind 0: smaller id a, b, shared signatures) and members of larger groups (kind 1: signature, id, role)."""
 
-def _candidate_task(bits: int):
-    """Blocks of a partition -> star edges (kind 0: smallest id a, b, shared signatures) and members of larger groups (kind 1: signature, id, role)."""
+    def batch(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(n.astype(np.int32))], names=["kind", "a", "b", "n"])
 
-    def edges(sig: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
-        new = np.concatenate([[True], sig[1:] != sig[:-1]])
-        rep = np.minimum.reduceat(own, np.flatnonzero(new))[np.cumsum(new) - 1]
-        a, b = rep[rep != own], own[rep != own]
+    def edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        a, b = a[a != b], b[a != b]
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
         first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
         return batch(0, a[first], b[first], np.diff(np.concatenate([first, [len(a)]])))
 
-    def batch(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(n.astype(np.int32))], names=["kind", "a", "b", "n"])
-
-    def named(where: int, sig: np.ndarray) -> np.ndarray:
-        return (sig & np.uint64((1 << 40) - 1) | np.uint64(where << 40)).view(np.int64)
-
-    def group(where: int, parts: list[tuple]) -> Iterator[pa.RecordBatch]:
-        sig, own, role = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(sig, kind="stable")
-        sig, own, role = sig[order], own[order], role[order]
-        new = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        size = np.diff(np.concatenate([new, [len(sig)]]))
-        roles = np.bitwise_or.reduceat(role, new)
-        live = ((size > 1) & (roles & INDEX > 0) & (roles & PROBE > 0)) | (roles & STANDS > 0)
-        at = np.repeat(live, size)
-        sig, own, role = sig[at], own[at], role[at]
-        if not len(sig):
-            return
-        yield edges(sig, own)
-        keep = np.repeat(((size > 2) | (roles & STANDS > 0))[live], size[live])
-        yield batch(1, named(where, sig[keep]), own[keep], role[keep] & (INDEX | PROBE))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for rows in batches:
-            for where, role, sigs, ids in zip(*(rows.column(c).to_pylist() for c in ("range", "role", "sigs", "ids")), strict=True):
-                own = _unplanes(ids, 8).view(np.int64)
-                if role & MEMBER:  # whole signatures, in order, wherever this block was sent
-                    sig = _unplanes(sigs, 8)
-                    yield edges(sig, own)
-                    low = sig & np.uint64((1 << 40) - 1)
-                    top = (sig >> np.uint64(64 - bits)) << np.uint64(40) if bits else np.uint64(0)
-                    yield batch(1, (low | top).view(np.int64), own, np.full(len(sig), role & (INDEX | PROBE)))
-                else:
-                    held.setdefault(where, []).append((_unplanes(sigs, LOW_BYTES), own, np.full(len(own), role, np.int8)))
-        for where in list(held):
-            yield from group(where, held.pop(where))
-
-    return run
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for rows in batches:
+        sig, own = (rows.column(c).to_numpy().view(kind) for c, kind in (("sig", np.uint64), ("id", np.int64)))
+        met = rows.column("rep").is_valid().to_numpy(zero_copy_only=False)
+        if met.any():
+            at = np.flatnonzero(met)
+            yield edges(rows.column("rep").take(pa.array(at)).to_numpy(), own[at])
+            yield batch(1, (sig[at] & ~ROLES).view(np.int64), own[at], sig[at] & np.uint64(INDEX | PROBE))
+        held.append((sig[~met], own[~met]))
+    sig, own = (np.concatenate([h[k] for h in held]) if held else np.zeros(0, t) for k, t in ((0, np.uint64), (1, np.int64)))
+    del held
+    order = np.argsort(sig)
+    sig, own = sig[order], own[order]
+    role, sig = (sig & ROLES).astype(np.int8), sig & ~ROLES
+    if not len(sig):
+        return
+    new = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    size = np.diff(np.concatenate([new, [len(sig)]]))
+    roles = np.bitwise_or.reduceat(role, new)
+    live = ((size > 1) & (roles & INDEX > 0) & (roles & PROBE > 0)) | (roles & STANDS > 0)
+    keep = np.repeat(live, size)
+    sig, own, role, size, roles = sig[keep], own[keep], role[keep], size[live], roles[live]
+    if not len(sig):
+        return
+    start = np.cumsum(size) - size
+    yield edges(np.repeat(np.minimum.reduceat(own, start), size), own)
+    keep = np.repeat((size > 2) | (roles & STANDS > 0), size)
+    yield batch(1, sig[keep].view(np.int64), own[keep], role[keep] & (INDEX | PROBE))
 
 
 def _set_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,9 +332,10 @@ def similar_components(docs: DataFrame, percent: int = PERCENT, range_rows: int
     of = cut_lineage(member.select("doc_id", "class_id"), "class-of")
 
     ranges = max(1, -(-int(tokens * 0.6) // range_rows))
-    bits = min(24, (8 * ranges - 1).bit_length())
-    blocks = texts.where("doc_id is not null").mapInArrow(_signature_task(largest, percent, bits), "range int, role int, sigs binary, ids binary")
-    found = cut_lineage(blocks.repartition(ranges, "range").mapInArrow(_candidate_task(bits), "kind int, a long, b long, n int"), "candidates")
+    marks = texts.where("doc_id is not null").mapInArrow(_signature_task(largest, percent), "sig long, id long, rep long")
+    # members that have met already go anywhere; the others to their signature, whatever their role
+    place = F.coalesce(F.when(F.col("rep").isNotNull(), F.col("id")), F.shiftright("sig", 3))
+    found = cut_lineage(marks.repartition(ranges, place).mapInArrow(_candidate_task, "kind int, a long, b long, n int"), "candidates")
 
     to = lambda name: of.select(F.col("doc_id").alias(name), F.col("class_id").alias(f"class_{name}"))
     edges = found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n")).join(to("a"), "a").join(to("b"), "b").select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b"), "n").where("a <> b")
