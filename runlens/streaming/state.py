@@ -34,7 +34,8 @@ def stateful(
         state.update(cur)
         if last_only:
             out = out[-1:]
-        yield pd.DataFrame(out, columns=columns)
+        if out:
+            yield pd.DataFrame(out, columns=columns)
 
     return stream.groupBy(key).applyInPandasWithState(run, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
 

@@ -127,11 +127,11 @@ def anchor_rebase(spark, sf):
 
 
 STATES = "SELECT o_orderkey AS template, CASE WHEN o_orderkey % 2 = 0 THEN 'test' ELSE 'sim' END AS class_id, 30.0 + o_orderkey % 2000 AS p50 FROM"
-SCALES = [("test", "short", 0.5), ("test", "long", 2.0), ("sim", "mid", 1.5)]
+SCALES = [("test", "short", 0.5), ("test", "long", 2.0), ("sim", "medium", 1.5)]
 
 
 @query("rescaled_states", "AGG15", f"""WITH s AS ({STATES} orders), k AS (SELECT * FROM (VALUES {", ".join(f"('{c}', '{b}', {x}::DOUBLE)" for c, b, x in SCALES)}) v(class, bucket, scale))
-SELECT template, class_id, round(p50 * coalesce(scale, 1), 6)::DOUBLE AS p50 FROM s LEFT JOIN k ON class = class_id AND bucket = CASE WHEN p50 < 120 THEN 'short' WHEN p50 <= 600 THEN 'mid' ELSE 'long' END""")
+SELECT template, class_id, round(p50 * coalesce(scale, 1), 6)::DOUBLE AS p50 FROM s LEFT JOIN k ON class = class_id AND bucket = CASE WHEN p50 < 120 THEN 'short' WHEN p50 <= 600 THEN 'medium' ELSE 'long' END""")
 def rescaled_states(spark, sf):
     states = spark.sql(STATES + " {orders}", orders=spark.read.parquet(f"{sf}/orders.parquet")).withColumn("state", F.ln(F.col("p50").cast("double"))).drop("p50")
     scales = spark.createDataFrame(SCALES, "class string, bucket string, scale double")

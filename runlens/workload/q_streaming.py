@@ -100,7 +100,7 @@ def stream_decision_rates(spark, sf):
 
 
 @query("stream_history_ingest", "STR21 SNK03 SRC01", oracle(["history"], """
-SELECT id, count(*) FILTER (coalesce(id, '') = '') AS unnamed, count(DISTINCT strftime(date_trunc('month', make_timestamp((floor(coalesce(ended_at, started_at)) * 1000)::BIGINT)), '%Y-%m') ) FILTER (coalesce(id, '') <> '') AS months FROM history GROUP BY 1"""))
+SELECT id, count(*) FILTER (coalesce(id, '') = '') AS unnamed, count(DISTINCT coalesce(strftime(make_timestamp((floor(coalesce(ended_at, started_at)) * 1000)::BIGINT), '%Y-%m'), 'none')) FILTER (coalesce(id, '') <> '') AS months FROM history GROUP BY 1"""))
 def stream_history_ingest(spark, sf):
     """Raw rows in several micro-batches, some without an id: how often each id is stored, and for how many months."""
     h = history(spark, sf)
