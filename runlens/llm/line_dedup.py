@@ -140,9 +140,14 @@ def _wanted_task(ranks):
 
 def _near(percent: int) -> Column:
     """The length filter, and the positional filter for the first common word: what follows it on either side bounds the overlap."""
-    lengths = 100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")
-    rest = 1 + F.least(F.col("n_x") - F.col("pos_x") - 1, F.col("n_y") - F.col("pos_y") - 1)
-    return lengths & ((100 + percent) * rest >= percent * (F.col("n_x") + F.col("n_y")))
+    n = lambda x: F.shiftright(f"place_{x}", 32)
+    after = lambda x: n(x) - F.col(f"place_{x}").bitwiseAND(0xFFFFFFFF) - 1
+    lengths = 100 * F.least(n("x"), n("y")) >= percent * F.greatest(n("x"), n("y"))
+    return lengths & ((100 + percent) * (1 + F.least(after("x"), after("y"))) >= percent * (n("x") + n("y")))
+
+
+def _earlier() -> Column:
+    return (F.col("doc_x") < F.col("doc_y")) | ((F.col("doc_x") == F.col("doc_y")) & (F.col("line_x") < F.col("line_y")))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, ranks, percent: int) -> DataFrame:
@@ -152,29 +157,40 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, ranks, percent
     differ = sum((F.bit_count(F.col(f"p{k}_x").bitwiseXOR(F.col(f"p{k}_y"))) for k in range(4)), F.lit(0))
     possible = pairs.join(side("x"), "set_id_x").join(side("y"), "set_id_y").where((100 + percent) * differ <= (100 - percent) * (F.col("n_x") + F.col("n_y")))
     possible = cut_lineage(possible.select("set_id_x", "set_id_y"), "possible-lines")
-    wanted = possible.select(F.col("set_id_x").alias("set_id")).union(possible.select("set_id_y")).distinct().join(sets.select("set_id", "at"), "set_id")
+    wanted = possible.select(F.col("set_id_x").alias("set_id")).union(possible.select("set_id_y")).distinct().join(sets.select("set_id", "doc", "line"), "set_id")
     # one row for each document, with its own lines
-    places = cut_lineage(wanted.groupBy(F.col("at.doc_id").alias("_doc")).agg(F.collect_list(F.struct(F.col("at.line_no").alias("line_no"), "set_id")).alias("wanted")), "wanted-lines")
-    texts = docs.select("doc_id", "text").join(places, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("text", "wanted")
+    places = cut_lineage(wanted.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct(F.col("line").alias("line_no"), "set_id")).alias("wanted")), "wanted-lines")
+    texts = docs.select(_doc(), "text").join(places, F.col("doc") == F.col("_doc")).select("text", "wanted")
     words = cut_lineage(texts.mapInArrow(_wanted_task(ranks), "set_id long, words array<long>").dropDuplicates(["set_id"]), "line-words")
     both = possible.join(words.select(F.col("set_id").alias("set_id_y"), F.col("words").alias("y")), "set_id_y").join(words.select(F.col("set_id").alias("set_id_x"), F.col("words").alias("x")), "set_id_x")
     common_words = F.size(F.array_intersect("x", "y"))
     return cut_lineage(both.where((100 + percent) * common_words >= percent * (F.size("x") + F.size("y"))).select(F.col("set_id_y").alias("set_id")).distinct(), "line-matches")
 
 
+def _doc() -> Column:
+    """The document's place in the order of documents; null comes first."""
+    return F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc")
+
+
+def _prefix_words(sets: DataFrame) -> DataFrame:
+    """One narrow row for each prefix word of each set; `place` holds the set's size and the word's position."""
+    rows = sets.select("set_id", "n", "doc", "line", F.posexplode("prefix").alias("pos", "word"))
+    return rows.select("word", "set_id", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("place"), "doc", "line")
+
+
 def similar_sets(docs: DataFrame, sets: DataFrame, ranks, percent: int = PERCENT) -> DataFrame:
-    """(set_id): sets for which the corpus has an earlier similar set. `sets`: set_id, n, prefix, at (first occurrence), parity bits."""
-    rows = sets.select("set_id", "n", "at", F.posexplode("prefix").alias("pos", "word")).repartition("word")
-    heads = rows.groupBy("word").agg(F.count("*").alias("sets"), F.min(F.struct("at", "set_id", "n", "pos")).alias("head")).where("sets > 1")
-    shared = cut_lineage(rows.join(heads.select("word", "head"), "word"), "shared-prefix-words")
-    side = lambda x: shared.select("word", *[F.col(c).alias(f"{c}_{x}") for c in ("set_id", "n", "pos", "at")])
-
-    head = {f"{c}_x": F.col(f"head.{c}") for c in ("set_id", "n", "pos", "at")}
-    stars = shared.withColumnsRenamed({c: f"{c}_y" for c in ("set_id", "n", "pos", "at")}).withColumns(head)
-    stars = cut_lineage(stars.where((F.col("at_x") < F.col("at_y")) & _near(percent)).select("set_id_x", "set_id_y").distinct(), "star-lines")
+    """(set_id): sets for which the corpus has an earlier similar set. `sets`: set_id, n, prefix, doc, line (first occurrence), parity bits."""
+    columns = ["set_id", "place", "doc", "line"]
+    side = lambda df, x: df.select("word", *[F.col(c).alias(f"{c}_{x}") for c in columns])
+    rows = _prefix_words(sets).repartition("word")
+    heads = rows.groupBy("word").agg(F.count("*").alias("sets"), F.min(F.struct("doc", "line", "set_id", "place")).alias("head")).where("sets > 1")
+    heads = heads.select("word", *[F.col(f"head.{c}").alias(f"{c}_x") for c in columns])
+    stars = side(rows, "y").join(heads, "word").where(_earlier() & _near(percent)).select("set_id_x", "set_id_y").distinct()
+    stars = cut_lineage(stars, "star-lines")
     found = _verified(stars, sets, docs, ranks, percent)
-    rest = side("y").join(found.withColumnRenamed("set_id", "set_id_y"), "set_id_y", "left_anti")
-    pairs = side("x").join(rest, "word").where((F.col("at_x") < F.col("at_y")) & _near(percent)).select("set_id_x", "set_id_y").distinct().join(stars, ["set_id_x", "set_id_y"], "left_anti")
+    rest = sets.join(found, "set_id", "left_anti")
+    pairs = side(_prefix_words(sets), "x").join(side(_prefix_words(rest), "y"), "word").where(_earlier() & _near(percent))
+    pairs = pairs.select("set_id_x", "set_id_y").distinct().join(stars, ["set_id_x", "set_id_y"], "left_anti")
     return found.unionByName(_verified(cut_lineage(pairs, "open-lines"), sets, docs, ranks, percent))
 
 
@@ -183,11 +199,12 @@ def line_verdicts(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     ranks = docs.sparkSession.sparkContext.broadcast(slot_ranks(docs))  # SLOTS numbers
     lines = cut_lineage(keyed_lines(docs, ranks, percent), "keyed-lines")
-    sets = lines.groupBy("set_id").agg(F.min(F.struct("doc_id", "line_no", "n", "prefix", "p0", "p1", "p2", "p3")).alias("m"))
-    sets = cut_lineage(sets.select("set_id", "m.n", "m.prefix", "m.p0", "m.p1", "m.p2", "m.p3", F.struct("m.doc_id", "m.line_no").alias("at")), "line-sets")
+    sets = lines.select("set_id", _doc(), "line_no", "n", "prefix", "p0", "p1", "p2", "p3").groupBy("set_id").agg(F.min(F.struct("doc", "line_no", "n", "prefix", "p0", "p1", "p2", "p3")).alias("m"))
+    sets = cut_lineage(sets.select("set_id", "m.n", "m.prefix", "m.p0", "m.p1", "m.p2", "m.p3", "m.doc", F.col("m.line_no").alias("line")), "line-sets")
     gone = similar_sets(docs, sets, ranks, percent).withColumn("gone", F.lit(True))
-    marks = sets.select("set_id", "at").join(gone, "set_id", "left").select("set_id", "at", F.coalesce("gone", F.lit(False)).alias("gone"))
-    return lines.select("doc_id", "line_no", "set_id").join(marks, "set_id").select("doc_id", "line_no", (F.col("gone") | ~F.struct("doc_id", "line_no").eqNullSafe(F.col("at"))).alias("removed"))
+    marks = sets.select("set_id", "doc", "line").join(gone, "set_id", "left").select("set_id", F.col("doc").alias("first_doc"), "line", F.coalesce("gone", F.lit(False)).alias("gone"))
+    again = (F.col("doc") != F.col("first_doc")) | (F.col("line_no") != F.col("line"))
+    return lines.select("doc_id", _doc(), "line_no", "set_id").join(marks, "set_id").select("doc_id", "line_no", (F.col("gone") | again).alias("removed"))
 
 
 def document_report(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
