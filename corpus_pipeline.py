@@ -10,7 +10,7 @@ from runlens.session import cut_lineage
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is unknown, or of which no language holds half of the letters, go."""
+    """Documents whose language is unknown, or of which no language holds two fifths of the letters, go."""
     return lang_id.keep_known(docs)
 
 

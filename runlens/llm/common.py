@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 2 << 20
+BATCH_ROWS = 1000
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -32,6 +33,14 @@ ASCII_LOWER = np.arange(256, dtype=np.uint8)
 ASCII_LOWER[0x41:0x5B] += 32
 
 
+def bound_batches(df: DataFrame) -> DataFrame:
+    """`df`, with Arrow batches of `BATCH_ROWS` rows where the session has Spark's default: texts are long, workers are small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key, "10000") == "10000":
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def held_out(doc_id: Column) -> Column:
     """The fold that no model may learn from."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2

@@ -135,7 +135,7 @@ def _hit_task(block):
 
 def contamination(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVERAGE, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """Pairs with a matching window: doc_id, item_id, windows (matched under consistent slots), item_windows, coverage, changed_slots, contaminated."""
-    spark = docs.sparkSession
+    spark = common.bound_batches(docs).sparkSession
     items = cut_lineage(item_windows(benchmark.where(F.col("item_id").isNotNull())), "item-windows")
     totals = items.groupBy("item_id").agg(F.countDistinct("item_pos").alias("item_windows"))
     n = items.count()

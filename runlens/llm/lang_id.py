@@ -28,8 +28,8 @@ PER_LANG = 4000
 SWITCH_PENALTY = 12.0
 #: A language is a candidate in a script that holds at least this share of its training words.
 SCRIPT_SHARE = 0.01
-#: Letters of a text that is not rejected belong to one language at least to this share.
-MIN_SCORE = 0.5
+#: Letters of a text that is not rejected belong to one language at least to this share; mixed texts of two languages stay.
+MIN_SCORE = 0.4
 SLOTS = 1 << 16
 #: Scripts by the first code point of their range.
 SCRIPTS = [(0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0900, "indic"), (0x0E00, "thai"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x3040, "kana"), (0x3100, "han"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "other")]
@@ -91,7 +91,7 @@ def _sum_task(table: pa.Table) -> pa.Table:
 
 def train(labelled: DataFrame, per_lang: int = PER_LANG, tasks: int = 8) -> Model:
     """Fits the model on rows (doc_id, text, lang). The driver holds one table of SLOTS counts for each language."""
-    known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    known = common.bound_batches(labelled).where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     langs = sorted(counts)
     if not langs:

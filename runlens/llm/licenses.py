@@ -111,4 +111,4 @@ def _scan_task(templates: list[tuple[str, np.ndarray]], threshold: float, max_ga
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, max_gap: int = MAX_GAP) -> DataFrame:
     """One row per document and licence found: doc_id, license, dice, n_passages, start, end (of the best passage, code points)."""
-    return docs.select("doc_id", "text").mapInArrow(_scan_task(prepared(templates), threshold, max_gap), "doc_id long, license string, dice double, n_passages long, start long, end long")
+    return common.bound_batches(docs).select("doc_id", "text").mapInArrow(_scan_task(prepared(templates), threshold, max_gap), "doc_id long, license string, dice double, n_passages long, start long, end long")

@@ -196,7 +196,7 @@ def similar_sets(docs: DataFrame, sets: DataFrame, ranks, percent: int = PERCENT
 
 def line_verdicts(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per line with words: doc_id, line_no, removed."""
-    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    docs = common.bound_batches(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
     ranks = docs.sparkSession.sparkContext.broadcast(slot_ranks(docs))  # SLOTS numbers
     lines = cut_lineage(keyed_lines(docs, ranks, percent), "keyed-lines")
     sets = lines.select("set_id", _doc(), "line_no", "n", "prefix", "p0", "p1", "p2", "p3").groupBy("set_id").agg(F.min(F.struct("doc", "line_no", "n", "prefix", "p0", "p1", "p2", "p3")).alias("m"))

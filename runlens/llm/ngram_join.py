@@ -323,7 +323,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, percent: int
 
 def similar_components(docs: DataFrame, percent: int = PERCENT, range_rows: int = RANGE_ROWS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable over links of Jaccard >= percent / 100)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = common.bound_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = cut_lineage(texts.mapInArrow(_summary_task, "doc_id long, n_shingles long, k1 long, k2 long, p0 long, p1 long, p2 long, p3 long, sketch binary"), "shingle-sets")
     totals = rows.agg(F.max("n_shingles"), F.sum("n_shingles")).first()
     largest, tokens = totals[0] or 0, totals[1] or 0

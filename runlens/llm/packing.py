@@ -63,8 +63,8 @@ class WordEncoder(TextEncoder):
     """
 
     #: Pieces remembered at most (about 40 bytes each); beyond that the memory starts afresh.
-    KEPT = 1 << 20
-    CHUNK = 4 << 20
+    KEPT = 1 << 19
+    CHUNK = 2 << 20
 
     def __init__(self, path: str):
         super().__init__(path)
@@ -271,4 +271,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...]
     if any(t & (t - 1) for t in tiers) or list(tiers) != sorted(set(tiers), reverse=True):
         raise ValueError("tiers must be falling powers of two")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, step_group long" + ", ids array<int>" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(_pack_task(tokenizer_path, tuple(tiers), block_tokens, step_tokens, by_word, with_ids), schema)
+    return common.bound_batches(docs).select("doc_id", "text").mapInArrow(_pack_task(tokenizer_path, tuple(tiers), block_tokens, step_tokens, by_word, with_ids), schema)

@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from runlens.llm.common import bound_batches
+
 #: Kinds in the order of the output.
 KINDS = ["email", "ip", "card", "phone"]
 LABELS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
@@ -306,7 +308,7 @@ def _find_task(model):
 def find(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added): counts and digest of the fixed patterns, all spans."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size follows the labelled table
-    return docs.select("doc_id", "text").mapInArrow(_find_task(shared), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return bound_batches(docs).select("doc_id", "text").mapInArrow(_find_task(shared), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
 MARK = re.compile(r"<(email|ip|card|phone)>(.*?)</\1>")

@@ -216,7 +216,7 @@ def _decay(m: Model, values: np.ndarray, weights: np.ndarray) -> float:
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, tasks: int = 8) -> Model:
     """Fits the model to the labels (doc_id, toxic) of `docs`. The driver holds counts of at most MAX_FEATURES features."""
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    known = common.bound_batches(labels).where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     total = known.count()
     if not total:
         return Model()
