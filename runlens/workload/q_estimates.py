@@ -126,7 +126,7 @@ def anchor_rebase(spark, sf):
     return a.unionByName(b)
 
 
-STATES = "SELECT o_orderkey AS template, CASE WHEN o_orderkey % 2 = 0 THEN 'test' ELSE 'sim' END AS class_id, 30.0 + o_orderkey % 2000 AS p50 FROM"
+STATES = "SELECT o_orderkey AS template, CASE WHEN o_orderkey % 2 = 0 THEN 'test' ELSE 'sim' END AS class_id, 30.25 + o_orderkey % 2000 AS p50 FROM"
 SCALES = [("test", "short", 0.5), ("test", "long", 2.0), ("sim", "medium", 1.5)]
 
 
