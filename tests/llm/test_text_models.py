@@ -102,7 +102,7 @@ def test_toxicity_held_out(make):
     p = out[2002]["passages"][0]
     assert p["start"] == 0 and p["end"] == len("grunk blarg snee " * 20_000) - 1
     assert toxicity.detect(make([], "doc_id long, text string"), marks).count() == 0
-    assert {x["score"] for x in toxicity.detect(docs, make([], "doc_id long, toxic int")).collect()} == {pytest.approx(0, abs=1e-6)}
+    assert all(x["score"] < 1e-6 for x in toxicity.detect(docs, make([], "doc_id long, toxic int")).collect())
 
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
