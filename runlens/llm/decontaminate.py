@@ -4,7 +4,8 @@ Texts become sequences of canonical tokens: numbers, units that follow a number,
 sentence; neighbours count as one) turn into typed placeholders, other words into their lower case. Windows of `WIDTH` canonical
 tokens are hash-joined between documents and benchmark items, so a question with other numbers or names still meets its
 template. The slots under a diagonal (document position less item position) must then agree: each value of the item stands for
-one value in the document. A document is contaminated by an item if consistent diagonals cover enough of the item's windows.
+one value in the document, the one that most windows of the diagonal support (of equals the value itself, then the smallest), and
+windows that contradict it don't count. A document is contaminated by an item if the others cover enough of the item's windows.
 
 The benchmark goes over the documents in blocks of at most `BLOCK_WINDOWS` windows, the bound of what is broadcast; every block
 is held against all documents. Items with fewer tokens than a window are one window of their own length, down to
@@ -133,6 +134,51 @@ def _hit_task(block):
     return run
 
 
+def consistent(diagonal: np.ndarray, window: np.ndarray, item: np.ndarray, doc: np.ndarray, n_windows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(windows that agree, diagonals, their slots with a changed value) from slots: diagonal, window (in order), item and document value.
+
+    In each diagonal an item value stands for the document value in most windows, of equals for itself, then for the smallest."""
+    good = np.ones(n_windows, bool)
+    if not len(window):
+        return good, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    # a window supports a pair once
+    o = np.lexsort((window, doc, item, diagonal))
+    d, a, b, w = diagonal[o], item[o], doc[o], window[o]
+    pair = np.concatenate([[True], (d[1:] != d[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    once = pair | np.concatenate([[True], w[1:] != w[:-1]])
+    at = np.flatnonzero(pair)
+    count = np.add.reduceat(once.astype(np.int64), at)
+    d, a, b = d[at], a[at], b[at]
+    rank = np.lexsort((b, a != b, -count, a, d))
+    top = np.concatenate([[True], (d[rank][1:] != d[rank][:-1]) | (a[rank][1:] != a[rank][:-1])])
+    won = np.zeros(len(at), bool)
+    won[rank[top]] = True
+    number = np.cumsum(pair) - 1
+    good[w[~won[number]]] = False
+    # changed values are counted over the windows that stay
+    stays = np.zeros(len(at), bool)
+    stays[number[good[w]]] = True
+    which, changed = np.unique(d[won & stays & (a != b)], return_counts=True)
+    return good, which, changed
+
+
+def _agree_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in batches:
+        met = rows.column("met")
+        windows = met.flatten()
+        diagonal = np.repeat(np.arange(rows.num_rows), np.diff(met.offsets.to_numpy()))
+        slots = windows.field("slots")
+        held = np.diff(slots.offsets.to_numpy())
+        pairs = slots.flatten()
+        window = np.repeat(np.arange(len(windows)), held)
+        good, which, changed = consistent(diagonal[window], window, *(pairs.field(k).to_numpy(zero_copy_only=False) for k in ("item_slots", "doc_slots")), len(windows))
+        total = np.zeros(rows.num_rows, np.int64)
+        total[which] = changed
+        keep = np.flatnonzero(good)
+        of = diagonal[keep]
+        yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(of)), rows.column("item_id").take(pa.array(of)), windows.field("item_pos").take(pa.array(keep)), pa.array(total[of])], names=["doc_id", "item_id", "item_pos", "changed"])
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVERAGE, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """Pairs with a matching window: doc_id, item_id, windows (matched under consistent slots), item_windows, coverage, changed_slots, contaminated."""
     spark = common.bound_batches(docs).sparkSession
@@ -151,13 +197,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_coverage: float = M
         met = hits.join(F.broadcast(own.drop("width")), "window").select("doc_id", "item_id", "item_pos", (F.col("doc_pos") - F.col("item_pos")).alias("diagonal"), F.arrays_zip("item_slots", "doc_slots").alias("slots"))
         out = met if out is None else out.unionByName(met)
     # a diagonal has at most one row for each window of its item
-    diagonals = (
-        out.groupBy("doc_id", "item_id", "diagonal").agg(F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("pairs"))
-        .where(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["item_slots"]))))
-        .withColumn("changed", F.size(F.filter("pairs", lambda p: p["item_slots"] != p["doc_slots"])))
-    )
+    diagonals = out.groupBy("doc_id", "item_id", "diagonal").agg(F.collect_set(F.struct("item_pos", "slots")).alias("met")).select("doc_id", "item_id", "met")
+    agreeing = diagonals.mapInArrow(_agree_task, f"doc_id long, item_id {benchmark.schema['item_id'].dataType.simpleString()}, item_pos long, changed long")
     # one row per position of the item: how often a passage recurs in a document doesn't matter
-    spread = diagonals.select("doc_id", "item_id", "changed", F.explode("at").alias("item_pos")).groupBy("doc_id", "item_id", "item_pos").agg(F.min("changed").alias("changed"))
+    spread = agreeing.groupBy("doc_id", "item_id", "item_pos").agg(F.min("changed").alias("changed"))
     pairs = spread.groupBy("doc_id", "item_id").agg(F.count("*").alias("windows"), F.max("changed").cast("long").alias("changed_slots"))
     covered = pairs.join(totals, "item_id").withColumn("coverage", F.col("windows") / F.col("item_windows"))
     return covered.select("doc_id", "item_id", "windows", "item_windows", "coverage", "changed_slots", (F.col("coverage") >= min_coverage).alias("contaminated"))

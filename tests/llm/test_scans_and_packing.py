@@ -39,6 +39,25 @@ def test_inconsistent_slots_do_not_match(make):
     assert [(r["doc_id"], r["coverage"]) for r in out if r["coverage"] == 1] == [(1, 1.0)]
 
 
+def test_conflicting_slots_cost_only_their_windows(make):
+    """A number that stands twice, of which one is changed: 7 of the 12 windows agree with the value that most support."""
+    item = "here the first box holds 5 red stones while the second box also holds 5 red stones in it"
+    two = "here the first box holds 5 red stones while the second box also holds 6 red stones in it"
+    rows = [(1, item.replace("5", "8", 1)), (2, item[::-1].replace("5", "8", 1)[::-1]), (3, two.replace("6", "5")), (4, f"{FILL}. {item.replace('5', '8', 1)}. {FILL}")]
+    bench = make([(1, item), (2, two)], "item_id long, text string")
+    out = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contamination(make(rows), bench).collect()}
+    assert out[1, 1]["windows"] == 7 and out[1, 1]["changed_slots"] == 1 and out[1, 1]["contaminated"]
+    assert out[2, 1]["windows"] == 7 and out[2, 1]["changed_slots"] == 0 and out[4, 1]["windows"] == 7
+    assert out[3, 2]["coverage"] == 1 and out[3, 2]["changed_slots"] == 1
+    assert {r["doc_id"] for r in decontaminate.remove_contaminated(make(rows), bench).collect()} == set()
+
+
+def test_ties_keep_the_equal_value():
+    values = lambda *x: np.array(x, np.int64)
+    good, which, changed = decontaminate.consistent(values(0, 0, 1, 1), values(0, 1, 2, 3), values(5, 5, 7, 7), values(2, 5, 9, 8), 5)
+    assert good.tolist() == [False, True, False, True, True] and which.tolist() == [1] and changed.tolist() == [1]
+
+
 def test_short_items_are_whole_windows(make):
     out = decontaminate.contamination(make([(1, "say five plain words stand here now"), (2, "five plain words stand")]), make([(3, "five plain words stand here")], "item_id long, text string")).collect()
     assert [(r["doc_id"], r["coverage"]) for r in out] == [(1, 1.0)]
