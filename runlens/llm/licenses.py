@@ -1,17 +1,19 @@
 """Licence scan: passages compared with licence templates by the Dice coefficient of their word bigrams.
 
 Texts and templates are normalised to lower-case words of letters and digits. For each template, the document's bigrams that the
-template has are found; hits at most `MAX_GAP` words apart form a passage, from its first to its last hit. A passage whose
-number of distinct bigrams is outside the bounds that the threshold allows for the template's number is pruned; the others get
-their exact Dice coefficient. Whole texts are scanned, so notices inside longer lines are found too.
+template has are found; hits at most `MAX_GAP` words apart form a chain. Within a chain every stretch from one hit to another is
+a passage if its number of distinct bigrams is within the bounds that the threshold allows for the template's number; it gets its
+exact Dice coefficient. Stretches whose first bigram recurs in them are left out, as they are no better without it; so a chain costs
+at most its hits times the template's bigrams. Whole texts are scanned, so notices inside longer lines are found too.
 
 Defined cases: null and empty texts have no finding; a text with several passages of a licence gets one row with the best
-(the first of equals) and their number; a passage that reaches the threshold for several templates gets a row for each
+(the first of equals) and their number (of those that share words, the best counts); a passage that reaches the threshold for several templates gets a row for each
 licence; an empty table gives an empty result; repeated rows give repeated findings; further columns are ignored.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,6 +69,56 @@ def size_bounds(n: int, threshold: float) -> tuple[int, int]:
     return int(np.ceil(n * threshold / (2 - threshold) - 1e-9)), int(np.floor(n * (2 - threshold) / threshold + 1e-9))
 
 
+def passages(h: np.ndarray, mine: np.ndarray, n_own: int, threshold: float) -> list[tuple[float, int, int]]:
+    """(dice, first bigram, last bigram) of the best passage from each hit of a chain that reaches the threshold, in order.
+
+    `h` holds the bigrams of the text, `mine` the places of the chain's hits."""
+    lo, hi = size_bounds(n_own, threshold)
+    keys = h[mine].tolist()
+    if len(set(keys)) < lo:
+        return []
+    base = int(mine[0])
+    grams, places = h[base : int(mine[-1]) + 1].tolist(), (mine - base).tolist()
+    again, seen_at = [0] * len(keys), {}
+    for i in range(len(keys) - 1, -1, -1):
+        again[i] = seen_at.get(keys[i], len(keys))
+        seen_at[keys[i]] = i
+    out = []
+    for i in range(len(keys)):
+        found: set[int] = set()
+        done, matched, best = places[i], 0, (0.0, 0)
+        for k in range(i, again[i]):
+            found.update(grams[done : places[k]])
+            done = places[k]
+            new = keys[k] not in found
+            found.add(keys[k])
+            if len(found) > hi:
+                break
+            matched += new
+            if new and matched >= lo:
+                dice = 2 * matched / (len(found) + n_own)
+                if dice >= threshold and dice > best[0]:
+                    best = (dice, places[k])
+        if best[0]:
+            out.append((best[0], base + places[i], base + best[1]))
+    return out
+
+
+def apart(found: list[tuple[float, int, int]]) -> list[tuple[float, int, int]]:
+    """Of passages that share words, the best (the first of equals); they come best first."""
+    starts: list[int] = []
+    ends: list[int] = []
+    out = []
+    for dice, a, b in sorted(found, key=lambda x: (-x[0], x[1])):
+        i = bisect_left(starts, a)
+        # a passage ends with the second word of its last bigram
+        if (i == 0 or ends[i - 1] + 1 < a) and (i == len(starts) or b + 1 < starts[i]):
+            starts.insert(i, a)
+            ends.insert(i, b)
+            out.append((dice, a, b))
+    return out
+
+
 def _scan_task(templates: list[tuple[str, np.ndarray]], threshold: float, max_gap: int):
     every = np.unique(np.concatenate([b for _, b in templates]))
     members = [np.isin(every, b) for _, b in templates]
@@ -77,32 +129,28 @@ def _scan_task(templates: list[tuple[str, np.ndarray]], threshold: float, max_ga
             h, at, starts, ends, doc = bigrams(data, offs)
             place = lookup(every, h)
             hits = np.flatnonzero(place >= 0)
-            best: dict[tuple[int, str], list] = {}
+            found: dict[tuple[int, str], list[tuple[float, int, int]]] = {}
             for t, (name, own) in enumerate(templates):
                 mine = hits[members[t][place[hits]]]
                 if not len(mine):
                     continue
                 # a bigram's number within its text grows by one a word, so gaps are differences of `at`
                 cut = np.flatnonzero((np.diff(at[mine]) > max_gap) | (np.diff(doc[at[mine]]) != 0)) + 1
-                lo, hi = bounds[t]
-                first, last = mine[np.concatenate([[0], cut])], mine[np.concatenate([cut, [len(mine)]]) - 1]
-                # at least `lo` hits: fewer cannot reach the threshold either
-                many = np.diff(np.concatenate([[0], cut, [len(mine)]])) >= lo
-                for a, b in zip(first[many].tolist(), last[many].tolist(), strict=True):
-                    found = np.unique(h[a : b + 1])
-                    if not lo <= len(found) <= hi:
+                edges = [0, *cut.tolist(), len(mine)]
+                for x, y in zip(edges, edges[1:], strict=False):
+                    # fewer hits than the least set cannot reach the threshold
+                    if y - x < bounds[t][0]:
                         continue
-                    dice = 2 * len(np.intersect1d(found, own, assume_unique=True)) / (len(found) + len(own))
-                    if dice >= threshold:
-                        d = int(doc[at[a]])
-                        old = best.setdefault((d, name), [0.0, 0, 0, set()])
-                        old[3].add(int(at[a]))
-                        if dice > old[0]:
-                            old[:3] = [dice, int(at[a]), int(at[b]) + 1]
+                    for dice, a, b in passages(h, mine[x:y], len(own), threshold):
+                        found.setdefault((int(doc[at[a]]), name), []).append((dice, int(at[a]), int(at[b])))
+            best: dict[tuple[int, str], list] = {}
+            for key, some in found.items():
+                some = apart(some)
+                best[key] = [some[0][0], some[0][1], some[0][2] + 1, len(some)]
             keys = sorted(best)
             d = np.array([k[0] for k in keys], np.int64)
             a, b = np.array([best[k][1] for k in keys], np.int64), np.array([best[k][2] for k in keys], np.int64)
-            cols = [rows.column("doc_id").take(pa.array(d)), pa.array([k[1] for k in keys], pa.string()), pa.array([best[k][0] for k in keys], pa.float64()), pa.array([len(best[k][3]) for k in keys], pa.int64())]
+            cols = [rows.column("doc_id").take(pa.array(d)), pa.array([k[1] for k in keys], pa.string()), pa.array([best[k][0] for k in keys], pa.float64()), pa.array([best[k][3] for k in keys], pa.int64())]
             spans = [common.char_positions(data, offs, starts[a], d), common.char_positions(data, offs, ends[b], d)] if keys else [d, d]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(spans[0]), pa.array(spans[1])], names=["doc_id", "license", "dice", "n_passages", "start", "end"])
 

@@ -81,6 +81,33 @@ def test_licences(make):
     assert licenses.scan(make([])).count() == 0
 
 
+def test_neighbouring_notices_are_found(make):
+    rows = [
+        (1, "All rights reserved. ACME. All rights reserved."), (2, "Licensed under CC BY 4.0. Photos licensed under CC BY-NC 4.0."),
+        (3, "Released under the MIT License. See the MIT notice. Released under the MIT License."), (4, "all rights " * 20_000 + "reserved"),
+    ]
+    out = {(r["doc_id"], r["license"]): r for r in licenses.scan(make(rows)).collect()}
+    assert set(out) == {(1, "all-rights-reserved"), (2, "CC-BY-4.0"), (2, "CC-BY-NC-4.0"), (3, "MIT"), (4, "all-rights-reserved")}
+    assert {k: (r["dice"], r["n_passages"]) for k, r in out.items()} == {k: (1.0, 2 if k[0] in (1, 3) else 1) for k in out}
+    assert rows[1][1][out[2, "CC-BY-NC-4.0"]["start"] : out[2, "CC-BY-NC-4.0"]["end"]] == "licensed under CC BY-NC 4.0"
+    assert (out[1, "all-rights-reserved"]["start"], out[1, "all-rights-reserved"]["end"]) == (0, 19)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_passages_equal_all_stretches(seed):
+    r = random.Random(seed)
+    own, n = list(range(r.choice([2, 4, 7]))), r.choice([12, 40])
+    h = np.array([0, *r.choices([*own, *own, 90, 91], k=n), 0])
+    mine = np.flatnonzero(h < 90)
+    best = 0.0
+    for i in mine:
+        for j in mine[mine >= i]:
+            some = set(h[i : j + 1].tolist())
+            best = max(best, 2 * len(some & set(own)) / (len(some) + len(own)))
+    got = licenses.passages(h, mine, len(own), 0.6)
+    assert max((d for d, _, _ in got), default=0.0) == (best if best >= 0.6 else 0.0)
+
+
 def test_size_bounds_lose_nothing():
     for n in range(1, 40):
         lo, hi = licenses.size_bounds(n, 0.8)
