@@ -3,8 +3,9 @@
 The field labels blank-separated words with O or B/I of a kind, from features of word shape (letters, digits and signs of the
 word and its neighbours, cue words before it). It is trained from a small labelled table by gradient ascent on the
 regularised likelihood, and decoded by Viterbi over numpy batches of windows. A label other than O is allowed only on words
-with a digit or an at sign and on their direct neighbours, so the windows (such words with two words on either side) decode
-exactly as the whole text would. Added spans must pass the check of their kind and never touch a span of the fixed patterns.
+with a digit or an at sign and on their direct neighbours, and around a written-out at ((at), [at], or "at" with a "dot" or a word
+with an inner dot among the next `REACH` words) on all words of it and two on either side. The windows (such words with
+two words of context on either side) decode exactly as the whole text would. Added spans must pass the check of their kind and never touch a span of the fixed patterns.
 
 Defined cases: null is empty; a text without findings has zero counts, the digest of the empty string and empty spans; equal
 words give equal labels; further columns are ignored; texts of any length are read whole, windows are decoded in bounded batches.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,6 +38,11 @@ PHONE_TAIL = re.compile(r"[\x20().0-9-]+")
 SEPARATORS = str.maketrans("", "", " -")
 WORD = re.compile(r"\S+")
 TRIGGER = re.compile("[0-9@]")
+#: A written-out at: in brackets, or as a word that a "dot" or a word with an inner dot follows among `REACH` words.
+REACH = 4
+AT = re.compile(r"[aA][tT](?:(?<=\([aA][tT])\)|(?<=\[[aA][tT])\]|(?<!\S[aA][tT])(?!\S))")
+DOT = re.compile(r"[(\[]?[dD][oO][tT][)\]]?")
+DOTTED = re.compile(r"\S*+(?:\s++\S++){0,%d}?\s++(?:[(\[]?[dD][oO][tT][)\]]?(?!\S)|\S*?[^\s.]\.[^\s.]\S*+)" % (REACH - 1))
 EDGE = "\"'`.,;:!?#*$%&|<>[]{}…«»„“”"
 #: Windows of at most so many words, padding included, are decoded at once.
 BATCH_WORDS = 20_000
@@ -206,8 +213,8 @@ def decode(m: Model, windows: list[tuple[list[list[str]], list[bool]]]) -> list[
     return out
 
 
-def text_windows(text: str) -> list[list[tuple[int, int]]]:
-    """Word bounds of the windows: words with a digit or an at sign and two words on either side; near ones are one window."""
+def near_triggers(text: str) -> list[list[tuple[int, int]]]:
+    """Word bounds of the windows of a text without a written-out at: words with a digit or an at sign and two words on either side; near ones are one window."""
     out: list[list[tuple[int, int]]] = []
     done = 0  # end of the last word taken
     m = TRIGGER.search(text)
@@ -241,14 +248,61 @@ def text_windows(text: str) -> list[list[tuple[int, int]]]:
     return out
 
 
+def written_ats(text: str) -> list[tuple[int, int]]:
+    """Places of the written-out ats, each up to the end of the dot or dotted word that follows it."""
+    out = []
+    for m in AT.finditer(text):
+        far = DOTTED.match(text, m.end())
+        if far or m[0][-1] in ")]":
+            out.append((m.start(), far.end() if far else m.end()))
+    return out
+
+
+def free_windows(text: str) -> list[tuple[list[tuple[int, int]], list[bool]]]:
+    """The windows, and which of their words may be other than O."""
+    ats = written_ats(text)
+    if not ats:
+        windows = near_triggers(text)
+        hot = [[TRIGGER.search(text, a, b) is not None for a, b in w] for w in windows]
+        return [(w, [any(h[max(0, t - 1) : t + 2]) for t in range(len(h))]) for w, h in zip(windows, hot, strict=True)]
+    words = [m.span() for m in WORD.finditer(text)]
+    starts, n = [a for a, _ in words], len(words)
+    free, inside = bytearray(n), bytearray(n)
+    dot = lambda i: 0 <= i < n and DOT.fullmatch(text[slice(*words[i])].strip(EDGE)) is not None
+    for a, b in ats:
+        i, j = bisect_right(starts, a) - 1, bisect_left(starts, b)
+        while i > 1 and (dot(i - 1) or dot(i - 2)):  # jo dot lee at
+            i -= 1 if dot(i - 1) else 2
+        while dot(j) or dot(j + 1):  # at mail dot example dot com
+            j += 1 if dot(j) else 2
+        for mark, k in ((free, 2), (inside, 4)):
+            lo, hi = max(0, i - k), min(n, j + k)
+            mark[lo:hi] = b"\1" * (hi - lo)
+    for t, (a, b) in enumerate(words):
+        if TRIGGER.search(text, a, b):
+            for mark, k in ((free, 1), (inside, 2)):
+                lo, hi = max(0, t - k), min(n, t + k + 1)
+                mark[lo:hi] = b"\1" * (hi - lo)
+    out = []
+    at = inside.find(1)
+    while at >= 0:
+        end = inside.find(0, at)
+        end = n if end < 0 else end
+        out.append((words[at:end], [x == 1 for x in free[at:end]]))
+        at = inside.find(1, end)
+    return out
+
+
+def text_windows(text: str) -> list[list[tuple[int, int]]]:
+    """Word bounds of the windows."""
+    return [bounds for bounds, _ in free_windows(text)]
+
+
 def added_spans(m: Model, texts: list[str], base: list[list[tuple[str, int, int]]]) -> list[list[tuple[str, int, int]]]:
     windows, places = [], []
     for i, text in enumerate(texts):
-        for bounds in text_windows(text):
-            words = [text[a:b] for a, b in bounds]
-            hot = [any(c == "@" or "0" <= c <= "9" for c in w) for w in words]
-            free = [any(hot[max(0, t - 1) : t + 2]) for t in range(len(hot))]
-            windows.append((word_features(words), free))
+        for bounds, free in free_windows(text):
+            windows.append((word_features([text[a:b] for a, b in bounds]), free))
             places.append((i, bounds))
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     for (i, bounds), path in zip(places, decode(m, windows), strict=True):

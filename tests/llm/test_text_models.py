@@ -167,3 +167,23 @@ def test_windows_hold_all_words_near_triggers():
         got = [b for w in pii.text_windows(t) for b in w]
         assert got == sorted(set(got)) and set(got) <= set(words)
         assert {w for i, w in enumerate(words) if any(hot[max(0, i - 2) : i + 3])} <= set(got), t
+
+
+def test_marked_rows_of_the_labelled_table_are_decoded(spark):
+    """Every marked value that passes its kind's check, written-out addresses among them, is found in its own row."""
+    model = pii.train_from(pii.training_table(spark))
+    texts = [re.sub("</?(email|ip|card|phone)>", "", t) for t in pii.LABELLED]
+    base = [pii.base_spans(t) for t in texts]
+    for marked, text, fixed, more in zip(pii.LABELLED, texts, base, pii.added_spans(model, texts, base), strict=True):
+        found = {(k, text[a:b]) for k, a, b in [*fixed, *more]}
+        assert {(m[1], m[2]) for m in pii.MARK.finditer(marked) if pii.plausible(m[1], m[2])} <= found, marked
+    assert "jo at example dot 1and1.com" in {t[a:b] for t, x in zip(texts, pii.added_spans(model, texts, base), strict=True) for _, a, b in x}
+
+
+@pytest.mark.parametrize("address", ["bob (at) example.com", "info [at] example.net", "jo at example dot com", "bob at example.com"])
+def test_written_out_addresses_get_free_windows(address):
+    text = "word " * 30 + f"mail {address} for more" + " word" * 30
+    a = text.index(address)
+    free = {w for bounds, may in pii.free_windows(text) for w, f in zip(bounds, may, strict=True) if f}
+    assert {(a + m.start(), a + m.end()) for m in re.finditer(r"\S+", address)} <= free
+    assert not pii.free_windows("we met at the station that day and it was late. so")
