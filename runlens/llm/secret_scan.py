@@ -6,7 +6,7 @@ source), and the words around them (assignment, quotes, cue words for secrets an
 transition table come from the word counts of all documents; the forest is trained from labelled findings.
 
 All steps are DataFrame functions and Spark ML. What reaches the driver is bounded: `DICTIONARY` words and their counts.
-Training is bounded to about `MAX_FINDINGS` labelled findings (a hashed sample).
+Training is bounded to `MAX_FINDINGS` labelled findings (a hashed sample of each label, the rarer one up to half of them).
 
 Defined cases: null and empty texts have no candidate; a token that recurs gives a finding at each place; with labels of one kind
 only, or none, every finding gets that kind's value (0 without labels); a null path is the empty path; an empty table gives an
@@ -23,7 +23,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import held_out, sampled
+from runlens.llm.common import held_out
 
 MIN_LENGTH = 16
 DICTIONARY = 1500
@@ -102,14 +102,18 @@ def rule_labels(found: DataFrame) -> DataFrame:
 
 def train(labelled: DataFrame, max_findings: int = MAX_FINDINGS):
     """A forest from labelled findings (FEATURES, label), or the one label there is (0.0 without any)."""
-    total, low, high = labelled.agg(F.count("*"), F.min("label"), F.max("label")).first()
-    if not total or low == high:
-        return float(high or 0.0)
+    counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if len(counts) < 2:
+        return float(next(iter(counts), 0.0))
+    # each label by its own hashed sample, the rarer one up to half of the bound, so both are always there
+    rare = min(counts, key=lambda k: (counts[k], k))
+    few = min(counts[rare], max(1, max_findings // 2))
+    ids = ["doc_id", "word_no", "part_no"]
+    place = F.xxhash64(*ids, F.lit("sample"))
+    part = lambda k, n: labelled.where(F.col("label") == k).select(*ids, *FEATURES, "label").orderBy(place, *ids).limit(n)
+    sample = part(rare, few).unionByName(part(next(k for k in counts if k != rare), max(1, max_findings - few)))
     # one small partition in a fixed order: the same forest each time
-    sample = sampled(labelled, "doc_id", min(1.0, max_findings / total)).orderBy("doc_id", "word_no", "part_no").coalesce(1)
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(sample).select("features", "label")
-    if rows.select("label").distinct().count() < 2:
-        return float(high)
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(sample.orderBy(*ids).coalesce(1)).select("features", "label")
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, probabilityCol="p").fit(rows)
 
 

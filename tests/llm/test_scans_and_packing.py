@@ -223,6 +223,18 @@ def test_secret_scan_held_out(make):
     assert secret_scan.scan(make([], "doc_id long, text string")).count() == 0
 
 
+def test_rare_secrets_are_always_learnt(spark):
+    """One secret among 3000 findings of one document: a sample of 100 holds both kinds."""
+    from pyspark.sql import functions as F
+
+    found = spark.range(3000).select(F.lit(1).alias("doc_id"), "id", F.lit(0).alias("part_no"), (F.col("id") == 77).cast("double").alias("label"), *[(F.col("id") == 77).cast("double").alias(f) for f in secret_scan.FEATURES]).withColumnRenamed("id", "word_no")
+    model = secret_scan.train(found, 100)
+    assert not isinstance(model, float)
+    scored = secret_scan.score(found, model).agg(F.max(F.when(F.col("label") == 0, F.col("probability")))).first()
+    assert scored[0] < 0.5
+    assert secret_scan.train(found.where("label = 0")) == 0.0 and secret_scan.train(found.where("label = 1")) == 1.0
+
+
 def test_pipeline_stages(spark, sf, tmp_path):
     from test_dedup_and_join import brute_components
 
