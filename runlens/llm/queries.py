@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import decontaminate, exact_dedup, lang_id, licenses, line_dedup, merkle, ngram_join, packing, pii, secret_scan, toxicity
+from runlens.llm import decontaminate, exact_dedup, lang_id, licenses, line_dedup, merkle, ngram_join, packing, pii, secret_scan, toxicity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -135,3 +135,8 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, 1).otherwise(0)
     forged = {"n_chars": F.col("n_chars").cast("decimal(20,0)") + more}
     return merkle.verify(merkle.manifest(docs, forged=forged))
+
+
+@query()
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
