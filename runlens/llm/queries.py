@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import decontaminate, exact_dedup, lang_id, licenses, line_dedup, merkle, ngram_join, packing, pii, secret_scan, toxicity, whitening
+from runlens.llm import decontaminate, exact_dedup, lang_id, licenses, line_dedup, merkle, ngram_join, packing, pii, secret_scan, token_files, toxicity, whitening
+from runlens.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -140,3 +141,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query()
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_path(spark, "token-files")
+    token_files.write(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, tokenizer_path())
+    return token_files.documents(spark, path)
