@@ -6,8 +6,8 @@
   round, so a table of n rows takes log(n) / `LOG_BLOCK` rounds and no task holds more than one block.
 * Proofs come from pointer jumping. Each node starts with the segment towards its parent: its sibling, or nothing. A round joins each
   node with the ancestor its segment reaches and appends that ancestor's segment, which doubles the distance. Only levels that the
-  next round still points to are kept, so the ancestors' side shrinks fast, and log2(height) rounds reach the root. A last join, on the
-  group, appends the segments of the tree over the roots.
+  next round still points to are kept, so the ancestors' side shrinks fast, and log2(height) rounds reach the root. A last join
+  appends the segments of the tree over the roots. A node high up is repeated for slabs of the leaves below it, so no join key is hot.
 * Each round is written to the shared folder, so a lost executor costs one round.
 
 A hash is the lowercase hex SHA-256 of its inputs put together, hashes as hex text. Every two consecutive nodes of a level have a
@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from runlens.session import cut_lineage
 
 LOG_BLOCK = 10
+#: Joins with an ancestor of more leaves go by slabs of 2^LOG_SLAB of them, so the rows below one node don't gather.
+LOG_SLAB = 12
 BLOCK = 1 << LOG_BLOCK
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 NODE, TOP, ROOT = 0, 1, 2
@@ -145,9 +147,12 @@ def jump(nodes: DataFrame) -> DataFrame:
     span = 1
     while span < height:
         step = F.col("level") % (2 * span)
-        low = nodes.filter(step == 0).withColumn("up", F.shiftright("pos", span))
-        high = nodes.filter(step == span).select("tree", (F.col("level") - span).alias("level"), F.col("pos").alias("up"), F.col("siblings").alias("more"))
-        joined = low.join(high, ["tree", "level", "up"], "left")
+        slab = min(span, LOG_SLAB)
+        low = nodes.filter(step == 0).withColumn("slab", F.shiftright("pos", slab))
+        first = F.shiftleft("pos", span - slab)
+        slabs = F.explode(F.sequence(first, first + (1 << (span - slab)) - 1)) if slab < span else F.col("pos")
+        high = nodes.filter(step == span).select("tree", (F.col("level") - span).alias("level"), slabs.alias("slab"), F.col("siblings").alias("more"))
+        joined = low.join(high, ["tree", "level", "slab"], "left")
         siblings = F.when(F.col("more").isNull(), F.col("siblings")).otherwise(F.concat("siblings", "more"))
         span *= 2
         nodes = joined.select("tree", "level", "pos", siblings.alias("siblings"), *payload)
@@ -167,11 +172,12 @@ def manifest(rows: DataFrame, key: str = "doc_id", group: str = "lang", fields:
     leaves = rows.select(tree.alias("tree"), F.col(key).alias("key"), F.unhex(leaf_hash([F.col(f) for f in fields])).alias("hash"), fake.alias("forged"))
     leaves = leaves.withColumn("forged", F.nullif("forged", "hash"))
     nodes, roots = forest(numbered(leaves, ["key", "hash"]).withColumn("leaf", F.col("hash")))
-    tops = roots.select(F.lit("").alias("tree"), F.col("tree").alias("name"), "hash")
+    tops = roots.select(F.lit("").alias("tree"), F.col("tree").alias("name"), "hash", "height")
     top_nodes, top_roots = forest(numbered(tops, ["name"]).withColumn("subroot", F.col("hash")))
     root = [r.hash for r in top_roots.collect()]  # one row, or none
-    above = jump(top_nodes).select(F.col("name").alias("tree"), F.col("pos").alias("top_pos"), "subroot", F.col("siblings").alias("more"))
-    out = jump(nodes).join(above, "tree")
+    slabs = F.explode(F.sequence(F.lit(0).cast("long"), F.pow(F.lit(2), F.greatest(F.col("height") - LOG_SLAB, F.lit(0))).cast("long") - 1))
+    above = jump(top_nodes).select(F.col("name").alias("tree"), slabs.alias("slab"), F.col("pos").alias("top_pos"), "subroot", F.col("siblings").alias("more"))
+    out = jump(nodes).withColumn("slab", F.shiftright("pos", LOG_SLAB)).join(above, ["tree", "slab"])
     return out.select(
         F.col("key").alias(key), "leaf", "forged", "subroot", F.lit(bytes(root[0]) if root else None).cast("binary").alias("root"), "pos", "top_pos",
         F.size("siblings").alias("height"), F.concat("siblings", "more").alias("siblings"))
