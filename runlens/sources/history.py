@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runlens.schema import HISTORY, JOURNAL, PR_LIST, STORE_JOURNAL
+from runlens.sources.growing import growing_lines
 
 MARGIN_MS = 86_400_000
 BLOCK_BITS = 44
@@ -90,11 +91,23 @@ def _ms(text: Column) -> Column:
     return F.unix_millis(F.try_to_timestamp(text))
 
 
+def parse_journal(lines: DataFrame) -> DataFrame:
+    """Train-journal events with a readable time; further columns of `lines` stay in front."""
+    keep = [c for c in lines.columns if c != "line"]
+    packed = lines.select("line", F.struct(*keep).alias("keep_")) if keep else lines
+    rows = parse_rows(packed, JOURNAL).withColumn("t_ms", _ms(F.col("at")))
+    return rows.filter("event IS NOT NULL AND t_ms >= 0").select(
+        *[F.col(f"keep_.`{c}`").alias(c) for c in keep], "t_ms", "event", "pr", "prs", F.col("runId").alias("run_id"), F.col("laneId").alias("lane_id"))
+
+
 def read_journal(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Train-journal events with a readable time, in file order."""
-    rows = parse_rows(read_lines(spark, path), JOURNAL).withColumn("t_ms", _ms(F.col("at")))
-    return rows.filter("event IS NOT NULL AND t_ms >= 0").select(
-        "ord", "t_ms", "event", "pr", "prs", F.col("runId").alias("run_id"), F.col("laneId").alias("lane_id"))
+    return parse_journal(read_lines(spark, path).select("line", "ord"))
+
+
+def stream_journal(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Journal events of growing files, each once: src_file and line_at say where a row stands."""
+    return parse_journal(growing_lines(spark, path, **options).withColumnRenamed("at", "line_at"))
 
 
 def read_prs(spark: SparkSession, by_repo: dict[str, list[str]], multi_line: bool = True) -> DataFrame:
@@ -146,6 +159,16 @@ def parse_decisions(lines: DataFrame) -> DataFrame:
         (half("new", 1) == "admit").alias("admit"), half("new", 2).alias("reason"), "fields")
 
 
+def read_decision_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Decision-log lines of files, with `ord` in file order."""
+    return parse_decisions(read_lines(spark, path).select("line", "ord"))
+
+
+def stream_decision_log(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Decision-log lines of growing files, each once, with src_file and line_at."""
+    return parse_decisions(growing_lines(spark, path, **options).withColumnRenamed("at", "line_at"))
+
+
 def parse_process_table(lines: DataFrame) -> DataFrame:
     """`pid ppid pgid pcpu rss` lines; a line without five numbers is dropped."""
     keep = [c for c in lines.columns if c != "line"]

@@ -68,6 +68,11 @@ def object_states(journal: DataFrame, target: str, checkpoint: str):
     return object_state(journal).writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def append_available(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Runs an append stream over what is there now; a later call with the same folders goes on from there."""
+    stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()
+
+
 def run_to_table(stream: DataFrame, name: str) -> DataFrame:
     """Runs an append stream over the input available now and returns what it wrote."""
     spark = stream.sparkSession

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from runlens.session import work_path
+from runlens.session import cut_lineage, work_path
 from runlens.sources import history as src
 from runlens.plans import estimates, reports
+from runlens.sources.growing import open_store
 from runlens.sources.sinks import append_history, derived_table, write_report
+from runlens.streaming import jobs
 from runlens.workload import q_reports
 from runlens.workload.registry import ORACLES, query
 from runlens.workload.views import flat, history, oracle
@@ -50,36 +54,95 @@ def read_recent_history(spark, sf):
     return rows.selectExpr("ord", "repo", "startedAt AS started_at")
 
 
-@query("read_journal", "SRC04", oracle(["journal"], "SELECT t_ms, event, pr, run_id, array_to_string(prs, ',') AS prs, count(*) AS n FROM journal WHERE ord % 50 <> 7 AND ord % 61 <> 8 AND ord % 53 <> 9 GROUP BY ALL"))
-def read_journal(spark, sf):
+def _journal_lines(spark, sf):
+    """Journal lines (ord, value), some without a time or an event, some torn."""
     j = flat(spark, sf, "journal")
     at = F.when(F.col("ord") % 50 == 7, "not a time").otherwise(F.concat(F.date_format(F.timestamp_millis("t_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z")))
     event = F.when(F.col("ord") % 61 != 8, F.col("event"))
     whole = F.to_json(F.struct(at.alias("at"), event.alias("event"), "pr", "prs", F.col("run_id").alias("runId"), F.col("lane_id").alias("laneId")))
+    return j.select("ord", F.when(F.col("ord") % 53 == 9, F.substring(whole, 1, 25)).otherwise(whole).alias("value"))
+
+
+def _journal_counts(rows):
+    return rows.groupBy("t_ms", "event", "pr", "run_id", F.array_join("prs", ",").alias("prs")).agg(F.count("*").alias("n"))
+
+
+@query("read_journal", "SRC04", oracle(["journal"], "SELECT t_ms, event, pr, run_id, array_to_string(prs, ',') AS prs, count(*) AS n FROM journal WHERE ord % 50 <> 7 AND ord % 61 <> 8 AND ord % 53 <> 9 GROUP BY ALL"))
+def read_journal(spark, sf):
     path = work_path(spark, "journal")
-    j.select(F.when(F.col("ord") % 53 == 9, F.substring(whole, 1, 25)).otherwise(whole).alias("value")).write.text(path)
-    rows = src.read_journal(spark, path).groupBy("t_ms", "event", "pr", "run_id", F.array_join("prs", ",").alias("prs"))
-    return rows.agg(F.count("*").alias("n"))
+    _journal_lines(spark, sf).select("value").write.text(path)
+    return _journal_counts(src.read_journal(spark, path))
 
 
-@query("read_decision_log", "SRC09", """SELECT event_id AS ord, 1704067200000 + event_id * 7000 AS t_ms, 'c' || (user_id % 30)::VARCHAR AS candidate, event_id % 5 < 2 AS current_admit, CASE WHEN event_id % 5 < 2 THEN 'ok' ELSE 'load' END AS current_reason,
-  event_type = 'purchase' AS admit, 'r' || (event_id % 4)::VARCHAR AS reason FROM events WHERE event_id % 40 <> 3""")
-def read_decision_log(spark, sf):
+GROWN = 4  # files that a writer appends to
+
+
+def _write_prefix(folder: str, step: int, steps: int):
+    """A writer at work: each task's file holds its lines up to a share of its bytes, wherever that cuts a line."""
+
+    def run(batches):
+        store, root = open_store(folder)
+        store.create_dir(root, recursive=True)
+        rows = [v for b in batches for v in b.column(0).to_pylist()]
+        data = "".join(f"{v}\n" for v in rows).encode()
+        with store.open_output_stream(f"{root}/log-{TaskContext.get().partitionId():03d}.txt") as f:
+            f.write(data[: len(data) * step // steps])
+        yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64())], names=["n"])
+
+    return run
+
+
+def _grown(spark, lines, stream, name):
+    """The rows of `stream` over files that grow in three steps, each ending within a line but the last; one query run after each step."""
+    folder, table, checkpoint = (work_path(spark, f"{name}-{x}") for x in ("files", "table", "checkpoint"))
+    whole = cut_lineage(lines.select("ord", "value").repartition(GROWN, "ord").sortWithinPartitions("ord"), f"{name}-lines")
+    for step in (1, 2, 3):
+        whole.repartition(GROWN, "ord").sortWithinPartitions("ord").select("value").mapInArrow(_write_prefix(folder, step, 3), "n long").agg(F.sum("n")).collect()
+        rows = stream(spark, folder, split_bytes=1 << 16)
+        jobs.append_available(rows, table, checkpoint)
+    return spark.read.schema(rows.schema).parquet(table)
+
+
+@query("stream_journal", "SRC04", ORACLES["read_journal"])
+def stream_journal(spark, sf):
+    return _journal_counts(_grown(spark, _journal_lines(spark, sf), src.stream_journal, "journal"))
+
+
+def _decision_lines(spark, sf):
+    """Decision-log lines (ord, value), among lines of other events."""
     e = spark.read.parquet(f"{sf}/events.parquet")
     stamp = F.concat(F.date_format(F.timestamp_millis(F.lit(1704067200000) + F.col("event_id") * 7000), "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))
     verdict = F.when(F.col("event_type") == "purchase", "admit").otherwise("deny")
     cur = F.when(F.col("event_id") % 5 < 2, "admit:ok").otherwise("deny:load")
     line = F.concat_ws(" ", stamp, F.when(F.col("event_id") % 40 == 3, "other-event").otherwise("host-admission"), F.concat(F.lit("candidate=c"), (F.col("user_id") % 30).cast("string")), F.lit("mode=shadow"),
-                       F.concat(F.lit("current="), cur), F.concat(F.lit("new="), verdict, F.lit(":r"), (F.col("event_id") % 4).cast("string")), F.lit("cores=8"))
-    return src.parse_decisions(e.select(F.col("event_id").alias("ord"), line.alias("line"))).drop("fields")
+                       F.concat(F.lit("current="), cur), F.concat(F.lit("new="), verdict, F.lit(":r"), (F.col("event_id") % 4).cast("string")), F.concat(F.lit("cores="), F.col("event_id").cast("string")))
+    return e.select(F.col("event_id").alias("ord"), line.alias("value"))
+
+
+def _decision_rows(rows):
+    """The line's own number is its `cores`, as the files' order is another."""
+    return rows.withColumn("ord", F.element_at("fields", "cores").cast("long")).select("ord", "t_ms", "candidate", "current_admit", "current_reason", "admit", "reason")
+
+
+@query("read_decision_log", "SRC09", """SELECT event_id AS ord, 1704067200000 + event_id * 7000 AS t_ms, 'c' || (user_id % 30)::VARCHAR AS candidate, event_id % 5 < 2 AS current_admit, CASE WHEN event_id % 5 < 2 THEN 'ok' ELSE 'load' END AS current_reason,
+  event_type = 'purchase' AS admit, 'r' || (event_id % 4)::VARCHAR AS reason FROM events WHERE event_id % 40 <> 3""")
+def read_decision_log(spark, sf):
+    path = work_path(spark, "decisions")
+    _decision_lines(spark, sf).select("value").write.text(path)
+    return _decision_rows(src.read_decision_log(spark, path))
+
+
+@query("stream_decision_log", "SRC09", ORACLES["read_decision_log"])
+def stream_decision_log(spark, sf):
+    return _decision_rows(_grown(spark, _decision_lines(spark, sf), src.stream_decision_log, "decisions"))
 
 
-@query("read_store_journal", "SRC06", oracle(["store_journal"], "SELECT 's' || store::VARCHAR AS store, seq, path, sha, size_bytes, created_ms FROM store_journal WHERE seq % 29 <> 3 AND store < 2"))
+@query("read_store_journal", "SRC06", oracle(["store_journal"], "SELECT 's' || store::VARCHAR AS store, seq, path, sha, size_bytes, created_ms FROM store_journal WHERE seq % 29 <> 3"))
 def read_store_journal(spark, sf):
     j = flat(spark, sf, "store_journal").withColumn("kind", F.lit("blob"))
     whole = F.to_json(F.struct("seq", "kind", "path", F.col("sha").alias("sha256"), F.col("size_bytes").alias("size"), F.col("created_ms").alias("createdAt")))
     paths = {}
-    for store in (0, 1):
+    for store in (0, 1, 2):
         path = paths[f"s{store}"] = work_path(spark, f"store-journal-{store}")
         # torn lines end early, and blank ones stand between
         j.filter(F.col("store") == store).select(F.when(F.col("seq") % 29 == 3, F.substring(whole, 1, 30)).otherwise(F.concat(whole, F.when(F.col("seq") % 31 == 4, "\n").otherwise(""))).alias("value")).write.text(path)
