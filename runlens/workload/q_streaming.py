@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from runlens.session import work_path
-from runlens.streaming import jobs, state
+from runlens.streaming import jobs, state, timers
+from runlens.workload import q_queue as qq
 from runlens.workload import q_telemetry as qt
 from runlens.workload.registry import ORACLES, query
 from runlens.workload.views import VIEWS, Spark, flat, history, oracle
@@ -109,3 +110,32 @@ def stream_history_ingest(spark, sf):
     jobs.ingest_history(spark, src, dst, work_path(spark, "ingest-checkpoint"), "month", max_files=2).awaitTermination()
     named = F.coalesce("id", F.lit("")) != ""
     return spark.read.parquet(dst).groupBy("id").agg(F.count_if(~named).alias("unnamed"), F.count_if(named).alias("months"))
+
+
+def _files(spark, rows, schema_of, name, files):
+    """`rows` (with a column `file`) written as that many files and read as a stream, one file in a micro-batch."""
+    path = work_path(spark, name)
+    for i in range(files):
+        rows.filter(F.col("file") == i).drop("file").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(schema_of).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("stream_lease_expiry", "STR11 SCL25", ORACLES["lease_expiry"])
+def stream_lease_expiry(spark, sf):
+    """Claims in the first two files, shuffled; each snapshot's ticks in the third, in the fourth every ticket ends and the watermark moves on."""
+    t = flat(spark, sf, "tickets").selectExpr("snapshot AS cluster", "ticket_id", "state", "created_ms + 3000000 AS lease_until_ms", "CAST(requeues AS BIGINT) AS requeues", "ticket_id % 17 = 0 AS cancel_requested").filter("state IN ('claimed', 'running')")
+    now = f"({qq.EARLY} + cluster * 1000000000L)"
+    claims = t.withColumns({"t_ms": F.expr(f"{now} - 2000 - ticket_id % 100"), "file": F.expr("ticket_id % 2")})
+    ends = t.withColumns({"t_ms": F.expr(f"{now} + 1"), "state": F.lit("finished"), "file": F.lit(3)})
+    clusters = t.select("cluster").distinct()
+    ticks = clusters.select("cluster", F.explode(F.array(F.expr(f"{now} - if(cluster = 3, 90000L, 5000L)"), F.expr(now))).alias("t_ms")).withColumn("file", F.lit(2))
+    far = t.agg(F.max(F.expr(f"{now} + 100 * 86400000L")).alias("t_ms"), F.max("cluster").alias("cluster")).withColumns({"file": F.lit(3), "state": F.lit("mark")})
+    rows = claims.unionByName(ends).unionByName(ticks, allowMissingColumns=True).unionByName(far, allowMissingColumns=True)
+    rows = rows.repartition(8, "cluster", "ticket_id")
+    # the watermark allows for the spread of the snapshots' times, so no file comes late
+    s = _files(spark, rows, rows.drop("file").schema, "lease-events", 4)
+    verdicts = timers.lease_verdicts(s.filter("state IS NOT NULL"), s.filter("state IS NULL"), delay="90 days")
+    out, checkpoint = timers.run_stateful(verdicts, "lease-verdicts")
+    if left := timers.state_rows(spark, checkpoint, "pending", "leases", "due", "overdue", "soon"):
+        raise AssertionError(f"{left} rows of state are left")
+    return out.selectExpr("cluster AS snapshot", "ticket_id", "verdict", "not_before_ms", "lease_until_ms")
