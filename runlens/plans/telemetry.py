@@ -59,10 +59,14 @@ def usage_fold(readings: DataFrame) -> DataFrame:
 
 def integrated_cpu(usage: DataFrame, leases: DataFrame) -> DataFrame:
     """CPU seconds per lease: the area with the first reading held back to the start and the last forward to the end."""
-    j = usage.join(leases.select("lease_id", "started_ms", "ended_ms"), "lease_id")
+    return usage.join(leases.select("lease_id", "started_ms", "ended_ms"), "lease_id").select("lease_id", cpu_seconds().alias("cpu_seconds"))
+
+
+def cpu_seconds() -> Column:
+    """From area, first and last readings (t_ms, cores), started_ms and ended_ms of a lease."""
     head = F.when(F.col("started_ms") < F.col("first.t_ms"), F.col("first.cores") * (F.col("first.t_ms") - F.col("started_ms"))).otherwise(0.0)
     tail = F.when(F.col("ended_ms") > F.col("last.t_ms"), F.col("last.cores") * (F.col("ended_ms") - F.col("last.t_ms"))).otherwise(0.0)
-    return j.select("lease_id", round_to((F.col("area") + head + tail) / 1000, 3).alias("cpu_seconds"))
+    return round_to((F.col("area") + head + tail) / 1000, 3)
 
 
 def settled_demand(

@@ -6,6 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runlens.functions.runs import finite
+from runlens.plans.telemetry import cpu_seconds
 from runlens.session import work_path
 from runlens.sources.history import parse_history, settled_day, stream_lines
 
@@ -58,6 +60,30 @@ def wait_sessions(polls: DataFrame, gap: str = "10 minutes", delay: str = "10 mi
         "ticket", "reason", F.unix_millis("session_window.start").alias("since_ms"), "polls")
 
 
+def finished_cpu(readings: DataFrame, ends: DataFrame, max_run: str = "2 days", reading_delay: str = "10 minutes", end_delay: str = "10 minutes") -> DataFrame:
+    """CPU seconds of each lease once its end is known (lease_id, cpu_seconds), as integrated_cpu gives them.
+
+    readings: lease_id, ord, t_ms, cores; ends: lease_id, started_ms, ended_ms, each lease once. The two streams are joined on the lease and a
+    time range: readings wait for an end until none can come that is within `max_run` of them, ends wait for readings of their run that are late by
+    `reading_delay`. A result is emitted when both watermarks have passed the lease's end; it holds the readings of that run, folded in
+    arrival order. Readings further than `max_run` before the end, or `reading_delay` behind it, don't count.
+    """
+    r = readings.filter(finite(F.col("cores")).isNotNull()).select("lease_id", "ord", "t_ms", "cores", F.timestamp_millis("t_ms").alias("read_ts")).withWatermark("read_ts", reading_delay)
+    e = ends.select(F.col("lease_id").alias("of_lease"), "started_ms", "ended_ms", F.timestamp_millis("ended_ms").alias("end_ts")).withWatermark("end_ts", end_delay)
+    near = (F.col("read_ts") >= F.col("end_ts") - F.expr(f"INTERVAL {max_run}")) & (F.col("read_ts") <= F.col("end_ts") + F.expr(f"INTERVAL {reading_delay}"))
+    rows = r.join(e, (F.col("lease_id") == F.col("of_lease")) & near)
+    runs = rows.groupBy("lease_id", "end_ts", "started_ms", "ended_ms").agg(F.array_sort(F.collect_list(F.struct("ord", "t_ms", "cores"))).alias("readings"))
+    first = F.struct(F.col("readings")[0]["t_ms"].alias("t_ms"), F.col("readings")[0]["cores"].alias("cores"))
+
+    def step(acc, x):
+        later = x["t_ms"] > acc["last"]["t_ms"]
+        held = F.struct(x["t_ms"].alias("t_ms"), x["cores"].alias("cores"))
+        return F.struct((acc["area"] + F.when(later, acc["last"]["cores"] * (x["t_ms"] - acc["last"]["t_ms"])).otherwise(0.0)).alias("area"), F.when(later, held).otherwise(acc["last"]).alias("last"))
+
+    folded = F.aggregate("readings", F.struct(F.lit(0.0).alias("area"), first.alias("last")), step)
+    return runs.withColumns({"first": first, "fold_": folded}).withColumns({"area": F.col("fold_.area"), "last": F.col("fold_.last")}).select("lease_id", cpu_seconds().alias("cpu_seconds"))
+
+
 def object_states(journal: DataFrame, target: str, checkpoint: str):
     """Latest object state per path, kept by a complete aggregation and written as one table per batch."""
     from runlens.plans.inventory import object_state

@@ -139,3 +139,16 @@ def stream_lease_expiry(spark, sf):
     if left := timers.state_rows(spark, checkpoint, "pending", "leases", "due", "overdue", "soon"):
         raise AssertionError(f"{left} rows of state are left")
     return out.selectExpr("cluster AS snapshot", "ticket_id", "verdict", "not_before_ms", "lease_until_ms")
+
+
+@query("stream_lease_cpu_seconds", "WIN03", ORACLES["lease_cpu_seconds"])
+def stream_lease_cpu_seconds(spark, sf):
+    """Readings and ends in three files each, whatever their times; a third of the ends comes after all readings."""
+    h = flat(spark, sf, "heartbeats").select("lease_id", "ord", "t_ms", "cores").withColumn("file", F.pmod(F.xxhash64("ord"), F.lit(3)))
+    e = flat(spark, sf, "leases").select("lease_id", "started_ms", "ended_ms").withColumn("file", F.pmod(F.xxhash64("lease_id"), F.lit(3)))
+    far = 4_000 * qt.DAY  # the last file of each stream moves its watermark past all ends
+    h = h.unionByName(h.agg(F.lit(-1).cast("long").alias("lease_id"), F.lit(0).cast("long").alias("ord"), (F.max("t_ms") + far).alias("t_ms"), F.lit(0.0).alias("cores"), F.lit(3).cast("long").alias("file")))
+    e = e.unionByName(e.agg(F.lit(-2).cast("long").alias("lease_id"), F.lit(0).cast("long").alias("started_ms"), (F.max("ended_ms") + far).alias("ended_ms"), F.lit(3).cast("long").alias("file")))
+    readings = _files(spark, h, h.drop("file").schema, "readings", 4)
+    ends = _files(spark, e, e.drop("file").schema, "ends", 4)
+    return jobs.run_to_table(jobs.finished_cpu(readings, ends, "1200 days", "1200 days", "1200 days"), "finished-cpu")

@@ -66,3 +66,22 @@ def test_a_running_lease_is_lost_two_hours_after_its_last_sign(spark, tmp_path):
 def test_a_lease_that_is_over_when_it_arrives(spark, tmp_path):
     got, left = verdicts(spark, tmp_path, [[lease(1, 1000, until=-5000), tick(1000), lease(2, 1001, until=1001), lease(3, 1001, until=1002)], [tick(1002)], [lease(3, 1003, "finished")]])
     assert got == {(1, "queued"): (1002, 6002, -5000), (2, "queued"): (1002, 6002, 1001), (3, "kept"): (1003, None, 1002)} and left == 0
+
+
+def test_cpu_of_finished_runs_equals_the_batch_form(spark, tmp_path):
+    from runlens.plans import telemetry as tel
+    from runlens.streaming import jobs
+
+    R, E = "lease_id long, ord long, t_ms long, cores double", "lease_id long, started_ms long, ended_ms long"
+    minute = 60_000
+    readings = [(k % 3, k, T0 + minute * (k // 3) - (200_000 if k % 7 == 0 else 0), None if k % 5 == 0 else float("inf") if k == 8 else k / 4) for k in range(60)]
+    ends = [(0, T0 - 5_000, T0 + 25 * minute), (1, T0 + 1_000, T0 + 10 * minute), (9, T0, T0 + minute)]  # lease 2 never ends, lease 9 has no reading
+    files = [[r for r in readings if r[1] % 4 in (0, 3)], [r for r in readings if r[1] % 4 == 1], [r for r in readings if r[1] % 4 == 2], [(-1, 0, T0 + 10**9, 0.0)]]
+    (tmp_path / "r").mkdir()
+    (tmp_path / "e").mkdir()
+    r = feed(spark, tmp_path / "r", files, R)
+    e = feed(spark, tmp_path / "e", [ends[1:2], [(7, T0, T0)], [(8, T0, T0)], [*ends[:1], *ends[2:]], [(-2, 0, T0 + 10**9)]], E)  # one end comes after all readings
+    got = jobs.run_to_table(jobs.finished_cpu(r, e, "1 hour", "1 hour", "1 hour"), "cpu")
+    batch = spark.createDataFrame([x for f in files for x in f], R)
+    want = tel.integrated_cpu(tel.usage_fold(batch), spark.createDataFrame(ends, E))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() == 2
