@@ -35,13 +35,17 @@ def p90_of(state: Column, variance: Column, widen: float = 1.0) -> Column:
 
 # ---- duration estimator -------------------------------------------------------------------------------------------
 
-def fold_durations(obs: DataFrame) -> DataFrame:
-    """Estimator state per level and key from observations (PARTS..., ref_s, censored, t, ord)."""
+def at_levels(obs: DataFrame) -> DataFrame:
+    """Observations (PARTS..., ref_s, censored, t, ord) once for each level, with the level's key."""
     level_keys = F.array(*[
         F.struct(F.lit(i).alias("level"), *[(F.coalesce(p, F.lit("")) if p in parts else F.lit("")).alias(p) for p in PARTS])
         for i, (_, parts) in enumerate(LEVELS)])
-    wide = obs.filter(F.col("ref_s") > 0).select(F.explode(level_keys).alias("key"), "ref_s", "censored", "t", "ord").select("key.*", "ref_s", "censored", "t", "ord")
-    return sliced_fold(wide, ["level", *PARTS], F.ln("ref_s"), F.col("censored"), F.col("t"), "ord", LogStep)
+    return obs.filter(F.col("ref_s") > 0).select(F.explode(level_keys).alias("key"), "ref_s", "censored", "t", "ord").select("key.*", "ref_s", "censored", "t", "ord")
+
+
+def fold_durations(obs: DataFrame) -> DataFrame:
+    """Estimator state per level and key from observations (PARTS..., ref_s, censored, t, ord)."""
+    return sliced_fold(at_levels(obs), ["level", *PARTS], F.ln("ref_s"), F.col("censored"), F.col("t"), "ord", LogStep)
 
 
 def class_p75(obs: DataFrame) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from runlens.session import work_path
-from runlens.streaming import jobs, state, timers
+from runlens.session import cut_lineage, work_path
+from runlens.plans import estimates
+from runlens.streaming import estimators, jobs, state, timers
+from runlens.workload import q_estimates as qe
 from runlens.workload import q_queue as qq
 from runlens.workload import q_telemetry as qt
 from runlens.workload.registry import ORACLES, query
@@ -152,3 +154,13 @@ def stream_lease_cpu_seconds(spark, sf):
     readings = _files(spark, h, h.drop("file").schema, "readings", 4)
     ends = _files(spark, e, e.drop("file").schema, "ends", 4)
     return jobs.run_to_table(jobs.finished_cpu(readings, ends, "1200 days", "1200 days", "1200 days"), "finished-cpu")
+
+
+@query("stream_duration_estimator", "AGG11", ORACLES["duration_estimator_levels"])
+def stream_duration_estimator(spark, sf):
+    """Observations of all times shuffled over six micro-batches; slices of half a year."""
+    obs = qe._observations(spark, sf).withColumn("file", F.pmod(F.xxhash64("ord", F.lit("shuffle")), F.lit(6)))
+    s = _files(spark, cut_lineage(obs, "observations"), obs.drop("file").schema, "observations", 6)
+    out, _ = timers.run_stateful(estimators.fold_durations(s, 182 * 86_400_000.0), "duration-estimator")
+    newest = out.groupBy("level", *estimates.PARTS).agg(F.max_by(F.struct("n", "censored_n", "state", "variance"), "n").alias("x")).select("level", *estimates.PARTS, "x.*")
+    return newest.select("level", *estimates.PARTS, "n", "censored_n", F.round(F.exp("state"), 5).alias("p50"), F.round(estimates.p90_of(F.col("state"), F.col("variance")), 5).alias("p90"))
