@@ -17,6 +17,7 @@ EVICT_FRACTION = 0.8
 MIN_CACHEABLE_BYTES = 8 * 1024
 UUID_NAME = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 PUT_KINDS = ["blob", "manifest", "delete-cancel"]
+MARK_KINDS = ["pin", "terminal"]
 
 
 # ---- journal ------------------------------------------------------------------------------------------------------
@@ -28,11 +29,15 @@ def journal_gaps(journal: DataFrame) -> DataFrame:
     return j.filter(F.col("prev_seq").isNotNull() & (F.col("seq") != F.col("prev_seq") + 1)).select("store", "seq", "prev_seq")
 
 
-def object_state(journal: DataFrame) -> DataFrame:
-    """put, intent or delete per (store, path), by its last object record; pins and terminal marks do not count."""
+def object_records(journal: DataFrame) -> DataFrame:
+    """Journal records that say put, intent or delete of an object; pins and terminal marks do not."""
     state = F.when(F.col("kind").isin(PUT_KINDS), "put").when(F.col("kind") == "delete-intent", "intent").when(F.col("kind") == "delete", "delete")
-    j = journal.withColumn("state", state).filter("state IS NOT NULL")
-    return j.groupBy("store", "path").agg(F.max_by("state", "seq").alias("state"))
+    return journal.withColumn("state", state).filter("state IS NOT NULL")
+
+
+def object_state(journal: DataFrame) -> DataFrame:
+    """put, intent or delete per (store, path), by its last object record."""
+    return object_records(journal).groupBy("store", "path").agg(F.max_by("state", "seq").alias("state"))
 
 
 def replication_lag(journal: DataFrame, marks: DataFrame, now: int) -> DataFrame:

@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.functions.runs import finite
+from runlens.plans.inventory import MARK_KINDS, object_records
 from runlens.plans.telemetry import cpu_seconds
 from runlens.session import work_path
 from runlens.sources.history import parse_history, settled_day, stream_lines
+from runlens.sources.upserts import BucketedTable
 
 
 def history_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -84,14 +86,25 @@ def finished_cpu(readings: DataFrame, ends: DataFrame, max_run: str = "2 days",
     return runs.withColumns({"first": first, "fold_": folded}).withColumns({"area": F.col("fold_.area"), "last": F.col("fold_.last")}).select("lease_id", cpu_seconds().alias("cpu_seconds"))
 
 
-def object_states(journal: DataFrame, target: str, checkpoint: str):
-    """Latest object state per path, kept by a complete aggregation and written as one table per batch."""
-    from runlens.plans.inventory import object_state
+def object_tables(spark: SparkSession, target: str, buckets: int = 64) -> tuple[BucketedTable, BucketedTable]:
+    """The state of each object (store, path, state, seq), and apart from it each path's newest record of each kind of mark (store, path, mark, seq)."""
+    return (BucketedTable(spark, f"{target}/objects", "store long, path string, state string, seq long", ["store", "path"], "seq", buckets),
+            BucketedTable(spark, f"{target}/marks", "store long, path string, mark string, seq long", ["store", "path", "mark"], "seq", buckets))
+
+
+def follow_objects(journal: DataFrame, target: str, checkpoint: str, buckets: int = 64) -> None:
+    """Keeps both object tables up to date with a stream of journal records (store, seq, kind, path), whatever their order; runs over what is there now."""
+    objects, marks = object_tables(journal.sparkSession, target, buckets)
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
+        rows = batch.withColumn("store", F.col("store").cast("long")).persist()
+        try:
+            objects.upsert(object_records(rows).select("store", "path", "state", "seq"), epoch)
+            marks.upsert(rows.filter(F.col("kind").isin(MARK_KINDS)).select("store", "path", F.col("kind").alias("mark"), "seq"), epoch)
+        finally:
+            rows.unpersist()
 
-    return object_state(journal).writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    journal.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def append_available(stream: DataFrame, path: str, checkpoint: str) -> None:

@@ -8,6 +8,7 @@ from runlens.session import cut_lineage, work_path
 from runlens.plans import estimates
 from runlens.streaming import estimators, jobs, state, timers
 from runlens.workload import q_estimates as qe
+from runlens.workload import q_inventory as qi
 from runlens.workload import q_queue as qq
 from runlens.workload import q_telemetry as qt
 from runlens.workload.registry import ORACLES, query
@@ -164,3 +165,16 @@ def stream_duration_estimator(spark, sf):
     out, _ = timers.run_stateful(estimators.fold_durations(s, 182 * 86_400_000.0), "duration-estimator")
     newest = out.groupBy("level", *estimates.PARTS).agg(F.max_by(F.struct("n", "censored_n", "state", "variance"), "n").alias("x")).select("level", *estimates.PARTS, "x.*")
     return newest.select("level", *estimates.PARTS, "n", "censored_n", F.round(F.exp("state"), 5).alias("p50"), F.round(estimates.p90_of(F.col("state"), F.col("variance")), 5).alias("p90"))
+
+
+@query("stream_object_state", "STR17", oracle(["store_journal"], qi.STATE_SQL + """,
+pn AS (SELECT store, path, max(seq) AS pin_seq FROM jk WHERE kind = 'pin' GROUP BY 1, 2)
+SELECT coalesce(st.store, pn.store) AS store, coalesce(st.path, pn.path) AS path, state, pin_seq FROM st FULL JOIN pn ON pn.store = st.store AND pn.path = st.path"""))
+def stream_object_state(spark, sf):
+    """The journal shuffled over five micro-batches: object states and pins, kept apart and side by side here."""
+    j = flat(spark, sf, "store_journal").selectExpr("store", "seq", "path", f"{qi.JK} AS kind").withColumn("file", F.pmod(F.xxhash64("store", "seq"), F.lit(5)))
+    target = work_path(spark, "object-tables")
+    jobs.follow_objects(_files(spark, j, j.drop("file").schema, "store-journal", 5), target, work_path(spark, "object-checkpoint"), buckets=8)
+    objects, marks = (t.read() for t in jobs.object_tables(spark, target, buckets=8))
+    pins = marks.filter("mark = 'pin'").select("store", "path", F.col("seq").alias("pin_seq"))
+    return objects.drop("seq").join(pins, ["store", "path"], "full")
