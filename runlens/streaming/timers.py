@@ -18,6 +18,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from runlens.functions.queue import MAX_REQUEUES
 from runlens.plans.queue import AMNESTY_AFTER_MS, LEASE_TTL_MS, LOST_AFTER_MS
+from runlens.plans.telemetry import MAX_PING_MS, MIN_PING_MS, NO_PROGRESS_CORES
 from runlens.session import work_path
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -101,20 +102,32 @@ class InOrder(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.mark, now, out = timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs(), []
-        while True:  # instants asked for behind the watermark come first
-            times = self.soon.get()
-            early = sorted(times[0]) if times else []
-            if not early or early[0] > now:
-                break
-            self.soon.update((early[1:],))
-            if early[0] < now:
-                out += self._at(key, early[0])
-        if not early and times:
-            self.soon.clear()
+        while (t := self._next_soon(now - 1)) is not None:
+            out += self._at(key, t)
+        self.sleep_at(now, fired=True)
         out += self._at(key, now)
+        # wake-ups asked for meanwhile, up to the key's next timer: one behind the watermark would else wait for the next micro-batch
+        while self.soon.exists():
+            others = [t for t in self.handle.listTimers() if now < t <= self.mark and t not in self.soon.get()[0]]
+            t = self._next_soon(min(others, default=self.mark + 1) - 1)
+            if t is None:
+                break
+            self.handle.deleteTimer(t)
+            out += self._at(key, t)
         if out:
             yield pd.DataFrame(out, columns=self.columns)
 
+    def _next_soon(self, limit: int) -> int | None:
+        """Takes the first wake-up up to `limit` off the list."""
+        times = self.soon.get()
+        if not times or times[0][0] > limit:
+            return None
+        if len(times[0]) > 1:
+            self.soon.update((times[0][1:],))
+        else:
+            self.soon.clear()
+        return times[0][0]
+
     def _at(self, key, t: int) -> list[tuple]:
         out = list(self.woken_at(key, t))
         held = self.pending.getValue((t,))
@@ -130,9 +143,9 @@ class InOrder(StatefulProcessor):
             times = self.soon.get()
             self.soon.update((sorted({*(times[0] if times else []), t}),))
 
-    def sleep_at(self, t: int) -> None:
+    def sleep_at(self, t: int, fired: bool = False) -> None:
         """Takes a wake-up back, unless rows of that instant still wait."""
-        if not self.pending.containsKey((t,)):
+        if not fired and not self.pending.containsKey((t,)):
             self.handle.deleteTimer(t)
         times = self.soon.get()
         if times and times[0] == [t]:
@@ -259,3 +272,153 @@ def state_rows(spark: SparkSession, checkpoint: str, *names: str) -> int:
     """Rows left in the named state variables of a finished query."""
     store = spark.read.format("statestore").option("path", checkpoint)
     return sum(store.option("stateVarName", n).load().count() for n in names)
+
+
+# ---- no progress --------------------------------------------------------------------------------------------------
+
+class NoProgress(InOrder):
+    """The processes of a lease as a map from identity to CPU seconds; each observation is held against the one before.
+
+    A lease that is not observed for `forget_ms` is forgotten, as if it came anew.
+    """
+
+    fields = {"output_bytes": "long", "identity": "string", "cpu_sec": "double"}
+    columns = ["lease_id", "t_ms", "interval_cores", "idle_ms"]
+
+    def __init__(self, forget_ms: int):
+        self.forget_ms = forget_ms
+
+    def open(self, handle) -> None:
+        self.procs = handle.getMapState("procs", "identity string", "cpu_sec double")
+        self.last = handle.getValueState("last", "t long, output_bytes long, busy_ms long")
+
+    def woken_at(self, key, t: int) -> Iterator[tuple]:
+        last = self.last.get()
+        if last and t - last[0] >= self.forget_ms:
+            self.procs.clear()
+            self.last.clear()
+        return iter(())
+
+    def rows_at(self, key, t: int, rows: list[dict]) -> Iterator[tuple]:
+        now = {r["identity"]: r["cpu_sec"] for r in rows}
+        output, last = max(r["output_bytes"] for r in rows), self.last.get()
+        before = {k[0]: v[0] for k, v in self.procs.iterator()} if last else {}
+        cores, idle = None, False
+        if last and now.keys() == before.keys():
+            cores = sum(max(0.0, c - before[i]) for i, c in now.items()) / ((t - last[0]) / 1000)
+            idle = output == last[1] and cores <= NO_PROGRESS_CORES
+        for identity in before.keys() - now.keys():
+            self.procs.removeKey((identity,))
+        for identity, cpu in now.items():
+            if before.get(identity) != cpu:
+                self.procs.updateValue((identity,), (cpu,))
+        busy = last[2] if idle else t
+        if last:
+            self.sleep_at(last[0] + self.forget_ms)
+        self.last.update((t, output, busy))
+        self.wake_at(t + self.forget_ms)
+        yield key[0], t, cores, t - busy if idle else 0
+
+
+def no_progress(members: DataFrame, forget_ms: int = 86_400_000, delay: str = "10 minutes") -> DataFrame:
+    """The streaming form of telemetry.no_progress: interval cores and idle streak of each observation, in order.
+
+    members: one row per process of an observation (lease_id, t_ms, output_bytes, identity, cpu_sec), in any order within `delay`. A row with a
+    null identity only moves the watermark; rows without a lease are left out.
+    """
+    rows = members.filter("lease_id IS NOT NULL").select("lease_id", F.when(F.col("identity").isNull(), MARK).otherwise(0).alias("bucket"), "t_ms", "output_bytes", "identity", "cpu_sec")
+    kind = members.schema["lease_id"].dataType.simpleString()
+    return rows.withColumn("ts", F.timestamp_millis("t_ms")).withWatermark("ts", delay).groupBy("lease_id", "bucket").transformWithStateInPandas(
+        NoProgress(forget_ms), f"lease_id {kind}, t_ms long, interval_cores double, idle_ms long", "Append", "EventTime")
+
+
+# ---- runner states ------------------------------------------------------------------------------------------------
+
+class RunnerStates(StatefulProcessor):
+    """A runner's state changes: at its pings, and by timers when it has been unreachable for too long.
+
+    Deadlines behind a ping are passed before the ping counts, so the changes are the same however rows fall into micro-batches; the
+    timers only bring them forward to when the clock passes, without any row of that runner.
+    """
+
+    columns = ["runner", "t_ms", "state", "unreachable_since", "last_ok_ms", "next_ping_ms", "lost_settle_ms"]
+
+    def __init__(self, down_after_ms: int, lost_after_ms: int):
+        self.down_after_ms, self.lost_after_ms = down_after_ms, lost_after_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("runner", "state string, since long, last_ok long, next_ping long, offline boolean, available boolean")
+
+    def _deadlines(self, since: int) -> list[tuple[int, str]]:
+        return sorted([(since + self.down_after_ms, "down"), (since + self.lost_after_ms, "lost")])
+
+    def _pass(self, key, s: dict, t: int, out: list[tuple]) -> None:
+        """The deadlines up to t."""
+        if s["since"] is not None and not s["offline"]:
+            rank = ["unreachable", "down", "lost"]
+            for at, name in self._deadlines(s["since"]):
+                if at <= t and rank.index(name) > rank.index(s["state"]):
+                    s["state"] = name
+                    out.append(self._row(key, at, s))
+
+    def _row(self, key, t: int, s: dict) -> tuple:
+        settle = s["since"] + self.lost_after_ms if s["since"] is not None and not s["offline"] else None
+        return key[0], t, s["state"], s["since"], s["last_ok"], None if s["offline"] else s["next_ping"], settle
+
+    def _load(self) -> dict:
+        row = self.held.get()
+        return dict(zip(("state", "since", "last_ok", "next_ping", "offline", "available"), row or (None, None, None, None, False, True), strict=True))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if key[-1] == MARK:
+            return
+        cells = [r for pdf in rows for r in zip(*[pdf[c].tolist() for c in ("ord", "t_ms", "ok", "offline", "available")], strict=True)]
+        s, out = self._load(), []
+        old = s["since"]
+        for _, t, ok, offline, available in sorted(cells):
+            self._pass(key, s, t, out)
+            s["offline"], s["available"] = bool(offline), bool(available)
+            if ok:
+                s["since"], s["last_ok"], s["next_ping"] = None, t, None
+            else:
+                s["since"] = t if s["since"] is None else s["since"]
+                s["next_ping"] = t + min(MAX_PING_MS, max(MIN_PING_MS, t - s["since"]))
+            now = "offline" if offline else ("up" if available else "off-schedule") if ok else s["state"] if s["state"] in ("down", "lost") else "unreachable"
+            if now != s["state"]:
+                s["state"] = now
+                out.append(self._row(key, t, s))
+        if s["since"] != old:
+            for at, _ in self._deadlines(old) if old is not None else ():
+                self.handle.deleteTimer(at)
+            for at, _ in self._deadlines(s["since"]) if s["since"] is not None and not s["offline"] else ():
+                self.handle.registerTimer(at)
+        self.held.update(tuple(s.values()))
+        if out:
+            yield pd.DataFrame(out, columns=self.columns)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        s, out = self._load(), []
+        self._pass(key, s, expiredTimerInfo.getExpiryTimeInMs(), out)
+        if out:
+            self.held.update(tuple(s.values()))
+            yield pd.DataFrame(out, columns=self.columns)
+
+    def close(self) -> None:
+        pass
+
+
+def runner_states(pings: DataFrame, runners: DataFrame, down_after_ms: int, lost_after_ms: int, clock: str = "event", delay: str = "10 minutes") -> DataFrame:
+    """State changes of the runners: offline, lost, down, unreachable, off-schedule, up (runner, t_ms, state, ...).
+
+    pings: runner, ord, t_ms, ok; a ping without `ok` only moves the watermark. runners: a static table of runner, offline, available; an unlisted one is
+    neither offline nor off schedule. With `clock` "event" time is the pings' watermark; with "processing" it is the wall clock, by which `t_ms` must
+    then have been taken, and a runner goes down even if no ping of any runner comes.
+    """
+    timed = pings.filter("runner IS NOT NULL").withColumn("ts", F.timestamp_millis("t_ms"))
+    timed = timed.withWatermark("ts", delay) if clock == "event" else timed
+    no, yes = F.lit(False), F.lit(True)
+    rows = timed.join(runners, "runner", "left").withColumns({"offline": F.coalesce("offline", no), "available": F.coalesce("available", yes), "bucket": F.when(F.col("ok").isNull(), MARK).otherwise(0)})
+    return rows.groupBy("runner", "bucket").transformWithStateInPandas(
+        RunnerStates(down_after_ms, lost_after_ms), "runner string, t_ms long, state string, unreachable_since long, last_ok_ms long, next_ping_ms long, lost_settle_ms long",
+        "Append", "EventTime" if clock == "event" else "ProcessingTime")

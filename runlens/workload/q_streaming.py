@@ -178,3 +178,41 @@ def stream_object_state(spark, sf):
     objects, marks = (t.read() for t in jobs.object_tables(spark, target, buckets=8))
     pins = marks.filter("mark = 'pin'").select("store", "path", F.col("seq").alias("pin_seq"))
     return objects.drop("seq").join(pins, ["store", "path"], "full")
+
+
+@query("stream_no_progress", "STR05", ORACLES["no_progress_streaks"])
+def stream_no_progress(spark, sf):
+    """The processes of each snapshot spread over three files; a fourth moves the watermark."""
+    wrote = (F.col("lease_id") % 4 != 0) & (F.col("t_ms") > 1704067200000)
+    m = flat(spark, sf, "procs").selectExpr("host * 1000 + pgid AS lease_id", "snapshot_ms AS t_ms", "concat(pid, ':', token) AS identity", "cpu_sec")
+    m = m.withColumns({"output_bytes": F.when(wrote, 10).otherwise(0).cast("long"), "file": F.pmod(F.xxhash64("identity", "t_ms"), F.lit(3))})
+    far = m.agg(F.max("lease_id").alias("lease_id"), (F.max("t_ms") + 10 * qt.DAY).alias("t_ms"), F.lit(3).cast("long").alias("file"))
+    rows = m.unionByName(far, allowMissingColumns=True)
+    s = _files(spark, rows, rows.drop("file").schema, "members", 4)
+    out, _ = timers.run_stateful(timers.no_progress(s, delay="2 days"), "no-progress")
+    return out.withColumn("interval_cores", F.round("interval_cores", 6))
+
+
+DOWN_MS, LOST_MS = 1_000_000, 7_200_000
+
+
+@query("stream_runner_states", "STR10", oracle(["samples"], qt.PING_SQL + f""",
+cfg AS (SELECT 'r' || r_regionkey::VARCHAR AS runner, r_regionkey = 4 AS offline, r_regionkey <> 2 AS available FROM region),
+x AS (SELECT p2.*, offline, available, lag(ok) OVER w AS was_ok, row_number() OVER w AS rn,
+  first_value(CASE WHEN ok THEN t_ms END IGNORE NULLS) OVER (PARTITION BY p2.runner ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS end_ms
+  FROM p2 JOIN cfg USING (runner) WINDOW w AS (PARTITION BY p2.runner ORDER BY ord))
+SELECT runner, t_ms, 'offline' AS state, unreachable_since, last_ok_ms, NULL::BIGINT AS lost_settle_ms FROM x WHERE offline AND rn = 1
+UNION ALL SELECT runner, t_ms, CASE WHEN available THEN 'up' ELSE 'off-schedule' END, NULL, last_ok_ms, NULL FROM x WHERE NOT offline AND ok AND NOT coalesce(was_ok, false)
+UNION ALL SELECT runner, t_ms + late, name, t_ms, last_ok_ms, t_ms + {LOST_MS} FROM x, (VALUES (0, 'unreachable'), ({DOWN_MS}, 'down'), ({LOST_MS}, 'lost')) v(late, name)
+  WHERE NOT offline AND st AND (late = 0 OR end_ms IS NULL OR end_ms >= t_ms + late)"""))
+def stream_runner_states(spark, sf):
+    """Pings in three files by arrival; a fourth only moves the watermark past the last deadlines."""
+    p = qt._pings(spark, sf)
+    last = p.agg(F.max("ord")).scalar()
+    p = p.withColumn("file", F.least(F.lit(2), F.floor(F.col("ord") * 3 / (last + F.lit(1)))))
+    far = p.agg(F.max("runner").alias("runner"), (F.max("t_ms") + 30 * qt.DAY).alias("t_ms"), F.lit(3).cast("long").alias("file"))
+    rows = p.unionByName(far, allowMissingColumns=True)
+    cfg = spark.read.parquet(f"{sf}/region.parquet").selectExpr("concat('r', r_regionkey) AS runner", "r_regionkey = 4 AS offline", "r_regionkey <> 2 AS available")
+    s = _files(spark, rows, rows.drop("file").schema, "pings", 4)
+    out, _ = timers.run_stateful(timers.runner_states(s, cfg, DOWN_MS, LOST_MS, delay="1 day"), "runner-states")
+    return out.drop("next_ping_ms")

@@ -85,3 +85,66 @@ def test_cpu_of_finished_runs_equals_the_batch_form(spark, tmp_path):
     batch = spark.createDataFrame([x for f in files for x in f], R)
     want = tel.integrated_cpu(tel.usage_fold(batch), spark.createDataFrame(ends, E))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() == 2
+
+
+def test_no_progress_over_files_and_a_process_that_returns(spark, tmp_path):
+    from runlens.plans import telemetry as tel
+
+    M = "lease_id long, t_ms long, output_bytes long, identity string, cpu_sec double"
+    minute = 60_000
+    snaps = {0: "ab", 1: "ab", 2: "abc", 3: "abc", 4: "ab", 5: "abc", 6: "abc", 7: "abc"}  # c leaves and returns
+    rows = [(1, T0 + k * minute, 100 if k < 7 else 101, i, 5.0) for k, s in snaps.items() for i in s]
+    rows += [(2, T0 + k * minute, 0, "x", 0.04 * k if k < 5 else 0.16 + k) for k in range(8)]
+    (tmp_path / "m").mkdir()
+    s = feed(spark, tmp_path / "m", [rows[i::3] for i in range(3)] + [[(1, T0 + 10**9, None, None, None)]], M)
+    out, checkpoint = timers.run_stateful(timers.no_progress(s, delay="1 hour"), "no-progress")
+    got = sorted((r.lease_id, r.t_ms, r.interval_cores and round(r.interval_cores, 9), r.idle_ms) for r in out.collect())
+    batch = spark.createDataFrame(rows, M)
+    want = tel.no_progress(batch.select("lease_id", "t_ms", "output_bytes").distinct(), batch.select("lease_id", "t_ms", "identity", "cpu_sec"))
+    assert got == sorted((r.lease_id, r.t_ms, r.interval_cores and round(r.interval_cores, 9), r.idle_ms) for r in want.collect())
+    assert [i // minute for le, _, _, i in got if le == 1] == [0, 1, 0, 1, 0, 0, 1, 0] and [i // minute for le, _, _, i in got if le == 2] == [0, 1, 2, 3, 4, 0, 0, 0]
+    assert timers.state_rows(spark, checkpoint, "pending", "procs", "last") == 0  # forgotten after a day of silence
+
+
+PINGS = "runner string, ord long, t_ms long, ok boolean"
+
+
+def test_a_silent_runner_goes_down_in_a_batch_without_its_rows(spark, tmp_path):
+    cfg = spark.createDataFrame([("b", True, True), ("c", False, False)], "runner string, offline boolean, available boolean")
+    files = [
+        [("a", 1, T0, True), ("a", 2, T0 + 1000, False), ("b", 3, T0, False), ("c", 4, T0, True)],
+        [("c", 5, T0 + 200_000, True)],  # moves the watermark past a's deadline
+        [("c", 6, T0 + 400_000, False), ("c", 7, T0 + 900_000, True), ("a", 8, T0 + 950_000, True), ("d", 9, T0 + 1_000_000, True)]]
+    s = feed(spark, tmp_path, files, PINGS)
+    stream = timers.runner_states(s, cfg, down_after_ms=100_000, lost_after_ms=600_000, delay="0 seconds")
+    batches = {}
+    with timers.rocksdb_state(spark):
+        q = stream.writeStream.foreachBatch(lambda df, i: batches.setdefault(i, []).extend((r.runner, r.t_ms - T0, r.state) for r in df.collect())).option(
+            "checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    down = next(i for i, rows in batches.items() if ("a", 101_000, "down") in rows)
+    assert down in (1, 2) and ("c", 0, "off-schedule") in batches[0]
+    assert sorted(x for rows in batches.values() for x in rows) == [
+        ("a", 0, "up"), ("a", 1000, "unreachable"), ("a", 101_000, "down"), ("a", 601_000, "lost"), ("a", 950_000, "up"), ("b", 0, "offline"),
+        ("c", 0, "off-schedule"), ("c", 400_000, "unreachable"), ("c", 500_000, "down"), ("c", 900_000, "off-schedule"), ("d", 1_000_000, "up")]
+
+
+def test_by_the_wall_clock_a_runner_goes_down_without_any_ping(spark, tmp_path):
+    import time
+
+    now = int(time.time() * 1000)
+    path = str(tmp_path / "in")
+    spark.createDataFrame([("a", 1, now, False)], PINGS).coalesce(1).write.parquet(path)
+    cfg = spark.createDataFrame([], "runner string, offline boolean, available boolean")
+    s = spark.readStream.schema(PINGS).parquet(path)
+    with timers.rocksdb_state(spark):
+        q = timers.runner_states(s, cfg, down_after_ms=1, lost_after_ms=20_000, clock="processing").writeStream.format("memory").queryName("wall").option(
+            "checkpointLocation", str(tmp_path / "checkpoint")).trigger(processingTime="1 second").start()
+    try:
+        end = time.time() + 90
+        while time.time() < end and spark.table("wall").count() < 3:
+            time.sleep(1)
+        got = [tuple(r) for r in spark.table("wall").orderBy("t_ms").select("t_ms", "state").collect()]
+    finally:
+        q.stop()
+    assert got == [(now, "unreachable"), (now + 1, "down"), (now + 20_000, "lost")]
