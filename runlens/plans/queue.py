@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.functions import queue as q
 from runlens.functions.runs import ref_bucket, running_residual
+from runlens.operators.damped import damped
 from runlens.operators.primitives import broadcast_if_small, newest
 from runlens.operators.sliced import running
 from runlens.session import cut_lineage
@@ -371,28 +369,8 @@ def lease_expiry(tickets: DataFrame, ticks: DataFrame) -> DataFrame:
                     F.when(expired, F.col("back.notBeforeMs")).alias("not_before_ms"), F.col("until").alias("lease_until_ms"))
 
 
-def _damped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Walks each group's forecast cycles in order with constant state: on/off hysteresis, a dwell of 3 cycles, 25 points a cycle."""
-    group, urgency, on, flip, cycle = None, 0.0, False, None, 0
-    for pdf in batches:
-        out = []
-        for g, c, raw, slack, s0, start in zip(*[pdf[x].tolist() for x in ("group_id", "cycle", "raw", "slack", "s0", "start")]):
-            if g != group:
-                group, urgency, on, flip, cycle = g, start, False, None, 0
-            cycle += 1
-            want = not slack > 1.25 * s0 if on else slack < s0
-            if want != on and flip is not None and cycle - flip < 3:
-                want = on
-            if want != on:
-                flip = cycle
-            on = want
-            urgency += min(25.0, max(-25.0, (raw if on else 0.0) - urgency))
-            out.append((g, c, urgency, on))
-        yield pd.DataFrame(out, columns=["group_id", "cycle", "urgency", "boosted"])
-
-
-def damped_urgency(forecasts: DataFrame) -> DataFrame:
-    """Deadline urgency after each forecast cycle (group_id, cycle, deadline_ms, now_ms, eta_p90_s, low_confidence)."""
+def forecast_cycles(forecasts: DataFrame) -> DataFrame:
+    """What each forecast cycle wants (g, cycle, start, raw, slack, s0) from group_id, cycle, deadline_ms, now_ms, eta_p90_s, low_confidence."""
     slack = (F.col("deadline_ms") - F.col("now_ms")) / 1000.0 - F.col("eta_p90_s")
     s0 = F.greatest(F.lit(900.0), 0.5 * F.col("eta_p90_s"))
 
@@ -403,6 +381,9 @@ def damped_urgency(forecasts: DataFrame) -> DataFrame:
     # before the first forecast the deadline counts as if nothing were left to run
     bare = (F.col("deadline_ms") - F.col("now_ms")) / 1000.0
     start = F.when(bare < 0, 75.0).otherwise(points(bare, F.lit(900.0)))
-    f = forecasts.filter("deadline_ms IS NOT NULL").select("group_id", "cycle", raw.alias("raw"), slack.alias("slack"), s0.alias("s0"), start.alias("start"))
-    return f.repartition("group_id").sortWithinPartitions("group_id", "cycle").mapInPandas(
-        _damped, f"group_id {f.schema['group_id'].dataType.simpleString()}, cycle long, urgency double, boosted boolean")
+    return forecasts.filter("deadline_ms IS NOT NULL").select(F.col("group_id").alias("g"), "cycle", start.alias("start"), raw.alias("raw"), slack.alias("slack"), s0.alias("s0"))
+
+
+def damped_urgency(forecasts: DataFrame, slice_cycles: int = 100_000) -> DataFrame:
+    """Deadline urgency after each forecast cycle: group_id, cycle, urgency, boosted. A group's cycles are cut over tasks."""
+    return damped(forecast_cycles(forecasts), slice_cycles).select(F.col("g").alias("group_id"), "cycle", F.col("level").alias("urgency"), F.col("on").alias("boosted"))

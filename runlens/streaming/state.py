@@ -13,7 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from runlens.operators.damped import follow, switch
 from runlens.plans import telemetry as tel
+from runlens.plans.queue import forecast_cycles
 
 
 def stateful(
@@ -240,3 +242,17 @@ def device_hysteresis(samples: DataFrame, open_samples: int, thresholds: str | N
 
     kind = samples.schema["host"].dataType.simpleString()
     return stateful(samples, "host", "ord", "closed boolean, good long, thresholds string, why string", f"host {kind}, ord long, closed boolean, reason string", (False, 0, "", ""), step)
+
+
+def urgency(forecasts: DataFrame) -> DataFrame:
+    """Deadline urgency after each forecast cycle, by the rules of the batch form (group_id, cycle, deadline_ms, now_ms, eta_p90_s, low_confidence)."""
+
+    def step(s, r):
+        known, on, left, level = s
+        on, left = switch((on, left), r["slack"], r["s0"])
+        level = follow(level if known else r["start"], r["raw"] if on else 0.0)
+        return (True, on, left, level), (int(r["cycle"]), level, on)
+
+    kind = forecasts.schema["group_id"].dataType.simpleString()
+    out = stateful(forecast_cycles(forecasts), "g", "cycle", "known boolean, on boolean, left int, level double", f"g {kind}, cycle long, urgency double, boosted boolean", (False, False, 0, 0.0), step)
+    return out.withColumnRenamed("g", "group_id")

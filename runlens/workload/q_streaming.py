@@ -216,3 +216,12 @@ def stream_runner_states(spark, sf):
     s = _files(spark, rows, rows.drop("file").schema, "pings", 4)
     out, _ = timers.run_stateful(timers.runner_states(s, cfg, DOWN_MS, LOST_MS, delay="1 day"), "runner-states")
     return out.drop("next_ping_ms")
+
+
+@query("stream_damped_urgency", "STR18", ORACLES["damped_urgency"])
+def stream_damped_urgency(spark, sf):
+    """Forecast cycles in four files by time."""
+    f = spark.sql(qq.ETA, events=spark.read.parquet(f"{sf}/events.parquet"))
+    last = f.agg(F.max("cycle")).scalar()
+    rows = f.withColumn("file", F.least(F.lit(3), F.floor(F.col("cycle") * 4 / (last + F.lit(1)))))
+    return jobs.run_to_table(state.urgency(_files(spark, rows, f.schema, "forecasts", 4)), "urgency").withColumn("urgency", F.round("urgency", 6))
