@@ -220,8 +220,11 @@ def express_table(history: DataFrame) -> DataFrame:
         "repo", "lane", F.col("fp").alias("fingerprint"), F.floor(F.col("p50") * 1000 + 0.5).cast("long").alias("p50_ms"), "n")
 
 
-def bypass_table(history: DataFrame, max_ms: float) -> DataFrame:
-    """Median of the last successes and strikes over `max_ms` among the last started, per exact command and family."""
+BYPASS_KEYS = ["repo", "lane", "kind", "name"]
+
+
+def bypass_runs(history: DataFrame) -> DataFrame:
+    """Local runs once for their exact command and once for its family: BYPASS_KEYS, ord, t, run_ms, success."""
     run = F.when(F.col("runMs") > 0, F.col("runMs")).otherwise(F.col("endedAt") - F.col("startedAt"))
     started = history.filter((F.coalesce("repo", F.lit("")) != "") & (F.coalesce("lane", F.lit("")) != "") & runs.is_local() & F.col("startedAt").isNotNull() & (run > 0))
     family = commands.command_family(F.col("command"))
@@ -229,8 +232,12 @@ def bypass_table(history: DataFrame, max_ms: float) -> DataFrame:
                           (runs.classify()["kind"] == "completed").alias("success"),
                           F.array(F.struct(F.lit("command").alias("kind"), F.col("cmdFingerprint").alias("name")),
                                   F.struct(F.lit("family").alias("kind"), family.alias("name"))).alias("ids"))
-    rows = rows.withColumn("id", F.explode("ids")).select("repo", "lane", "id.kind", "id.name", "ord", "t", "run_ms", "success").filter(F.coalesce("name", F.lit("")) != "")
-    keys = ["repo", "lane", "kind", "name"]
+    return rows.withColumn("id", F.explode("ids")).select("repo", "lane", "id.kind", "id.name", "ord", "t", "run_ms", "success").filter(F.coalesce("name", F.lit("")) != "")
+
+
+def bypass_table(history: DataFrame, max_ms: float) -> DataFrame:
+    """Median of the last successes and strikes over `max_ms` among the last started, per exact command and family."""
+    rows, keys = bypass_runs(history), BYPASS_KEYS
     order = [F.col("t").desc(), F.col("ord").desc()]
     good = newest(rows.filter("success"), keys, order, BYPASS_RUNS).groupBy(*keys).agg(
         F.count("*").alias("n"), F.floor(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY run_ms)") + 0.5).cast("long").alias("median_ms"))
@@ -238,6 +245,33 @@ def bypass_table(history: DataFrame, max_ms: float) -> DataFrame:
     return good.filter(F.col("n") >= EXPRESS_MIN_SAMPLES).join(strikes, keys)
 
 
+BYPASS_SUMMARY = "repo string, lane string, kind string, name string, good array<struct<t: double, ord: bigint, run_ms: double>>, recent array<struct<t: double, ord: bigint, run_ms: double>>"
+
+
+def bypass_summary(history: DataFrame) -> DataFrame:
+    """The runs a bypass table rests on, per key: its newest successes and its newest runs, BYPASS_RUNS of each. Summaries merge."""
+    rows = bypass_runs(history).withColumn("run", F.struct("t", F.col("ord").cast("long").alias("ord"), F.col("run_ms").cast("double").alias("run_ms")))
+    order = [F.col("t").desc(), F.col("ord").desc()]
+    lists = [newest(r, BYPASS_KEYS, order, BYPASS_RUNS).groupBy(*BYPASS_KEYS).agg(F.collect_list("run").alias(n)) for r, n in ((rows.filter("success"), "good"), (rows, "recent"))]
+    none = F.array().cast("array<struct<t: double, ord: bigint, run_ms: double>>")
+    return lists[1].join(lists[0], BYPASS_KEYS, "left").select(*BYPASS_KEYS, F.coalesce("good", none).alias("good"), "recent")
+
+
+def merge_bypass_summaries(summaries: DataFrame) -> DataFrame:
+    """One summary per key; a run that several hold counts once."""
+    newest_of = lambda c: F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list(c))), asc=False), 1, BYPASS_RUNS).alias(c)
+    return summaries.groupBy(*BYPASS_KEYS).agg(newest_of("good"), newest_of("recent"))
+
+
+def bypass_of(summary: DataFrame, max_ms: float) -> DataFrame:
+    """The bypass table of a summary."""
+    n = F.size("good")
+    times = F.array_sort(F.transform("good", lambda x: x["run_ms"]))
+    median = F.floor(F.element_at(times, F.greatest(F.lit(1), F.ceil(n / 2).cast("int"))) + 0.5).cast("long")
+    return summary.filter(n >= EXPRESS_MIN_SAMPLES).select(
+        *BYPASS_KEYS, n.cast("long").alias("n"), median.alias("median_ms"), F.size(F.filter("recent", lambda x: x["run_ms"] > max_ms)).cast("long").alias("strikes"))
+
+
 def express_verdicts(tickets: DataFrame, express: DataFrame, max_ms: float) -> DataFrame:
     """Expected ms and source per ticket (repo, lane, fingerprint): exact command, else lane; express when under the limit."""
     e = express.withColumn("est", F.struct(F.col("p50_ms").alias("ms"), F.when(F.col("fingerprint").isNotNull(), "command").otherwise("lane").alias("source")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -130,11 +131,16 @@ def read_store_journal(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
 
 
 def read_inventory(spark: SparkSession, root: str) -> DataFrame:
-    """Path, size and time of the objects below `root`; no content is read."""
+    """Path, size and time of the objects below `root`, with kind, sha and job; other files are left out.
+
+    Executors list the folders; of a file only its path, length and time are asked for, so no content is read. Names that begin with `_` or `.` are no
+    objects, and Spark doesn't list them.
+    """
     from runlens.plans.inventory import canonical_objects
 
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
-    rel = F.regexp_extract("path", r"(blobs/.*|manifests/.*)$", 1)
+    base = re.sub(r"^[a-z0-9+.-]+:/*", "/", root).rstrip("/") + "/"
+    rel = F.substr("path", F.locate(base, "path") + F.lit(len(base)))
     return canonical_objects(raw.select(rel.alias("path"), F.col("length").alias("size_bytes"), F.unix_millis("modificationTime").alias("mtime_ms")))
 
 

@@ -1,4 +1,4 @@
-"""A table of the newest row per key, brought up to date by the batches of a stream.
+"""A table with one row per key, brought up to date by the batches of a stream: the newest row, or a summary that merges.
 
 Rows live in hash buckets, each a folder of Parquet files that is never changed once written. A batch writes new versions of the buckets it touches
 and then one manifest, a single file that names the version of every bucket; readers take the newest manifest, so they see a batch as a
@@ -7,16 +7,22 @@ whole or not at all, and a batch that is run again finds its epoch done. Version
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 class BucketedTable:
-    """`schema` holds `keys` and `order`; of rows with equal keys the one with the largest `order` counts."""
+    """`merge` makes one row of the rows with equal `keys`; given a column's name it keeps the row where that is largest.
+
+    Rows are dealt to buckets by `by`, some or all of the keys. A merge must not mind order or repeated rows.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str], order: str, buckets: int = 64):
-        self.spark, self.path, self.schema, self.keys, self.order, self.buckets = spark, path.rstrip("/"), schema, keys, order, buckets
+    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str], merge: str | Callable[[DataFrame], DataFrame], buckets: int = 64, by: list[str] | None = None):
+        self.spark, self.path, self.schema, self.keys, self.buckets = spark, path.rstrip("/"), schema, keys, buckets
+        self.by, self.merge = by or keys, merge if callable(merge) else lambda rows: self._newest(rows, merge)
 
     def manifests(self) -> dict[int, dict[int, int]]:
         """Epoch -> bucket -> version, of the manifests that are kept."""
@@ -44,9 +50,9 @@ class BucketedTable:
         manifests = self.manifests()
         return self._rows(manifests[max(manifests)] if manifests else {})
 
-    def _newest(self, rows: DataFrame) -> DataFrame:
+    def _newest(self, rows: DataFrame, order: str) -> DataFrame:
         rest = [c for c in rows.columns if c not in self.keys]
-        return rows.groupBy(*self.keys).agg(F.max_by(F.struct(*rest), self.order).alias("x_")).select(*self.keys, "x_.*")
+        return rows.groupBy(*self.keys).agg(F.max_by(F.struct(*rest), order).alias("x_")).select(*self.keys, "x_.*")
 
     def upsert(self, batch: DataFrame, epoch: int, keep: int = 2) -> list[int]:
         """Brings the table up to date with `batch`; the buckets that were rewritten. An epoch that is done changes nothing."""
@@ -57,13 +63,12 @@ class BucketedTable:
         now = manifests.get(done, {})
         batch = batch.persist()
         try:
-            # partial aggregation first: a hot key sends one row per task
-            fresh = self._newest(batch.select(*self.spark.createDataFrame([], self.schema).columns))
-            bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+            fresh = self.merge(batch.select(*self.spark.createDataFrame([], self.schema).columns))
+            bucket = F.pmod(F.xxhash64(*self.by), F.lit(self.buckets)).cast("int")
             touched = sorted(r.bucket for r in batch.select(bucket.alias("bucket")).distinct().collect())  # at most `buckets`
             if not touched:
                 return []
-            merged = self._newest(self._rows({b: now[b] for b in touched if b in now}).unionByName(fresh)).withColumn("bucket", bucket)
+            merged = self.merge(self._rows({b: now[b] for b in touched if b in now}).unionByName(fresh)).withColumn("bucket", bucket)
             merged.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/epoch={epoch}")
         finally:
             batch.unpersist()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from runlens.plans.inventory import MARK_KINDS, object_records
 from runlens.plans.telemetry import cpu_seconds
 from runlens.session import work_path
 from runlens.sources.history import parse_history, settled_day, stream_lines
+from runlens.sources.sinks import MaintainedTable
 from runlens.sources.upserts import BucketedTable
 
 
@@ -107,6 +110,15 @@ def follow_objects(journal: DataFrame, target: str, checkpoint: str, buckets: in
     journal.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def follow_bypass(history: DataFrame, table: MaintainedTable, checkpoint: str, everything: Callable[[], DataFrame], clock: Callable[[], int]) -> None:
+    """Keeps the summaries of the bypass table up to date with a stream of run rows; runs over what is there now."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        table.refresh(batch, epoch, clock(), everything)
+
+    history.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def append_available(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Runs an append stream over what is there now; a later call with the same folders goes on from there."""
     stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()

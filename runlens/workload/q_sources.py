@@ -205,3 +205,31 @@ def read_queue_snapshot(spark, sf):
         state = F.col("state") if t == "tickets" else F.lit(None).cast("string")
         out.append(rows.groupBy(F.lit(t).alias("name"), F.col("snapshot_ts").cast("long").alias("snapshot_ts"), state.alias("state")).agg(F.count("*").alias("n")))
     return reduce(lambda a, b: a.unionByName(b), out)
+
+
+def _write_objects(root: str):
+    """Writes one file for each (path, size)."""
+
+    def run(batches):
+        store, base = open_store(root)
+        for batch in batches:
+            for path, size in zip(*[batch.column(i).to_pylist() for i in range(2)], strict=True):
+                store.create_dir(f"{base}/{path}".rpartition("/")[0], recursive=True)
+                with store.open_output_stream(f"{base}/{path}") as f:
+                    f.write(b"x" * size)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return run
+
+
+@query("read_inventory", "SRC07 SCL17", oracle(["store_journal"], """
+p AS (SELECT DISTINCT store, seq % 4 AS kind, seq, path, sha FROM store_journal),
+f AS (SELECT CASE kind WHEN 0 THEN path WHEN 1 THEN 'manifests/j' || seq::VARCHAR || '.json' END AS path, CASE kind WHEN 0 THEN 'blob' ELSE 'manifest' END AS object_kind, CASE kind WHEN 0 THEN sha END AS object_sha, CASE kind WHEN 1 THEN 'j' || seq::VARCHAR END AS object_job FROM p WHERE kind < 2)
+SELECT DISTINCT path, object_kind, object_sha, object_job, length(path) * 7 % 50 AS size_bytes FROM f"""))
+def read_inventory(spark, sf):
+    """Objects among files with foreign names: below another folder, or with a fan-out that isn't the sha's."""
+    name = "CASE seq % 4 WHEN 0 THEN path WHEN 1 THEN concat('manifests/j', seq, '.json') WHEN 2 THEN concat('tmp/', path) ELSE concat('blobs/zz/zz/', sha) END AS path"
+    files = flat(spark, sf, "store_journal").selectExpr(name).distinct().selectExpr("path", "length(path) * 7 % 50 AS size")
+    root = work_path(spark, "objects")
+    files.mapInArrow(_write_objects(root), "n long").agg(F.sum("n")).collect()
+    return src.read_inventory(spark, root).select("path", "object_kind", "object_sha", "object_job", F.col("size_bytes").cast("int").alias("size_bytes"))

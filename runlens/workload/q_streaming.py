@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from runlens.session import cut_lineage, work_path
 from runlens.plans import estimates
+from runlens.sources.sinks import bypass_summaries
 from runlens.streaming import estimators, jobs, state, timers
 from runlens.workload import q_estimates as qe
 from runlens.workload import q_inventory as qi
@@ -225,3 +226,14 @@ def stream_damped_urgency(spark, sf):
     last = f.agg(F.max("cycle")).scalar()
     rows = f.withColumn("file", F.least(F.lit(3), F.floor(F.col("cycle") * 4 / (last + F.lit(1)))))
     return jobs.run_to_table(state.urgency(_files(spark, rows, f.schema, "forecasts", 4)), "urgency").withColumn("urgency", F.round("urgency", 6))
+
+
+@query("stream_bypass_table", "SNK02 AGG19", ORACLES["bypass_table"])
+def stream_bypass_table(spark, sf):
+    """Runs shuffled over four micro-batches; the first builds the table, the others merge into the buckets of their lanes."""
+    h = history(spark, sf)
+    rows = h.withColumn("file", F.pmod(F.xxhash64("ord"), F.lit(4)))
+    s = _files(spark, rows, h.schema, "runs", 4)
+    table = bypass_summaries(spark, work_path(spark, "bypass"), 10**9, buckets=16)
+    jobs.follow_bypass(s, table, work_path(spark, "bypass-checkpoint"), lambda: rows.filter("file = 0").select(*h.columns), lambda: 1)
+    return estimates.bypass_of(table.read(1), 1_800_000.0)

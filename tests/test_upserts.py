@@ -85,3 +85,54 @@ def test_pins_and_terminals_are_kept_apart_from_objects(spark, tmp_path):
     spark.createDataFrame([(0, 11, "blob", "a")], schema).write.mode("append").parquet(path)
     jobs.follow_objects(s, target, checkpoint, buckets=4)
     assert objects.read().filter("path = 'a' AND store = 0").first().state == "put"
+
+
+H = "repo string, lane string, command string, cmdFingerprint string, executor string, exit int, startedAt double, endedAt double, runMs double, ord long"
+
+
+def run_row(lane, k, ms, fp="f"):
+    return ("r", lane, "make all", fp, "local", 0, 1000.0 * k, 1000.0 * k + ms, ms, k)
+
+
+def frame(spark, rows):
+    from runlens.schema import HISTORY
+
+    full = spark.createDataFrame([], HISTORY)
+    return spark.createDataFrame(rows, H).select(*[F.col(c) if c in H else F.lit(None).cast(full.schema[c].dataType).alias(c) for c in full.columns], "ord")
+
+
+def test_a_batch_of_two_lanes_rewrites_two_and_ttl_or_parameters_rebuild(spark, tmp_path):
+    from runlens.plans import estimates
+    from runlens.sources.sinks import bypass_summaries
+
+    t = bypass_summaries(spark, str(tmp_path / "b"), ttl_ms=1000, buckets=512)
+    everything = [run_row(f"lane{i}", 10 * j + i, 100.0 * (j + 1)) for i in range(6) for j in range(4)]
+    assert len(t.refresh(frame(spark, []), 0, 5_000, lambda: frame(spark, everything))) == 6
+    more = [run_row("lane1", 900 + j, 5.0) for j in range(30)] + [run_row("lane4", 1, 7.0), run_row("lane4", 14, 200.0)]
+    assert len(t.refresh(frame(spark, more), 1, 5_500, lambda: 1 / 0)) == 2
+    assert t.refresh(frame(spark, more), 1, 5_600, lambda: 1 / 0) == []
+    once = {(x[1], x[9]): x for x in [*everything, *more]}.values()  # lane4's run 14 came twice
+    want = sorted(map(tuple, estimates.bypass_table(frame(spark, list(once)), 250.0).select("lane", "kind", "n", "median_ms", "strikes").collect()))
+    got = estimates.bypass_of(t.read(5_900), 250.0)
+    assert sorted(map(tuple, got.select("lane", "kind", "n", "median_ms", "strikes").collect())) == want and len(want) == 12
+    assert t.read(6_000) is None
+    assert len(t.refresh(frame(spark, more), 2, 6_000, lambda: frame(spark, everything[:4]))) == 1  # too old: built anew
+    assert t.read(6_000).count() == 2
+    other = bypass_summaries(spark, str(tmp_path / "b"), ttl_ms=1000)
+    other.params = "runs5"
+    assert other.read(6_000) is None
+
+
+def test_inventory_lists_objects_only(spark, tmp_path):
+    from runlens.sources import history
+
+    sha = "ab" + "0" * 62
+    for name, size in ((f"blobs/ab/00/{sha}", 3), (f"blobs/ab/01/{sha}", 1), ("manifests/job-1.json", 9), ("manifests/deep/x.json", 1), (f"tmp/blobs/ab/00/{sha}", 4), ("manifests/.hidden.json", 1), ("readme", 1)):
+        path = tmp_path / "store root" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"x" * size)
+    got = history.read_inventory(spark, str(tmp_path / "store root"))
+    assert sorted((r.path, r.size_bytes, r.object_kind, r.object_job) for r in got.collect()) == [(f"blobs/ab/00/{sha}", 3, "blob", None), ("manifests/job-1.json", 9, "manifest", "job-1")]
+    assert got.first().mtime_ms > 1_600_000_000_000
+    scan = got._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in scan.split("ReadSchema")[-1]
