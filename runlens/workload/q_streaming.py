@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from runlens.session import cut_lineage, work_path
 from runlens.plans import estimates
 from runlens.sources.sinks import bypass_summaries
-from runlens.streaming import estimators, jobs, state, timers
+from runlens.streaming import estimators, jobs, replication, state, timers
 from runlens.workload import q_estimates as qe
 from runlens.workload import q_inventory as qi
 from runlens.workload import q_queue as qq
@@ -237,3 +237,17 @@ def stream_bypass_table(spark, sf):
     table = bypass_summaries(spark, work_path(spark, "bypass"), 10**9, buckets=16)
     jobs.follow_bypass(s, table, work_path(spark, "bypass-checkpoint"), lambda: rows.filter("file = 0").select(*h.columns), lambda: 1)
     return estimates.bypass_of(table.read(1), 1_800_000.0)
+
+
+@query("stream_replication_lag", "STR16", ORACLES["replication_lag"].replace("failed_rounds FROM mk m JOIN", "failed_rounds, 0 AS missing FROM mk m JOIN"))
+def stream_replication_lag(spark, sf):
+    """The journal shuffled over four files; an early mark, the final one, and the early one again."""
+    j = flat(spark, sf, "store_journal").select("store", "seq", "created_ms").withColumn("file", F.pmod(F.xxhash64("store", "seq"), F.lit(4)))
+    stores = j.select("store").distinct()
+    mark = stores.selectExpr("store", "CASE store WHEN 0 THEN 50 WHEN 1 THEN 1000000 ELSE 0 END AS replicated_seq", "store * 2 AS failed_rounds")
+    early = stores.selectExpr("store", "1L AS at", "0L AS replicated_seq", "99L AS failed_rounds")
+    marks = early.withColumn("file", F.lit(0)).unionByName(mark.withColumns({"at": F.lit(2).cast("long"), "file": F.lit(2)})).unionByName(early.withColumn("file", F.lit(3)))
+    marks = marks.unionByName(early.withColumn("file", F.lit(1))).select("store", "at", F.col("replicated_seq").cast("long").alias("replicated_seq"), F.col("failed_rounds").cast("long").alias("failed_rounds"), "file")
+    lag = replication.replication_lag(_files(spark, j, j.drop("file").schema, "lag-journal", 4), _files(spark, marks, marks.drop("file").schema, "lag-marks", 4))
+    out, _ = timers.run_stateful(lag, "replication-lag")
+    return replication.newest_lag(out, qi.NOW + 90_000_000)
