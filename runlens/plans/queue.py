@@ -126,23 +126,33 @@ def open_stages(jobs: DataFrame) -> DataFrame:
     return jobs.filter(F.lower("state").isin(UNFINISHED)).groupBy("group_id").agg(F.min("stage").alias("open_stage"))
 
 
+def tag_fits(needs: DataFrame, hosts: DataFrame) -> DataFrame:
+    """(need_, host) pairs where the host has every tag of the distinct sets `need_`. Every host has the token of the empty set."""
+    any_ = F.array(F.lit("*"))
+    tokens = lambda c: F.concat(any_, F.transform(c, lambda t: F.concat(F.lit("t:"), t)))
+    a = needs.filter("need_ IS NOT NULL").select("need_", F.explode(tokens("need_")).alias("token"))
+    b = hosts.select("host", F.explode(F.array_distinct(tokens("tags"))).alias("token"))
+    return a.join(b, "token").groupBy("need_", "host").agg(F.count("*").alias("have")).filter(F.col("have") == F.size("need_") + 1).drop("have")
+
+
 def eligible_jobs(jobs: DataFrame, hosts: DataFrame, now: int, exclusions: DataFrame, templates: DataFrame, reservations: DataFrame) -> DataFrame:
     """Queued jobs each host may start, before any size test.
 
     jobs: job_id, group_id, stage, state, not_before_ms, host_pin, tags_req, conflict_scope, conflict_keys, template;
-    hosts (small): host, tags, held_keys; exclusions: key; templates: template; reservations: host, owner_job_id.
+    hosts: host, tags, held_keys; exclusions: key; templates: template; reservations: host, owner_job_id.
     """
     live = jobs.filter("lower(state) = 'queued'").filter(F.col("not_before_ms") <= now).join(open_stages(jobs), "group_id").filter("stage = open_stage")
     live = live.join(templates.select("template").distinct(), "template", "left_semi")
     barred = live.filter("conflict_scope = 'global'").select("job_id", F.explode("conflict_keys").alias("key")).join(exclusions, "key", "left_semi").select("job_id").distinct()
     live = live.join(barred, "job_id", "left_anti")
-    # hosts meet the distinct demands, not the jobs; jobs follow by an equi-join, pinned ones on their host too
-    demand = ["tags_req", "conflict_scope", "conflict_keys"]
-    live = live.withColumn("demand_", F.to_json(F.struct(*demand)))
-    fit = live.select("demand_", *demand).dropDuplicates(["demand_"]).join(broadcast_if_small(hosts)).filter(
-        (F.size(F.array_except("tags_req", "tags")) == 0) & ~((F.col("conflict_scope") == "host") & F.arrays_overlap("conflict_keys", "held_keys"))).drop(*demand)
-    pinned = live.filter("host_pin IS NOT NULL").join(fit.withColumn("host_pin", F.col("host")), ["demand_", "host_pin"])
-    on_host = live.filter("host_pin IS NULL").join(fit, "demand_").unionByName(pinned).drop("demand_")
+    # distinct tag sets meet the hosts token by token; jobs follow by an equi-join, pinned ones on their host too
+    live = live.withColumn("need_", F.array_sort(F.array_distinct("tags_req")))
+    fit = tag_fits(live.select("need_").distinct(), hosts)
+    pinned = live.filter("host_pin IS NOT NULL").join(fit.withColumn("host_pin", F.col("host")), ["need_", "host_pin"])
+    on_host = live.filter("host_pin IS NULL").join(fit, "need_").unionByName(pinned).drop("need_")
+    clash = live.filter("conflict_scope = 'host'").select("job_id", F.explode("conflict_keys").alias("key")).join(
+        hosts.select("host", F.explode("held_keys").alias("key")), "key").select("job_id", "host").distinct()
+    on_host = on_host.join(clash, ["job_id", "host"], "left_anti").join(hosts, "host")
     held = reservations.groupBy("host").agg(F.min("owner_job_id").alias("r_min"), F.max("owner_job_id").alias("r_max"))
     on_host = on_host.join(held, "host", "left")
     return on_host.filter(F.col("r_min").isNull() | ((F.col("r_min") == F.col("job_id")) & (F.col("r_max") == F.col("job_id")))).drop("r_min", "r_max")
@@ -160,6 +170,9 @@ def unmet_floors(policies: DataFrame, demand: DataFrame, wanted: DataFrame) -> D
     return j.groupBy("host", "class", "rank").agg(F.coalesce(F.sum(F.when(counts, F.col("unmet"))), F.lit(0.0)).alias("reserved"))
 
 
+ELIGIBLE = ["host", "job_id", "group_id", "class", "cpu_min", "memory", "est_p50_s", "seq", "exclusive"]
+
+
 def parent_claim_ranking(elig: DataFrame, groups: DataFrame, parents: DataFrame, policies: DataFrame, hosts: DataFrame, now: int) -> DataFrame:
     """The next job per host: eligible jobs, floors and caps, one leader per group, one per parent and class, then the host.
 
@@ -171,9 +184,8 @@ def parent_claim_ranking(elig: DataFrame, groups: DataFrame, parents: DataFrame,
     par = parents.filter("aging_anchor_ms IS NOT NULL").select("parent_id", since.alias("since_p"), (F.lit(now) - since >= OVERDUE_MS).alias("p_overdue"), "score_base")
     grp = groups.select("group_id", "parent_id", "band", F.col("last_claim_ms").alias("g_last"), since.alias("g_since"), (F.lit(now) - since >= OVERDUE_MS).alias("g_overdue"), "urgency", F.col("deadline_ms").alias("dl")).join(par, "parent_id")
     pol = policies.filter("enabled AND weight > 0").select("host", "class", "vtime", "active", "cap_pct", "budget", F.coalesce("used", F.lit(0.0)).alias("used"))
-    c = elig.join(grp, "group_id").join(pol, ["host", "class"])
-    # the few (host, class, band) rows are computed once; both the demand and the floors read them
-    bands = cut_lineage(c.select("host", "class", F.col("band").alias("rank")).distinct(), "bands")
+    c = cut_lineage(elig.select(*ELIGIBLE).join(grp, "group_id").join(pol, ["host", "class"]), "claimable")  # read for the bands and for the ranking
+    bands = c.select("host", "class", F.col("band").alias("rank")).distinct()
     demand = bands.groupBy("host", "class").agg(F.max("rank").alias("best_rank"))
     floors = unmet_floors(policies, demand, bands)
     c = c.join(hosts.select("host", "free", F.col("memory").alias("free_memory")), "host").join(
