@@ -43,9 +43,9 @@ def at_levels(obs: DataFrame) -> DataFrame:
     return obs.filter(F.col("ref_s") > 0).select(F.explode(level_keys).alias("key"), "ref_s", "censored", "t", "ord").select("key.*", "ref_s", "censored", "t", "ord")
 
 
-def fold_durations(obs: DataFrame) -> DataFrame:
-    """Estimator state per level and key from observations (PARTS..., ref_s, censored, t, ord)."""
-    return sliced_fold(at_levels(obs), ["level", *PARTS], F.ln("ref_s"), F.col("censored"), F.col("t"), "ord", LogStep)
+def fold_durations(obs: DataFrame, **slicing) -> DataFrame:
+    """Estimator state per level and key from observations (PARTS..., ref_s, censored, t, ord); `slicing` goes to sliced_fold."""
+    return sliced_fold(at_levels(obs), ["level", *PARTS], F.ln("ref_s"), F.col("censored"), F.col("t"), "ord", LogStep, **slicing)
 
 
 def class_p75(obs: DataFrame) -> DataFrame:

@@ -154,8 +154,8 @@ class JournalFacts:
     landed: DataFrame
 
 
-def journal_facts(journal: DataFrame, until: float) -> JournalFacts:
-    events = journal.filter(F.col("t_ms") < until).withColumn("s_", slice_of(F.col("ord"), JOURNAL_SLICE))
+def journal_facts(journal: DataFrame, until: float, ord_slice: float = JOURNAL_SLICE) -> JournalFacts:
+    events = journal.filter(F.col("t_ms") < until).withColumn("s_", slice_of(F.col("ord"), ord_slice))
     master = F.startswith(F.coalesce("run_id", F.lit("")), F.lit("master-"))
     lanes = (
         events.filter("event = 'lane-start'").groupBy("repo", F.col("lane_id").alias("lane_key"))

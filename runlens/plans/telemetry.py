@@ -30,18 +30,19 @@ BOUNDARY = ["launchd", "init", "systemd", "sh", "bash", "zsh", "fish", "dash", "
 ORD_SLICE = 100_000.0
 
 
-def by_arrival(df: DataFrame) -> DataFrame:
-    return df.withColumn("s_", slice_of(F.col("ord"), ORD_SLICE))
+def by_arrival(df: DataFrame, ord_slice: float = ORD_SLICE) -> DataFrame:
+    """`df` with the slice of arrival numbers each row falls in; results don't depend on the width."""
+    return df.withColumn("s_", slice_of(F.col("ord"), ord_slice))
 
 
 # ---- lease usage --------------------------------------------------------------------------------------------------
 
-def usage_fold(readings: DataFrame) -> DataFrame:
+def usage_fold(readings: DataFrame, ord_slice: float = ORD_SLICE) -> DataFrame:
     """Whole-run usage per lease from (lease_id, ord, t_ms, cores): each reading is held until the next later one.
 
     A reading not after the latest time counts toward peak and samples only.
     """
-    r = by_arrival(readings.filter(finite(F.col("cores")).isNotNull()))
+    r = by_arrival(readings.filter(finite(F.col("cores")).isNotNull()), ord_slice)
     r = running(r, ["lease_id"], "s_", ["ord"], maxes_before={"before": F.col("t_ms")})
     r = r.withColumn("ok", F.col("before").isNull() | (F.col("t_ms") > F.col("before")))
     held = running(r, ["lease_id"], "s_", ["ord"], lasts={"acc": F.when(F.col("ok"), F.struct("ord", "t_ms", "cores"))})
@@ -82,9 +83,9 @@ def settled_demand(
     return r.select("lease_id", "ord", "t_ms", demand.alias("demand"), F.when(settled, "settled").otherwise("cold").alias("basis"))
 
 
-def overruns(readings: DataFrame, leases: DataFrame, *, max_gap_ms: float = 10_000, min_ms: float = 120_000) -> DataFrame:
+def overruns(readings: DataFrame, leases: DataFrame, *, max_gap_ms: float = 10_000, min_ms: float = 120_000, ord_slice: float = ORD_SLICE) -> DataFrame:
     """Leases over their booking without a break for at least `min_ms`: one row per streak with its peak."""
-    r = by_arrival(readings.join(leases.select("lease_id", "charged_cores"), "lease_id"))
+    r = by_arrival(readings.join(leases.select("lease_id", "charged_cores"), "lease_id"), ord_slice)
     over = (F.col("charged_cores") > 0) & (F.col("cores") > OVERRUN_FACTOR * F.col("charged_cores"))
     r = islands(r, ["lease_id"], "s_", ["ord"], F.col("t_ms"), over, max_gap_ms).filter("island IS NOT NULL")
     crossed = F.col("t_ms") - F.col("island_since") >= min_ms
@@ -95,10 +96,10 @@ def overruns(readings: DataFrame, leases: DataFrame, *, max_gap_ms: float = 10_0
 
 
 def silence(
-    readings: DataFrame, leases: DataFrame, *, max_gap_ms: float, below_fraction: float, hung_cores: float, hung_after_ms: float, idle_after_ms: float,
+    readings: DataFrame, leases: DataFrame, *, max_gap_ms: float, below_fraction: float, hung_cores: float, hung_after_ms: float, idle_after_ms: float, ord_slice: float = ORD_SLICE,
 ) -> DataFrame:
     """Silent, idle and hung flags at each reading; an unknown interval reading breaks both idle streaks."""
-    r = by_arrival(readings.join(leases.select("lease_id", "charged_cores", "started_ms"), "lease_id"))
+    r = by_arrival(readings.join(leases.select("lease_id", "charged_cores", "started_ms"), "lease_id"), ord_slice)
     known = F.col("cores").isNotNull() & (F.col("interval_cores") >= 0)
     r = islands(r, ["lease_id"], "s_", ["ord"], F.col("t_ms"), known & (F.col("interval_cores") < below_fraction * F.col("charged_cores")), max_gap_ms)
     r = r.withColumnRenamed("island_since", "idle_since").drop("island")
@@ -115,13 +116,13 @@ def silence(
 
 # ---- host counters ------------------------------------------------------------------------------------------------
 
-def busy_cores(samples: DataFrame, reuse_window_ms: float) -> DataFrame:
+def busy_cores(samples: DataFrame, reuse_window_ms: float, ord_slice: float = ORD_SLICE) -> DataFrame:
     """Busy cores between consecutive counter readings of a host (host, ord, t_ms, cpus array<struct<total,idle>>).
 
     A reading is stale on a negative or too long gap, a changed core count or no progress; an unchanged reading may
     reuse the last valid figure while that is young.
     """
-    s = running(by_arrival(samples), ["host"], "s_", ["ord"], lags={"prev": F.struct("t_ms", "cpus")})
+    s = running(by_arrival(samples, ord_slice), ["host"], "s_", ["ord"], lags={"prev": F.struct("t_ms", "cpus")})
     gap = F.col("t_ms") - F.col("prev.t_ms")
     same_shape = F.size("cpus") == F.size("prev.cpus")
     pairs = F.arrays_zip(F.col("cpus").alias("s"), F.col("prev.cpus").alias("p"))
@@ -178,7 +179,7 @@ def no_progress(observations: DataFrame, members: DataFrame, max_gap_ms: float =
 # ---- gates --------------------------------------------------------------------------------------------------------
 
 def gate(
-    samples: DataFrame, key: str, closes: Column, resets: Column, counts: Column, open_samples: int, thresholds: Column | None = None, reason: Column | None = None,
+    samples: DataFrame, key: str, closes: Column, resets: Column, counts: Column, open_samples: int, thresholds: Column | None = None, reason: Column | None = None, ord_slice: float = ORD_SLICE,
 ) -> DataFrame:
     """Hysteresis gate per key: `closed` after each sample (ord order).
 
@@ -186,7 +187,7 @@ def gate(
     restarts the countdown and leaves the state.
     """
     no = F.lit(False)
-    s = by_arrival(samples).withColumns({"cl_": F.coalesce(closes, no), "co_": F.coalesce(counts, no) & ~F.coalesce(closes, no), "re_": F.coalesce(resets, no),
+    s = by_arrival(samples, ord_slice).withColumns({"cl_": F.coalesce(closes, no), "co_": F.coalesce(counts, no) & ~F.coalesce(closes, no), "re_": F.coalesce(resets, no),
                                          "th_": thresholds if thresholds is not None else F.lit("")})
     s = running(s, [key], "s_", ["ord"], sums={"cum_": F.col("co_").cast("long")}, lags={"pth_": F.col("th_")})
     changed = F.coalesce(F.col("pth_") != F.col("th_"), no)
@@ -200,27 +201,27 @@ def gate(
     return s.withColumns({"closed": closed, "reason": F.when(closed, F.col("last_close.why"))}).select(*samples.columns, "closed", "reason")
 
 
-def load_gate(samples: DataFrame, close: float, open_: float, open_samples: int, thresholds: Column | None = None) -> DataFrame:
+def load_gate(samples: DataFrame, close: float, open_: float, open_samples: int, thresholds: Column | None = None, ord_slice: float = ORD_SLICE) -> DataFrame:
     x = F.col("load")
-    return gate(samples, "host", x > close, x >= open_, x < open_, open_samples, thresholds).drop("reason")
+    return gate(samples, "host", x > close, x >= open_, x < open_, open_samples, thresholds, ord_slice=ord_slice).drop("reason")
 
 
-def cpu_gate(samples: DataFrame, close: float | Column, open_: float | Column, open_samples: int, thresholds: Column | None = None) -> DataFrame:
+def cpu_gate(samples: DataFrame, close: float | Column, open_: float | Column, open_samples: int, thresholds: Column | None = None, ord_slice: float = ORD_SLICE) -> DataFrame:
     x = F.col("busy_percent")
-    return gate(samples.filter(x.isNotNull()), "host", x >= close, x >= open_, x < open_, open_samples, thresholds).drop("reason")
+    return gate(samples.filter(x.isNotNull()), "host", x >= close, x >= open_, x < open_, open_samples, thresholds, ord_slice=ord_slice).drop("reason")
 
 
-def device_gate(samples: DataFrame, violation: Column, informative: Column, open_samples: int, thresholds: Column | None = None) -> DataFrame:
+def device_gate(samples: DataFrame, violation: Column, informative: Column, open_samples: int, thresholds: Column | None = None, ord_slice: float = ORD_SLICE) -> DataFrame:
     """`violation` is the reason or NULL; a sample that is not informative leaves the state alone."""
     bad = violation.isNotNull()
-    return gate(samples, "host", bad, bad, ~bad & informative, open_samples, thresholds, reason=violation)
+    return gate(samples, "host", bad, bad, ~bad & informative, open_samples, thresholds, reason=violation, ord_slice=ord_slice)
 
 
 # ---- reachability -------------------------------------------------------------------------------------------------
 
-def unreachable_clock(pings: DataFrame) -> DataFrame:
+def unreachable_clock(pings: DataFrame, ord_slice: float = ORD_SLICE) -> DataFrame:
     """First failure since the last answer, last answer and next ping time after each ping (runner, ord, t_ms, ok)."""
-    p = running(by_arrival(pings), ["runner"], "s_", ["ord"], lags={"was_ok": F.col("ok")})
+    p = running(by_arrival(pings, ord_slice), ["runner"], "s_", ["ord"], lags={"was_ok": F.col("ok")})
     starts = ~F.col("ok") & F.coalesce("was_ok", F.lit(True))
     p = running(p.withColumn("st_", starts), ["runner"], "s_", ["ord"], lasts={"since": F.when(F.col("st_"), F.col("t_ms")), "last_ok_ms": F.when(F.col("ok"), F.col("t_ms"))})
     since = F.when(~F.col("ok"), F.col("since"))
@@ -242,9 +243,9 @@ def runner_states(clock: DataFrame, runners: DataFrame, windows: DataFrame, *, n
                     "last_ok_ms", F.when(~F.col("offline"), F.col("next_ping_ms")).alias("next_ping_ms"), fresh.alias("watcher_running"))
 
 
-def monotone_clock(readings: DataFrame) -> DataFrame:
+def monotone_clock(readings: DataFrame, ord_slice: float = ORD_SLICE) -> DataFrame:
     """Effective now per host: the running maximum of its wall time in arrival order."""
-    r = running(by_arrival(readings), ["host"], "s_", ["ord"], maxes_before={"before": F.col("t_ms")})
+    r = running(by_arrival(readings, ord_slice), ["host"], "s_", ["ord"], maxes_before={"before": F.col("t_ms")})
     return r.select("host", "ord", "t_ms", F.greatest("before", "t_ms").alias("effective_ms"))
 
 
@@ -266,13 +267,13 @@ def _thin(refresh_ms: float, cols: list[str]):
     return run
 
 
-def compact_decisions(decisions: DataFrame) -> DataFrame:
+def compact_decisions(decisions: DataFrame, ord_slice: float = ORD_SLICE) -> DataFrame:
     """Decision lines worth writing: a changed signature, or a minute since the last written one; admission forgets.
 
     A changed signature, a line after an admission and a line a minute after the previous one are always written, so
     they cut a candidate's lines into independent runs; only inside a run does the last written line matter.
     """
-    d = by_arrival(decisions)
+    d = by_arrival(decisions, ord_slice)
     d = running(d, ["candidate"], "s_", ["ord"], lags={"p_": F.struct("signature", "admit", "t_ms")})
     fresh = F.col("p_").isNull() | F.col("p_.admit") | (F.col("p_.signature") != F.col("signature")) | (F.col("t_ms") - F.col("p_.t_ms") >= LOG_REFRESH_MS)
     d = running(d.withColumn("new_", fresh.cast("long")), ["candidate"], "s_", ["ord"], sums={"run_": F.col("new_")})
@@ -280,9 +281,9 @@ def compact_decisions(decisions: DataFrame) -> DataFrame:
     return d.mapInPandas(_thin(LOG_REFRESH_MS, decisions.columns), decisions.schema)
 
 
-def wait_records(polls: DataFrame) -> DataFrame:
+def wait_records(polls: DataFrame, ord_slice: float = ORD_SLICE) -> DataFrame:
     """Wait spans per ticket: unchanged (reason, cause) without an end in between (ticket, ord, t_ms, reason, cause, ended)."""
-    p = running(by_arrival(polls), ["ticket"], "s_", ["ord"], lags={"p_": F.struct("reason", "cause", "ended")})
+    p = running(by_arrival(polls, ord_slice), ["ticket"], "s_", ["ord"], lags={"p_": F.struct("reason", "cause", "ended")})
     same = ~F.col("p_.ended") & F.col("p_.reason").eqNullSafe(F.col("reason")) & F.col("p_.cause").eqNullSafe(F.col("cause"))
     starts = ~F.col("ended") & ~F.coalesce(same, F.lit(False))
     p = running(p.withColumn("st_", starts.cast("long")), ["ticket"], "s_", ["ord"], sums={"span": F.col("st_")})
@@ -333,14 +334,14 @@ def _episodes(stale_ms: float, sample_ms: float):
     return run
 
 
-def starvation_episodes(polls: DataFrame, sample_ms: float = 5_000) -> DataFrame:
+def starvation_episodes(polls: DataFrame, sample_ms: float = 5_000, ord_slice: float = ORD_SLICE) -> DataFrame:
     """Episodes of admission starved by outside CPU (host, ord, t_ms, denied, external_busy, budget).
 
     A poll that is not starved, and a gap past the stale limit, always end an episode, so they cut the polls into runs.
     """
     stale = max(30_000.0, 6 * sample_ms)
     starved = F.coalesce(F.col("denied") & (F.col("budget") > 0) & (F.col("external_busy") >= STARVED_SHARE * F.col("budget")), F.lit(False))
-    p = running(by_arrival(polls).withColumn("hit_", starved), ["host"], "s_", ["ord"], lags={"p_": F.struct("hit_", "t_ms")})
+    p = running(by_arrival(polls, ord_slice).withColumn("hit_", starved), ["host"], "s_", ["ord"], lags={"p_": F.struct("hit_", "t_ms")})
     cut = ~F.coalesce(F.col("p_.hit_") & (F.col("t_ms") - F.col("p_.t_ms") <= stale), F.lit(False))
     p = running(p.withColumn("cut_", cut.cast("long")), ["host"], "s_", ["ord"], sums={"run_": F.col("cut_")}).filter("hit_")
     p = p.select("host", "run_", "ord", "t_ms").repartition("host", "run_").sortWithinPartitions("host", "run_", "ord")

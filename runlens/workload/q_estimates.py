@@ -54,7 +54,8 @@ def _observations(spark, sf):
 @query("duration_estimator_levels", "AGG11 P09", oracle(["history"], OBS_SQL + """
 SELECT level, template, class_id, through_act, arm_set, code_family, s.n AS n, s.cn AS censored_n, round(exp(s.mu), 5) AS p50, round(exp(s.mu + 1.28::DOUBLE * sqrt(s.v)), 5) AS p90 FROM st"""))
 def duration_estimator_levels(spark, sf):
-    s = estimates.fold_durations(_observations(spark, sf))
+    # keys above 300 rows take the path of hot keys, cut into slices of 90 days
+    s = estimates.fold_durations(_observations(spark, sf), slice_ms=90 * 86_400_000.0, hot_rows=300)
     return s.select("level", *estimates.PARTS, "n", "censored_n", F.round(F.exp("state"), 5).alias("p50"), F.round(estimates.p90_of(F.col("state"), F.col("variance")), 5).alias("p90"))
 
 

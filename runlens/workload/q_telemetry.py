@@ -10,6 +10,8 @@ from runlens.workload.views import flat, oracle
 
 DAY = 86_400_000
 GAP, MIN_MS = 2 * DAY, DAY
+#: So narrow that the events of every size cross many slices; production keeps the default.
+SLICE = 4_000.0
 
 USAGE_SQL = """
 h AS (SELECT *, max(t_ms) OVER (PARTITION BY lease_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mx FROM heartbeats WHERE cores IS NOT NULL),
@@ -21,14 +23,14 @@ u AS (SELECT u1.*, x.peak, x.samples FROM u1 JOIN (SELECT lease_id, max(cores) A
 @query("lease_usage", "WIN02", oracle(["heartbeats"], USAGE_SQL + """
 SELECT lease_id, floor(peak * 1000 + 0.5) / 1000 AS peak, floor((CASE WHEN span_ms > 0 THEN area / span_ms ELSE lc END) * 1000 + 0.5) / 1000 AS mean, samples, span_ms FROM u"""))
 def lease_usage(spark, sf):
-    return tel.usage_fold(flat(spark, sf, "heartbeats")).select("lease_id", "peak", "mean", "samples", "span_ms")
+    return tel.usage_fold(flat(spark, sf, "heartbeats"), ord_slice=SLICE).select("lease_id", "peak", "mean", "samples", "span_ms")
 
 
 @query("lease_cpu_seconds", "WIN03", oracle(["heartbeats", "leases"], USAGE_SQL + """
 SELECT u.lease_id, floor((area + CASE WHEN started_ms < ft THEN fc * (ft - started_ms) ELSE 0 END + CASE WHEN ended_ms > lt THEN lc * (ended_ms - lt) ELSE 0 END) / 1000 * 1000 + 0.5) / 1000 AS cpu_seconds
 FROM u JOIN leases l ON l.lease_id = u.lease_id"""))
 def lease_cpu_seconds(spark, sf):
-    return tel.integrated_cpu(tel.usage_fold(flat(spark, sf, "heartbeats")), flat(spark, sf, "leases"))
+    return tel.integrated_cpu(tel.usage_fold(flat(spark, sf, "heartbeats"), ord_slice=SLICE), flat(spark, sf, "leases"))
 
 
 @query("settled_demand", "WIN07", oracle(["heartbeats", "leases"], f"""
@@ -51,7 +53,7 @@ i3 AS (SELECT *, sum(st::INT) OVER (PARTITION BY lease_id ORDER BY ord) AS isl,
 SELECT lease_id, min(since) AS since_ms, max(t_ms) AS last_ms, min(CASE WHEN t_ms - since >= {MIN_MS} THEN t_ms END) AS alert_ms, floor(max(cores) * 1000 + 0.5) / 1000 AS peak, count(*) AS readings
 FROM i3 WHERE q GROUP BY lease_id, isl HAVING max(t_ms - since) >= {MIN_MS}"""))
 def lease_overruns(spark, sf):
-    return tel.overruns(flat(spark, sf, "heartbeats"), flat(spark, sf, "leases"), max_gap_ms=GAP, min_ms=MIN_MS)
+    return tel.overruns(flat(spark, sf, "heartbeats"), flat(spark, sf, "leases"), max_gap_ms=GAP, min_ms=MIN_MS, ord_slice=SLICE)
 
 
 @query("lease_silence", "STR03 STR04 P08", oracle(["heartbeats", "leases"],
@@ -62,7 +64,7 @@ o AS (SELECT *, CASE WHEN q THEN since END AS hung_since, last_value(CASE WHEN w
 v AS (SELECT *, greatest(0, t_ms - coalesce(out_ms, started_ms)) AS silent_ms, coalesce(t_ms - idle_since, 0) AS idle_ms, coalesce(t_ms - hung_since, 0) AS hung_ms FROM o)
 SELECT lease_id, ord, silent_ms, idle_ms, idle_ms >= {DAY} AS idle, silent_ms >= {DAY} AS silent, silent_ms >= {DAY} AND hung_ms >= {DAY} AS hung FROM v"""))
 def lease_silence(spark, sf):
-    return tel.silence(flat(spark, sf, "heartbeats"), flat(spark, sf, "leases"), max_gap_ms=GAP, below_fraction=0.6, hung_cores=0.4, hung_after_ms=DAY, idle_after_ms=DAY)
+    return tel.silence(flat(spark, sf, "heartbeats"), flat(spark, sf, "leases"), max_gap_ms=GAP, below_fraction=0.6, hung_cores=0.4, hung_after_ms=DAY, idle_after_ms=DAY, ord_slice=SLICE)
 
 
 @query("host_busy_cores", "WIN04 WIN05", oracle(["counters"], """
@@ -79,7 +81,7 @@ def host_busy_cores(spark, sf):
     c = flat(spark, sf, "counters").selectExpr(
         "host", "ord", "t_ms - t_ms % 600000 + ord * 400 % 50000 AS t_ms",
         "if(n_cores = 2, array(struct(total0 AS total, idle0 AS idle), struct(total1 AS total, idle1 AS idle)), array(struct(total0 AS total, idle0 AS idle))) AS cpus")
-    return tel.busy_cores(c, 45_000).select("host", "ord", F.round("busy_cores", 6).alias("busy_cores"), "stale", "reused")
+    return tel.busy_cores(c, 45_000, ord_slice=SLICE).select("host", "ord", F.round("busy_cores", 6).alias("busy_cores"), "stale", "reused")
 
 
 DELTAS_SQL = """
@@ -120,13 +122,13 @@ gt AS (SELECT *, coalesce(lc IS NOT NULL AND (lo IS NULL OR lo < lc), false) AS
 @query("load_gate", "STR06", oracle(["samples"], _gate_sql("host", "(SELECT *, (ord // 900 % 2)::VARCHAR AS th FROM samples)", "load > 12", "load >= 6", "load < 6", 3,
        changed="coalesce(th <> lag(th) OVER (PARTITION BY host ORDER BY ord), false)") + "\nSELECT host, ord, closed FROM gt"))
 def load_gate(spark, sf):
-    return tel.load_gate(flat(spark, sf, "samples"), 12, 6, 3, F.expr("CAST(ord div 900 % 2 AS STRING)")).select("host", "ord", "closed")
+    return tel.load_gate(flat(spark, sf, "samples"), 12, 6, 3, F.expr("CAST(ord div 900 % 2 AS STRING)"), ord_slice=SLICE).select("host", "ord", "closed")
 
 
 @query("cpu_gate", "STR07", oracle(["samples"], _gate_sql("host", "(SELECT *, (ord // 700 % 2)::VARCHAR AS th FROM samples WHERE busy_percent IS NOT NULL)", "busy_percent >= 60", "busy_percent >= 30", "busy_percent < 30", 2,
        changed="coalesce(th <> lag(th) OVER (PARTITION BY host ORDER BY ord), false)") + "\nSELECT host, ord, closed FROM gt"))
 def cpu_gate(spark, sf):
-    return tel.cpu_gate(flat(spark, sf, "samples"), 60, 30, 2, F.expr("CAST(ord div 700 % 2 AS STRING)")).select("host", "ord", "closed")
+    return tel.cpu_gate(flat(spark, sf, "samples"), 60, 30, 2, F.expr("CAST(ord div 700 % 2 AS STRING)"), ord_slice=SLICE).select("host", "ord", "closed")
 
 
 @query("device_gate", "STR08", oracle(["samples"], _gate_sql("host", "(SELECT *, (ord // 800 % 2)::VARCHAR AS th FROM samples)", "temp_c > 60 OR load > 20", "temp_c > 60 OR load > 20", "temp_c IS NOT NULL", 3,
@@ -134,7 +136,7 @@ def cpu_gate(spark, sf):
        + "\nSELECT host, ord, closed, CASE WHEN closed THEN why END AS reason FROM gt"))
 def device_gate(spark, sf):
     why = F.when(F.col("temp_c") > 60, "thermal").when(F.col("load") > 20, "on-battery")
-    return tel.device_gate(flat(spark, sf, "samples"), why, F.col("temp_c").isNotNull(), 3, F.expr("CAST(ord div 800 % 2 AS STRING)")).select("host", "ord", "closed", "reason")
+    return tel.device_gate(flat(spark, sf, "samples"), why, F.col("temp_c").isNotNull(), 3, F.expr("CAST(ord div 800 % 2 AS STRING)"), ord_slice=SLICE).select("host", "ord", "closed", "reason")
 
 
 PING_SQL = """
@@ -150,7 +152,7 @@ def _pings(spark, sf):
 
 @query("unreachable_clock", "STR09 P08", oracle(["samples"], PING_SQL + "\nSELECT runner, ord, ok, unreachable_since, last_ok_ms, next_ping_ms FROM clk"))
 def unreachable_clock(spark, sf):
-    return tel.unreachable_clock(_pings(spark, sf)).drop("t_ms")
+    return tel.unreachable_clock(_pings(spark, sf), ord_slice=SLICE).drop("t_ms")
 
 
 @query("runner_states", "STR10 JON17", oracle(["samples"], PING_SQL + """,
@@ -162,14 +164,14 @@ SELECT runner, CASE WHEN offline THEN 'offline' WHEN now - unreachable_since >=
   unreachable_since, CASE WHEN NOT offline THEN unreachable_since + 7200000 END AS lost_settle_ms, last_ok_ms, CASE WHEN NOT offline THEN next_ping_ms END AS next_ping_ms, true AS watcher_running FROM j"""))
 def runner_states(spark, sf):
     cfg = spark.read.parquet(f"{sf}/region.parquet").selectExpr("concat('r', r_regionkey) AS runner", "r_regionkey = 4 AS offline", "r_regionkey <> 2 AS available")
-    clock = tel.unreachable_clock(_pings(spark, sf))
+    clock = tel.unreachable_clock(_pings(spark, sf), ord_slice=SLICE)
     now = clock.agg(F.max("t_ms") + 100_000).scalar()
     return tel.runner_states(clock, cfg.select("runner", "offline"), cfg.select("runner", "available"), now=now, down_after_ms=1_000_000, lost_after_ms=7_200_000)
 
 
 @query("priority_clock", "WIN17", oracle(["heartbeats"], "SELECT lease_id AS host, ord, max(t_ms) OVER (PARTITION BY lease_id ORDER BY ord) AS effective_ms FROM heartbeats"))
 def priority_clock(spark, sf):
-    return tel.monotone_clock(flat(spark, sf, "heartbeats").withColumnRenamed("lease_id", "host")).select("host", "ord", "effective_ms")
+    return tel.monotone_clock(flat(spark, sf, "heartbeats").withColumnRenamed("lease_id", "host"), ord_slice=SLICE).select("host", "ord", "effective_ms")
 
 
 DEC = """SELECT user_id % 5 AS host, 'c' || CAST(user_id % 30 AS STRING) AS candidate, event_id AS ord, 1704067200000 + event_id * 7000 AS t_ms, event_type = 'purchase' AND event_id % 7 = 0 AS admit,
@@ -198,7 +200,7 @@ f AS (SELECT candidate, rn, ord, t_ms, sg, admit, true AS written, CASE WHEN adm
 SELECT candidate, ord, t_ms, sg AS signature FROM f WHERE written""")
 def decision_compaction(spark, sf):
     d = _decisions(spark, sf).select("candidate", "ord", "t_ms", "signature", "admit")
-    return tel.compact_decisions(d).select("candidate", "ord", "t_ms", "signature")
+    return tel.compact_decisions(d, ord_slice=SLICE).select("candidate", "ord", "t_ms", "signature")
 
 
 WAIT = """SELECT user_id AS ticket, event_id AS ord, 1704067200000 + event_id * 5000 AS t_ms, CASE WHEN event_id % 3 < 2 THEN 'cpu' ELSE 'not-head' END AS reason,
@@ -210,7 +212,7 @@ q AS (SELECT *, NOT ended AND NOT coalesce(NOT lag(ended) OVER w AND lag(reason)
 r AS (SELECT *, sum(st::INT) OVER (PARTITION BY ticket ORDER BY ord) AS span FROM q)
 SELECT ticket, reason, cause, min(t_ms) AS since_ms, max(t_ms) AS last_ms, count(*) AS polls FROM r WHERE NOT ended GROUP BY ticket, span, reason, cause""")
 def wait_records(spark, sf):
-    return tel.wait_records(spark.sql(WAIT, events=spark.read.parquet(f"{sf}/events.parquet"))).drop("span")
+    return tel.wait_records(spark.sql(WAIT, events=spark.read.parquet(f"{sf}/events.parquet")), ord_slice=SLICE).drop("span")
 
 
 @query("express_rate", "STR14", oracle(["samples"], """
@@ -229,7 +231,7 @@ f AS (SELECT host, rn, ord, t_ms, hit, CASE WHEN hit THEN t_ms END AS since, CAS
     CASE WHEN NOT s.hit THEN NULL WHEN coalesce(s.t_ms - f.last_at <= 30000, false) AND s.t_ms - f.last_at < 5000 THEN f.last_at ELSE s.t_ms END FROM f JOIN s ON s.host = f.host AND s.rn = f.rn + 1)
 SELECT host, since AS since_ms, max(last_at) AS last_ms, count(*) AS denials FROM f WHERE hit GROUP BY 1, 2""")
 def starvation_episodes(spark, sf):
-    return tel.starvation_episodes(spark.sql(STARVE.replace("50.0", "50.0D"), events=spark.read.parquet(f"{sf}/events.parquet")))
+    return tel.starvation_episodes(spark.sql(STARVE.replace("50.0", "50.0D"), events=spark.read.parquet(f"{sf}/events.parquet")), ord_slice=SLICE)
 
 
 @query("sim_armed", "STR19", oracle(["samples"], """

@@ -133,7 +133,7 @@ SELECT event_id AS ord, {d.ms('ts')} AS t_ms,
     WHEN 'purchase' THEN 'landed' ELSE CASE WHEN event_id % 2 = 0 THEN 'remove' ELSE 'drop' END END AS event,
   CASE event_id % 3 WHEN 0 THEN 'foo' ELSE 'bar' END AS repo,
   CASE WHEN event_type = 'view' AND event_id % 4 = 0 THEN 'master-' ELSE 'run-' END || CAST(user_id % 20 AS STRING) AS run_id,
-  'o' || CAST((event_id * 3) % 15000 AS STRING) AS lane_id,
+  'o' || CAST({d.div('event_id * 3', '2')} AS STRING) AS lane_id,
   user_id AS pr,
   {d.arr('user_id - user_id % 3', '(user_id + 7) % 1000 - (user_id + 7) % 1000 % 3', '(event_id * 5) % 1000 - (event_id * 5) % 1000 % 3')} AS prs
 FROM {{events}}"""
