@@ -106,3 +106,17 @@ def test_sliced_fold_of_a_hot_key_equals_the_sequential_fold(spark, kind):
         n, cn, state, var = _sequential([(t, o, v, c) for k, t, o, v, c in rows if k == r["k"]], kind)
         assert (r["n"], r["censored_n"]) == (n, cn)
         assert r["state"] == pytest.approx(state, rel=1e-9) and r["variance"] == pytest.approx(var, rel=1e-7)
+
+
+def test_buckets_of_a_hot_key_stay_small(spark):
+    from runlens.operators.primitives import _bucket
+
+    n = 400_000
+    v = F.pmod(F.col("id") * 7919, F.lit(n)) / float(n)
+    for x in (v, -v, v * 1e9, v * 1e-4):
+        df = spark.range(n).select(F.lit("hot").alias("k"), x.alias("v"))
+        # a bucket is a thousandth of its value wide, so in no octave does it hold more than about a seven-hundredth of the values
+        assert df.groupBy(_bucket(F.col("v")).alias("b")).count().agg(F.max("count")).first()[0] <= n // 700
+        assert df.select(_bucket(F.col("v")).alias("b"), "v").selectExpr("max_by(b, v) = max(b) AND min_by(b, v) = min(b)").first()[0]
+    out = order_stats(spark.range(n).select(F.lit("hot").alias("k"), v.alias("v")), ["k"], {"m": F.col("v")}, {"p50": 0.5, "p90": 0.9}, median=True).first()
+    assert (out.m_n, out.m_p50, out.m_p90, out.m_median, out.m_max) == (n, (n // 2 - 1) / n, (n * 9 // 10 - 1) / n, (n - 1) / 2 / n, (n - 1) / n)
