@@ -9,7 +9,7 @@ from runlens.workload.views import TABLES
 
 QUICK = ["phases_per_runner", "losses_per_runner", "cost_pr_counts", "cpu_demand", "lease_usage", "load_gate", "unreachable_clock", "queue_order", "ticket_scarcity", "retention_eviction", "stream_load_gate", "reuse_decisions", "stream_cpu_gate", "stream_device_gate", "stream_lease_silence", "stream_busy_cores", "cpu_gate", "device_gate", "eligible_jobs", "parent_claim_ranking", "read_recent_history",
          "read_journal", "read_store_journal", "read_queue_snapshot", "stream_history_ingest", "store_comparison", "object_state", "orphan_blobs", "manifest_diff", "manifest_hash_audit", "lease_tree_usage", "external_busy",
-         "stream_decision_rates", "rescaled_states", "closes_before_finish"]
+         "stream_decision_rates", "rescaled_states", "closes_before_finish", "stream_journal", "stream_lease_expiry", "stream_object_state", "stream_runner_states", "stream_no_progress", "read_inventory"]
 
 
 @pytest.fixture(scope="module")
