@@ -40,7 +40,7 @@ LANES, ROWS, CHECKPOINT_ROWS = 128, 512, 128
 BLOCK_TOKENS = LANES * ROWS
 SCALE_BITS = 20
 #: Blocks coded side by side.
-TOGETHER = 8
+TOGETHER = 16
 END_ID = 1
 MAGIC = b"rAN1"
 HEADER = struct.Struct("<4sHHIIII")
@@ -166,7 +166,7 @@ class Model:
             out[r] = s
             x = self.freq[s] * (x >> scale) + slot - self.before[s]
             need = x < LOW
-            place = at[:, None] + np.cumsum(need, axis=1)
+            place = at[:, None] + np.cumsum(need, axis=1, dtype=np.int32)
             at = place[:, -1]
             x = np.where(need, x << WORD_BITS | words[np.minimum(place - 1, last)], x)
         return self.ids[out.transpose(1, 0, 2).reshape(len(segments), -1)]
@@ -263,8 +263,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often this task sees each id."""
     total = np.zeros(0, np.int64)
     for batch in batches:
-        for raw in batch.column(0):
-            n = np.bincount(_ids(raw.as_py()))
+        cells = batch.column(0).to_pylist()
+        short, long = b"".join(c for c in cells if not len(c) % 2), b"".join(c[1:] for c in cells if len(c) % 2)
+        for part, kind in ((short, "<u2"), (long, "<u4")):
+            n = np.bincount(np.frombuffer(part, kind))
             if len(n) > len(total):
                 total = np.append(total, np.zeros(len(n) - len(total), np.int64))
             total[: len(n)] += n
