@@ -368,7 +368,9 @@ def similar_components(docs: DataFrame, percent: int = PERCENT, range_rows: int
     pairs = cut_lineage(inside.unionByName(beside).distinct().join(stars, ["a", "b"], "left_anti"), "open-pairs")
     more = cut_lineage(_verified(cut_lineage(_plausible(pairs, rows, percent), "plausible-pairs"), texts, classes, percent), "open-links")
     final = components(links.unionByName(more)) if not more.isEmpty() else first
-    return rows.select("doc_id", "n_shingles").join(of, "doc_id", "left").join(final.withColumnRenamed("id", "class_id"), "class_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "class_id", "doc_id").alias("component_id"))
+    # a row finds its class by its set, not by its id: ids may repeat or be missing
+    named = classes.select("n_shingles", "k1", "k2", "class_id").join(final.withColumnRenamed("id", "class_id"), "class_id", "left")
+    return rows.select("doc_id", "n_shingles", "k1", "k2").join(named, ["n_shingles", "k1", "k2"], "left").select("doc_id", "n_shingles", F.coalesce("component", "class_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

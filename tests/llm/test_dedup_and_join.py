@@ -162,3 +162,10 @@ def test_word_hashes_do_not_depend_on_place():
         a, b, doc = common.words(data, offs, ~common.BLANK)
         h = common.Hashes(data).of(a, b).tolist()
         assert doc.tolist() == [0, 0, 1, 2, 2] and h[0] == h[4] and h[1] == h[2] and len(set(h)) == 3
+
+
+def test_similar_components_give_one_row_for_each_row(make):
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (3, long), (3, "other words that stand alone here now"), (None, long), (None, "nothing like any other text in here"), (4, None)]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar_components(make(rows)).collect()), key=repr)
+    assert got == sorted([(1, 3, 1), (1, 3, 1), (2, 3, 1), (3, 36, 3), (3, 3, 3), (None, 36, 3), (None, 3, None), (4, 0, 4)], key=repr)
