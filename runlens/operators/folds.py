@@ -197,7 +197,8 @@ def sliced_fold(
             _slice_maps(kind), "k string, slice long, xs array<double>, ys array<double>, from_empty double")
         entries = maps.repartition("k").sortWithinPartitions("k", "slice").mapInPandas(_entries, "k string, slice long, entry double")
         entries = entries.select("k", "slice", F.coalesce("entry", F.lit(float("nan"))).alias("entry"))
-        again = cut.join(entries, ["k", "slice"]).repartition("k", "slice").sortWithinPartitions(*order)
+        # a size estimated from the compressed input says nothing about the rows of the hot keys: neither side may be broadcast
+        again = cut.join(entries.hint("merge"), ["k", "slice"]).repartition("k", "slice").sortWithinPartitions(*order)
         replay = replay.unionByName(again.mapInPandas(_replay(kind), out))
     # the variance of a key is a short chain over its slices: v <- keep * v + add
     chain = F.aggregate(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from runlens.functions import commands, runs
 from runlens.operators.folds import FactorStep, LogStep, sliced_fold
 from runlens.operators.primitives import best_tier, newest, order_stats, round_to
+from runlens.session import cut_lineage
 
 # Fixed values.
 Z90 = 1.28
@@ -45,6 +46,8 @@ def at_levels(obs: DataFrame) -> DataFrame:
 
 def fold_durations(obs: DataFrame, **slicing) -> DataFrame:
     """Estimator state per level and key from observations (PARTS..., ref_s, censored, t, ord); `slicing` goes to sliced_fold."""
+    # written once: the fold's passes would each hold the whole expression of the observations, once for every part and level
+    obs = cut_lineage(obs.select(*PARTS, "ref_s", "censored", "t", "ord"), "observations")
     return sliced_fold(at_levels(obs), ["level", *PARTS], F.ln("ref_s"), F.col("censored"), F.col("t"), "ord", LogStep, **slicing)
 
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import Window
@@ -108,6 +109,17 @@ def test_sliced_fold_of_a_hot_key_equals_the_sequential_fold(spark, kind):
         assert r["state"] == pytest.approx(state, rel=1e-9) and r["variance"] == pytest.approx(var, rel=1e-7)
 
 
+def test_rows_of_hot_keys_are_never_broadcast(spark, tmp_path):
+    # a file that is tiny in Parquet, so its size says nothing about the rows made from it
+    spark.range(2000).selectExpr("'hot' AS k", "id % 40 * 86400000L AS t", "id AS ord", "1.5D AS v", "false AS c").write.parquet(f"{tmp_path}/obs")
+    df = spark.read.parquet(f"{tmp_path}/obs")
+    out = folds.sliced_fold(df, ["k"], F.col("v"), F.col("c"), F.col("t"), "ord", folds.LogStep, hot_rows=300)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"rightHint=\(strategy=merge\)|leftHint=\(strategy=merge\)", plan)
+    assert not re.search(r"BroadcastHashJoin \[k#\d+, slice", out._jdf.queryExecution().executedPlan().toString())
+    assert [(r.n, r.state) for r in out.collect()] == [(2000, 1.5)]
+
+
 def test_buckets_of_a_hot_key_stay_small(spark):
     from runlens.operators.primitives import _bucket
 
