@@ -4,7 +4,8 @@ Each cycle says where the signal wants to be; it switches with hysteresis, stays
 follows the wanted value by at most `SLEW` a cycle. Between two cycles only six switch states can stand: on or off, with no, one or two cycles
 of dwell left. What a run of cycles does is therefore kept as a small table: for each of the six, the state it ends in and a piecewise-linear map
 of the level. Tables of consecutive runs compose, so the cycles of one group are cut over tasks: pass 1 makes the table of each slice but
-the last of its group, pass 2 walks the few tables of a group, pass 3 replays each slice from the state that enters it.
+the last of its group, pass 2 walks the few tables of a group, pass 3 replays each slice from the state that enters it. Narrow slices
+that hold few rows are put together first, so a group has no more tables than its rows call for.
 """
 
 from __future__ import annotations
@@ -106,20 +107,24 @@ COLUMNS = ["raw", "slack", "s0"]
 
 
 def _tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    current, table, first = None, None, None
+    current, table, first, out = None, None, None, []
 
-    def made() -> pd.DataFrame:
-        return pd.DataFrame([(*current, first, *r) for r in table.rows()], columns=["g", "slice", "start", "entry", "on_", "left_", "xs", "ys"])
+    def handed() -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["g", "slice", "start", "entry", "on_", "left_", "xs", "ys"])
 
     for pdf in batches:
         for g, s, start, *cycle in zip(*[pdf[c].tolist() for c in ("g", "slice", "start", *COLUMNS)], strict=True):
             if (g, s) != current:
                 if current is not None:
-                    yield made()
+                    out += [(*current, first, *r) for r in table.rows()]
                 current, table, first = (g, s), RunTable(), start
             table.step(*cycle)
+        if out:
+            yield handed()
+            out = []
     if current is not None:
-        yield made()
+        out += [(*current, first, *r) for r in table.rows()]
+        yield handed()
 
 
 def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,21 +158,27 @@ def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["g", "cycle", "level", "on"])
 
 
-def damped(cycles: DataFrame, slice_cycles: int = 100_000) -> DataFrame:
+def damped(cycles: DataFrame, slice_cycles: int = 100_000, slice_rows: int = 1_000) -> DataFrame:
     """Level and switch after each cycle: g, cycle, level, on.
 
     cycles: g, cycle (a number that grows with time), start (the level before the group's first cycle), raw, slack, s0. A slice is
-    `slice_cycles` numbers wide; results don't depend on it.
+    `slice_cycles` numbers wide, or as many such widths as it takes to hold `slice_rows` rows; results don't depend on either.
     """
     kind = cycles.schema["g"].dataType.simpleString()
-    rows = cycles.select("g", "cycle", F.floor(F.col("cycle") / slice_cycles).cast("long").alias("slice"), "start", *COLUMNS)
-    last = rows.groupBy("g").agg(F.max("slice").alias("last_"))
-    inner = rows.join(last, "g").filter("slice < last_").drop("last_")  # what the last slice does is not needed
+    rows = cycles.select("g", "cycle", F.floor(F.col("cycle") / slice_cycles).cast("long").alias("width_"), "start", *COLUMNS)
+    # widths whose rows before them fill the same number of slices go together; a group has at most rows / slice_rows + 1 slices
+    group = Window.partitionBy("g")
+    earlier = group.orderBy("width_").rowsBetween(Window.unboundedPreceding, -1)
+    filled = F.floor(F.coalesce(F.sum("rows_").over(earlier), F.lit(0)) / slice_rows).cast("long")
+    cuts = rows.groupBy("g", "width_").agg(F.count("*").alias("rows_")).withColumn("slice", filled).withColumn("last_", F.max("slice").over(group)).drop("rows_")
+    rows = rows.join(cuts, ["g", "width_"], "left").select("g", "cycle", F.coalesce("slice", "width_").alias("slice"), "last_", "start", *COLUMNS)
+    inner = rows.filter("slice < last_").drop("last_")  # what the last slice does is not needed
+    rows = rows.drop("last_")
     tables = inner.repartition("g", "slice").sortWithinPartitions("g", "slice", "cycle").mapInPandas(
         _tables, f"g {kind}, slice long, start double, entry int, on_ boolean, left_ int, xs array<double>, ys array<double>")
     left = tables.repartition("g").sortWithinPartitions("g", "slice", "entry").mapInPandas(_entries, f"g {kind}, slice long, on_ boolean, left_ int, level_ double")
     # what leaves a slice enters the group's next one, which need not be the next number; a group has few slices
-    slices = rows.select("g", "slice").distinct().withColumn("from_", F.lag("slice").over(Window.partitionBy("g").orderBy("slice")))
+    slices = cuts.select("g", "slice").distinct().withColumn("from_", F.lag("slice").over(group.orderBy("slice")))
     after = slices.join(left.withColumnRenamed("slice", "from_"), ["g", "from_"]).select("g", "slice", F.struct("on_", "left_", "level_").alias("e"))
     entered = rows.join(after, ["g", "slice"], "left").select(*rows.columns, "e.*")
     return entered.repartition("g", "slice").sortWithinPartitions("g", "slice", "cycle").mapInPandas(_replay, f"g {kind}, cycle long, level double, on boolean")

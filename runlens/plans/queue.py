@@ -396,6 +396,6 @@ def forecast_cycles(forecasts: DataFrame) -> DataFrame:
     return forecasts.filter("deadline_ms IS NOT NULL").select(F.col("group_id").alias("g"), "cycle", start.alias("start"), raw.alias("raw"), slack.alias("slack"), s0.alias("s0"))
 
 
-def damped_urgency(forecasts: DataFrame, slice_cycles: int = 100_000) -> DataFrame:
+def damped_urgency(forecasts: DataFrame, slice_cycles: int = 100_000, slice_rows: int = 1_000) -> DataFrame:
     """Deadline urgency after each forecast cycle: group_id, cycle, urgency, boosted. A group's cycles are cut over tasks."""
-    return damped(forecast_cycles(forecasts), slice_cycles).select(F.col("g").alias("group_id"), "cycle", F.col("level").alias("urgency"), F.col("on").alias("boosted"))
+    return damped(forecast_cycles(forecasts), slice_cycles, slice_rows).select(F.col("g").alias("group_id"), "cycle", F.col("level").alias("urgency"), F.col("on").alias("boosted"))

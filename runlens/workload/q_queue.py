@@ -333,4 +333,4 @@ z AS (SELECT group_id, cycle, rn, slack < s0 AS on_, CASE WHEN slack < s0 THEN r
     FROM (SELECT z.group_id AS zg, z.rn AS zr, z.on_, z.flip, z.u FROM z) z JOIN y ON y.group_id = zg AND y.rn = zr + 1, LATERAL (SELECT CASE WHEN z.on_ THEN NOT (y.slack > 1.25 * y.s0) ELSE y.slack < y.s0 END AS want) w) q)
 SELECT group_id, cycle, round(u, 6) AS urgency, on_ AS boosted FROM z""")
 def damped_urgency(spark, sf):
-    return pq.damped_urgency(spark.sql(ETA, events=spark.read.parquet(f"{sf}/events.parquet")), slice_cycles=700).withColumn("urgency", F.round("urgency", 6))
+    return pq.damped_urgency(spark.sql(ETA, events=spark.read.parquet(f"{sf}/events.parquet")), slice_cycles=700, slice_rows=60).withColumn("urgency", F.round("urgency", 6))

@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,3 +79,21 @@ def test_one_group_of_many_cycles_is_cut_over_tasks(spark):
     assert [on for _, on in rows] == [on for _, on in want]
     assert max(abs(a - b) for (a, _), (b, _) in zip(rows, want, strict=True)) < 1e-6
     assert "MapInPandas" in got._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("rows", [1, 7, 30, 1_000])
+def test_narrow_slices_are_put_together(spark, rows):
+    r = random.Random(rows)
+    groups = {g: [(j, *c) for j, c in zip(sorted(r.sample(range(10**6), 90)), cycles(90, r), strict=True)] for g in "ab"}
+    df = spark.createDataFrame([(g, j, 75.0, *c) for g, own in groups.items() for j, *c in own], "g string, cycle long, start double, raw double, slack double, s0 double").repartition(4)
+    got = {(x.g, x.cycle): (x.level, x.on) for x in d.damped(df, 10, slice_rows=rows).collect()}
+    for g, own in groups.items():
+        want, _, _ = walk([c[1:] for c in own], level=75.0)
+        for (j, *_), (level, on) in zip(own, want, strict=True):
+            assert got[g, j][1] == on and got[g, j][0] == pytest.approx(level, abs=1e-9)
+
+
+def test_the_tables_of_a_batch_come_together():
+    pdf = pd.DataFrame([("a", i, 0.0, 150.0, 0.0, 900.0) for i in range(50)], columns=["g", "slice", "start", *d.COLUMNS])
+    made = list(d._tables(iter([pdf])))
+    assert len(made) <= 2 and sum(len(x) for x in made) == 50 * len(d.STATES)
