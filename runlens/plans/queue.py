@@ -84,10 +84,23 @@ def _normal(tickets: DataFrame) -> DataFrame:
     return tickets.withColumn("requires_tags", F.array_sort(F.array_distinct("requires_tags")))
 
 
+def agent_kinds(agents: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of one agent of each kind, and (agent, member) for all agents; agents whose rows have equal tags, repos and `columns` are of a kind."""
+    row = F.struct("tags", "allowed_repos", *columns)
+    of_kind = agents.groupBy(F.col("agent").alias("member")).agg(F.to_json(F.array_sort(F.collect_list(row))).alias("kind_"))
+    first = of_kind.groupBy("kind_").agg(F.min(F.struct("member")).alias("first_"))
+    members = of_kind.join(first, "kind_").select(F.col("first_.member").alias("agent"), "member")
+    chosen = first.select(F.col("first_.member").alias("chosen_"))
+    return agents.join(chosen, F.col("agent").eqNullSafe(F.col("chosen_")), "left_semi"), members
+
+
 def scarcity(tickets: DataFrame, agents: DataFrame) -> DataFrame:
     """Agents that could ever run each ticket's profile."""
-    pairs = eligible_agents(_profiles(tickets), agents.filter("max_claims > 0"))
-    counts = pairs.groupBy("requires_tags", "repo").agg(F.count("*").alias("scarcity"))
+    # one agent of a kind meets the profiles and stands for all of them
+    alike, members = agent_kinds(agents.filter("max_claims > 0"))
+    sizes = members.groupBy(F.col("agent").alias("chosen_")).agg(F.count("*").alias("alike_"))
+    pairs = eligible_agents(_profiles(tickets), alike)
+    counts = pairs.join(sizes, F.col("agent").eqNullSafe(F.col("chosen_"))).groupBy("requires_tags", "repo").agg(F.sum("alike_").alias("scarcity"))
     return _profiles(tickets).join(counts, ["requires_tags", "repo"], "left").withColumn("scarcity", F.coalesce("scarcity", F.lit(0)))
 
 
@@ -103,8 +116,10 @@ def claim_ranking(tickets: DataFrame, agents: DataFrame, now: int, avoid_grace_m
     """The ticket each agent would take per snapshot; `room` is the agent column a ticket's weight must fit.
 
     An agent sees tickets only through their profile, so one leader per (snapshot, profile, weight) stands for all
-    tickets behind it; the leaders, not the tickets, meet the agents.
+    tickets behind it; the leaders, not the tickets, meet the agents. Agents of a kind take the same ticket, so one of them
+    is ranked and the others follow by an equi-join.
     """
+    alike, members = agent_kinds(agents.filter("agent IS NOT NULL"), room)
     t = _normal(tickets.filter("state = 'queued'"))
     age = F.greatest(F.lit(0).cast("long"), F.lit(now) - F.col("created_ms"))
     score = q.eff_score(F.col("priority"), F.lit(True), age / 1000.0)
@@ -112,12 +127,15 @@ def claim_ranking(tickets: DataFrame, agents: DataFrame, now: int, avoid_grace_m
     t = t.withColumn("aged_at", F.when((F.col("score") >= 2.0) & (age >= 3_600_000), F.col("created_ms")))
     profile = ["snapshot", "requires_tags", "repo", "avoid_tags", "graced", "weight"]
     within = [F.col("score").desc(), F.col("aged_at").asc_nulls_last(), F.col("created_ms"), F.col("ticket_id")]
+    # the rank limit sorts what a task has read, so tickets are dealt out evenly first, however much input a task was given
+    t = t.select(*profile, "score", "aged_at", "created_ms", "ticket_id").hint("rebalance", "ticket_id")
     leaders = newest(t, profile, within, 1).join(scarcity(tickets, agents), ["requires_tags", "repo"])
-    pairs = eligible_agents(_profiles(tickets), agents)
-    c = leaders.join(pairs, ["requires_tags", "repo"]).join(agents.select("agent", "tags", F.col(room).alias("room")), "agent")
+    pairs = eligible_agents(_profiles(tickets), alike)
+    c = leaders.join(pairs, ["requires_tags", "repo"]).join(alike.select("agent", "tags", F.col(room).alias("room")), "agent")
     c = c.filter((F.col("graced") | ~F.arrays_overlap("avoid_tags", "tags")) & (F.col("weight") <= F.col("room")))
     order = [F.col("score").desc(), F.col("aged_at").asc_nulls_last(), F.col("scarcity"), F.col("created_ms"), F.col("ticket_id")]
-    return newest(c, ["snapshot", "agent"], order, 1).select("snapshot", "agent", "ticket_id", F.round("score", 6).alias("score"), "scarcity")
+    best = newest(c, ["snapshot", "agent"], order, 1).join(members, "agent")
+    return best.select("snapshot", F.col("member").alias("agent"), "ticket_id", F.round("score", 6).alias("score"), "scarcity")
 
 
 # ---- jobs, groups, parents ----------------------------------------------------------------------------------------
