@@ -1,7 +1,8 @@
 """Keyed state machines over event streams.
 
 Each is a small step function over plain values; Spark keeps the state per key. A micro-batch's rows of a key are put in
-arrival order and walked once, so the trigger's size (files or offsets per trigger) bounds what a task holds.
+arrival order and walked once, so the trigger's size (files or offsets per trigger) bounds what a task holds; only a chunk of
+them stands as Python objects at a time.
 """
 
 from __future__ import annotations
@@ -18,6 +19,10 @@ from runlens.plans import telemetry as tel
 from runlens.plans.queue import forecast_cycles
 
 
+#: Rows that are made into Python objects, and result rows that are handed over, at a time.
+CHUNK = 20_000
+
+
 def stateful(
     stream: DataFrame, key: str, order: str, state_schema: str, out_schema: str, start: tuple, step: Callable[[tuple, dict], tuple[tuple, tuple | None]],
     last_only: bool = False,
@@ -29,13 +34,17 @@ def stateful(
         cur = state.get if state.exists else start
         rows = pd.concat(list(batches)).sort_values(order, kind="stable")
         out = []
-        for row in rows.to_dict("records"):
-            cur, made = step(cur, row)
-            if made is not None:
-                out.append((keys[0], *made))
+        for low in range(0, len(rows), CHUNK):
+            for row in rows.iloc[low : low + CHUNK].to_dict("records"):
+                cur, made = step(cur, row)
+                if made is not None:
+                    out.append((keys[0], *made))
+            if last_only:
+                out = out[-1:]
+            elif out:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
         state.update(cur)
-        if last_only:
-            out = out[-1:]
         if out:
             yield pd.DataFrame(out, columns=columns)
 

@@ -16,10 +16,19 @@ from runlens.workload.registry import ORACLES, query
 from runlens.workload.views import VIEWS, Spark, flat, history, oracle
 
 
-def _stream(spark, sf, view=None, text=None):
-    """The events file as a stream, through a derived view."""
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+#: Rows of one micro-batch, about: larger inputs are cut into more files.
+BATCH_ROWS = 1_000_000
+
+
+def _stream(spark, sf, view=None, text=None, at_once=False):
+    """The events as a stream, through a derived view: the file itself, or cut by event id into files of a micro-batch each, in order."""
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    parts = -(-events.count() // BATCH_ROWS)
+    if at_once or parts <= 1:
+        raw = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    else:
+        cut = events.repartitionByRange(parts, F.asc_nulls_last("event_id")).withColumn("file", F.spark_partition_id())
+        raw = _files(spark, cut, events.schema, "events", parts, split=False)
     return spark.sql(text or VIEWS[view](Spark()), events=raw)
 
 
@@ -101,7 +110,7 @@ def stream_starvation(spark, sf):
 SELECT * FROM (SELECT host, t_ms // 3600000 * 3600000 AS hour_ms, CASE WHEN admit THEN 'admit' ELSE 'deny' END AS verdict, reason, count(*) AS n FROM d GROUP BY 1, 2, 3, 4) w
 WHERE hour_ms + 3600000 <= (SELECT max(t_ms) - 600000 FROM d)""")
 def stream_decision_rates(spark, sf):
-    return jobs.run_to_table(jobs.decision_rates(_stream(spark, sf, text=qt.DEC)), "rates")
+    return jobs.run_to_table(jobs.decision_rates(_stream(spark, sf, text=qt.DEC, at_once=True)), "rates")
 
 
 @query("stream_history_ingest", "STR21 SNK03 SRC01", oracle(["history"], """
@@ -116,11 +125,18 @@ def stream_history_ingest(spark, sf):
     return spark.read.parquet(dst).groupBy("id").agg(F.count_if(~named).alias("unnamed"), F.count_if(named).alias("months"))
 
 
-def _files(spark, rows, schema_of, name, files):
-    """`rows` (with a column `file`) written as that many files and read as a stream, one file in a micro-batch."""
-    path = work_path(spark, name)
+def _files(spark, rows, schema_of, name, files, split=True):
+    """`rows` (with a column `file`) written as that many files and read as a stream, one file in a micro-batch.
+
+    The rows are worked out once, into a folder per file. With `split` a file of more than BATCH_ROWS is written as several, which come one after another.
+    """
+    path, dealt = work_path(spark, name), work_path(spark, f"{name}-dealt")
+    rows.write.partitionBy("file").parquet(dealt)
+    dealt = spark.read.schema(rows.schema).parquet(dealt)
+    sizes = {int(r["file"]): r["count"] for r in dealt.filter("file IS NOT NULL").groupBy("file").count().collect()}  # one row per file
     for i in range(files):
-        rows.filter(F.col("file") == i).drop("file").coalesce(1).write.mode("append").parquet(path)
+        part, parts = dealt.filter(F.col("file") == i).drop("file"), -(-sizes.get(i, 0) // BATCH_ROWS)
+        (part.repartition(parts) if split and parts > 1 else part.coalesce(1)).write.mode("append").parquet(path)
     return spark.readStream.schema(schema_of).option("maxFilesPerTrigger", 1).parquet(path)
 
 
