@@ -113,13 +113,18 @@ def stream_decision_rates(spark, sf):
     return jobs.run_to_table(jobs.decision_rates(_stream(spark, sf, text=qt.DEC, at_once=True)), "rates")
 
 
+INGEST_FILES = 24  # files of the raw history, about, once it is large
+
+
 @query("stream_history_ingest", "STR21 SNK03 SRC01", oracle(["history"], """
 SELECT id, count(*) FILTER (coalesce(id, '') = '') AS unnamed, count(DISTINCT coalesce(strftime(make_timestamp((floor(coalesce(ended_at, started_at)) * 1000)::BIGINT), '%Y-%m'), 'none')) FILTER (coalesce(id, '') <> '') AS months FROM history GROUP BY 1"""))
 def stream_history_ingest(spark, sf):
     """Raw rows in several micro-batches, some without an id: how often each id is stored, and for how many months."""
     h = history(spark, sf)
     src, dst = work_path(spark, "lines"), work_path(spark, "stored")
-    h.select(F.to_json(F.struct(*[c for c in h.columns if c not in ("ord", "event", "cust")])).alias("value")).write.option("maxRecordsPerFile", 4000).text(src)
+    # every batch looks at what is stored, so large inputs come in larger files, not in more batches
+    records = max(4000, -(-spark.read.parquet(f"{sf}/orders.parquet").count() // INGEST_FILES))
+    h.select(F.to_json(F.struct(*[c for c in h.columns if c not in ("ord", "event", "cust")])).alias("value")).write.option("maxRecordsPerFile", records).text(src)
     jobs.ingest_history(spark, src, dst, work_path(spark, "ingest-checkpoint"), "month", max_files=2).awaitTermination()
     named = F.coalesce("id", F.lit("")) != ""
     return spark.read.parquet(dst).groupBy("id").agg(F.count_if(~named).alias("unnamed"), F.count_if(named).alias("months"))

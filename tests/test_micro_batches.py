@@ -41,3 +41,16 @@ def test_files_of_a_stream_are_worked_out_once_and_split(spark, monkeypatch):
     sizes = [r["count"] for r in spark.read.parquet(names[0]).groupBy(F.col("_metadata.file_path")).count().collect()]
     assert len(sizes) == 10 and max(sizes) <= 150
     assert json.loads(jobs.run_to_table(s, "split-out").agg(F.to_json(F.struct(F.count("*").alias("n"), F.sum("id").alias("s")))).first()[0]) == {"n": 1000, "s": 499500}
+
+
+def test_larger_history_comes_in_larger_files(spark, tmp_path, monkeypatch):
+    k = F.col("id")
+    spark.range(0, 12_000, 1, 1).select(
+        k.alias("o_orderkey"), (k % 50).alias("o_custkey"), F.lit("O").alias("o_orderstatus"), F.lit(1.0).alias("o_totalprice"),
+        F.expr("timestamp_ntz'1995-01-01 00:00:00' + make_dt_interval(CAST(id % 60 AS INT))").alias("o_orderdate"), F.lit("2-HIGH").alias("o_orderpriority")).write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(qs, "INGEST_FILES", 1)
+    names = []
+    monkeypatch.setattr(qs, "work_path", lambda s, name: names.append(work_path(s, name)) or names[-1])
+    ids = spark.range(0, 12_000).selectExpr("CASE WHEN id % 97 = 0 THEN NULL WHEN id % 11 = 10 THEN concat('o', id - 1) ELSE concat('o', id) END AS i").distinct().count()
+    assert qs.stream_history_ingest(spark, str(tmp_path)).count() == ids
+    assert len(spark.read.text(names[0]).select("_metadata.file_path").distinct().collect()) == 1
