@@ -75,19 +75,25 @@ def read_journal(spark, sf):
 
 
 GROWN = 4  # files that a writer appends to
+RANGES = 256  # byte ranges that large files are cut into, about
 
 
-def _write_prefix(folder: str, step: int, steps: int):
-    """A writer at work: each task's file holds its lines up to a share of its bytes, wherever that cuts a line."""
+def _write_prefix(folder: str, sizes: dict[int, int], step: int, steps: int):
+    """A writer at work: each task's file holds its lines up to a share of its bytes (`sizes`, by task), wherever that cuts a line."""
 
     def run(batches):
         store, root = open_store(folder)
         store.create_dir(root, recursive=True)
-        rows = [v for b in batches for v in b.column(0).to_pylist()]
-        data = "".join(f"{v}\n" for v in rows).encode()
-        with store.open_output_stream(f"{root}/log-{TaskContext.get().partitionId():03d}.txt") as f:
-            f.write(data[: len(data) * step // steps])
-        yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64())], names=["n"])
+        task, n = TaskContext.get().partitionId(), 0
+        left = sizes.get(task, 0) * step // steps
+        with store.open_output_stream(f"{root}/log-{task:03d}.txt") as f:
+            for b in batches:
+                n += b.num_rows
+                if left > 0:
+                    data = "".join(f"{v}\n" for v in b.column(0).to_pylist()).encode()[:left]
+                    f.write(data)
+                    left -= len(data)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
     return run
 
@@ -96,9 +102,13 @@ def _grown(spark, lines, stream, name):
     """The rows of `stream` over files that grow in three steps, each ending within a line but the last; one query run after each step."""
     folder, table, checkpoint = (work_path(spark, f"{name}-{x}") for x in ("files", "table", "checkpoint"))
     whole = cut_lineage(lines.select("ord", "value").repartition(GROWN, "ord").sortWithinPartitions("ord"), f"{name}-lines")
+    dealt = whole.repartition(GROWN, "ord").sortWithinPartitions("ord").select("value")
+    long = F.coalesce(F.octet_length("value"), F.lit(len("None"))) + F.lit(1)
+    sizes = {r.task: r.bytes for r in dealt.groupBy(F.spark_partition_id().alias("task")).agg(F.sum(long).alias("bytes")).collect()}  # GROWN rows
+    split = max(1 << 16, sum(sizes.values()) // RANGES)
     for step in (1, 2, 3):
-        whole.repartition(GROWN, "ord").sortWithinPartitions("ord").select("value").mapInArrow(_write_prefix(folder, step, 3), "n long").agg(F.sum("n")).collect()
-        rows = stream(spark, folder, split_bytes=1 << 16)
+        dealt.mapInArrow(_write_prefix(folder, sizes, step, 3), "n long").agg(F.sum("n")).collect()
+        rows = stream(spark, folder, split_bytes=split)
         jobs.append_available(rows, table, checkpoint)
     return spark.read.schema(rows.schema).parquet(table)
 

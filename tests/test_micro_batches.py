@@ -54,3 +54,20 @@ def test_larger_history_comes_in_larger_files(spark, tmp_path, monkeypatch):
     ids = spark.range(0, 12_000).selectExpr("CASE WHEN id % 97 = 0 THEN NULL WHEN id % 11 = 10 THEN concat('o', id - 1) ELSE concat('o', id) END AS i").distinct().count()
     assert qs.stream_history_ingest(spark, str(tmp_path)).count() == ids
     assert len(spark.read.text(names[0]).select("_metadata.file_path").distinct().collect()) == 1
+
+
+def test_a_writer_keeps_a_share_of_its_bytes_from_many_batches(spark):
+    from runlens.workload import q_sources as sources  # after the queries whose oracles it shares
+
+    folder = work_path(spark, "prefix")
+    lines = [f"line {i} é" for i in range(500)]
+    data = "".join(f"{x}\n" for x in lines).encode()
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, value string").coalesce(1).sortWithinPartitions("i").select("value")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert df.mapInArrow(sources._write_prefix(folder, {0: len(data)}, 2, 3), "n long").agg(F.sum("n")).first()[0] == 500
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    with open(f"{folder}/log-000.txt", "rb") as f:
+        assert f.read() == data[: len(data) * 2 // 3]
