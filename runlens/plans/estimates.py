@@ -63,6 +63,7 @@ def answer_estimates(jobs: DataFrame, states: DataFrame, class_default: DataFram
     `jobs` has PARTS and optional columns hint_p50, hint_p90.
     """
     base = jobs.withColumns({p: F.coalesce(p, F.lit("")) for p in PARTS})
+    states = cut_lineage(states, "estimator-states")  # every level reads them: the fold behind them would run once for each
     tiers = []
     for i, (source, parts) in enumerate(LEVELS):
         level = states.filter(F.col("level") == i).withColumn("est", F.struct(

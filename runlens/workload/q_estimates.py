@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from runlens.functions import runs
 from runlens.plans import estimates
+from runlens.session import cut_lineage
 from runlens.workload.q_scalars import CLASSIFIED, COMMAND_CTES
 from runlens.workload.registry import query
 from runlens.workload.views import history, oracle
@@ -71,7 +72,7 @@ SELECT job, round(coalesce(exp(s.mu), greatest(class_p75, coalesce(hint_p50, 0))
   CASE lv WHEN 0 THEN 'exact' WHEN 1 THEN 'no-code-family' WHEN 2 THEN 'no-arm-set' WHEN 3 THEN 'no-through-act' WHEN 4 THEN 'runner-wide' ELSE 'class-default' END AS est_source
 FROM m LEFT JOIN p75 ON p75.class_id = m.class_id WHERE rn = 1"""))
 def duration_answers(spark, sf):
-    obs = _observations(spark, sf)
+    obs = cut_lineage(_observations(spark, sf), "duration-observations")  # read by the estimator and by the classes' percentiles
     k = F.col("c_custkey")
     s = lambda e: e.cast("string")
     jobs = spark.read.parquet(f"{sf}/customer.parquet").select(
