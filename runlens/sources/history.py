@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runlens.schema import HISTORY, JOURNAL, PR_LIST, STORE_JOURNAL
-from runlens.sources.growing import growing_lines
+from runlens.session import cut_lineage
+from runlens.sources.growing import growing_lines, open_store
 
 MARGIN_MS = 86_400_000
 BLOCK_BITS = 44
+#: Tasks that list the folders of one level, and rows that a task hands over at once.
+LIST_TASKS = 64
+LIST_ROWS = 10_000
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -130,18 +136,48 @@ def read_store_journal(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
         "store", "seq", "kind", "path", F.col("sha256").alias("sha"), F.col("size").alias("size_bytes"), F.col("createdAt").alias("created_ms"))
 
 
+def _listed(name: str) -> bool:
+    return not (name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_"))
+
+
+def _list_task(root: str, top: bool):
+    """What lies in folders below `root` (paths relative to it). A folder that went away meanwhile is empty; the root must be there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = open_store(root)
+        base = base.rstrip("/")
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                prefix = f"{folder}/" if folder else ""
+                inside = store.get_file_info(pafs.FileSelector(f"{base}/{folder}" if folder else base or "/", allow_not_found=not top))
+                inside = [i for i in inside if _listed(i.base_name)]
+                for at in range(0, len(inside), LIST_ROWS):
+                    part = inside[at : at + LIST_ROWS]
+                    is_dir = [i.type == pafs.FileType.Directory for i in part]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([prefix + i.base_name for i in part], pa.string()), pa.array(is_dir, pa.bool_()),
+                        pa.array([None if d else i.size for i, d in zip(part, is_dir, strict=True)], pa.int64()),
+                        pa.array([None if d or i.mtime_ns is None else i.mtime_ns // 1_000_000 for i, d in zip(part, is_dir, strict=True)], pa.int64())],
+                        names=["path", "folder", "size_bytes", "mtime_ms"])
+
+    return run
+
+
 def read_inventory(spark: SparkSession, root: str) -> DataFrame:
     """Path, size and time of the objects below `root`, with kind, sha and job; other files are left out.
 
-    Executors list the folders; of a file only its path, length and time are asked for, so no content is read. Names that begin with `_` or `.` are no
-    objects, and Spark doesn't list them.
+    Tasks list the folders, one level in a round, and write what they find: neither the driver nor one task sees all files. No file is opened. Names that
+    begin with `_` or `.` are no objects and are not followed, as in Spark's own listings. `root` is on a store that pyarrow opens.
     """
     from runlens.plans.inventory import canonical_objects
 
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
-    base = re.sub(r"^[a-z0-9+.-]+:/*", "/", root).rstrip("/") + "/"
-    rel = F.substr("path", F.locate(base, "path") + F.lit(len(base)))
-    return canonical_objects(raw.select(rel.alias("path"), F.col("length").alias("size_bytes"), F.unix_millis("modificationTime").alias("mtime_ms")))
+    open_folders, found = spark.createDataFrame([("",)], "path string"), []
+    while found == [] or not open_folders.isEmpty():
+        level = open_folders.repartition(LIST_TASKS) if found else open_folders
+        level = cut_lineage(level.mapInArrow(_list_task(root, not found), "path string, folder boolean, size_bytes long, mtime_ms long"), "listing")
+        open_folders = level.filter("folder").select("path")
+        found.append(level.filter("NOT folder").drop("folder"))
+    return canonical_objects(reduce(DataFrame.unionByName, found))
 
 
 def read_queue_snapshot(spark: SparkSession, root: str, tables: list[str]) -> dict[str, DataFrame]:

@@ -136,3 +136,22 @@ def test_inventory_lists_objects_only(spark, tmp_path):
     assert got.first().mtime_ms > 1_600_000_000_000
     scan = got._jdf.queryExecution().executedPlan().toString()
     assert "content" not in scan.split("ReadSchema")[-1]
+
+
+def test_inventory_is_listed_by_tasks(spark, tmp_path):
+    from runlens.sources import history
+
+    for i in range(300):
+        path = tmp_path / "store" / "blobs" / f"{i % 16:02x}" / "00" / (f"{i % 16:02x}00" + f"{i:060x}")
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"x" * (i % 7))
+    for name in ("_tmp/x.json", ".hid/y.json", "manifests/_part.json", "manifests/a.json", "manifests/b.json._COPYING_"):
+        path = tmp_path / "store" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"")
+    root = f"file://{tmp_path}/store"
+    got = history.read_inventory(spark, root)
+    assert sorted(r.size_bytes for r in got.filter("object_kind = 'blob'").collect()) == sorted(i % 7 for i in range(300))
+    assert [r.path for r in got.filter("object_kind = 'manifest'").collect()] == ["manifests/a.json"]
+    # the files scanned are those of the listing's rows, not the objects: the driver never had them in an index
+    assert not any(f"{tmp_path}/store" in f for f in got.inputFiles())
