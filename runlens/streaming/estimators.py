@@ -36,6 +36,46 @@ class SliceSummary:
         # what the slice makes of no state at all: its own first observation starts one
         self.alone, self.alone_keep, self.alone_add = float("nan"), 1.0, 0.0
 
+    def add_all(self, rows: list[tuple[float, bool]]) -> None:
+        """The observations in order. Once every state that may enter leaves as the same one, the rest is a plain fold of that state, and all pieces of the
+        variance fade and rise alike.
+        """
+        for i, (v, censored) in enumerate(rows):
+            if self.ys[0] == self.ys[-1]:
+                break
+            self.add(v, censored)
+        else:
+            return
+        y, fade, rise, alone = float(self.ys[0]), 1.0, 0.0, self.alone
+        add = self.alone_add
+        scalar, same = self.kind.scalar, self.alone == y
+        alone_fade, left = 1.0, rows[i:]
+        for v, censored in left:
+            if censored:
+                y = max(y, v)
+                alone = y if same else max(alone, v)
+            else:
+                new = scalar(y, v)
+                d = (new - y) / ALPHA
+                step = ALPHA * d * d
+                y, fade, rise = new, fade * (1 - ALPHA), (1 - ALPHA) * (rise + step)
+                if same:
+                    alone = y
+                else:
+                    new = scalar(alone, v)
+                    d = (new - alone) / ALPHA
+                    alone, step = new, ALPHA * d * d
+                    same = alone == y
+                add = (1 - ALPHA) * (add + step)
+                alone_fade *= 1 - ALPHA
+        self.n += len(left)
+        self.censored_n += sum(c for _, c in left)
+        self.ys = np.full(len(self.ys), y)
+        self.poly = self.poly * fade
+        self.poly[:, 0] += rise
+        self.keep *= fade
+        self.alone, self.alone_keep, self.alone_add = alone, self.alone_keep * alone_fade, add
+
     def _split(self, at: float) -> None:
         """A node where the leaving state is `at`."""
         ys = self.ys
@@ -121,8 +161,7 @@ class LateFold(StatefulProcessor):
                 continue  # behind the horizon: the rows to fold again are gone
             own = sorted([*(zip(*before[:4], strict=True) if before is not None else ()), *new], key=lambda r: r[:2])
             summary = SliceSummary(self.kind)
-            for _, _, v, c in own:
-                summary.add(v, c)
+            summary.add_all([(v, c) for _, _, v, c in own])
             held[s] = (*[list(x) for x in zip(*own, strict=True)], True, *summary.packed())
             if not self._closed(s, newest):
                 self.slices.updateValue((s,), held[s])

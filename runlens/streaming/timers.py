@@ -7,6 +7,7 @@ among the rows. Rows of one key and instant are kept together, so a task holds o
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -102,31 +103,40 @@ class InOrder(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.mark, now, out = timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs(), []
+        times = self.soon.get()
+        # read and written once a call; an ascending list is a heap, and `live` tells which of its times still count
+        self.heap = list(times[0]) if times else []
+        self.live = set(self.heap)
         while (t := self._next_soon(now - 1)) is not None:
             out += self._at(key, t)
         self.sleep_at(now, fired=True)
         out += self._at(key, now)
         # wake-ups asked for meanwhile, up to the key's next timer: one behind the watermark would else wait for the next micro-batch
-        while self.soon.exists():
-            others = [t for t in self.handle.listTimers() if now < t <= self.mark and t not in self.soon.get()[0]]
-            t = self._next_soon(min(others, default=self.mark + 1) - 1)
+        timers = {x for x in self.handle.listTimers() if now < x <= self.mark} if self.live else set()
+        while self.live:
+            t = self._next_soon(min((x for x in timers if x not in self.live), default=self.mark + 1) - 1)
             if t is None:
                 break
-            self.handle.deleteTimer(t)
+            if t in timers:
+                timers.discard(t)
+                self.handle.deleteTimer(t)
             out += self._at(key, t)
+        if self.live:
+            self.soon.update((sorted(self.live),))
+        elif times:
+            self.soon.clear()
         if out:
             yield pd.DataFrame(out, columns=self.columns)
 
     def _next_soon(self, limit: int) -> int | None:
         """Takes the first wake-up up to `limit` off the list."""
-        times = self.soon.get()
-        if not times or times[0][0] > limit:
+        while self.heap and self.heap[0] not in self.live:
+            heapq.heappop(self.heap)
+        if not self.heap or self.heap[0] > limit:
             return None
-        if len(times[0]) > 1:
-            self.soon.update((times[0][1:],))
-        else:
-            self.soon.clear()
-        return times[0][0]
+        t = heapq.heappop(self.heap)
+        self.live.discard(t)
+        return t
 
     def _at(self, key, t: int) -> list[tuple]:
         out = list(self.woken_at(key, t))
@@ -138,20 +148,17 @@ class InOrder(StatefulProcessor):
         return out
 
     def wake_at(self, t: int) -> None:
-        self.handle.registerTimer(t)
-        if t <= self.mark:
-            times = self.soon.get()
-            self.soon.update((sorted({*(times[0] if times else []), t}),))
+        if t > self.mark:
+            self.handle.registerTimer(t)
+        elif t not in self.live:  # handed over in this micro-batch, without a timer
+            self.live.add(t)
+            heapq.heappush(self.heap, t)
 
     def sleep_at(self, t: int, fired: bool = False) -> None:
         """Takes a wake-up back, unless rows of that instant still wait."""
         if not fired and not self.pending.containsKey((t,)):
             self.handle.deleteTimer(t)
-        times = self.soon.get()
-        if times and times[0] == [t]:
-            self.soon.clear()
-        elif times and t in times[0]:
-            self.soon.update(([x for x in times[0] if x != t],))
+        self.live.discard(t)
 
     def close(self) -> None:
         pass

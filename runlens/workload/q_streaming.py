@@ -113,6 +113,8 @@ def stream_decision_rates(spark, sf):
     return jobs.run_to_table(jobs.decision_rates(_stream(spark, sf, text=qt.DEC, at_once=True)), "rates")
 
 
+FULL_PART = 50  # rows a part, of files that are written in parts
+
 INGEST_FILES = 24  # files of the raw history, about, once it is large
 
 
@@ -133,32 +135,39 @@ def stream_history_ingest(spark, sf):
 def _files(spark, rows, schema_of, name, files, split=True):
     """`rows` (with a column `file`) written as that many files and read as a stream, one file in a micro-batch.
 
-    The rows are worked out once, into a folder per file. With `split` a file of more than BATCH_ROWS is written as several, which come one after another.
+    The rows are worked out once, into a folder per file. With `split` the largest file sets how many parts of about BATCH_ROWS each file is written
+    in; all parts of a file make one micro-batch, so larger inputs give larger micro-batches read by more tasks, not more of them.
     """
     path, dealt = work_path(spark, name), work_path(spark, f"{name}-dealt")
     rows.write.partitionBy("file").parquet(dealt)
     dealt = spark.read.schema(rows.schema).parquet(dealt)
     sizes = {int(r["file"]): r["count"] for r in dealt.filter("file IS NOT NULL").groupBy("file").count().collect()}  # one row per file
+    parts = max([1, *[-(-n // BATCH_ROWS) for i, n in sizes.items() if 0 <= i < files]]) if split else 1
     for i in range(files):
-        part, parts = dealt.filter(F.col("file") == i).drop("file"), -(-sizes.get(i, 0) // BATCH_ROWS)
-        (part.repartition(parts) if split and parts > 1 else part.coalesce(1)).write.mode("append").parquet(path)
-    return spark.readStream.schema(schema_of).option("maxFilesPerTrigger", 1).parquet(path)
+        part, n = dealt.filter(F.col("file") == i).drop("file"), sizes.get(i, 0)
+        if n >= FULL_PART * parts:  # enough for a row in every part
+            part.repartition(parts).write.mode("append").parquet(path)
+            continue
+        part.coalesce(1).write.mode("append").parquet(path)
+        for _ in range(parts - 1):  # files without rows, so that every micro-batch has as many
+            part.limit(0).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(schema_of).option("maxFilesPerTrigger", parts).parquet(path)
 
 
 @query("stream_lease_expiry", "STR11 SCL25", ORACLES["lease_expiry"])
 def stream_lease_expiry(spark, sf):
-    """Claims in the first two files, shuffled; each snapshot's ticks in the third, in the fourth every ticket ends and the watermark moves on."""
+    """Claims in the first two files, shuffled; each snapshot's ticks in the third, in the fourth every ticket ends, in the last the watermark moves on."""
     t = flat(spark, sf, "tickets").selectExpr("snapshot AS cluster", "ticket_id", "state", "created_ms + 3000000 AS lease_until_ms", "CAST(requeues AS BIGINT) AS requeues", "ticket_id % 17 = 0 AS cancel_requested").filter("state IN ('claimed', 'running')")
     now = f"({qq.EARLY} + cluster * 1000000000L)"
     claims = t.withColumns({"t_ms": F.expr(f"{now} - 2000 - ticket_id % 100"), "file": F.expr("ticket_id % 2")})
     ends = t.withColumns({"t_ms": F.expr(f"{now} + 1"), "state": F.lit("finished"), "file": F.lit(3)})
     clusters = t.select("cluster").distinct()
     ticks = clusters.select("cluster", F.explode(F.array(F.expr(f"{now} - if(cluster = 3, 90000L, 5000L)"), F.expr(now))).alias("t_ms")).withColumn("file", F.lit(2))
-    far = t.agg(F.max(F.expr(f"{now} + 100 * 86400000L")).alias("t_ms"), F.max("cluster").alias("cluster")).withColumns({"file": F.lit(3), "state": F.lit("mark")})
+    far = t.agg(F.max(F.expr(f"{now} + 100 * 86400000L")).alias("t_ms"), F.max("cluster").alias("cluster")).withColumns({"file": F.lit(4), "state": F.lit("mark")})
     rows = claims.unionByName(ends).unionByName(ticks, allowMissingColumns=True).unionByName(far, allowMissingColumns=True)
     rows = rows.repartition(8, "cluster", "ticket_id")
     # the watermark allows for the spread of the snapshots' times, so no file comes late
-    s = _files(spark, rows, rows.drop("file").schema, "lease-events", 4)
+    s = _files(spark, rows, rows.drop("file").schema, "lease-events", 5)
     verdicts = timers.lease_verdicts(s.filter("state IS NOT NULL"), s.filter("state IS NULL"), delay="90 days")
     out, checkpoint = timers.run_stateful(verdicts, "lease-verdicts")
     if left := timers.state_rows(spark, checkpoint, "pending", "leases", "due", "overdue", "soon"):

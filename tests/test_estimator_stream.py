@@ -76,3 +76,17 @@ def test_rows_behind_the_horizon_do_not_count(spark, tmp_path):
     got = run(spark, tmp_path, files, slice_ms=day, open_slices=3)[4, "t", "", "", "", ""]
     state, variance = plain(LogStep, [(math.log(x), False) for x in (10.0, 20.0, 25.0, 30.0)])
     assert got == pytest.approx((4, 0, state, variance), rel=1e-12)
+
+
+@pytest.mark.parametrize("kind,domain,draw", [(LogStep, e.DOMAIN, lambda r: r.gauss(4, 2)), (FactorStep, (0.0, 1000.0), lambda r: math.exp(r.gauss(0, 1)))])
+def test_a_long_slice_is_folded_plainly_once_its_states_agree(kind, domain, draw, monkeypatch):
+    r = random.Random(8)
+    rows = [(draw(r), r.random() < 0.1) for _ in range(6000)]
+    calls, add = [], e.SliceSummary.add
+    monkeypatch.setattr(e.SliceSummary, "add", lambda self, v, c: calls.append(1) or add(self, v, c))
+    summary = e.SliceSummary(kind, domain)
+    summary.add_all(rows)
+    assert len(calls) < 3000 and (summary.n, summary.censored_n) == (6000, sum(c for _, c in rows))
+    for entry in [None, *[draw(r) for _ in range(20)], domain[0], domain[1]]:
+        assert summary.leave(entry, 0.5) == pytest.approx(plain(kind, rows, entry, 0.5), rel=1e-11)
+    assert len({summary.leave(x, 0.5)[0] for x in domain}) == 1

@@ -71,3 +71,13 @@ def test_a_writer_keeps_a_share_of_its_bytes_from_many_batches(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     with open(f"{folder}/log-000.txt", "rb") as f:
         assert f.read() == data[: len(data) * 2 // 3]
+
+
+def test_all_parts_of_a_file_make_one_micro_batch(spark, monkeypatch):
+    monkeypatch.setattr(qs, "BATCH_ROWS", 100)
+    rows = spark.range(0, 1010, 1, 4).withColumn("file", F.when(F.col("id") < 1000, F.col("id") % 2).otherwise(2))
+    s = qs._files(spark, rows, "id long", "aligned", 3)
+    batches = []
+    checkpoint = work_path(spark, "aligned-checkpoint")
+    s.writeStream.foreachBatch(lambda df, epoch: batches.append(sorted(r.id for r in df.collect()))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    assert batches == [list(range(0, 1000, 2)), list(range(1, 1000, 2)), list(range(1000, 1010))]
