@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 CHUNK_BYTES = 2 << 20
 BATCH_ROWS = 1000
+#: Hash slots by which tokens are counted where an order from rare to frequent ones is wanted.
+SLOTS = 1 << 16
+SLOT_BLOCK = 1 << 10
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -147,3 +150,40 @@ def lists(values: pa.Array, counts: np.ndarray) -> pa.Array:
     offs = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=offs[1:])
     return pa.ListArray.from_arrays(pa.array(offs), values)
+
+
+def slot_blocks(counts: np.ndarray) -> pa.RecordBatch:
+    """Counts of the hash slots as rows (block, counts)."""
+    blocks = counts.reshape(-1, SLOT_BLOCK)
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks), dtype=np.int32)), binary([b.tobytes() for b in blocks])], names=["block", "counts"])
+
+
+def _add_task(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x.as_py(), np.int64) for x in table.column("counts"))
+    return pa.table({"block": table.column("block").slice(0, 1).combine_chunks(), "counts": binary([total.tobytes()])})
+
+
+def slot_ranks(blocks: DataFrame) -> np.ndarray:
+    """Rank of each hash slot by the number of tokens in it: SLOTS numbers, whatever the corpus."""
+    rows = blocks.groupBy("block").applyInArrow(_add_task, "block int, counts binary").collect()
+    counts = np.zeros(SLOTS, np.int64)
+    for r in rows:
+        counts[r["block"] * SLOT_BLOCK : (r["block"] + 1) * SLOT_BLOCK] = np.frombuffer(r["counts"], np.int64)
+    ranks = np.zeros(SLOTS, np.uint64)
+    ranks[np.argsort(counts, kind="stable")] = np.arange(SLOTS, dtype=np.uint64)
+    return ranks
+
+
+def rarity_keys(h: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The rank of a hash's slot in the high bits, the rest of the hash below: small keys are rare tokens, no two hashes share one."""
+    return ranks[(h & np.uint64(SLOTS - 1)).astype(np.int64)] << np.uint64(48) | h >> np.uint64(16)
+
+
+def near_by_place(percent: int) -> Column:
+    """The length filter, and the positional filter for the first common token: what follows it on either side bounds the overlap.
+
+    `place_x` and `place_y` hold a set's size above its 32 low bits and the token's position in them."""
+    n = lambda x: F.shiftright(f"place_{x}", 32)
+    after = lambda x: n(x) - F.col(f"place_{x}").bitwiseAND(0xFFFFFFFF) - 1
+    lengths = 100 * F.least(n("x"), n("y")) >= percent * F.greatest(n("x"), n("y"))
+    return lengths & ((100 + percent) * (1 + F.least(after("x"), after("y"))) >= percent * (n("x") + n("y")))

@@ -35,8 +35,7 @@ from runlens.llm import common
 from runlens.session import cut_lineage
 
 PERCENT = 80
-SLOTS = 1 << 16
-SLOT_BLOCK = 1 << 10
+SLOTS = common.SLOTS
 _P = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -51,31 +50,19 @@ def _slot_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, data, offs in common.chunks(_lowered(batches)):
         starts, ends, _ = common.words(data, offs, ~common.BLANK)
         counts += np.bincount((common.Hashes(data).of(starts, ends) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
-    blocks = counts.reshape(-1, SLOT_BLOCK)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks), dtype=np.int32)), common.binary([b.tobytes() for b in blocks])], names=["block", "counts"])
-
-
-def _add_task(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_py(), np.int64) for x in table.column("counts"))
-    return pa.table({"block": table.column("block").slice(0, 1).combine_chunks(), "counts": common.binary([total.tobytes()])})
+    yield common.slot_blocks(counts)
 
 
 def slot_ranks(docs: DataFrame) -> np.ndarray:
-    """Rank of each hash slot by the number of words in it over all documents: SLOTS numbers, whatever the corpus."""
-    rows = docs.select("text").mapInArrow(_slot_task, "block int, counts binary").groupBy("block").applyInArrow(_add_task, "block int, counts binary").collect()
-    counts = np.zeros(SLOTS, np.int64)
-    for r in rows:
-        counts[r["block"] * SLOT_BLOCK : (r["block"] + 1) * SLOT_BLOCK] = np.frombuffer(r["counts"], np.int64)
-    ranks = np.zeros(SLOTS, np.uint64)
-    ranks[np.argsort(counts, kind="stable")] = np.arange(SLOTS, dtype=np.uint64)
-    return ranks
+    """Rank of each hash slot by the number of words in it over all documents."""
+    return common.slot_ranks(docs.select("text").mapInArrow(_slot_task, "block int, counts binary"))
 
 
 def line_sets(data: np.ndarray, offs: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, line number, word count, keys): the distinct word keys of each line with words, ascending within the line."""
     starts, ends, doc = common.words(data, offs, ~common.BLANK)
     h = common.Hashes(data).of(starts, ends)
-    key = ranks[(h & np.uint64(SLOTS - 1)).astype(np.int64)] << np.uint64(48) | h >> np.uint64(16)
+    key = common.rarity_keys(h, ranks)
     breaks = np.concatenate([[0], np.cumsum(data == 0x0A)])
     line = breaks[starts] - breaks[offs[doc]]
     new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])]) if len(doc) else np.zeros(0, bool)
@@ -138,14 +125,6 @@ def _wanted_task(ranks):
     return run
 
 
-def _near(percent: int) -> Column:
-    """The length filter, and the positional filter for the first common word: what follows it on either side bounds the overlap."""
-    n = lambda x: F.shiftright(f"place_{x}", 32)
-    after = lambda x: n(x) - F.col(f"place_{x}").bitwiseAND(0xFFFFFFFF) - 1
-    lengths = 100 * F.least(n("x"), n("y")) >= percent * F.greatest(n("x"), n("y"))
-    return lengths & ((100 + percent) * (1 + F.least(after("x"), after("y"))) >= percent * (n("x") + n("y")))
-
-
 def _earlier() -> Column:
     return (F.col("doc_x") < F.col("doc_y")) | ((F.col("doc_x") == F.col("doc_y")) & (F.col("line_x") < F.col("line_y")))
 
@@ -185,11 +164,11 @@ def similar_sets(docs: DataFrame, sets: DataFrame, ranks, percent: int = PERCENT
     rows = _prefix_words(sets).repartition("word")
     heads = rows.groupBy("word").agg(F.count("*").alias("sets"), F.min(F.struct("doc", "line", "set_id", "place")).alias("head")).where("sets > 1")
     heads = heads.select("word", *[F.col(f"head.{c}").alias(f"{c}_x") for c in columns])
-    stars = side(rows, "y").join(heads, "word").where(_earlier() & _near(percent)).select("set_id_x", "set_id_y").distinct()
+    stars = side(rows, "y").join(heads, "word").where(_earlier() & common.near_by_place(percent)).select("set_id_x", "set_id_y").distinct()
     stars = cut_lineage(stars, "star-lines")
     found = _verified(stars, sets, docs, ranks, percent)
     rest = sets.join(found, "set_id", "left_anti")
-    pairs = side(_prefix_words(sets), "x").join(side(_prefix_words(rest), "y"), "word").where(_earlier() & _near(percent))
+    pairs = side(_prefix_words(sets), "x").join(side(_prefix_words(rest), "y"), "word").where(_earlier() & common.near_by_place(percent))
     pairs = pairs.select("set_id_x", "set_id_y").distinct().join(stars, ["set_id_x", "set_id_y"], "left_anti")
     return found.unionByName(_verified(cut_lineage(pairs, "open-lines"), sets, docs, ranks, percent))
 

@@ -8,9 +8,13 @@ neighbourhoods for the scheme's `doubles`; as a probe (in its own band and the o
 full segments with many tokens first, then deletions, empty segments last.
 
 Signatures that many texts of one chunk share are joined there, and one member stands for them in the shuffle. Candidates are checked in two steps, both exact: first every member of
-a signature's group against the group's smallest id; then, only in groups that still span several components, every pair that
+a signature's group against the group's smallest id; then, only in small groups that still span several components, every pair that
 is not yet in one component and passes the size bound and a bound of the difference from parity sketches. So large groups of near copies are settled
-by their star, and no group is expanded into all its pairs. Equal sets are one class from the start.
+by their star, and no group is expanded into all its pairs. Groups of more than `CROWD` members that still span several components
+(texts around one common passage, say) are not paired at all: of similar sets the n - ceil(t n) + 1 rarest shingles share one, so
+their members meet over those, after length and positional filters: first all with the least edited set, then those that are still
+apart, and only with members outside the shingle's main component.
+Equal sets are one class from the start.
 
 Sets are held as 64-bit hashes of their shingles; a false equality has odds below one in 10^10 for a pair of texts.
 The result is components; links inside a component are not all listed.
@@ -43,6 +47,8 @@ SPARE = 1.15
 RANGE_ROWS = 1 << 20
 #: A signature with so many documents in one chunk is joined there first.
 LOCAL_GROUP = 8
+#: Open groups of more members are not expanded into pairs; their members meet over shared rare shingles.
+CROWD = 8
 
 #: Shingles (8 bytes each) of sets that meet in one place to be verified; larger neighbourhoods are split.
 PLACE_TOKENS = 1 << 21
@@ -234,17 +240,17 @@ def _signature_task(largest: int, percent: int):
 
 
 def _candidate_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Signature rows of a partition -> star edges (kind 0: smaller id a, b, shared signatures) and members of larger groups (kind 1: signature, id, role)."""
+    """Signature rows of a partition -> star edges (kind 0, of groups of two rows kind 2: smaller id a, b, shared signatures) and members of larger groups (kind 1: signature, id, role)."""
 
     def batch(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(n.astype(np.int32))], names=["kind", "a", "b", "n"])
 
-    def edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    def edges(a: np.ndarray, b: np.ndarray, kind: int = 0) -> pa.RecordBatch:
         a, b = a[a != b], b[a != b]
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
         first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
-        return batch(0, a[first], b[first], np.diff(np.concatenate([first, [len(a)]])))
+        return batch(kind, a[first], b[first], np.diff(np.concatenate([first, [len(a)]])))
 
     held: list[tuple[np.ndarray, np.ndarray]] = []
     for rows in batches:
@@ -271,8 +277,10 @@ def _candidate_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     if not len(sig):
         return
     start = np.cumsum(size) - size
-    yield edges(np.repeat(np.minimum.reduceat(own, start), size), own)
     keep = np.repeat((size > 2) | (roles & STANDS > 0), size)
+    least = np.repeat(np.minimum.reduceat(own, start), size)
+    yield edges(least[keep], own[keep])
+    yield edges(least[~keep], own[~keep], 2)
     yield batch(1, sig[keep].view(np.int64), own[keep], role[keep] & (INDEX | PROBE))
 
 
@@ -307,6 +315,68 @@ def _verify_task(percent: int):
     return run
 
 
+def _slot_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(common.SLOTS, np.int64)
+    for _, data, offs in common.chunks(batches):
+        sh, _ = shingle_sets(data, offs)
+        counts += np.bincount((sh & np.uint64(common.SLOTS - 1)).astype(np.int64), minlength=common.SLOTS)
+    yield common.slot_blocks(counts)
+
+
+def _rare_task(ranks, percent: int):
+    """A row for each of the rarest shingles of a set that every similar set shares one of; `place` holds the set's size and the position."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offs in common.chunks(batches):
+            sh, n = shingle_sets(data, offs)
+            key = common.rarity_keys(sh, ranks.value)
+            key = key[np.lexsort((key, np.repeat(np.arange(len(n)), n)))]
+            size = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
+            row = np.repeat(np.arange(len(n)), size)
+            pos = np.arange(len(row)) - (np.cumsum(size) - size)[row]
+            word = key[(np.cumsum(n) - n)[row] + pos].view(np.int64)
+            of = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(word), rows.column("doc_id").take(of), rows.column("component").take(of), pa.array(n[row].astype(np.int64) << 32 | pos)], names=["word", "id", "component", "place"])
+
+    return run
+
+
+def _rare_shingles(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(word, id, place): the rarest shingles of `members` (doc_id, component), where sets of different components share them."""
+    held = cut_lineage(texts.join(members, "doc_id").select("doc_id", "component", "text"), "crowd-texts")
+    ranks = held.sparkSession.sparkContext.broadcast(common.slot_ranks(held.select("text").mapInArrow(_slot_task, "block int, counts binary")))  # SLOTS numbers
+    words = cut_lineage(held.mapInArrow(_rare_task(ranks, percent), "word long, id long, component long, place long"), "rare-shingles")
+    return cut_lineage(words.join(_mixed(words), "word").drop("component"), "mixed-shingles")
+
+
+def _mixed(words: DataFrame) -> DataFrame:
+    """(word): the shingles whose sets lie in different components."""
+    return words.groupBy("word").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("word")
+
+
+def _side(words: DataFrame, x: str) -> DataFrame:
+    return words.select("word", *[F.col(c).alias(f"{c}_{x}") for c in words.columns if c != "word"])
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
+
+
+def _head_pairs(words: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of each set with the one of its shingle that has the fewest rarer ones: the least edited of near copies."""
+    heads = words.groupBy("word").agg(F.min(F.struct(F.col("place").bitwiseAND(0xFFFFFFFF).alias("position"), "id", "place")).alias("m")).select("word", F.col("m.id").alias("id"), F.col("m.place").alias("place"))
+    return _ordered(_side(words, "x").join(_side(heads, "y"), "word").where((F.col("id_x") != F.col("id_y")) & common.near_by_place(percent))).distinct()
+
+
+def _rare_pairs(words: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets in different components that share a shingle of `words` (word, id, place, component) and may be similar."""
+    words = cut_lineage(words.join(_mixed(words), "word"), "open-shingles")
+    # pairs inside the component that most of a shingle's sets belong to are never formed
+    main = words.groupBy("word", "component").agg(F.count("*").alias("sets")).groupBy("word").agg(F.max(F.struct("sets", "component")).alias("m")).select("word", F.col("m.component").alias("main"))
+    outside = words.join(main, "word").where("component <> main").drop("main")
+    return _ordered(_side(words, "x").join(_side(outside, "y"), "word").where((F.col("component_x") != F.col("component_y")) & common.near_by_place(percent))).distinct()
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are similar. The sets of a neighbourhood meet in one place; one of many tokens is split over several."""
     width = lambda c: sizes.select(F.col("class_id").alias(c), F.col("n_shingles").alias(f"n_{c}"))
@@ -338,8 +408,8 @@ def similar_components(docs: DataFrame, percent: int = PERCENT, range_rows: int
     found = cut_lineage(marks.repartition(ranges, place).mapInArrow(_candidate_task, "kind int, a long, b long, n int"), "candidates")
 
     to = lambda name: of.select(F.col("doc_id").alias(name), F.col("class_id").alias(f"class_{name}"))
-    edges = found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n")).join(to("a"), "a").join(to("b"), "b").select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b"), "n").where("a <> b")
-    edges = cut_lineage(edges.groupBy("a", "b").agg(F.sum("n").alias("n")), "star-edges")
+    edges = found.where("kind <> 1").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("kind").alias("kind")).join(to("a"), "a").join(to("b"), "b").select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b"), "n", "kind").where("a <> b")
+    edges = cut_lineage(edges.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("kind").alias("kind")), "star-edges")
     members = found.where("kind = 1").select(F.col("a").alias("sig"), "b", F.col("n").alias("role")).distinct().join(to("b"), "b").groupBy("sig", F.col("class_b").alias("id")).agg(F.bit_or("role").alias("role"))
     members = cut_lineage(members, "group-members")
 
@@ -350,22 +420,30 @@ def similar_components(docs: DataFrame, percent: int = PERCENT, range_rows: int
     links = cut_lineage(_verified(cut_lineage(_plausible(stars, rows, percent), "plausible-stars"), texts, classes, percent), "star-links")
     first = components(links)
 
-    labelled = members.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    labelled = cut_lineage(labelled, "labelled-members")
+    label = lambda df, found: df.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    labelled = cut_lineage(label(members, first), "labelled-members")
     # groups of the same members in the same roles (told by two digests) give the same pairs: one of them stands for all
     digest = lambda k: F.bit_xor(F.xxhash64("id", "role", F.lit(k)))
     groups = labelled.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.bit_or("role").alias("roles"), F.count("*").alias("members"), digest(1).alias("d1"), digest(2).alias("d2"))
-    open_groups = groups.where(f"lo <> hi and roles = {INDEX | PROBE}").groupBy("members", "d1", "d2").agg(F.min("sig").alias("sig")).select("sig")
-    facts = classes.select(F.col("class_id").alias("id"), "n_shingles", "p0", "p1", "p2", "p3").join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    open_groups = groups.where(f"lo <> hi and roles = {INDEX | PROBE}").groupBy("members", "d1", "d2").agg(F.min("sig").alias("sig")).select("sig", (F.col("members") > CROWD).alias("crowd"))
+    opened = cut_lineage(labelled.join(open_groups, "sig"), "open-members")
+    crowds = opened.where("crowd").select(F.col("id").alias("doc_id"), "component").distinct()
+    shingles = _rare_shingles(crowds, texts, percent)
+    heads = cut_lineage(_head_pairs(shingles, percent).join(stars, ["a", "b"], "left_anti"), "head-pairs")
+    stars = stars.unionByName(heads)
+    near_heads = cut_lineage(_verified(cut_lineage(_plausible(heads, rows, percent), "plausible-heads"), texts, classes, percent), "head-links")
+    links = links.unionByName(near_heads)
+    first = components(links) if not near_heads.isEmpty() else first
+    facts = label(classes.select(F.col("class_id").alias("id"), "n_shingles", "p0", "p1", "p2", "p3"), first)
     about = lambda x: facts.select(*[F.col(c).alias(f"{c}_{x}") for c in facts.columns])
     differ = sum((F.bit_count(F.col(f"p{k}_x").bitwiseXOR(F.col(f"p{k}_y"))) for k in range(4)), F.lit(0))
     near = (F.col("component_x") != F.col("component_y")) & (100 * F.least("n_shingles_x", "n_shingles_y") >= percent * F.greatest("n_shingles_x", "n_shingles_y")) & ((100 + percent) * differ <= (100 - percent) * (F.col("n_shingles_x") + F.col("n_shingles_y")))
-    ordered = lambda df: df.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
-    rest = labelled.join(open_groups, "sig").drop("component").join(facts, "id")
+    rest = opened.where("not crowd").drop("component", "crowd").join(facts, "id")
     side = lambda x, bit: rest.where(f"role & {bit} > 0").select("sig", *[F.col(c).alias(f"{c}_{x}") for c in facts.columns])
-    inside = ordered(side("x", INDEX).join(side("y", PROBE), "sig").where(near))
-    beside = ordered(edges.select(F.col("a").alias("id_x"), F.col("b").alias("id_y")).join(about("x"), "id_x").join(about("y"), "id_y").where(near))
-    pairs = cut_lineage(inside.unionByName(beside).distinct().join(stars, ["a", "b"], "left_anti"), "open-pairs")
+    inside = _ordered(side("x", INDEX).join(side("y", PROBE), "sig").where(near))
+    # an edge of a larger group is a pair of its members
+    beside = _ordered(edges.where("kind = 2").select(F.col("a").alias("id_x"), F.col("b").alias("id_y")).join(about("x"), "id_x").join(about("y"), "id_y").where(near))
+    pairs = cut_lineage(inside.unionByName(beside).unionByName(_rare_pairs(label(shingles, first), percent)).distinct().join(stars, ["a", "b"], "left_anti"), "open-pairs")
     more = cut_lineage(_verified(cut_lineage(_plausible(pairs, rows, percent), "plausible-pairs"), texts, classes, percent), "open-links")
     final = components(links.unionByName(more)) if not more.isEmpty() else first
     # a row finds its class by its set, not by its id: ids may repeat or be missing

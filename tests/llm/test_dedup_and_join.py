@@ -169,3 +169,30 @@ def test_similar_components_give_one_row_for_each_row(make):
     rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (3, long), (3, "other words that stand alone here now"), (None, long), (None, "nothing like any other text in here"), (4, None)]
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar_components(make(rows)).collect()), key=repr)
     assert got == sorted([(1, 3, 1), (1, 3, 1), (2, 3, 1), (3, 36, 3), (3, 3, 3), (None, 36, 3), (None, 3, None), (4, 0, 4)], key=repr)
+
+
+def test_crowds_around_a_passage_are_not_paired(make, monkeypatch):
+    """Long texts that share a passage and nothing else, and edited copies of one text: the pairs tried grow with the rows."""
+    r = random.Random(4)
+    passage = [f"p{i}" for i in range(300)]
+    rows = [(i, " ".join(passage + [f"u{i}x{k}" for k in range(400)])) for i in range(60)]
+    base = passage[:150] + [f"b{i}" for i in range(550)]
+    for i in range(60, 75):
+        edited = list(base)
+        for at in r.sample(range(700), r.choice([0, 3, 8, 14, 25])):
+            edited[at] = f"e{i}x{at}"
+        rows.append((i, " ".join(edited)))
+    r.shuffle(rows)
+    tried = []
+    plain = ngram_join.cut_lineage
+
+    def counted(df, name):
+        out = plain(df, name)
+        if name in ("head-pairs", "open-pairs"):
+            tried.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "cut_lineage", counted)
+    out = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_join.similar_components(make(rows).repartition(3)).collect()}
+    assert out == brute_components(rows)
+    assert sum(tried) < 5 * len(rows)
