@@ -174,8 +174,8 @@ def test_similar_components_give_one_row_for_each_row(make):
 def test_crowds_around_a_passage_are_not_paired(make, monkeypatch):
     """Long texts that share a passage and nothing else, and edited copies of one text: the pairs tried grow with the rows."""
     r = random.Random(4)
-    passage = [f"p{i}" for i in range(300)]
-    rows = [(i, " ".join(passage + [f"u{i}x{k}" for k in range(400)])) for i in range(60)]
+    passage = [f"p{i}" for i in range(500)]
+    rows = [(i, " ".join(passage + [f"u{i}x{k}" for k in range(200)])) for i in range(60)]
     base = passage[:150] + [f"b{i}" for i in range(550)]
     for i in range(60, 75):
         edited = list(base)
