@@ -3,16 +3,15 @@
 A line is the set of its lower-cased blank-separated words. A line is removed when an earlier line (by doc_id, then line
 number) of the corpus has a Jaccard similarity of `PERCENT` to it; equal sets have 1.
 
-Words are ordered by rarity: a word's key has the rank of its hash slot by corpus count in the high bits and the word's hash below, so
-the smallest keys of a line are its rarest words and all lines agree on the order. Two similar lines share a word of their
-prefixes (the first n - ceil(t n) + 1 words). Equal sets become one row before prefixes are spread over words, so a line repeated
-everywhere costs one row for each task; words of one set only go. Candidates then pass the length and positional filters and
-a bound from 256 parity bits, and are verified on their words. First each set meets the earliest set of its prefix words;
-only sets that found no earlier match there meet the other sets of their words, so the variants of a common line don't meet
-each other.
+Words are ordered by rarity: a word's key has the rank of its hash slot by corpus count in the high bits and its hash below, so the
+smallest keys of a line are its rarest words and all lines agree on the order. Two similar lines share a word of their prefixes
+(the first n - ceil(t n) + 1 words). Equal sets become one row before prefixes are spread over words, so a line repeated everywhere
+costs one row for each task. The row of a prefix word is narrow (a hash of the word, the set's number, size and position, 128 parity
+bits), so candidates pass the length, positional and parity bounds where they meet, and only those that pass are written and
+verified on their words. First each set meets the earliest set of its `STAR_WORDS` prefix words of the smallest hashes; then the
+sets that found no earlier match there meet all sets of their prefix words, so the variants of a common line don't meet each other.
 
-Lines are cut and keyed in numpy batches; the join, its filters and the verification are DataFrame operations. A form in
-DataFrame functions alone gave the same results but not within the limits (figures in the README).
+All steps are DataFrame operations. Only the ranks of the slots (`SLOTS` numbers) pass through the driver.
 
 Sets are known by 64 and words by 64 bits of hash; a false match has odds below one in 10^10 for a pair of lines.
 
@@ -23,11 +22,7 @@ doc_id comes before all others; an empty table gives an empty result; further co
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,114 +31,62 @@ from runlens.session import cut_lineage
 
 PERCENT = 80
 SLOTS = common.SLOTS
-_P = np.uint64(0xD6E8FEB86659FD93)
+#: Prefix words by which a set meets the earliest set of each.
+STAR_WORDS = 2
+#: Words up to which 64 parity bits are enough to tell lines apart.
+SHORT = 40
+_BITS = ["parity", "odd"]
+#: Blanks within a line, for a regular expression.
+_BLANKS = " \\t\\x0b\\f\\r"
+#: Bits of a key below the rank.
+_LOW = 48
+
+
+def _lines() -> Column:
+    return F.split(F.lower("text"), "\n")
 
 
-def _lowered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        at = b.schema.get_field_index("text")
-        yield b.set_column(at, "text", pc.utf8_lower(b.column(at)))
+def _hashes(line: Column) -> Column:
+    """64-bit hashes of the distinct words of a line; blanks are the space and tab to carriage return."""
+    words = F.array_remove(F.split(line, f"[{_BLANKS}]+"), "")
+    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
-def _slot_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slot(h: Column) -> Column:
+    return F.shiftrightunsigned(h, _LOW).cast("int")
+
+
+def slot_ranks(docs: DataFrame) -> Column:
+    """Array of the rank of each hash slot by the number of its words in lines; folded to a literal when a plan is optimised."""
+    words = docs.select(F.explode(_lines()).alias("line")).select(F.explode(_hashes(F.col("line"))).alias("h"))
     counts = np.zeros(SLOTS, np.int64)
-    for _, data, offs in common.chunks(_lowered(batches)):
-        starts, ends, _ = common.words(data, offs, ~common.BLANK)
-        counts += np.bincount((common.Hashes(data).of(starts, ends) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
-    yield common.slot_blocks(counts)
-
-
-def slot_ranks(docs: DataFrame) -> np.ndarray:
-    """Rank of each hash slot by the number of words in it over all documents."""
-    return common.slot_ranks(docs.select("text").mapInArrow(_slot_task, "block int, counts binary"))
-
-
-def line_sets(data: np.ndarray, offs: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, line number, word count, keys): the distinct word keys of each line with words, ascending within the line."""
-    starts, ends, doc = common.words(data, offs, ~common.BLANK)
-    h = common.Hashes(data).of(starts, ends)
-    key = common.rarity_keys(h, ranks)
-    breaks = np.concatenate([[0], np.cumsum(data == 0x0A)])
-    line = breaks[starts] - breaks[offs[doc]]
-    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])]) if len(doc) else np.zeros(0, bool)
-    of = np.cumsum(new) - 1
-    order = np.lexsort((key, of))
-    key, of = key[order], of[order]
-    keep = np.concatenate([[True], (key[1:] != key[:-1]) | (of[1:] != of[:-1])]) if len(key) else new
-    return doc[new], line[new], np.bincount(of[keep], minlength=int(new.sum())), key[keep]
-
-
-def _set_ids(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(common.mix(keys ^ _P), dtype=np.uint64)])
-    end = np.cumsum(n)
-    return common.mix(total[end] - total[end - n] + n.astype(np.uint64)).view(np.int64)
-
-
-def _line_task(ranks, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offs in common.chunks(_lowered(batches)):
-            doc, line, n, keys = line_sets(data, offs, ranks.value)
-            end = np.cumsum(n)
-            first = end - n
-            x = common.mix(keys + _P)
-            bit, word = np.uint64(1) << (x & np.uint64(63)), (x >> np.uint64(6)) & np.uint64(3)
-            parity = []
-            for k in range(4):
-                run_ = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(np.where(word == k, bit, np.uint64(0)))]) if len(x) else np.zeros(1, np.uint64)
-                parity.append(pa.array((run_[end] ^ run_[first]).view(np.int64)))
-            size = n - (percent * n + 99) // 100 + 1
-            at = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]) if len(n) else first, size) + np.arange(int(size.sum()))
-            prefix = common.lists(pa.array(keys[at].view(np.int64)), size)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(doc)), pa.array(line.astype(np.int32)), pa.array(_set_ids(keys, n)), pa.array(n.astype(np.int32)), prefix, *parity], names=["doc_id", "line_no", "set_id", "n", "prefix", "p0", "p1", "p2", "p3"])
-
-    return run
-
-
-def keyed_lines(docs: DataFrame, ranks, percent: int = PERCENT) -> DataFrame:
-    """Lines with words: doc_id, line_no, set_id, n (words of the set), prefix (keys of its rarest words), 256 parity bits."""
-    return docs.select("doc_id", "text").mapInArrow(_line_task(ranks, percent), "doc_id long, line_no int, set_id long, n int, prefix array<long>, p0 long, p1 long, p2 long, p3 long")
-
-
-def _wanted_task(ranks):
-    """The words of the wanted lines of each text; a line of another text with the same id doesn't have the set's id."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offs in common.chunks(_lowered(batches)):
-            doc, line, n, keys = line_sets(data, offs, ranks.value)
-            ids, end = _set_ids(keys, n), np.cumsum(n)
-            place = {(d, x): i for i, (d, x) in enumerate(zip(doc.tolist(), line.tolist(), strict=True))}
-            found, parts = [], []
-            for d, wanted in enumerate(rows.column("wanted").to_pylist()):
-                for w in wanted:
-                    i = place.get((d, w["line_no"]))
-                    if i is not None and ids[i] == w["set_id"]:
-                        found.append(w["set_id"])
-                        parts.append(keys[end[i] - n[i] : end[i]].view(np.int64))
-            flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), common.lists(pa.array(flat), np.array([len(p) for p in parts], np.int64))], names=["set_id", "words"])
-
-    return run
+    for r in words.groupBy(_slot(F.col("h")).alias("slot")).count().collect():
+        counts[r["slot"]] = r["count"]
+    ranks = np.empty(SLOTS, np.int64)
+    ranks[np.argsort(counts, kind="stable")] = np.arange(SLOTS) - SLOTS // 2  # signed: the rank fills the high bits of a key
+    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<long>")
 
 
-def _earlier() -> Column:
-    return (F.col("doc_x") < F.col("doc_y")) | ((F.col("doc_x") == F.col("doc_y")) & (F.col("line_x") < F.col("line_y")))
+def _keys(line: Column, ranks: Column) -> Column:
+    """The keys of the distinct words of a line, rare words first."""
+    return F.sort_array(F.transform(_hashes(line), lambda h: F.shiftleft(F.get(ranks, _slot(h)), _LOW).bitwiseOR(h.bitwiseAND((1 << _LOW) - 1))))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, ranks, percent: int) -> DataFrame:
-    """(set_id): the later sets of those pairs (set_id_x, set_id_y) that are similar: parity bits first, then the words."""
-    bits = ["n", "p0", "p1", "p2", "p3"]
-    side = lambda x: sets.select(*[F.col(c).alias(f"{c}_{x}") for c in ["set_id", *bits]])
-    differ = sum((F.bit_count(F.col(f"p{k}_x").bitwiseXOR(F.col(f"p{k}_y"))) for k in range(4)), F.lit(0))
-    possible = pairs.join(side("x"), "set_id_x").join(side("y"), "set_id_y").where((100 + percent) * differ <= (100 - percent) * (F.col("n_x") + F.col("n_y")))
-    possible = cut_lineage(possible.select("set_id_x", "set_id_y"), "possible-lines")
-    wanted = possible.select(F.col("set_id_x").alias("set_id")).union(possible.select("set_id_y")).distinct().join(sets.select("set_id", "doc", "line"), "set_id")
-    # one row for each document, with its own lines
-    places = cut_lineage(wanted.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct(F.col("line").alias("line_no"), "set_id")).alias("wanted")), "wanted-lines")
-    texts = docs.select(_doc(), "text").join(places, F.col("doc") == F.col("_doc")).select("text", "wanted")
-    words = cut_lineage(texts.mapInArrow(_wanted_task(ranks), "set_id long, words array<long>").dropDuplicates(["set_id"]), "line-words")
-    both = possible.join(words.select(F.col("set_id").alias("set_id_y"), F.col("words").alias("y")), "set_id_y").join(words.select(F.col("set_id").alias("set_id_x"), F.col("words").alias("x")), "set_id_x")
-    common_words = F.size(F.array_intersect("x", "y"))
-    return cut_lineage(both.where((100 + percent) * common_words >= percent * (F.size("x") + F.size("y"))).select(F.col("set_id_y").alias("set_id")).distinct(), "line-matches")
+def _prefix_size(percent: int) -> Column:
+    n = F.col("n")
+    return (n - F.expr(f"({percent}L * n + 99) div 100") + 1).cast("int")
+
+
+def keyed_lines(docs: DataFrame, ranks: Column, percent: int = PERCENT) -> DataFrame:
+    """Lines with words: doc_id, line_no, set_id, n (words of the set), prefix (hashes of its rarest words), and
+    128 parity bits: of all words in 64 slots (parity), and of those among them in the odd half of 128 (odd, for lines of more than `SHORT` words)."""
+    lines = docs.select("doc_id", F.posexplode(_lines()).alias("line_no", "line")).where(F.col("line").rlike(f"[^{_BLANKS}]"))
+    keys = lines.select("doc_id", "line_no", _keys(F.col("line"), ranks).alias("keys")).select("*", F.size("keys").alias("n"))
+    prefix = F.transform(F.slice("keys", 1, _prefix_size(percent)), lambda k: F.hash(k))
+    one = F.lit(1).cast("long")
+    parity = lambda bit: F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", bit(k), k.bitwiseAND(63).cast("int"))))
+    odd = parity(lambda k: F.shiftright(k, 6).bitwiseAND(one))
+    return keys.select("doc_id", "line_no", F.xxhash64("keys").alias("set_id"), "n", prefix.alias("prefix"), parity(lambda k: one).alias("parity"), F.when(F.col("n") > SHORT, odd).otherwise(0).alias("odd"))
 
 
 def _doc() -> Column:
@@ -151,37 +94,82 @@ def _doc() -> Column:
     return F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc")
 
 
-def _prefix_words(sets: DataFrame) -> DataFrame:
-    """One narrow row for each prefix word of each set; `place` holds the set's size and the word's position."""
-    rows = sets.select("set_id", "n", "doc", "line", F.posexplode("prefix").alias("pos", "word"))
-    return rows.select("word", "set_id", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("place"), "doc", "line")
+def _earlier() -> Column:
+    return (F.col("doc_x") < F.col("doc_y")) | ((F.col("doc_x") == F.col("doc_y")) & (F.col("line_x") < F.col("line_y")))
 
 
-def similar_sets(docs: DataFrame, sets: DataFrame, ranks, percent: int = PERCENT) -> DataFrame:
-    """(set_id): sets for which the corpus has an earlier similar set. `sets`: set_id, n, prefix, doc, line (first occurrence), parity bits."""
-    columns = ["set_id", "place", "doc", "line"]
-    side = lambda df, x: df.select("word", *[F.col(c).alias(f"{c}_{x}") for c in columns])
-    rows = _prefix_words(sets).repartition("word")
-    heads = rows.groupBy("word").agg(F.count("*").alias("sets"), F.min(F.struct("doc", "line", "set_id", "place")).alias("head")).where("sets > 1")
-    heads = heads.select("word", *[F.col(f"head.{c}").alias(f"{c}_x") for c in columns])
-    stars = side(rows, "y").join(heads, "word").where(_earlier() & common.near_by_place(percent)).select("set_id_x", "set_id_y").distinct()
-    stars = cut_lineage(stars, "star-lines")
-    found = _verified(stars, sets, docs, ranks, percent)
-    rest = sets.join(found, "set_id", "left_anti")
-    pairs = side(_prefix_words(sets), "x").join(side(_prefix_words(rest), "y"), "word").where(_earlier() & common.near_by_place(percent))
-    pairs = pairs.select("set_id_x", "set_id_y").distinct().join(stars, ["set_id_x", "set_id_y"], "left_anti")
-    return found.unionByName(_verified(cut_lineage(pairs, "open-lines"), sets, docs, ranks, percent))
+def _near(percent: int) -> Column:
+    """The length and positional filters, and the parity bound: sets differ in no fewer words than their parities in bits."""
+    n = lambda x: F.shiftright(f"place_{x}", 32)
+    odd = F.when(F.least(n("x"), n("y")) > SHORT, F.col("odd_x").bitwiseXOR(F.col("odd_y"))).otherwise(0)
+    differ = F.bit_count(F.col("parity_x").bitwiseXOR(F.col("parity_y")).bitwiseXOR(odd)) + F.bit_count(odd)
+    return common.near_by_place(percent) & ((100 + percent) * differ <= (100 - percent) * (n("x") + n("y")))
+
+
+def _side(rows: DataFrame, x: str) -> DataFrame:
+    return rows.select("word", *[F.col(c).alias(f"{c}_{x}") for c in rows.columns if c != "word"])
+
+
+def _place(pos: Column | str) -> Column:
+    """The set's size above the word's position, as `near_by_place` takes them."""
+    return (F.shiftleft(F.col("n").cast("long"), 32) + pos).alias("place")
+
+
+def _star_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """(x, y): each set y with the earliest set x of each of its star words, where the bounds allow a match."""
+    # the hashes are a fixed order of words: variants of a line choose the same ones
+    placed = F.transform("prefix", lambda w, i: F.struct(w.alias("word"), i.alias("pos")))
+    rows = sets.select("id", "doc", "line", "n", *_BITS, F.inline(F.slice(F.sort_array(placed), 1, STAR_WORDS)))
+    rows = rows.select("word", "id", "doc", "line", _place(F.col("pos")), *_BITS).repartition("word")
+    heads = rows.groupBy("word").agg(F.count("*").alias("sets"), F.min(F.struct("doc", "line", "id", "place", *_BITS)).alias("head")).where("sets > 1")
+    heads = heads.select("word", *[F.col(f"head.{c}").alias(f"{c}_x") for c in ["id", "doc", "line", "place", *_BITS]])
+    return _side(rows, "y").join(heads, "word").where(_earlier() & _near(percent)).select(F.col("id_x").alias("x"), F.col("id_y").alias("y")).distinct()
+
+
+def _open_pairs(sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """(x, y): sets that share a prefix word where the bounds allow a match, at least one of which is not found yet; in either order."""
+    marked = sets.select("id", "n", *_BITS, "prefix").join(found.select("id", F.lit(0).alias("closed")), "id", "left")
+    rows = marked.select("id", "n", *_BITS, F.coalesce("closed", F.lit(1)).alias("open"), F.posexplode("prefix").alias("pos", "word"))
+    rows = rows.select("word", F.shiftleft("id", 1).bitwiseOR(F.col("open")).alias("id"), _place(F.col("pos")), *_BITS)
+    # bit 0 of the number says whether the set is open; both sides read one exchange
+    either = F.col("id_x").bitwiseOR(F.col("id_y")).bitwiseAND(1) == 1
+    pairs = _side(rows, "x").join(_side(rows, "y"), "word").where((F.col("id_x") < F.col("id_y")) & either & _near(percent))
+    return pairs.select(F.shiftright("id_x", 1).alias("x"), F.shiftright("id_y", 1).alias("y")).distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, ranks: Column, percent: int) -> DataFrame:
+    """(id): the later sets of those pairs (x, y) that are similar by their words."""
+    numbers = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
+    # one row for each document, with its own lines
+    wanted = sets.select("id", "set_id", "doc", "line").join(numbers, "id").groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("line", "set_id", "id")).alias("wanted"))
+    wanted = cut_lineage(wanted, "wanted-lines")
+    texts = docs.select(_doc(), "text").join(wanted, F.col("doc") == F.col("_doc")).select("doc", _lines().alias("lines"), F.explode("wanted").alias("w"))
+    lines = texts.select("doc", "w.*", _keys(F.get("lines", F.col("w.line")), ranks).alias("words"))
+    # a line of another text with the same id doesn't have the set's id
+    words = cut_lineage(lines.where(F.xxhash64("words") == F.col("set_id")).select("id", "doc", "line", "words").dropDuplicates(["id"]), "line-words")
+    side = lambda x: words.select(*[F.col(c).alias(f"{c}_{x}") for c in words.columns])
+    both = pairs.join(side("x"), F.col("x") == F.col("id_x")).join(side("y"), F.col("y") == F.col("id_y"))
+    similar = both.where((100 + percent) * F.size(F.array_intersect("words_x", "words_y")) >= percent * (F.size("words_x") + F.size("words_y")))
+    later = F.when(_earlier(), F.col("y")).when((F.col("doc_x") != F.col("doc_y")) | (F.col("line_x") != F.col("line_y")), F.col("x"))
+    return cut_lineage(similar.select(later.alias("id")).where("id is not null").distinct(), "line-matches")
+
+
+def similar_sets(docs: DataFrame, sets: DataFrame, ranks: Column, percent: int = PERCENT) -> DataFrame:
+    """(id): sets for which the corpus has an earlier similar set. `sets`: id, set_id, n, prefix, parity, odd, doc, line (first occurrence)."""
+    found = _verified(cut_lineage(_star_pairs(sets, percent), "star-lines"), sets, docs, ranks, percent)
+    rest = _verified(cut_lineage(_open_pairs(sets, found, percent), "open-lines"), sets, docs, ranks, percent)
+    return found.union(rest).distinct()
 
 
 def line_verdicts(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per line with words: doc_id, line_no, removed."""
-    docs = common.bound_batches(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
-    ranks = docs.sparkSession.sparkContext.broadcast(slot_ranks(docs))  # SLOTS numbers
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    ranks = slot_ranks(docs)
     lines = cut_lineage(keyed_lines(docs, ranks, percent), "keyed-lines")
-    sets = lines.select("set_id", _doc(), "line_no", "n", "prefix", "p0", "p1", "p2", "p3").groupBy("set_id").agg(F.min(F.struct("doc", "line_no", "n", "prefix", "p0", "p1", "p2", "p3")).alias("m"))
-    sets = cut_lineage(sets.select("set_id", "m.n", "m.prefix", "m.p0", "m.p1", "m.p2", "m.p3", "m.doc", F.col("m.line_no").alias("line")), "line-sets")
+    sets = lines.groupBy("set_id").agg(F.min(F.struct(_doc(), "line_no", "n", *_BITS, "prefix")).alias("m"))
+    sets = cut_lineage(sets.select(F.monotonically_increasing_id().alias("id"), "set_id", "m.n", "m.prefix", "m.parity", "m.odd", "m.doc", F.col("m.line_no").alias("line")), "line-sets")
     gone = similar_sets(docs, sets, ranks, percent).withColumn("gone", F.lit(True))
-    marks = sets.select("set_id", "doc", "line").join(gone, "set_id", "left").select("set_id", F.col("doc").alias("first_doc"), "line", F.coalesce("gone", F.lit(False)).alias("gone"))
+    marks = sets.select("id", "set_id", "doc", "line").join(gone, "id", "left").select("set_id", F.col("doc").alias("first_doc"), "line", F.coalesce("gone", F.lit(False)).alias("gone"))
     again = (F.col("doc") != F.col("first_doc")) | (F.col("line_no") != F.col("line"))
     return lines.select("doc_id", _doc(), "line_no", "set_id").join(marks, "set_id").select("doc_id", "line_no", (F.col("gone") | again).alias("removed"))
 
