@@ -6,8 +6,8 @@ number) of the corpus has a Jaccard similarity of `PERCENT` to it; equal sets ha
 Words are ordered by rarity: a word's key has the rank of its hash slot by corpus count in the high bits and its hash below, so the
 smallest keys of a line are its rarest words and all lines agree on the order. Two similar lines share a word of their prefixes
 (the first n - ceil(t n) + 1 words). Equal sets become one row before prefixes are spread over words, so a line repeated everywhere
-costs one row for each task. The row of a prefix word is narrow (a hash of the word, the set's number, size and position, 128 parity
-bits), so candidates pass the length, positional and parity bounds where they meet, and only those that pass are written and
+costs one row for each task. The row of a prefix word is narrow (a hash of the word, the set's number, size and position, up to 256
+parity bits), so candidates pass the length, positional and parity bounds where they meet, and only those that pass are written and
 verified on their words. First each set meets the earliest set of its `STAR_WORDS` prefix words of the smallest hashes; then the
 sets that found no earlier match there meet all sets of their prefix words, so the variants of a common line don't meet each other.
 
@@ -32,10 +32,11 @@ from runlens.session import cut_lineage
 PERCENT = 80
 SLOTS = common.SLOTS
 #: Prefix words by which a set meets the earliest set of each.
-STAR_WORDS = 2
-#: Words up to which 64 parity bits are enough to tell lines apart.
-SHORT = 40
-_BITS = ["parity", "odd"]
+STAR_WORDS = 4
+#: Words up to which 64 and 128 parity bits are enough to tell most lines apart.
+SHORT, LONG = 40, 90
+#: Parity of a set's words in 64 slots: of all words, and of those with one bit of the key set, with another, and with both.
+_BITS = ["parity", "odd", "high", "both"]
 #: Blanks within a line, for a regular expression.
 _BLANKS = " \\t\\x0b\\f\\r"
 #: Bits of a key below the rank.
@@ -79,14 +80,16 @@ def _prefix_size(percent: int) -> Column:
 
 def keyed_lines(docs: DataFrame, ranks: Column, percent: int = PERCENT) -> DataFrame:
     """Lines with words: doc_id, line_no, set_id, n (words of the set), prefix (hashes of its rarest words), and
-    128 parity bits: of all words in 64 slots (parity), and of those among them in the odd half of 128 (odd, for lines of more than `SHORT` words)."""
+    parity bits: 64 up to `SHORT` words, 128 up to `LONG` words, else 256."""
     lines = docs.select("doc_id", F.posexplode(_lines()).alias("line_no", "line")).where(F.col("line").rlike(f"[^{_BLANKS}]"))
     keys = lines.select("doc_id", "line_no", _keys(F.col("line"), ranks).alias("keys")).select("*", F.size("keys").alias("n"))
     prefix = F.transform(F.slice("keys", 1, _prefix_size(percent)), lambda k: F.hash(k))
     one = F.lit(1).cast("long")
+    half = lambda k, bit: F.shiftright(k, bit).bitwiseAND(one)
     parity = lambda bit: F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", bit(k), k.bitwiseAND(63).cast("int"))))
-    odd = parity(lambda k: F.shiftright(k, 6).bitwiseAND(one))
-    return keys.select("doc_id", "line_no", F.xxhash64("keys").alias("set_id"), "n", prefix.alias("prefix"), parity(lambda k: one).alias("parity"), F.when(F.col("n") > SHORT, odd).otherwise(0).alias("odd"))
+    above = lambda words, bits: F.when(F.col("n") > words, bits).otherwise(0)
+    bits = [parity(lambda k: one), above(SHORT, parity(lambda k: half(k, 6))), above(LONG, parity(lambda k: half(k, 7))), above(LONG, parity(lambda k: half(k, 6).bitwiseAND(half(k, 7))))]
+    return keys.select("doc_id", "line_no", F.xxhash64("keys").alias("set_id"), "n", prefix.alias("prefix"), *[b.alias(c) for c, b in zip(_BITS, bits, strict=True)])
 
 
 def _doc() -> Column:
@@ -101,8 +104,11 @@ def _earlier() -> Column:
 def _near(percent: int) -> Column:
     """The length and positional filters, and the parity bound: sets differ in no fewer words than their parities in bits."""
     n = lambda x: F.shiftright(f"place_{x}", 32)
-    odd = F.when(F.least(n("x"), n("y")) > SHORT, F.col("odd_x").bitwiseXOR(F.col("odd_y"))).otherwise(0)
-    differ = F.bit_count(F.col("parity_x").bitwiseXOR(F.col("parity_y")).bitwiseXOR(odd)) + F.bit_count(odd)
+    known = [None, SHORT, LONG, LONG]
+    x = [F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y")) for c in _BITS]
+    every, odd, high, both = [b if k is None else F.when(F.least(n("x"), n("y")) > k, b).otherwise(0) for b, k in zip(x, known, strict=True)]
+    quarters = [both, odd.bitwiseXOR(both), high.bitwiseXOR(both), every.bitwiseXOR(odd).bitwiseXOR(high).bitwiseXOR(both)]
+    differ = sum((F.bit_count(q) for q in quarters), F.lit(0))
     return common.near_by_place(percent) & ((100 + percent) * differ <= (100 - percent) * (n("x") + n("y")))
 
 
@@ -127,13 +133,15 @@ def _star_pairs(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _open_pairs(sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """(x, y): sets that share a prefix word where the bounds allow a match, at least one of which is not found yet; in either order."""
-    marked = sets.select("id", "n", *_BITS, "prefix").join(found.select("id", F.lit(0).alias("closed")), "id", "left")
-    rows = marked.select("id", "n", *_BITS, F.coalesce("closed", F.lit(1)).alias("open"), F.posexplode("prefix").alias("pos", "word"))
-    rows = rows.select("word", F.shiftleft("id", 1).bitwiseOR(F.col("open")).alias("id"), _place(F.col("pos")), *_BITS)
-    # bit 0 of the number says whether the set is open; both sides read one exchange
-    either = F.col("id_x").bitwiseOR(F.col("id_y")).bitwiseAND(1) == 1
-    pairs = _side(rows, "x").join(_side(rows, "y"), "word").where((F.col("id_x") < F.col("id_y")) & either & _near(percent))
+    """(x, y): sets that share a prefix word where the bounds allow a match and the later one is not found yet; within a document in either order."""
+    marked = sets.select("id", "doc", "n", *_BITS, "prefix").join(found.select("id", F.lit(0).alias("closed")), "id", "left")
+    rows = marked.select("id", "doc", "n", *_BITS, F.coalesce("closed", F.lit(1)).alias("open"), F.posexplode("prefix").alias("pos", "word"))
+    # bit 0 of the number says whether the set is open: both sides have the same rows, so they read one exchange
+    rows = rows.select("word", F.shiftleft("id", 1).bitwiseOR(F.col("open")).alias("id"), "doc", _place(F.col("pos")), *_BITS)
+    is_open = lambda of: of.bitwiseAND(1) == 1
+    inside = (F.col("doc_x") == F.col("doc_y")) & (F.col("id_x") < F.col("id_y")) & is_open(F.col("id_x").bitwiseOR(F.col("id_y")))
+    later = ((F.col("doc_x") < F.col("doc_y")) & is_open(F.col("id_y"))) | inside
+    pairs = _side(rows, "x").join(_side(rows, "y"), "word").where(later & _near(percent))
     return pairs.select(F.shiftright("id_x", 1).alias("x"), F.shiftright("id_y", 1).alias("y")).distinct()
 
 
@@ -155,7 +163,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, ranks: Column,
 
 
 def similar_sets(docs: DataFrame, sets: DataFrame, ranks: Column, percent: int = PERCENT) -> DataFrame:
-    """(id): sets for which the corpus has an earlier similar set. `sets`: id, set_id, n, prefix, parity, odd, doc, line (first occurrence)."""
+    """(id): sets for which the corpus has an earlier similar set. `sets`: id, set_id, n, prefix, parity bits, doc, line (first occurrence)."""
     found = _verified(cut_lineage(_star_pairs(sets, percent), "star-lines"), sets, docs, ranks, percent)
     rest = _verified(cut_lineage(_open_pairs(sets, found, percent), "open-lines"), sets, docs, ranks, percent)
     return found.union(rest).distinct()
@@ -167,7 +175,7 @@ def line_verdicts(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     ranks = slot_ranks(docs)
     lines = cut_lineage(keyed_lines(docs, ranks, percent), "keyed-lines")
     sets = lines.groupBy("set_id").agg(F.min(F.struct(_doc(), "line_no", "n", *_BITS, "prefix")).alias("m"))
-    sets = cut_lineage(sets.select(F.monotonically_increasing_id().alias("id"), "set_id", "m.n", "m.prefix", "m.parity", "m.odd", "m.doc", F.col("m.line_no").alias("line")), "line-sets")
+    sets = cut_lineage(sets.select(F.monotonically_increasing_id().alias("id"), "set_id", "m.n", "m.prefix", *[f"m.{c}" for c in _BITS], "m.doc", F.col("m.line_no").alias("line")), "line-sets")
     gone = similar_sets(docs, sets, ranks, percent).withColumn("gone", F.lit(True))
     marks = sets.select("id", "set_id", "doc", "line").join(gone, "id", "left").select("set_id", F.col("doc").alias("first_doc"), "line", F.coalesce("gone", F.lit(False)).alias("gone"))
     again = (F.col("doc") != F.col("first_doc")) | (F.col("line_no") != F.col("line"))

@@ -206,6 +206,25 @@ def test_line_dedup_hot_variants_and_columns(make):
     assert line_dedup.document_report(make([])).count() == 0
 
 
+def test_line_dedup_writes_few_candidates(make, monkeypatch):
+    """Lines of a small vocabulary share prefix words; pairs that can't be similar by their parities are not written."""
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(r.sample(words, 40))) for i in range(300)]
+    rows += [(1000 + i, rows[i][1].replace(" ", "  v ", 1)) for i in range(40)]
+    written, cut = {}, line_dedup.cut_lineage
+
+    def count(df, name):
+        out = cut(df, name)
+        written.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "cut_lineage", count)
+    out = {x["doc_id"]: x["removed"] for x in line_dedup.document_report(make(rows)).collect()}
+    assert out == plain_lines(rows) and sum(map(len, out.values())) >= 40
+    assert sum(written["open-lines"]) < 400, written
+
+
 def test_secret_scan_held_out(make):
     r = random.Random(5)
     rand = lambda n: "".join(r.choices("0123456789abcdef", k=n))
