@@ -1,8 +1,9 @@
 """Keyed state machines over event streams.
 
-Each is a small step function over plain values; Spark keeps the state per key. A micro-batch's rows of a key are put in
-arrival order and walked once, so the trigger's size (files or offsets per trigger) bounds what a task holds; only a chunk of
-them stands as Python objects at a time.
+Each is a small step function over plain values. The keys are dealt over a fixed number of groups by hash; Spark keeps one row of state per
+group, with an array per field that holds the states of its keys. So a micro-batch costs a call of Python per group and a step per row, however
+many keys it touches. A micro-batch's rows of a group are put in arrival order and walked once, so the trigger's size (files or offsets per
+trigger) bounds what a task holds; only a chunk of them stands as Python objects at a time.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from runlens.operators.damped import follow, switch
@@ -21,6 +23,10 @@ from runlens.plans.queue import forecast_cycles
 
 #: Rows that are made into Python objects, and result rows that are handed over, at a time.
 CHUNK = 20_000
+#: Groups that the keys are dealt over; a group's state is read and written as a whole. A checkpoint holds only for the number it was made with.
+BUCKETS = 1024
+#: The group of the rows without a key: a column of whole numbers holds no nulls beside other keys, which pandas would make floats.
+NO_KEY = -1
 
 
 def stateful(
@@ -29,32 +35,47 @@ def stateful(
 ) -> DataFrame:
     """Runs `step(state, row) -> (state, output or None)` per key; with `last_only` one output per key and batch."""
     columns = [c.strip().split(" ")[0] for c in out_schema.split(",")]
-
-    def run(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        cur = state.get if state.exists else start
+    fields = [c.strip().split(" ") for c in state_schema.split(",")]
+    kind = stream.schema[key].dataType.simpleString()
+    held_schema = ", ".join(f"{name} array<{k}>" for name, k in [("keys", kind), *fields])
+
+    def run(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = {}
+        if state.exists:
+            keys, *held = state.get
+            known = dict(zip(keys, zip(*held, strict=True), strict=True))
         rows = pd.concat(list(batches)).sort_values(order, kind="stable")
-        out = []
+        last = {}
         for low in range(0, len(rows), CHUNK):
+            out = []
             for row in rows.iloc[low : low + CHUNK].to_dict("records"):
-                cur, made = step(cur, row)
-                if made is not None:
-                    out.append((keys[0], *made))
-            if last_only:
-                out = out[-1:]
-            elif out:
+                k = None if group[0] == NO_KEY else row[key]
+                known[k], made = step(known.get(k, start), row)
+                if made is None:
+                    continue
+                if last_only:
+                    last[k] = (k, *made)
+                else:
+                    out.append((k, *made))
+            if out:
                 yield pd.DataFrame(out, columns=columns)
-                out = []
-        state.update(cur)
-        if out:
-            yield pd.DataFrame(out, columns=columns)
+        state.update((list(known), *map(list, zip(*known.values(), strict=True))))
+        if last:
+            yield pd.DataFrame(list(last.values()), columns=columns)
 
-    return stream.groupBy(key).applyInPandasWithState(run, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
+    group = F.when(F.col(key).isNull(), NO_KEY).otherwise(F.pmod(F.xxhash64(key), F.lit(BUCKETS))).cast("int")
+    return stream.withColumn("group_", group).groupBy("group_").applyInPandasWithState(run, out_schema, held_schema, "append", GroupStateTimeout.NoTimeout)
 
 
 def _num(x) -> bool:
     return x is not None and x == x
 
 
+def _named(samples: DataFrame, thresholds: str | None) -> DataFrame:
+    """Names of thresholds as text: whole numbers would read otherwise beside a missing one of another key."""
+    return samples.withColumn(thresholds, F.col(thresholds).cast("string")) if thresholds else samples
+
+
 def live_usage(heartbeats: DataFrame) -> DataFrame:
     """Usage so far of each lease after every batch (lease_id, ord, t_ms, cores)."""
 
@@ -72,7 +93,7 @@ def live_usage(heartbeats: DataFrame) -> DataFrame:
         mean = s[1] / s[2] if s[2] > 0 else s[5]
         return s, (s[0], mean, s[3], s[2])
 
-    return stateful(heartbeats, "lease_id", "ord", "peak double, area double, span long, n long, last_t long, last_c double",
+    return stateful(heartbeats.select("lease_id", "ord", "t_ms", "cores"), "lease_id", "ord", "peak double, area double, span long, n long, last_t long, last_c double",
                     "lease_id long, peak double, mean double, samples long, span_ms long", (0.0, 0.0, 0, 0, 0, 0.0), step, last_only=True)
 
 
@@ -120,6 +141,7 @@ def hysteresis(
         return (closed, under, named), (int(r["ord"]), closed)
 
     kind = samples.schema[key].dataType.simpleString()
+    samples = _named(samples, thresholds)
     return stateful(samples, key, "ord", "closed boolean, under long, thresholds string", f"{key} {kind}, ord long, closed boolean", (False, 0, ""), step)
 
 
@@ -250,6 +272,7 @@ def device_hysteresis(samples: DataFrame, open_samples: int, thresholds: str | N
         return (closed, good, named, why), (int(r["ord"]), closed, why if closed else None)
 
     kind = samples.schema["host"].dataType.simpleString()
+    samples = _named(samples, thresholds)
     return stateful(samples, "host", "ord", "closed boolean, good long, thresholds string, why string", f"host {kind}, ord long, closed boolean, reason string", (False, 0, "", ""), step)
 
 
