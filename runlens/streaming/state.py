@@ -205,7 +205,7 @@ def wait_since(polls: DataFrame) -> DataFrame:
             since = int(r["t_ms"])
         return (r["reason"], c, since), (int(r["ord"]), r["reason"], since)
 
-    return stateful(polls, "ticket", "ord", "reason string, cause string, since long", "ticket long, ord long, reason string, since_ms long", ("", "", -1), step)
+    return stateful(polls.select("ticket", "ord", "t_ms", "reason", "cause", "ended"), "ticket", "ord", "reason string, cause string, since long", "ticket long, ord long, reason string, since_ms long", ("", "", -1), step)
 
 
 def silence_flags(

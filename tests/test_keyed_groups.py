@@ -49,3 +49,19 @@ def test_usage_of_many_leases_in_few_groups(spark, monkeypatch):
         p, area, span, n, lt, lc = want.get(lease, (c, 0.0, 0, 0, t, c))
         want[lease] = (max(p, c), area, span, n + 1, lt, lc) if t <= lt else (max(p, c), area + lc * (t - lt), span + t - lt, n + 1, t, c)
     assert rows_of(got, "lease_id", "peak", "mean", "samples", "span_ms") == sorted(repr((k, p, a / s if s else lc, n, s)) for k, (p, a, s, n, _, lc) in want.items())
+
+
+def test_waits_of_many_tickets_in_few_groups(spark, monkeypatch):
+    monkeypatch.setattr(state, "BUCKETS", 5)
+    r = random.Random(4)
+    rows = [(r.choice([None, BIG, BIG + 1, *range(40)]), i, 5_000 * i, r.choice(["cpu", "not-head"]), r.choice([None, "over-budget"]), r.random() < 0.1) for i in range(600)]
+    schema = "ticket long, ord long, t_ms long, reason string, cause string, ended boolean"
+    out, left = run(state.wait_since(feed(spark, [rows[200 * (i % 3) + i // 3] for i in range(600)], schema)))
+    assert left <= 6
+    want, known = [], {}
+    for ticket, i, t, reason, cause, ended in rows:
+        since = None if ended else known[ticket][1] if known.get(ticket, (None, None))[0] == (reason, cause) else t
+        known[ticket] = (None if ended else (reason, cause), since)
+        if not ended:
+            want.append((ticket, i, reason, since))
+    assert rows_of(out, "ticket", "ord", "reason", "since_ms") == sorted(map(repr, want))
