@@ -230,7 +230,8 @@ def silence_flags(
         return (idle, hung, t, output), (int(r["ord"]), silent, idle_ms, idle_ms >= idle_after_ms, silent >= hung_after_ms, silent >= hung_after_ms and hung_ms >= hung_after_ms)
 
     kind = readings.schema["lease_id"].dataType.simpleString()
-    return stateful(readings, "lease_id", "ord", "idle long, hung long, last long, output long",
+    used = readings.select("lease_id", "ord", "t_ms", "cores", "interval_cores", "wrote_output", "charged_cores", "started_ms")
+    return stateful(used, "lease_id", "ord", "idle long, hung long, last long, output long",
                     f"lease_id {kind}, ord long, silent_ms long, idle_ms long, idle boolean, silent boolean, hung boolean", (-1, -1, -1, -1), step)
 
 

@@ -32,6 +32,11 @@ def _stream(spark, sf, view=None, text=None, at_once=False):
     return spark.sql(text or VIEWS[view](Spark()), events=raw)
 
 
+def _leases(spark, sf, *columns):
+    """The leases, worked out once: a stream joined with the view itself would run it again over all events in every micro-batch."""
+    return cut_lineage(flat(spark, sf, "leases").select(*columns), "leases")
+
+
 def _last(df, key, order):
     return df.groupBy(key).agg(F.max_by(F.struct(*[c for c in df.columns if c != key]), order).alias("x")).select(key, "x.*")
 
@@ -69,7 +74,7 @@ def stream_device_gate(spark, sf):
 
 @query("stream_lease_silence", "STR03 STR04", ORACLES["lease_silence"])
 def stream_lease_silence(spark, sf):
-    r = _stream(spark, sf, "heartbeats").join(flat(spark, sf, "leases").select("lease_id", "charged_cores", "started_ms"), "lease_id")
+    r = _stream(spark, sf, "heartbeats").join(_leases(spark, sf, "lease_id", "charged_cores", "started_ms"), "lease_id")
     flags = state.silence_flags(r, max_gap_ms=qt.GAP, below_fraction=0.6, hung_cores=0.4, hung_after_ms=qt.DAY, idle_after_ms=qt.DAY)
     return jobs.run_to_table(flags, "silence")
 

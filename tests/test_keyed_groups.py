@@ -65,3 +65,22 @@ def test_waits_of_many_tickets_in_few_groups(spark, monkeypatch):
         if not ended:
             want.append((ticket, i, reason, since))
     assert rows_of(out, "ticket", "ord", "reason", "since_ms") == sorted(map(repr, want))
+
+
+def _seen(spark, sf, monkeypatch, name):
+    """The rows that a machine is given, and its output over all leases in few groups."""
+    plain, given = getattr(state, name), []
+    monkeypatch.setattr(state, name, lambda rows, *a, **k: given.append(rows) or plain(rows, *a, **k))
+    monkeypatch.setattr(state, "BUCKETS", 9)
+    monkeypatch.setattr(qs, "BATCH_ROWS", 400)
+    return given
+
+
+def test_silence_joins_leases_that_are_worked_out_once(spark, sf, monkeypatch):
+    given = _seen(spark, sf, monkeypatch, "silence_flags")
+    got = qs.stream_lease_silence(spark, sf)
+    assert "Aggregate" not in given[0]._jdf.queryExecution().analyzed().toString()
+    cols = ["lease_id", "ord", "silent_ms", "idle_ms", "idle", "silent", "hung"]
+    heartbeats, leases = qs.flat(spark, sf, "heartbeats"), qs.flat(spark, sf, "leases")
+    want = tel.silence(heartbeats, leases, max_gap_ms=qs.qt.GAP, below_fraction=0.6, hung_cores=0.4, hung_after_ms=qs.qt.DAY, idle_after_ms=qs.qt.DAY)
+    assert rows_of(got, *cols) == rows_of(want, *cols) and got.count() > 800
