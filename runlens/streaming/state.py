@@ -112,7 +112,7 @@ def overrun_alerts(readings: DataFrame, max_gap_ms: int, min_ms: int) -> DataFra
         alert = not told and t - since >= min_ms
         return (since, t, peak, told or alert), ((since, t, peak) if alert else None)
 
-    return stateful(readings, "lease_id", "ord", "since long, last long, peak double, told boolean",
+    return stateful(readings.select("lease_id", "ord", "t_ms", "cores", "charged_cores"), "lease_id", "ord", "since long, last long, peak double, told boolean",
                     "lease_id long, since_ms long, alert_ms long, peak double", (-1, -1, 0.0, False), step)
 
 

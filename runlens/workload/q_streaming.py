@@ -49,7 +49,7 @@ def stream_lease_usage(spark, sf):
 
 @query("stream_overrun_alerts", "STR02", ORACLES["lease_overruns"].replace("SELECT lease_id, min(since) AS since_ms, max(t_ms) AS last_ms,", "SELECT lease_id, min(since) AS since_ms,").replace(", floor(max(cores) * 1000 + 0.5) / 1000 AS peak, count(*) AS readings", ""))
 def stream_overrun_alerts(spark, sf):
-    r = _stream(spark, sf, "heartbeats").join(flat(spark, sf, "leases").select("lease_id", "charged_cores"), "lease_id")
+    r = _stream(spark, sf, "heartbeats").join(_leases(spark, sf, "lease_id", "charged_cores"), "lease_id")
     return jobs.run_to_table(state.overrun_alerts(r, qt.GAP, qt.MIN_MS), "overrun").select("lease_id", "since_ms", "alert_ms")
 
 

@@ -84,3 +84,11 @@ def test_silence_joins_leases_that_are_worked_out_once(spark, sf, monkeypatch):
     heartbeats, leases = qs.flat(spark, sf, "heartbeats"), qs.flat(spark, sf, "leases")
     want = tel.silence(heartbeats, leases, max_gap_ms=qs.qt.GAP, below_fraction=0.6, hung_cores=0.4, hung_after_ms=qs.qt.DAY, idle_after_ms=qs.qt.DAY)
     assert rows_of(got, *cols) == rows_of(want, *cols) and got.count() > 800
+
+
+def test_overruns_join_leases_that_are_worked_out_once(spark, sf, monkeypatch):
+    given = _seen(spark, sf, monkeypatch, "overrun_alerts")
+    got = qs.stream_overrun_alerts(spark, sf)
+    assert "Aggregate" not in given[0]._jdf.queryExecution().analyzed().toString()
+    want = tel.overruns(qs.flat(spark, sf, "heartbeats"), qs.flat(spark, sf, "leases"), max_gap_ms=qs.qt.GAP, min_ms=qs.qt.MIN_MS)
+    assert rows_of(got, "lease_id", "since_ms", "alert_ms") == rows_of(want, "lease_id", "since_ms", "alert_ms")
