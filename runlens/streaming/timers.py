@@ -2,15 +2,18 @@
 
 `InOrder` holds a key's rows back until the watermark has passed their time and then hands them over in order, whatever files or
 micro-batches they came in. A processor asks for wake-ups with `wake_at`, also in the past of the watermark, and gets them in their place
-among the rows. Rows of one key and instant are kept together, so a task holds one instant of one key at a time.
+among the rows. Rows wait in spans of consecutive times, and a key has one timer, at the first instant it waits for: an access to the state or a
+timer costs far more than a row. A task holds the rows that one key gets in a micro-batch, and when they are handed over the spans of one instant.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+from collections import deque
 from collections.abc import Iterator
 from contextlib import contextmanager
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +28,12 @@ from runlens.session import work_path
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 #: The bucket of rows that only move the watermark.
 MARK = -1
+#: Rows that wait together, and result rows that are handed over, at a time.
+SPAN = 1000
+#: Parts that the leases of a bucket of tickets are kept in.
+BLOCKS = 64
+#: After every instant.
+NEVER = 2**63 - 1
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -62,20 +71,29 @@ def plain(value, kind: str):
 
 
 class InOrder(StatefulProcessor):
-    """Rows with `t_ms` by time, then by `order`. Subclasses name their `fields`, open their state in `open`, and answer `rows_at` and `woken_at`."""
+    """Rows with `t_ms` by time, then by `order`. Subclasses name their `fields`, open their state in `open`, and answer `rows_at` and `woken_at`.
+
+    All that the watermark has passed is handed over in one call, between `begin` and `finish`, so a subclass may read its state once a call.
+    """
 
     fields: dict[str, str] = {}
     order: str | None = None
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.pending = handle.getMapState("pending", "t long", "rows string")
-        self.soon = handle.getValueState("soon", "times array<long>")
+        self.pending = handle.getMapState("pending", "t long", "rows string")  # by a span's first time: [call, [[t, *fields], ...]], ...
+        self.soon = handle.getValueState("soon", "times array<long>, timer long, calls long")  # wake-ups, the timer set, calls that brought rows
         self.open(handle)
 
     def open(self, handle) -> None:
         raise NotImplementedError
 
+    def begin(self, key: tuple) -> None:
+        """Called before the instants of a call."""
+
+    def finish(self, key: tuple) -> None:
+        """Called after the instants of a call."""
+
     def rows_at(self, key: tuple, t: int, rows: list[dict]) -> Iterator[tuple]:
         """Result rows for the rows of one instant."""
         raise NotImplementedError
@@ -89,75 +107,97 @@ class InOrder(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         if key[-1] == MARK:  # a row that only moves the watermark
             return iter(())
-        fresh: dict[int, list[dict]] = {}
+        fresh: list[tuple] = []
         for pdf in rows:
             cells = [[plain(v, k) for v in pdf[c].tolist()] for c, k in self.fields.items()]
-            for t, *row in zip(pdf["t_ms"].tolist(), *cells, strict=True):
-                fresh.setdefault(int(t), []).append(dict(zip(self.fields, row, strict=True)))
-        for t, new in fresh.items():
-            held = self.pending.getValue((t,))
-            self.pending.updateValue((t,), (json.dumps((json.loads(held[0]) if held else []) + new),))
-            if not held:
-                self.handle.registerTimer(t)
+            fresh += zip(map(int, pdf["t_ms"].tolist()), *cells, strict=True)
+        if fresh:
+            fresh.sort(key=itemgetter(0))
+            times, timer, calls = self.soon.get() or ([], None, 0)
+            for low in range(0, len(fresh), SPAN):
+                self._hold([(calls, fresh[low : low + SPAN])])
+            self._set(times, timer, calls + 1, fresh[0][0] if timer is None else min(timer, fresh[0][0]))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.mark, now, out = timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs(), []
-        times = self.soon.get()
+        mark, out = timerValues.getCurrentWatermarkInMs(), []
+        times, _, calls = self.soon.get() or ([], None, 0)
         # read and written once a call; an ascending list is a heap, and `live` tells which of its times still count
-        self.heap = list(times[0]) if times else []
-        self.live = set(self.heap)
-        while (t := self._next_soon(now - 1)) is not None:
-            out += self._at(key, t)
-        self.sleep_at(now, fired=True)
-        out += self._at(key, now)
-        # wake-ups asked for meanwhile, up to the key's next timer: one behind the watermark would else wait for the next micro-batch
-        timers = {x for x in self.handle.listTimers() if now < x <= self.mark} if self.live else set()
-        while self.live:
-            t = self._next_soon(min((x for x in timers if x not in self.live), default=self.mark + 1) - 1)
-            if t is None:
+        self.heap, self.live = list(times), set(times)
+        spans = deque(sorted(t for (t,) in self.pending.keys()))
+        ready: list[tuple] = []  # a heap of the rows of opened spans: t, call, number, row
+        self.begin(key)
+        while True:
+            t = min(ready[0][0] if ready else NEVER, self._first_soon())
+            if spans and spans[0] <= min(t, mark):
+                self._open_span(spans.popleft(), ready)
+            elif t <= mark:
+                out += self._at(key, t, ready)
+                if len(out) >= SPAN:
+                    yield pd.DataFrame(out, columns=self.columns)
+                    out = []
+            else:
                 break
-            if t in timers:
-                timers.discard(t)
-                self.handle.deleteTimer(t)
-            out += self._at(key, t)
-        if self.live:
-            self.soon.update((sorted(self.live),))
-        elif times:
+        self.finish(key)
+        if ready:  # the end of a span that the watermark has not passed
+            parts: dict[int, list] = {}
+            for _, call, _, row in sorted(ready):
+                parts.setdefault(call, []).append(row)
+            self._hold(list(parts.items()))
+        first = min(t, spans[0] if spans else NEVER)
+        if first < NEVER:
+            self._set(sorted(self.live), None, calls, first)
+        else:
             self.soon.clear()
         if out:
             yield pd.DataFrame(out, columns=self.columns)
 
-    def _next_soon(self, limit: int) -> int | None:
-        """Takes the first wake-up up to `limit` off the list."""
+    def _hold(self, parts: list[tuple[int, list]]) -> None:
+        """Puts rows away as a span; with one that begins at the same instant if there is one."""
+        first = min(rows[0][0] for _, rows in parts)
+        held = self.pending.getValue((first,))
+        self.pending.updateValue((first,), (json.dumps([*(json.loads(held[0]) if held else ()), *parts], separators=(",", ":")),))
+
+    def _open_span(self, first: int, ready: list[tuple]) -> None:
+        parts = json.loads(self.pending.getValue((first,))[0])
+        self.pending.removeKey((first,))
+        for call, rows in parts:
+            for row in rows:
+                self.opened += 1
+                heapq.heappush(ready, (row[0], call, self.opened, row))
+
+    opened = 0
+
+    def _set(self, times: list[int], timer: int | None, calls: int, first: int) -> None:
+        """Moves the key's timer (None: it has fired or there is none) to the first instant that is waited for."""
+        if timer != first:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(first)
+        self.soon.update((times, first, calls))
+
+    def _first_soon(self) -> int:
         while self.heap and self.heap[0] not in self.live:
             heapq.heappop(self.heap)
-        if not self.heap or self.heap[0] > limit:
-            return None
-        t = heapq.heappop(self.heap)
-        self.live.discard(t)
-        return t
+        return self.heap[0] if self.heap else NEVER
 
-    def _at(self, key, t: int) -> list[tuple]:
+    def _at(self, key, t: int, ready: list[tuple]) -> list[tuple]:
+        self.live.discard(t)
+        rows = []
+        while ready and ready[0][0] == t:
+            rows.append(dict(zip(self.fields, heapq.heappop(ready)[3][1:], strict=True)))
         out = list(self.woken_at(key, t))
-        held = self.pending.getValue((t,))
-        if held:
-            self.pending.removeKey((t,))
-            rows = json.loads(held[0])
+        if rows:
             out += self.rows_at(key, t, sorted(rows, key=lambda r: r[self.order]) if self.order else rows)
         return out
 
     def wake_at(self, t: int) -> None:
-        if t > self.mark:
-            self.handle.registerTimer(t)
-        elif t not in self.live:  # handed over in this micro-batch, without a timer
+        if t not in self.live:
             self.live.add(t)
             heapq.heappush(self.heap, t)
 
-    def sleep_at(self, t: int, fired: bool = False) -> None:
-        """Takes a wake-up back, unless rows of that instant still wait."""
-        if not fired and not self.pending.containsKey((t,)):
-            self.handle.deleteTimer(t)
+    def sleep_at(self, t: int) -> None:
+        """Takes a wake-up back."""
         self.live.discard(t)
 
     def close(self) -> None:
@@ -167,97 +207,139 @@ class InOrder(StatefulProcessor):
 # ---- lease expiry -------------------------------------------------------------------------------------------------
 
 class LeaseExpiry(InOrder):
-    """The leases of one bucket of tickets: a timer at each deadline, verdicts at the first tick after it. Only the time of the last tick stays for good.
+    """The leases of one bucket of tickets: a timer at the first deadline, verdicts at the first tick after each. Only the time of the last tick stays for good.
 
-    A tick more than AMNESTY_AFTER_MS after the one before first extends every lease to now + LEASE_TTL_MS, which moves their timers.
+    The leases are kept in BLOCKS blocks by a hash of the ticket, each with its first deadline or a time before it. Once that has passed, the block is
+    overdue: the next tick opens it, and no other. A call reads and writes a block once, whatever number of its leases change.
+    A tick more than AMNESTY_AFTER_MS after the one before first extends every lease to now + LEASE_TTL_MS, which moves the timer.
     """
 
     fields = {"ticket_id": "long", "state": "string", "lease_until_ms": "long", "requeues": "long", "cancel_requested": "boolean"}
     columns = ["cluster", "ticket_id", "verdict", "not_before_ms", "lease_until_ms", "t_ms"]
 
     def open(self, handle) -> None:
-        self.leases = handle.getMapState("leases", "ticket_id long", "state string, until long, requeues long, cancel boolean")
-        self.due = handle.getMapState("due", "t long", "tickets array<long>")
-        self.overdue = handle.getMapState("overdue", "ticket_id long", "t long")
+        self.leases = handle.getMapState("leases", "block long", "leases string")  # [ticket, state, until, requeues, cancel], ...
+        self.due = handle.getValueState("due", "times array<long>")  # of each block
+        self.overdue = handle.getValueState("overdue", "blocks array<long>")
         self.tick = handle.getValueState("tick", "t long")
 
+    def begin(self, key) -> None:
+        due, overdue = self.due.get(), self.overdue.get()
+        self.first, self.late = list(due[0]) if due else [NEVER] * BLOCKS, set(overdue[0]) if overdue else set()
+        self.had_due, self.had_late = bool(due), bool(overdue)
+        self.opened_blocks: dict[int, dict] = {}
+        self.stored: set[int] = set()
+        self.changed: set[int] = set()
+        self.aimed = self._next_deadline()
+
+    def finish(self, key) -> None:
+        for b in sorted(self.changed):
+            held = self.opened_blocks[b]
+            if held:
+                self.leases.updateValue((b,), (json.dumps([(i, *x) for i, x in held.items()], separators=(",", ":")),))
+            elif b in self.stored:
+                self.leases.removeKey((b,))
+        if any(t < NEVER for t in self.first):
+            self.due.update((self.first,))
+        elif self.had_due:
+            self.due.clear()
+        if self.late:
+            self.overdue.update((sorted(self.late),))
+        elif self.had_late:
+            self.overdue.clear()
+
     @staticmethod
     def deadline(state: str, until: int) -> int:
         """The first instant at which a tick finds the lease expired."""
         return until + 1 + (LOST_AFTER_MS - LEASE_TTL_MS if state == "running" else 0)
 
-    def _move(self, changes: dict[int, int | None], old: dict[int, int]) -> None:
-        """Takes tickets off their old deadlines and puts them on new ones (None: on none)."""
-        off: dict[int, set[int]] = {}
-        on: dict[int, set[int]] = {}
-        for ticket, t in old.items():
-            off.setdefault(t, set()).add(ticket)
-        for ticket, t in changes.items():
-            if t is not None:
-                on.setdefault(t, set()).add(ticket)
-        for t in {*off, *on}:
-            held = self.due.getValue((t,))
-            left = sorted({*(held[0] if held else ())} - off.get(t, set()) | on.get(t, set()))
-            if left:
-                self.due.updateValue((t,), (left,))
-                if not held:
-                    self.wake_at(t)
-            elif held:
-                self.due.removeKey((t,))
-                self.sleep_at(t)
-        for ticket in old:
-            if self.overdue.containsKey((ticket,)):
-                self.overdue.removeKey((ticket,))
+    @staticmethod
+    def block_of(ticket: int) -> int:
+        return (ticket * 0x9E3779B97F4A7C15 >> 40) % BLOCKS
+
+    def _block(self, b: int) -> dict[int, tuple]:
+        if b not in self.opened_blocks:
+            text = self.leases.getValue((b,))
+            if text:
+                self.stored.add(b)
+            self.opened_blocks[b] = {i: tuple(x) for i, *x in json.loads(text[0])} if text else {}
+        return self.opened_blocks[b]
+
+    def _next_deadline(self) -> int:
+        return min((t for b, t in enumerate(self.first) if b not in self.late), default=NEVER)
+
+    def _aim(self) -> None:
+        t = self._next_deadline()
+        if t != self.aimed:
+            self.sleep_at(self.aimed)
+            if t < NEVER:
+                self.wake_at(t)
+            self.aimed = t
+
+    def _look_again(self, b: int) -> None:
+        self.first[b] = min((self.deadline(x[0], x[1]) for x in self._block(b).values()), default=NEVER)
 
     def woken_at(self, key, t: int) -> Iterator[tuple]:
-        held = self.due.getValue((t,))
-        for ticket in held[0] if held else ():
-            self.overdue.updateValue((ticket,), (t,))
-        if held:
-            self.due.removeKey((t,))
+        if self.aimed <= t:
+            self.late.update(b for b, first in enumerate(self.first) if first <= t)
+            self._aim()
         return iter(())
 
     def rows_at(self, key, t: int, rows: list[dict]) -> Iterator[tuple]:
-        changes, old = {}, {}
+        changed = set()
         for r in (r for r in rows if r["ticket_id"] is not None):
             ticket = r["ticket_id"]
-            before = self.leases.getValue((ticket,))
-            if before and ticket not in old:
-                old[ticket] = self.deadline(before[0], before[1])
+            b = self.block_of(ticket)
+            held = self._block(b)
+            before = held.get(ticket)
             if r["state"] in ("claimed", "running"):
-                self.leases.updateValue((ticket,), (r["state"], r["lease_until_ms"], r["requeues"] or 0, bool(r["cancel_requested"])))
-                changes[ticket] = self.deadline(r["state"], r["lease_until_ms"])
+                held[ticket] = (r["state"], r["lease_until_ms"], r["requeues"] or 0, bool(r["cancel_requested"]))
+                self.first[b] = min(self.first[b], self.deadline(r["state"], r["lease_until_ms"]))
             elif before:
-                self.leases.removeKey((ticket,))
-                changes[ticket] = None
+                del held[ticket]
                 yield (key[0], ticket, "kept", None, before[1], t)
-        if changes or old:
-            self._move(changes, old)
+                if not held:
+                    self.first[b] = NEVER
+                    self.late.discard(b)
+            else:
+                continue
+            changed.add(ticket)
+            self.changed.add(b)
         if any(r["ticket_id"] is None for r in rows):
-            yield from self._ticked(key, t)
+            yield from self._ticked(key, t, changed)
+        self._aim()
 
-    def _ticked(self, key, now: int) -> Iterator[tuple]:
+    def _ticked(self, key, now: int, changed: set[int]) -> Iterator[tuple]:
+        """A lease that changed at this instant is not looked at before the next tick, unless an amnesty moves it."""
         before = self.tick.get()
         self.tick.update((now,))
         if before and now - before[0] > AMNESTY_AFTER_MS:
-            changes, old, floor = {}, {}, now + LEASE_TTL_MS
-            for (ticket,), (state, until, requeues, cancel) in list(self.leases.iterator()):
-                if until < floor:
-                    old[ticket], changes[ticket] = self.deadline(state, until), self.deadline(state, floor)
-                    self.leases.updateValue((ticket,), (state, floor, requeues, cancel))
-            self._move(changes, old)
-        for (ticket,), _ in list(self.overdue.iterator()):
-            state, until, requeues, cancel = self.leases.getValue((ticket,))
-            self.overdue.removeKey((ticket,))
-            self.leases.removeKey((ticket,))
-            if state == "running":
-                yield (key[0], ticket, "lost", None, until, now)
-            else:
-                back = "cancelled" if cancel else "lost" if requeues >= MAX_REQUEUES else "queued"
-                yield (key[0], ticket, back, now + int(min(5000 * 2.0**requeues, 60000)) if back == "queued" else None, until, now)
-
-
-def lease_verdicts(tickets: DataFrame, ticks: DataFrame, buckets: int = 16, delay: str = "0 seconds") -> DataFrame:
+            floor = now + LEASE_TTL_MS
+            for b in (b for b, t in enumerate(self.first) if t < NEVER):
+                held = self._block(b)
+                for ticket, (state, until, requeues, cancel) in held.items():
+                    if until < floor:
+                        held[ticket] = (state, floor, requeues, cancel)
+                        self.changed.add(b)
+                self._look_again(b)
+            self.late.clear()
+        for b in sorted(self.late):
+            held = self._block(b)
+            for ticket, (state, until, requeues, cancel) in list(held.items()):
+                if ticket in changed or self.deadline(state, until) > now:
+                    continue
+                del held[ticket]
+                self.changed.add(b)
+                if state == "running":
+                    yield (key[0], ticket, "lost", None, until, now)
+                else:
+                    back = "cancelled" if cancel else "lost" if requeues >= MAX_REQUEUES else "queued"
+                    yield (key[0], ticket, back, now + int(min(5000 * 2.0**requeues, 60000)) if back == "queued" else None, until, now)
+            self._look_again(b)
+        self.late.clear()
+
+
+def lease_verdicts(tickets: DataFrame, ticks: DataFrame, buckets: int = 256, delay: str = "0 seconds") -> DataFrame:
     """Verdicts as leases expire or end: cluster, ticket_id, verdict, not_before_ms, lease_until_ms, t_ms.
 
     tickets: a row each time a ticket's lease changes (cluster, ticket_id, t_ms, state, lease_until_ms, requeues, cancel_requested); any state but
